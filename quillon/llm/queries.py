@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import entropy_mix, exact_dedup, golay_simhash
+from . import entropy_mix, exact_dedup, golay_simhash, html_extract, language_id
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,11 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.decide(_read(spark, sf_dir, "documents"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return language_id.identify(docs, _read(spark, sf_dir, "pages"), docs)
+
+
 def op8_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = entropy_mix.mix(_read(spark, sf_dir, "documents"))
     return mixed.select(
@@ -33,10 +38,16 @@ def op9_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", golay_simhash.hex_of("fp").alias("fingerprint"), "component_id")
 
 
+def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(_read(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_language_id": op3_language_id,
     "op8_entropy_mix": op8_entropy_mix,
     "op9_golay_simhash": op9_golay_simhash,
+    "op10_html_extract": op10_html_extract,
 }
 
 ORACLES = {
