@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import entropy_mix, exact_dedup, golay_simhash, html_extract, language_id
+from . import entropy_mix, exact_dedup, golay_simhash, html_extract, language_id, mil_quality
+from .common import crc_mod
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +22,18 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, _read(spark, sf_dir, "pages"), docs)
 
 
+def op5_mil_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    model = mil_quality.train(docs, _read(spark, sf_dir, "labels"))
+    scored = mil_quality.score(docs.select("doc_id", "text"), model)
+    return scored.select(
+        "doc_id",
+        (crc_mod("doc_id", 4) == 2).alias("held_out"),
+        F.col("__score").alias("score"),
+        (F.col("__score") >= mil_quality.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 def op8_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = entropy_mix.mix(_read(spark, sf_dir, "documents"))
     return mixed.select(
@@ -45,6 +58,7 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_language_id": op3_language_id,
+    "op5_mil_quality": op5_mil_quality,
     "op8_entropy_mix": op8_entropy_mix,
     "op9_golay_simhash": op9_golay_simhash,
     "op10_html_extract": op10_html_extract,
