@@ -1,7 +1,7 @@
 """Quality classification by attention-based multiple-instance learning.
 
-A document is a bag of passages of ``PASSAGE`` words. Every passage is encoded (word statistics and hashed word
-shapes, then a learned layer); a gated attention network gives each passage a weight, learned only from the
+A document is a bag of passages of ``PASSAGE`` words. Every passage is encoded (pairs of character classes and
+word statistics, then a learned layer); a gated attention network gives each passage a weight, learned only from the
 labels of whole documents; the weighted sum of the encodings is scored. One bad passage can thus
 decide a long document, and no text is cut.
 """
@@ -9,8 +9,6 @@ decide a long document, and no text is cut.
 from __future__ import annotations
 
 import math
-import re
-import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,80 +19,66 @@ from pyspark.sql import functions as F
 from .common import crc_mod
 
 PASSAGE = 64
-SHAPES = 32
-WORD_FEATURES = 16 + SHAPES
-FEATURES = WORD_FEATURES + 3
+#: Character classes: white space, line end, lower, upper, digit, sentence mark, other sign, byte of a longer character.
+CLASSES = 8
+FEATURES = CLASSES * CLASSES + 11
 #: At most this many labelled documents are used for training, those with the smallest hash of their id.
 TRAINING_ROWS = 4000
 #: Of a training document, at most this many passages, evenly spaced. Scoring uses all.
 TRAINING_PASSAGES = 256
 THRESHOLD = 0.7
-_CACHE = 300_000
-_REPEATED = re.compile(r"([^\w\s])\1")
-_RUNS = re.compile(r"(.)\1+")
-_CLASSES = str.maketrans({**{c: "a" for c in "abcdefghijklmnopqrstuvwxyz"}, **{c: "A" for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}, **{c: "0" for c in "0123456789"}})
-
-
-def word_features(word: str) -> np.ndarray:
-    """Additive features of one word."""
-    out = np.zeros(WORD_FEATURES, dtype=np.float32)
-    letters = sum(c.isalpha() for c in word)
-    upper = sum(c.isupper() for c in word)
-    digits = sum(c.isdigit() for c in word)
-    out[:16] = (
-        1, min(len(word), 40), min(upper, 40), min(letters - upper, 40), min(digits, 40), min(len(word) - letters - digits, 40),
-        upper > 1 and upper == letters, word.istitle(), not word[0].isalnum(), word[-1] in ".?!", word[-1] == ",",
-        bool(_REPEATED.search(word)), 0 < letters <= 3, letters >= 12, sum(ord(c) > 127 for c in word[:40]), letters + digits == 0,
-    )
-    shape = _RUNS.sub(r"\1", "".join("a" if c.islower() else "A" if c.isupper() else c for c in word.translate(_CLASSES)))
-    out[16 + zlib.crc32(shape.encode("utf-8", "replace")) % SHAPES] = 1
-    return out
 
 
-class Encoder:
-    """Passages of texts as feature rows; keeps the features of words it has met."""
-
-    def __init__(self) -> None:
-        self.index: dict[str, int] = {}
-        self.rows = np.zeros((1024, WORD_FEATURES), dtype=np.float32)
-
-    def _place(self, word: str) -> int:
-        k = self.index.get(word)
-        if k is None:
-            k = self.index[word] = len(self.index)
-            if k >= len(self.rows):
-                self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-            self.rows[k] = word_features(word)
-        return k
-
-    def passages(self, text: str | None) -> np.ndarray:
-        """n x FEATURES; a text without words is one row of zeros."""
-        words = (text or "").split()
-        if not words:
-            return np.zeros((1, FEATURES), dtype=np.float32)
-        if len(self.index) > _CACHE:
-            self.__init__()
-        known = self.index
-        try:
-            at = np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words))
-        except KeyError:
-            at = np.fromiter(map(self._place, words), dtype=np.int64, count=len(words))
-        n = len(words)
-        starts = np.arange(0, max(1, n - PASSAGE // 2), PASSAGE)  # a short rest joins the passage before it
-        out = np.zeros((len(starts), FEATURES), dtype=np.float32)
-        for first in range(0, len(starts), 64):  # rows of word features held at a time
-            last = min(first + 64, len(starts))
-            end = starts[last] if last < len(starts) else n
-            out[first:last, :WORD_FEATURES] = np.add.reduceat(self.rows[at[starts[first] : end]], starts[first:last] - starts[first], axis=0)
-        sizes = np.diff(np.append(starts, n)).astype(np.float32)
-        out[:, 1:WORD_FEATURES] /= sizes[:, None]
-        passage = np.repeat(np.arange(len(starts)), sizes.astype(np.int64))
-        distinct = np.unique(passage * (len(known) + 1) + at) // (len(known) + 1)
-        out[:, 0] = np.log1p(sizes)
-        out[:, -3] = np.bincount(distinct, minlength=len(starts)) / sizes
-        out[:, -2] = math.log1p(len(starts))
-        out[:, -1] = len(np.unique(at)) / n
-        return out
+def _class_table() -> np.ndarray:
+    table = np.full(256, 6, dtype=np.uint8)
+    table[128:] = 7
+    for value, members in ((0, b" \t\x0b\x0c\r"), (1, b"\n"), (5, b".,;:?'\"()-")):
+        table[list(members)] = value
+    for value, (first, last) in ((2, b"az"), (3, b"AZ"), (4, b"09")):
+        table[first : last + 1] = value
+    return table
+
+
+_TABLE = _class_table()
+_POWERS = np.random.default_rng(3).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
+
+
+def passages(text: str | None) -> np.ndarray:
+    """n x FEATURES for the passages of ``PASSAGE`` words; a short rest joins the passage before it.
+
+    Shares of pairs of neighbouring character classes, and word statistics. A text without words is one row of zeros."""
+    raw = np.frombuffer((text or "").encode("utf-8", "replace") + b" ", dtype=np.uint8)
+    kinds = _TABLE[raw]
+    inside = kinds > 1
+    edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    if inside[0]:
+        edges = np.concatenate(([0], edges))
+    first, last = edges[::2], edges[1::2]
+    n = len(first)
+    if not n:
+        return np.zeros((1, FEATURES))
+    begins = np.arange(0, max(1, n - PASSAGE // 2), PASSAGE)
+    k = len(begins)
+    word_of = np.repeat(np.arange(k), np.diff(np.append(begins, n)))
+    starts = np.concatenate(([0], first[begins[1:]]))
+    byte_sizes = np.diff(np.append(starts, len(raw)))
+    pairs = np.repeat(np.arange(k) * CLASSES * CLASSES, byte_sizes)[:-1] + kinds[:-1] * np.uint8(CLASSES) + kinds[1:]
+    out = np.zeros((k, FEATURES))
+    out[:, : CLASSES * CLASSES] = np.bincount(pairs, minlength=k * CLASSES * CLASSES).reshape(k, -1) / byte_sizes[:, None]
+    lengths = last - first
+    sizes = np.bincount(word_of)
+    places = np.arange(len(raw)) - np.repeat(np.append(0, first), np.diff(np.concatenate(([0], first, [len(raw)]))))
+    hashes = np.add.reduceat(np.where(inside, raw, 0).astype(np.uint64) * _POWERS[places & 255], first)
+    # kinds of words: short, long, capitals only, signs only, starting with a sign, ending with a sentence mark
+    capitals = np.add.reduceat(kinds == 3, first, dtype=np.int64)
+    signs = np.add.reduceat((kinds == 5) | (kinds == 6), first, dtype=np.int64)
+    words = (lengths <= 3, lengths >= 12, (capitals == lengths) & (lengths > 1), signs == lengths, kinds[first] >= 5, kinds[last - 1] == 5)
+    for j, kind in enumerate(words):
+        out[:, CLASSES * CLASSES + j] = np.bincount(word_of, weights=kind) / sizes
+    distinct, seen = np.unique(hashes, return_inverse=True)
+    in_passage = np.unique(word_of * len(distinct) + seen) // len(distinct)
+    out[:, -5:] = np.stack([np.bincount(word_of, weights=lengths) / sizes, np.log1p(sizes), np.bincount(in_passage, minlength=k) / sizes, np.full(k, math.log1p(k)), np.full(k, len(distinct) / n)], axis=1)
+    return out
 
 
 @dataclass
@@ -127,7 +111,7 @@ class Model:
         return self.forward(x, starts)[-1]
 
 
-def fit(x: np.ndarray, starts: np.ndarray, labels: np.ndarray, width: int = 24, gates: int = 12, epochs: int = 250, rate: float = 0.02, decay: float = 1e-3, seed: int = 7) -> Model:
+def fit(x: np.ndarray, starts: np.ndarray, labels: np.ndarray, width: int = 24, gates: int = 12, epochs: int = 150, rate: float = 0.02, decay: float = 1e-3, seed: int = 7) -> Model:
     """Adam on the log loss of the documents' labels; the same rows give the same model."""
     rng = np.random.default_rng(seed)
     scale = x.std(0)
@@ -154,10 +138,9 @@ def fit(x: np.ndarray, starts: np.ndarray, labels: np.ndarray, width: int = 24,
 
 
 def _training_batches(batches):
-    encoder = Encoder()
     for batch in batches:
         for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            x = encoder.passages(text)
+            x = passages(text)
             if len(x) > TRAINING_PASSAGES:
                 x = x[np.linspace(0, len(x) - 1, TRAINING_PASSAGES).astype(int)]
             yield pa.RecordBatch.from_arrays([pa.array([label], pa.float64()), pa.array([x.astype(np.float32).tobytes()], pa.binary())], names=["label", "x"])
@@ -183,11 +166,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def _scorer(model: Model | None):
     def run(batches):
-        encoder = Encoder()
         for batch in batches:
             for start in range(0, batch.num_rows, 250):
                 part = batch.slice(start, 250)
-                bags = [encoder.passages(t) for t in part.column(part.num_columns - 1).to_pylist()]
+                bags = [passages(t) for t in part.column(part.num_columns - 1).to_pylist()]
                 if model is None:
                     scores = np.full(len(bags), 0.5)
                 else:

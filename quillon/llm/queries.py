@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import entropy_mix, exact_dedup, golay_simhash, html_extract, language_id, mil_quality
+from . import ctw, entropy_mix, exact_dedup, golay_simhash, html_extract, language_id, mil_quality
 from .common import crc_mod
 
 
@@ -22,6 +22,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, _read(spark, sf_dir, "pages"), docs)
 
 
+def op4_ctw_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.score(_read(spark, sf_dir, "documents"))
+
+
 def op5_mil_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     model = mil_quality.train(docs, _read(spark, sf_dir, "labels"))
@@ -58,6 +62,7 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_language_id": op3_language_id,
+    "op4_ctw_score": op4_ctw_score,
     "op5_mil_quality": op5_mil_quality,
     "op8_entropy_mix": op8_entropy_mix,
     "op9_golay_simhash": op9_golay_simhash,
