@@ -1,20 +1,31 @@
-"""A corpus pipeline: each stage takes (spark, docs, sf_dir) and returns a DataFrame."""
+"""A corpus pipeline: each stage takes (spark, docs, sf_dir) and returns a DataFrame.
+
+Every stage works on all rows that the one before kept, and its result is written to the shared folder and read again, so
+a lost executor never costs more than one stage. All but the last return the columns of ``docs``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillon.llm import entropy_mix, exact_dedup, golay_simhash
+from quillon.llm import entropy_mix, exact_dedup, golay_simhash, mil_quality, pieces
 from quillon.llm.common import table
 
 
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Quality classifier: documents that it rejects go."""
+    model = mil_quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return mil_quality.keep_accepted(docs, model)
+
+
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Exact dedup: one document of each class of equal texts stays."""
     return exact_dedup.keep_first(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """SimHash near-dedup: one document of each component stays."""
+    """SimHash near-dedup: one document of each group stays."""
     return golay_simhash.keep_one(docs)
 
 
@@ -23,12 +34,24 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return entropy_mix.repeated(docs)
 
 
-STAGES = [("exact dedup", drop_copies), ("near dedup", drop_near_copies), ("mixing", mix_sources)]
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """SentencePiece encoding and decoding: the ids of each text, and the hash of the text that they decode to."""
+    found = pieces.decode(pieces.encode(docs))
+    return found.select(*docs.columns, F.col("__ids").alias("piece_ids"), F.sha2("__text", 256).alias("decoded_sha256"))
+
+
+STAGES = [
+    ("quality classifier", keep_good),
+    ("exact dedup", drop_copies),
+    ("near dedup", drop_near_copies),
+    ("mixing", mix_sources),
+    ("pieces", encode_pieces),
+]
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply all stages to documents, each result written to the shared folder."""
+    """Apply all stages to documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

@@ -187,3 +187,10 @@ def score(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataF
     rows = docs.withColumn("__scored", F.col(text_col).cast("string"))
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     return rows.mapInArrow(_scorer(model), f"{kept}, __score double")
+
+
+def keep_accepted(docs: DataFrame, model: Model | None, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that the model accepts, with all their columns; without a model all rows stay."""
+    if model is None:
+        return docs
+    return score(docs, model, text_col).filter(F.col("__score") >= threshold).select(*docs.columns)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ctw, entropy_mix, exact_dedup, golay_simhash, html_extract, language_id, mil_quality
+from . import ctw, entropy_mix, exact_dedup, golay_simhash, html_extract, language_id, mil_quality, pieces, tiff, token_lengths
 from .common import crc_mod
 
 
@@ -13,6 +13,23 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").withColumn("n_bytes", F.octet_length(F.coalesce("text", F.lit(""))).cast("long"))
+    stored = tiff.media_column(docs, "text", ["doc_id", "n_bytes"]).withColumns({"media_bytes": F.octet_length("media").cast("long"), "media_sha256": F.sha2("media", 256)})
+    pages = tiff.pages(stored, "media", ["doc_id", "n_bytes", "media_bytes", "media_sha256"])
+    return pages.select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length("pixels").cast("long").alias("payload_bytes"),
+        F.sha2("pixels", 256).alias("payload_sha256"),
+        F.crc32(F.substring("pixels", -16, 16)).alias("tail_crc32"),
+        "media_bytes",
+        "media_sha256",
+        "feature",
+        "error",
+    )
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.decide(_read(spark, sf_dir, "documents"))
 
@@ -38,6 +55,17 @@ def op5_mil_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    both = pieces.decode(pieces.encode(docs))
+    same = F.col("__text") == F.translate("text", pieces.MARK, " ")
+    return both.select("doc_id", F.size("__ids").cast("long").alias("n_ids"), F.col("__ids").alias("ids"), F.sha2("__text", 256).alias("decoded_sha256"), same.alias("round_trip"))
+
+
+def op7_token_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_lengths.limits(token_lengths.histogram(token_lengths.lengths(_read(spark, sf_dir, "documents"))))
+
+
 def op8_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = entropy_mix.mix(_read(spark, sf_dir, "documents"))
     return mixed.select(
@@ -60,10 +88,13 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_tiff_media": op1_tiff_media,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_language_id": op3_language_id,
     "op4_ctw_score": op4_ctw_score,
     "op5_mil_quality": op5_mil_quality,
+    "op6_sentencepiece": op6_sentencepiece,
+    "op7_token_lengths": op7_token_lengths,
     "op8_entropy_mix": op8_entropy_mix,
     "op9_golay_simhash": op9_golay_simhash,
     "op10_html_extract": op10_html_extract,
