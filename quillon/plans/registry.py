@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from quillon.plans import evidence, operations, research, search
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+for _module in (search, research, evidence, operations):
+    QUERIES |= _module.QUERIES
+    ORACLES |= _module.ORACLES
