@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: A word is a maximal run of characters outside [\x20\x09-\x0D] (fixed by the contract).
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -31,6 +32,25 @@ def table(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def kept_columns(df: DataFrame, made: list[str]) -> list[str]:
+    """Columns of ``df`` without those that an operator makes itself, which replace them."""
+    return [c for c in df.columns if c.lower() not in {m.lower() for m in made}]
+
+
+def quoted(columns: list[str]) -> list[Column]:
+    """Columns by their plain names, whatever signs these have."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in columns]
+
+
+def map_kept(df: DataFrame, columns: list[str], last: Column, task, made: str) -> DataFrame:
+    """Those columns of ``df`` and the column ``made`` (name and type) that an Arrow task computes from ``last``.
+
+    The task sees the columns packed as one, whatever their names are, and the last one; it returns both in this order."""
+    rows = df.select(F.struct(*quoted(columns)).alias("kept"), last.alias("last"))
+    schema = StructType(rows.schema.fields[:1] + StructType.fromDDL(made).fields)
+    return rows.mapInArrow(task, schema).select("kept.*", schema.fields[1].name)
+
+
 def crc_mod(id_col: str | Column, modulus: int) -> Column:
     """crc32 of the id as decimal text, modulo ``modulus`` (null ids count as the empty text)."""
     c = F.col(id_col) if isinstance(id_col, str) else id_col

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import WORD_PATTERN, table
+from .common import WORD_PATTERN, kept_columns, quoted, table
 
 CAP = 3
 SOURCE = ["__none", "__source"]
@@ -30,8 +30,11 @@ def words(text: Column) -> Column:
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str, splits: int) -> DataFrame:
+    """The whole row as __row, so that no column of it can clash with ours."""
     source, doc_id = F.col(source_col).cast("string"), F.col(id_col)
-    out = docs.withColumns({"__size": words(F.col(text_col)), "__none": source.isNull(), "__source": F.coalesce(source, F.lit("")), "__hash": F.xxhash64(doc_id)})
+    out = docs.select(
+        F.struct(*quoted(docs.columns)).alias("__row"), doc_id.alias("__id"), words(F.col(text_col)).alias("__size"), source.isNull().alias("__none"), F.coalesce(source, F.lit("")).alias("__source"), F.xxhash64(doc_id).alias("__hash")
+    )
     return out.withColumn("__part", F.pmod(F.shiftright("__hash", 7), F.lit(splits)).cast("int"))
 
 
@@ -114,11 +117,19 @@ def copy_counts(counts: DataFrame, solved: DataFrame, cap: int = CAP) -> DataFra
     return settled.select(*SOURCE, "source_size", "target", "__size", "n", "base", (F.col("extra") + F.when(F.col("gap") > 0, change).otherwise(-change)).alias("extra"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), cap: int = CAP, splits: int = 64) -> DataFrame:
-    """``docs`` with __size, __source_size, __target and __copies (0 to ``cap``).
+MADE = ["__size", "__source_size", "__target", "__copies"]
+
+
+def mix(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` with __size, __source_size, __target and __copies (0 to ``cap``), which replace columns of these names.
 
     A null text has size 0, a null source is a source of its own, the last one. Documents without words get one copy.
-    Reruns agree: ties within one size go by a hash of the id, then the id. If there are no words at all, targets are 0."""
+    Reruns agree: ties within one size go by a hash of the id, then the id; repeated rows count each by itself. If there
+    are no words at all, targets are 0. An empty table stays empty."""
+    return _mixed(docs, **options).select(*[F.col("__row")[c].alias(c) for c in kept_columns(docs, MADE)], *MADE)
+
+
+def _mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), cap: int = CAP, splits: int = 64) -> DataFrame:
     rows = _keyed(docs, id_col, text_col, source_col, splits)
     parts = table(rows.groupBy(*SOURCE, "__size", "__part").agg(F.count(F.lit(1)).alias("in_part")), "mix-parts")
     counts = table(parts.groupBy(*SOURCE, "__size").agg(F.sum("in_part").alias("n")), "mix-counts")
@@ -132,12 +143,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     dealt = dealt.withColumn("__more", share(F.col("upto")) - share(F.col("upto") - F.col("in_part")))
     keys = [*SOURCE, "__size", "__part"]
     dealt = dealt.select(*keys, F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), F.col("base").alias("__base"), "__more")
-    place = F.row_number().over(W.partitionBy(*keys).orderBy("__hash", id_col))
+    place = F.row_number().over(W.partitionBy(*keys).orderBy("__hash", "__id"))
     out = rows.withColumn("__place", place).join(dealt, keys)
-    return out.withColumn("__copies", (F.col("__base") + (F.col("__place") <= F.col("__more")).cast("long")).cast("long")).select(*docs.columns, "__size", "__source_size", "__target", "__copies")
+    return out.withColumn("__copies", (F.col("__base") + (F.col("__place") <= F.col("__more")).cast("long")).cast("long")).select("__row", *MADE)
 
 
 def repeated(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` as often as the mix takes them."""
-    mixed = mix(docs, **options)
-    return mixed.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)
+    """The rows of ``docs`` as often as the mix takes them. Options and rules as for :func:`mix`."""
+    mixed = _mixed(docs, **options)
+    return mixed.select("__row", F.explode(F.array_repeat(F.lit(1), F.col("__copies").cast("int")))).select("__row.*")

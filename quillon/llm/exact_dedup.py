@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import SPACES, table
+from .common import SPACES, quoted, table
 
 #: An id's place among the longest: ids are shifted into [0, 2^64), null ids come after all others.
 _NULL_ORDER = "18446744073709551616"
@@ -45,10 +45,10 @@ def _id_of(order: Column) -> Column:
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str, salts: int, digest_bits: int) -> DataFrame:
-    doc_id, text = F.col(id_col).cast("long"), F.col(text_col)
-    return docs.withColumns({"__norm": normalised(text), "__id": doc_id, "__order": _order(text, doc_id)}).withColumns(
-        {"__sha": F.sha2(F.col("__norm"), 256), "__salt": F.pmod(F.xxhash64(doc_id), F.lit(salts)).cast("int")}
-    ).withColumn("__digest", F.substring("__sha", 1, digest_bits // 4))
+    """The whole row as __row, so that no column of it can clash with ours."""
+    doc_id, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
+    rows = docs.select(F.struct(*quoted(docs.columns)).alias("__row"), normalised(text).alias("__norm"), doc_id.alias("__id"), _order(text, doc_id).alias("__order"))
+    return rows.withColumns({"__sha": F.sha2(F.col("__norm"), 256), "__salt": F.pmod(F.xxhash64("__id"), F.lit(salts)).cast("int")}).withColumn("__digest", F.substring("__sha", 1, digest_bits // 4))
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 32, digest_bits: int = 256) -> DataFrame:
@@ -106,4 +106,4 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     same_text = F.col("s.__text").isNull() | (F.col("s.__text") == F.col("r.__norm"))
     joined = rows.join(stay, F.col("r.__id").eqNullSafe(F.col("s.keep_id")) & (F.col("r.__digest") == F.col("s.__digest")) & same_text).select("r.*")
     one = F.row_number().over(W.partitionBy("__digest", "__id", "__sha").orderBy(F.lit(1)))
-    return joined.withColumn("__first", one).filter("__first = 1").select(*docs.columns)
+    return joined.withColumn("__first", one).filter("__first = 1").select("__row.*")

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import table
+from .common import quoted, table
 from .components import components
 
 #: Generator polynomial of the binary Golay code, x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1 (fixed value).
@@ -281,8 +281,11 @@ def hex_of(fp: str = "fp"):
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, with all columns, of which one stays per component: the one with the smallest id."""
+    """The rows of ``docs``, with all columns, of which one stays per component: the one with the smallest id.
+
+    Of rows that share that id one stays; rows with null ids stay only where a component has no other."""
     stay = group(docs, id_col, text_col).filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__keep"), F.lit(True).alias("__there")).distinct()
-    met = docs.join(stay, docs[id_col].eqNullSafe(stay["__keep"]))
-    one = F.row_number().over(W.partitionBy(id_col).orderBy(F.xxhash64(text_col)))
-    return met.withColumn("__first", one).filter("__first = 1").select(*docs.columns)
+    rows = docs.select(F.struct(*quoted(docs.columns)).alias("__row"), F.col(id_col).cast("long").alias("__id"), F.xxhash64(F.col(text_col)).alias("__hash"))
+    met = rows.join(stay, F.col("__id").eqNullSafe(F.col("__keep")))
+    one = F.row_number().over(W.partitionBy("__id").orderBy("__hash"))
+    return met.withColumn("__first", one).filter("__first = 1").select("__row.*")

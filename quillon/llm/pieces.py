@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import kept_columns, map_kept
+
 MARK = "▁"
 #: Where the public vocabulary lies; a parameter of every function that reads it.
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
@@ -253,10 +255,6 @@ def _decode_batches(sent):
     return run
 
 
-def _schema(df: DataFrame) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-
-
 def _send(spark: SparkSession, value):
     return spark.sparkContext.broadcast(value)
 
@@ -264,12 +262,12 @@ def _send(spark: SparkSession, value):
 def encode(docs: DataFrame, text_col: str = "text", path: str = MODEL_PATH) -> DataFrame:
     """``docs`` with __ids (array of int), the ids of the whole text. Null and empty texts have no ids.
 
-    All columns and rows stay; repeated rows get equal ids. U+2581 in a text counts as a space, as in the library."""
-    rows = docs.withColumn("__piece_text", F.col(text_col).cast("string"))
-    return rows.mapInArrow(_encode_batches(_send(docs.sparkSession, load(path))), f"{_schema(docs)}, __ids array<int>")
+    All columns (but one called __ids, which is replaced) and rows stay; repeated rows get equal ids. U+2581 in a text counts as a space, as in the library."""
+    task = _encode_batches(_send(docs.sparkSession, load(path)))
+    return map_kept(docs, kept_columns(docs, ["__ids"]), F.col(text_col).cast("string"), task, "__ids array<int>")
 
 
 def decode(encoded: DataFrame, ids_col: str = "__ids", path: str = MODEL_PATH) -> DataFrame:
     """``encoded`` with __text, the text of its ids (null for null). Unknown pieces read as in the library."""
-    rows = encoded.withColumn("__piece_ids", F.col(ids_col))
-    return rows.mapInArrow(_decode_batches(_send(encoded.sparkSession, load(path).spelled)), f"{_schema(encoded)}, __text string")
+    task = _decode_batches(_send(encoded.sparkSession, load(path).spelled))
+    return map_kept(encoded, kept_columns(encoded, ["__text"]), F.col(ids_col), task, "__text string")
