@@ -222,7 +222,7 @@ def main_text(page: str | None) -> str:
     if home and not home % 2 and sum(home in b.holders for b in blocks) == 1:  # an element around one paragraph: take the one around it, if any
         holders = next(b.holders for b in blocks if home in b.holders)
         home = next(iter(reversed(holders[: holders.index(home)])), home)
-    out = []
+    kept = []
     for k, b in enumerate(blocks):
         listed = b.tag == "li" and b.linked >= len(b.text)
         if home:
@@ -231,8 +231,15 @@ def main_text(page: str | None) -> str:
             title = b.tag in HEADINGS and k + 1 < len(blocks) and (id(blocks[k + 1]) in picked or blocks[k + 1].tag in HEADINGS)
             keep = (id(b) in picked or title) and not listed
         if keep:
-            out.append(b.text)
-    return "\n\n".join(out)
+            if not kept and home and k and _is_title(blocks[k - 1], b):
+                kept.append(blocks[k - 1])
+            kept.append(b)
+    return "\n\n".join([b.text for b in kept])
+
+
+def _is_title(before: Block, first: Block) -> bool:
+    """Whether a top heading stands right before the article, inside the same element (not the body itself)."""
+    return before.tag == "h1" and before.chain[:-1] == first.chain[: len(before.chain) - 1] and any(n // 2 == before.chain[-2] for n in before.holders) if len(before.chain) > 1 else False
 
 
 def _batches(batches):

@@ -49,3 +49,10 @@ def test_path_ratios_prefer_long_marked_text():
     blocks = h.blocks_of("<body><div class='x'><p>" + SENTENCE * 3 + "</p></div><ul><li>a</li><li>b</li><li>c</li><li>d</li></ul></body>")
     h.ratios(blocks)
     assert blocks[0].score > 5 * max(b.score for b in blocks[2:])
+
+
+def test_title_beside_the_article():
+    body = "".join(f"<p>{SENTENCE}{k}</p>" for k in range(3))
+    text = "\n\n".join(f"{SENTENCE}{k}" for k in range(3))
+    assert h.main_text(f"<body><div id='content'><h1>Title</h1><div class='post'>{body}</div></div></body>") == "Title\n\n" + text
+    assert h.main_text(f"<body><h1>Site</h1><div class='post'>{body}</div></body>") == text
