@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from quillon.functions import text as T
+from quillon.operators.intervals import bucket_join, contains_point
 
 TOLERANCE = 1e-6
 
@@ -77,8 +78,9 @@ def candidate_anchors(notes: DataFrame, documents: DataFrame, segments: DataFram
     old = notes.join(now, "document_id").filter((F.col("canonical_sha256") != F.col("_c")) & (F.col("source_sha256") == F.col("_s")))
     old = old.select("note_id", "document_id", F.col("start_seconds").alias("ns"), F.col("end_seconds").alias("ne"))
     point = F.col("ns") == F.col("ne")
-    inside = F.when(point, (F.col("start_seconds") <= F.col("ns")) & (F.col("ns") <= F.col("end_seconds"))).otherwise((F.col("end_seconds") > F.col("ns")) & (F.col("start_seconds") < F.col("ne")))
-    met = old.join(segments.select("document_id", "segment_index", "segment_id", "start_seconds", "end_seconds"), "document_id").filter(inside)
+    inside = F.when(point, contains_point(F.col("start_seconds"), F.col("end_seconds"), F.col("ns"))).otherwise((F.col("end_seconds") > F.col("ns")) & (F.col("start_seconds") < F.col("ne")))
+    own = segments.select("document_id", "segment_index", "segment_id", "start_seconds", "end_seconds")
+    met = bucket_join(old, own, ["document_id"], ("ns", "ne"), ("start_seconds", "end_seconds")).filter(inside)
     per = met.groupBy("note_id", "document_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("segment_index", "segment_id"))), lambda x: x["segment_id"]).alias("segment_ids"),
         F.first("ns").alias("ns"), F.first("ne").alias("ne"), F.min_by("start_seconds", "segment_index").alias("s"), F.max_by("end_seconds", "segment_index").alias("e"),

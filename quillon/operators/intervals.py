@@ -14,15 +14,21 @@ def _bucketed(rows: DataFrame, start: str, end: str, width: float) -> DataFrame:
     return rows.withColumn("_bucket", F.explode(F.sequence(first, F.greatest(first, last))))
 
 
+def bucket_join(left: DataFrame, right: DataFrame, keys: list[str], left_bounds: tuple[str, str], right_bounds: tuple[str, str], width: float = BUCKET) -> DataFrame:
+    """Pairs with equal keys whose closed intervals meet in a time bucket, each pair once: in the bucket where what is common
+    begins. It has all pairs that touch or overlap, and others that the caller's condition removes."""
+    (ls, le), (rs, re) = left_bounds, right_bounds
+    met = _bucketed(left, ls, le, width).join(_bucketed(right, rs, re, width), [*keys, "_bucket"])
+    return met.filter(F.col("_bucket") == F.floor(F.greatest(F.col(ls), F.col(rs)) / width)).drop("_bucket")
+
+
 def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], left_bounds: tuple[str, str], right_bounds: tuple[str, str], width: float = BUCKET) -> DataFrame:
     """Pairs with equal keys whose intervals share more than a point.
 
-    Both sides are dealt to time buckets, so one long document is many tasks; a pair is kept in the bucket where its
-    common part begins, hence once. Interval columns must have different names on the two sides."""
+    Both sides are dealt to time buckets, so one long document is many tasks. Interval columns must have different names on
+    the two sides."""
     (ls, le), (rs, re) = left_bounds, right_bounds
-    met = _bucketed(left, ls, le, width).join(_bucketed(right, rs, re, width), [*keys, "_bucket"])
-    begins = F.greatest(F.col(ls), F.col(rs))
-    return met.filter((F.least(F.col(le), F.col(re)) > begins) & (F.col("_bucket") == F.floor(begins / width))).drop("_bucket")
+    return bucket_join(left, right, keys, left_bounds, right_bounds, width).filter(F.least(F.col(le), F.col(re)) > F.greatest(F.col(ls), F.col(rs)))
 
 
 def contains_point(start: Column, end: Column, at: Column) -> Column:

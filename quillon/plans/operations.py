@@ -180,8 +180,9 @@ def deletion_actions(spark, sf_dir):
     return _actions(spark, sf_dir)[0]
 
 
-@query(f"""WITH {_ACTIONS}, p AS (SELECT document_id, string_agg(l, chr(10) ORDER BY l) AS l, count(*) FILTER (NOT preserved) AS n_actions, count(*) FILTER (preserved) AS n_preserved
-    FROM (SELECT *, CASE WHEN preserved THEN 'preserved' ELSE 'action' END || ':' || target || ':' || object_id AS l FROM a) GROUP BY document_id)
+@query(f"""WITH {_ACTIONS}, l AS (SELECT *, CASE WHEN preserved THEN 'preserved' ELSE 'action' END || ':' || target || ':' || object_id AS l FROM a),
+  g AS (SELECT document_id, substr(sha256(l), 1, 2) AS g, sha256(string_agg(l, chr(10) ORDER BY l)) AS h, count(*) FILTER (NOT preserved) AS a, count(*) FILTER (preserved) AS p FROM l GROUP BY ALL),
+  p AS (SELECT document_id, string_agg(g || h, chr(10) ORDER BY g || h) AS l, sum(a)::BIGINT AS n_actions, sum(p)::BIGINT AS n_preserved FROM g GROUP BY document_id)
   SELECT p.document_id, n_actions, n_preserved, 'delete:' || p.document_id || ':' || substr(sha256(text), 1, 12) || ':' || substr(sha256('delete-v1' || chr(10) || p.document_id || chr(10) || sha256(text) || chr(10)
     || 'effective:library-view' || chr(10) || 'effective:derived-artifacts' || chr(10) || 'effective:execution-state' || chr(10) || 'effective:canonical-transcript' || chr(10) || 'effective:saved-searches' || chr(10) || l), 1, 16) AS confirmation_token
   FROM p JOIN documents ON doc_id = document_id""")
