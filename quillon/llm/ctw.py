@@ -9,7 +9,7 @@ all depths; the path ends at the deepest context that the training texts have.
 What is gathered is the count of every distinct (DEPTH + 1)-gram of bytes, however many there are:
 
 1. each task cuts its input into blocks and writes, per block, the texts (compressed) and the block's distinct grams and
-   words with their training counts, dealt to buckets by the two nearest context bytes (words by a hash);
+   words with their training counts, dealt to buckets by the two nearest context bytes (words, as hashes of 96 bits, by those);
 2. a bucket merges the grams of all blocks and owns all tree nodes from depth two down; the two levels above are sums of
    at most 256 x 255 rows;
 3. it answers each block with one log probability per gram asked for (words: their count), in the order asked;
@@ -22,8 +22,6 @@ from __future__ import annotations
 
 import math
 import uuid
-import zlib
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -34,19 +32,54 @@ from .common import crc_mod, table
 
 DEPTH = 6
 #: Bytes of text in one block and in one of its parts, which also has at most 256 rows (their number is packed beside the gram).
-BLOCK_BYTES, PART_BYTES, PART_ROWS = 32 << 20, 4 << 20, 256
+BLOCK_BYTES, PART_BYTES, PART_ROWS = 16 << 20, 2 << 20, 256
 _TEXTS, _GRAMS, _WORDS = 0, 1, 2
 _PACKED = "kind int, block string, bucket int, part int, payload binary"
 _LOG_HALF = math.log(0.5)
 
 
-def tokens(text: str | None) -> list[bytes]:
-    """Words in lower case (A-Z only)."""
-    return (text or "").encode("utf-8", "replace").lower().split()
+def line(text: str | None) -> bytes:
+    """The words of a text in lower case (A-Z only), single spaces between, a line end after."""
+    return b" ".join((text or "").encode("utf-8", "replace").lower().split()) + b"\n"
 
 
-def line(words: list[bytes]) -> bytes:
-    return b" ".join(words) + b"\n"
+def _weights(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Random multipliers of the first n places, always the same."""
+    return np.random.PCG64(1).random_raw(n), np.random.PCG64(2).random_raw(n)
+
+
+def words_of(lines: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of every word in these lines: the number of its line and two independent hashes, of 64 and of 32 bits."""
+    raw = np.frombuffer(lines, dtype=np.uint8)
+    ends = np.flatnonzero((raw == 32) | (raw == 10))
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    size = ends - starts
+    last = raw[ends] == 10
+    place = np.arange(len(raw), dtype=np.int32) - np.repeat(starts.astype(np.int32), size + 1)
+    value = raw.astype(np.uint64) + np.uint64(1)
+    value[ends] = 0
+    full = size > 0
+    h1, h2 = (np.add.reduceat(value * w[place], starts)[full] for w in _weights(int(size.max()) + 1))
+    return (np.cumsum(last) - last)[full], h1, (h2 >> np.uint64(32)).astype(np.uint32)
+
+
+def word_sums(h1: np.ndarray, h2: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct words in order of their hashes, and the sums of their counts."""
+    order = np.argsort(h1)
+    a, b = h1[order], h2[order]
+    if ((a[1:] == a[:-1]) & (b[1:] != b[:-1])).any():
+        order = np.lexsort((h2, h1))
+        a, b = h1[order], h2[order]
+    first = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))) if len(a) else np.zeros(0, dtype=np.int64)
+    return a[first], b[first], np.add.reduceat(counts[order], first) if len(first) else counts[:0]
+
+
+def places_of(h1: np.ndarray, h2: np.ndarray, known1: np.ndarray, known2: np.ndarray) -> np.ndarray:
+    """Where each word (ordered by h1) stands among the known ones, which have them all."""
+    at = np.searchsorted(known1, h1)
+    while (off := known2[at] != h2).any():
+        at[off] += 1
+    return at
 
 
 def keys_of(lines: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -112,15 +145,14 @@ def unpack_grams(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(unpack(keys, n, np.uint64), dtype=np.uint64), unpack(counts, n, np.uint32).astype(np.int64)
 
 
-def pack_words(words: list[bytes], counts: list[int]) -> bytes:
-    joined = b"\n".join(words)
-    return _frame([len(words).to_bytes(8, "little"), len(joined).to_bytes(8, "little"), pa.compress(joined, codec="zstd", asbytes=True) if joined else b"", pack(np.array(counts, dtype=np.uint32))])
+def pack_words(h1: np.ndarray, h2: np.ndarray, counts: np.ndarray) -> bytes:
+    return _frame([len(h1).to_bytes(8, "little"), pack(np.diff(h1, prepend=np.uint64(0))), h2.tobytes(), pack(counts.astype(np.uint32))])
 
 
-def unpack_words(raw: bytes) -> tuple[list[bytes], np.ndarray]:
-    n, size, joined, counts = _parts(raw)
-    n, size = int.from_bytes(n, "little"), int.from_bytes(size, "little")
-    return (pa.decompress(joined, size, codec="zstd", asbytes=True) if size else b"").split(b"\n"), unpack(counts, n, np.uint32)
+def unpack_words(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n, h1, h2, counts = _parts(raw)
+    n = int.from_bytes(n, "little")
+    return np.cumsum(unpack(h1, n, np.uint64), dtype=np.uint64), np.frombuffer(h2, dtype=np.uint32), unpack(counts, n, np.uint32).astype(np.int64)
 
 
 def gram_bucket(keys: np.ndarray, depth: int, buckets: int) -> np.ndarray:
@@ -128,9 +160,9 @@ def gram_bucket(keys: np.ndarray, depth: int, buckets: int) -> np.ndarray:
     return ((near * np.uint64(2654435761)) >> np.uint64(8)) % np.uint64(buckets)
 
 
-def by_bucket(keys: np.ndarray, depth: int, buckets: int):
+def by_bucket(bucket: np.ndarray, buckets: int):
     """(bucket, positions of its keys in order), for buckets that have any."""
-    bucket = gram_bucket(keys, depth, buckets).astype(np.int64)
+    bucket = bucket.astype(np.uint16)
     order = np.argsort(bucket, kind="stable")
     edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
     for b in range(buckets):
@@ -139,52 +171,40 @@ def by_bucket(keys: np.ndarray, depth: int, buckets: int):
 
 
 class _Block:
-    """Texts of one block, in parts, with the block's distinct grams and words and their training counts."""
+    """The distinct grams and words of one block's texts, with their training counts."""
 
     def __init__(self, depth: int) -> None:
-        self.depth, self.words = depth, Counter()
-        self.seen: set[bytes] = set()
+        self.depth = depth
         self.keys, self.counts = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
         self.late: list[tuple[np.ndarray, np.ndarray]] = []
+        self.words: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
-    def add(self, texts: list[list[bytes]], held: list[bool]) -> None:
+    def add(self, lines: list[bytes], held: list[bool]) -> None:
         for training in (True, False):
-            own = [t for t, h in zip(texts, held, strict=True) if h != training]
+            own = [t for t, h in zip(lines, held, strict=True) if h != training]
             if not own:
                 continue
-            keys, counts = counted(keys_of([line(t) for t in own], self.depth)[0])
+            keys, counts = counted(keys_of(own, self.depth)[0])
             self.late.append((keys, counts if training else np.zeros_like(counts)))
-            for t in own:
-                if training:
-                    self.words.update(t)
-                else:
-                    self.seen.update(t)
-            if training:
-                self.words[b""] += len(own)
+            _, h1, h2 = words_of(b"".join(own))
+            end = np.zeros(1, dtype=h1.dtype)  # the end's hashes are 0
+            ones = np.append(np.ones(len(h1), dtype=np.int64), len(own))
+            self.words.append(word_sums(np.append(h1, end), np.append(h2, end.astype(h2.dtype)), ones if training else ones * 0))
         if sum(len(k) for k, _ in self.late) > max(2_000_000, len(self.keys)):
             self.merge()
 
     def merge(self) -> None:
         self.keys, self.counts = summed(np.concatenate([self.keys, *[k for k, _ in self.late]]), np.concatenate([self.counts, *[c for _, c in self.late]]))
         self.late = []
+        self.words = [word_sums(*(np.concatenate(x) for x in zip(*self.words, strict=True)))]
 
     def rows(self, buckets: int):
         self.merge()
-        for b, at in by_bucket(self.keys, self.depth, buckets):
+        for b, at in by_bucket(gram_bucket(self.keys, self.depth, buckets), buckets):
             yield _GRAMS, b, pack_grams(self.keys[at], self.counts[at])
-        dealt: dict[int, list[bytes]] = {}
-        for w in sorted(self.seen.union(self.words, (b"",))):
-            dealt.setdefault(zlib.crc32(w) % buckets, []).append(w)
-        for b, words in dealt.items():
-            yield _WORDS, b, pack_words(words, [self.words.get(w, 0) for w in words])
-
-
-def word_order(words: set[bytes], buckets: int) -> dict[int, list[bytes]]:
-    """Words by bucket, in the order in which a block asks for them."""
-    dealt: dict[int, list[bytes]] = {}
-    for w in sorted(words):
-        dealt.setdefault(zlib.crc32(w) % buckets, []).append(w)
-    return dealt
+        h1, h2, counts = self.words[0]
+        for b, at in by_bucket(h1 % np.uint64(buckets), buckets):
+            yield _WORDS, b, pack_words(h1[at], h2[at], counts[at])
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -194,19 +214,18 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     )
 
 
-def _pack_texts(ids: list, held: list[bool], texts: list[list[bytes]]) -> bytes:
-    raw = b"".join(line(t) for t in texts)
-    ids_array = pa.array(ids, pa.int64())
+def _pack_texts(ids: list, held: list[bool], lines: list[bytes]) -> bytes:
+    raw = b"".join(lines)
     return _frame([
-        np.array([x if x is not None else 0 for x in ids], dtype=np.int64).tobytes(), bytes(x is None for x in ids_array.to_pylist()), bytes(held),
+        np.array([x if x is not None else 0 for x in ids], dtype=np.int64).tobytes(), bytes(x is None for x in ids), bytes(held),
         len(raw).to_bytes(8, "little"), pa.compress(raw, codec="zstd", asbytes=True),
     ])
 
 
-def _unpack_texts(raw: bytes) -> tuple[list, list[bool], list[list[bytes]]]:
+def _unpack_texts(raw: bytes) -> tuple[list, list[bool], bytes]:
     ids, nulls, held, size, texts = _parts(raw)
-    lines = pa.decompress(texts, int.from_bytes(size, "little"), codec="zstd", asbytes=True).split(b"\n")[:-1]
-    return [None if n else i for i, n in zip(np.frombuffer(ids, dtype=np.int64).tolist(), nulls, strict=True)], [bool(h) for h in held], [x.split() for x in lines]
+    lines = pa.decompress(texts, int.from_bytes(size, "little"), codec="zstd", asbytes=True)
+    return [None if n else i for i, n in zip(np.frombuffer(ids, dtype=np.int64).tolist(), nulls, strict=True)], [bool(h) for h in held], lines
 
 
 def _packer(depth: int, buckets: int):
@@ -235,8 +254,8 @@ def _packer(depth: int, buckets: int):
             for start in range(0, batch.num_rows, PART_ROWS):
                 rows = batch.slice(start, PART_ROWS)
                 for doc_id, is_held, text in zip(*(c.to_pylist() for c in rows.columns), strict=True):
-                    words = tokens(text)
-                    n = sum(map(len, words)) + len(words) + 1
+                    own = line(text)
+                    n = len(own)
                     if texts and (len(texts) == PART_ROWS or size + n > PART_BYTES):
                         yield close_part()
                     if block is not None and total and total + n > BLOCK_BYTES:
@@ -248,7 +267,7 @@ def _packer(depth: int, buckets: int):
                         block, name, total, part = _Block(depth), uuid.uuid4().hex, 0, 0
                     ids.append(doc_id)
                     held.append(bool(is_held))
-                    texts.append(words)
+                    texts.append(own)
                     size += n
                     total += n
         if block is not None:
@@ -386,24 +405,18 @@ def _gram_answers(depth: int, top):
     return run
 
 
-def _word_totals(rows: pa.Table) -> Counter:
-    total: Counter = Counter()
-    for raw in rows.column("payload"):
-        words, counts = unpack_words(raw.as_py())
-        for w, n in zip(words, counts.tolist(), strict=True):
-            if n:
-                total[w] += n
-    return total
+def _word_totals(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return word_sums(*(np.concatenate(x) for x in zip(*[unpack_words(raw.as_py()) for raw in rows.column("payload")], strict=True)))
 
 
 def _word_sums(rows: pa.Table) -> pa.Table:
-    total = _word_totals(rows)
-    return pa.table({"n": pa.array([sum(total.values())], pa.int64()), "v": pa.array([len(total)], pa.int64())})
+    counts = _word_totals(rows)[2]
+    return pa.table({"n": pa.array([counts.sum()], pa.int64()), "v": pa.array([(counts > 0).sum()], pa.int64())})
 
 
 def _word_answers(rows: pa.Table) -> pa.Table:
-    total = _word_totals(rows)
-    answers = [np.array([total.get(w, 0) for w in unpack_words(raw.as_py())[0]], dtype=np.int64).tobytes() for raw in rows.column("payload")]
+    h1, h2, counts = _word_totals(rows)
+    answers = [counts[places_of(*unpack_words(raw.as_py())[:2], h1, h2)].tobytes() for raw in rows.column("payload")]
     return pa.table({"kind": rows.column("kind"), "block": rows.column("block"), "bucket": rows.column("bucket"), "part": rows.column("part"), "payload": pa.array(answers, pa.binary())})
 
 
@@ -415,43 +428,42 @@ def _scorer(depth: int, buckets: int, n: int, v: int):
         found = {_GRAMS: {}, _WORDS: {}}
         for kind, bucket, payload in zip(answers.column("kind").to_pylist(), answers.column("bucket").to_pylist(), answers.column("payload").to_pylist(), strict=True):
             found[kind][bucket] = payload
-        keys, late, vocabulary = np.zeros(0, dtype=np.uint64), [], {b""}
+        keys, late = np.zeros(0, dtype=np.uint64), []
+        end = np.zeros(1, dtype=np.uint64)
+        words = [(end, end.astype(np.uint32), end.astype(np.int64))]
         for k in order:  # the block's grams and words again, in the order in which it asked
-            words = _unpack_texts(texts.column("payload")[k].as_py())[2]
-            for w in words:
-                vocabulary.update(w)
-            late.append(counted(keys_of([line(w) for w in words], depth)[0])[0])
+            lines = _unpack_texts(texts.column("payload")[k].as_py())[2]
+            late.append(counted(keys_of(lines.splitlines(keepends=True), depth)[0])[0])
             if sum(map(len, late)) > max(2_000_000, len(keys)):
                 keys, late = counted(np.concatenate([keys, *late]))[0], []
+            _, h1, h2 = words_of(lines)
+            words.append(word_sums(h1, h2, np.zeros(len(h1), dtype=np.int64)))
         keys = counted(np.concatenate([keys, *late]))[0]
-        logs = np.zeros(len(keys))
-        for b, at in by_bucket(keys, depth, buckets):
+        logs = np.zeros(len(keys), dtype=np.float32)
+        for b, at in by_bucket(gram_bucket(keys, depth, buckets), buckets):
             logs[at] = np.frombuffer(found[_GRAMS][b], dtype=np.float32)
-        index, counts = {}, []
-        for b, own in word_order(vocabulary, buckets).items():
-            for w, c in zip(own, np.frombuffer(found[_WORDS][b], dtype=np.int64).tolist(), strict=True):
-                index[w] = len(counts)
-                counts.append(c)
-        counts = np.array(counts)
-        word_logs, word_known, end = np.log10(counts + 1.0) - base_unit, counts > 0, index[b""]
+        known1, known2, counts = word_sums(*(np.concatenate(x) for x in zip(*words, strict=True)))
+        for b, at in by_bucket(known1 % np.uint64(buckets), buckets):
+            counts[at] = np.frombuffer(found[_WORDS][b], dtype=np.int64)
+        word_logs, word_known = np.log10(counts + 1.0) - base_unit, counts > 0
         out = []
         for k in order:
-            ids, held, words = _unpack_texts(texts.column("payload")[k].as_py())
-            own, row = keys_of([line(w) for w in words], depth)
+            ids, held, lines = _unpack_texts(texts.column("payload")[k].as_py())
+            own, row = keys_of(lines.splitlines(keepends=True), depth)
             packed = np.sort(own << np.uint64(8) | row.astype(np.uint64))
             own, row = packed >> np.uint64(8), (packed & np.uint64(255)).astype(np.int64)
             first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
             values = np.repeat(logs[np.searchsorted(keys, own[first])], np.diff(np.append(first, len(own))))
             scores, sizes = np.bincount(row, weights=values, minlength=len(ids)), np.bincount(row, minlength=len(ids))
-            for i, w in enumerate(words):
-                at = np.fromiter(map(index.__getitem__, w), dtype=np.int64, count=len(w))
-                at = np.append(at, end)
-                out.append((ids[i], held[i], len(at), int(word_known[at].sum()), float(word_logs[at].sum()), float(scores[i]), int(sizes[i])))
-        doc_id, held, n_tokens, n_known, base, score, n_bytes = zip(*out, strict=True)
-        return pa.table({
-            "id": pa.array(doc_id, pa.int64()), "held_out": pa.array(held), "n_tokens": pa.array(n_tokens, pa.int64()), "n_known": pa.array(n_known, pa.int64()),
-            "base_score": pa.array(base), "score": pa.array(score), "n_bytes": pa.array(n_bytes, pa.int64()),
-        })
+            row, h1, h2 = words_of(lines)
+            by_hash = np.argsort(h1)
+            at, row = places_of(h1[by_hash], h2[by_hash], known1, known2), row[by_hash]
+            n, seen, base = (np.bincount(row, weights=w, minlength=len(ids)) for w in (None, word_known[at], word_logs[at]))
+            out.append(pa.table({
+                "id": pa.array(ids, pa.int64()), "held_out": pa.array(held, pa.bool_()), "n_tokens": pa.array(n + 1, pa.int64()), "n_known": pa.array(seen.astype(np.int64) + int(word_known[0]), pa.int64()),
+                "base_score": pa.array(base + word_logs[0]), "score": pa.array(scores), "n_bytes": pa.array(sizes, pa.int64()),
+            }))
+        return pa.concat_tables(out)
 
     return run
 
