@@ -33,9 +33,10 @@ def _fold_tables() -> tuple[str, str, list[tuple[str, str]]]:
 
 @lru_cache(maxsize=1)
 def _rare_class() -> str:
-    """A class of few ranges that has all letters which expand (but the sharp s), and some others: it only opens the slow path."""
+    """A class of few ranges that has all letters the tables change (but the sharp s), and some others: it only opens the slow path."""
     ranges: list[list[int]] = []
-    for point in sorted(ord(a) for a, _ in _fold_tables()[2] if a != "ß"):
+    source, _, longer = _fold_tables()
+    for point in sorted(ord(a) for a in (*source, *[a for a, _ in longer]) if a != "ß"):
         if ranges and point - ranges[-1][1] <= 64:
             ranges[-1][1] = point
         else:
@@ -44,12 +45,12 @@ def _rare_class() -> str:
 
 
 def fold(text: Column) -> Column:
-    """Full case folding; rare letters that expand are replaced only in texts that may have one."""
+    """Full case folding. Beyond lower case and the sharp s, tables are only applied to texts that may need them."""
     source, target, longer = _fold_tables()
-    lower = F.translate(F.lower(text), source, target)
-    pairs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in longer if a != "ß"])
-    sharp = F.replace(lower, F.lit("ß"), F.lit("ss"))
-    return F.when(lower.rlike(_rare_class()), F.aggregate(pairs, sharp, lambda acc, p: F.replace(acc, p["a"], p["b"]))).otherwise(sharp)
+    pairs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in longer])
+    lower = F.lower(text)
+    whole = F.aggregate(pairs, F.translate(lower, source, target), lambda acc, p: F.replace(acc, p["a"], p["b"]))
+    return F.when(lower.rlike(_rare_class()), whole).otherwise(F.replace(lower, F.lit("ß"), F.lit("ss")))
 
 
 def tokens(text: Column) -> Column:
