@@ -36,7 +36,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """SentencePiece encoding and decoding: the ids of each text, and the hash of the text that they decode to."""
-    found = pieces.decode(pieces.encode(docs))
+    found = pieces.round_trip(docs)
     return found.select(*docs.columns, F.col("__ids").alias("piece_ids"), F.sha2("__text", 256).alias("decoded_sha256"))
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -42,13 +44,38 @@ def quoted(columns: list[str]) -> list[Column]:
     return [F.col("`" + c.replace("`", "``") + "`") for c in columns]
 
 
-def map_kept(df: DataFrame, columns: list[str], last: Column, task, made: str) -> DataFrame:
-    """Those columns of ``df`` and the column ``made`` (name and type) that an Arrow task computes from ``last``.
+def _packed(task, name: str | None):
+    """``task`` over batches of the packed columns and one more, which may be one of those packed."""
 
-    The task sees the columns packed as one, whatever their names are, and the last one; it returns both in this order."""
-    rows = df.select(F.struct(*quoted(columns)).alias("kept"), last.alias("last"))
-    schema = StructType(rows.schema.fields[:1] + StructType.fromDDL(made).fields)
-    return rows.mapInArrow(task, schema).select("kept.*", schema.fields[1].name)
+    def run(batches):
+        pairs = batches if name is None else (pa.RecordBatch.from_arrays([b.column(0), b.column(0).field(name)], names=["kept", "last"]) for b in batches)
+        yield from task(pairs)
+        release_memory()
+
+    return run
+
+
+def map_packed(df: DataFrame, columns: list[str], source: str, kind: str, task, made: str) -> DataFrame:
+    """``kept``, a struct of those columns of ``df``, and the columns ``made`` (names and types) that an Arrow task computes
+    from the column ``source`` cast to ``kind``.
+
+    The task sees the columns packed as one, whatever their names are, and the source; it returns the packed one first."""
+    inside = source in columns and df.schema[source].dataType.simpleString() == kind
+    kept = F.struct(*quoted(columns)).alias("kept")
+    rows = df.select(kept) if inside else df.select(kept, quoted([source])[0].cast(kind).alias("last"))
+    return rows.mapInArrow(_packed(task, source if inside else None), StructType(rows.schema.fields[:1] + StructType.fromDDL(made).fields))
+
+
+def map_kept(df: DataFrame, columns: list[str], source: str, kind: str, task, made: str) -> DataFrame:
+    """The same with the packed columns by themselves again."""
+    return map_packed(df, columns, source, kind, task, made).select("kept.*", *StructType.fromDDL(made).names)
+
+
+def release_memory() -> None:
+    """Give back what a task has freed: workers are used again, and what they hold counts against the next task."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
 
 
 def crc_mod(id_col: str | Column, modulus: int) -> Column:

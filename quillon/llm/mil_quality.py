@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, kept_columns, map_kept, quoted
+from .common import crc_mod, kept_columns, map_kept, map_packed
 
 PASSAGE = 64
 #: Character classes: white space, line end, lower, upper, digit, sentence mark, other sign, byte of a longer character.
@@ -185,12 +185,11 @@ def score(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataF
 
     Null and empty texts are scored as one empty passage; without a model every score is 0.5. All columns stay, but one
     that is called __score is replaced. Repeated rows get equal scores; an empty table stays empty."""
-    return map_kept(docs, kept_columns(docs, ["__score"]), F.col(text_col).cast("string"), _scorer(model), "__score double")
+    return map_kept(docs, kept_columns(docs, ["__score"]), text_col, "string", _scorer(model), "__score double")
 
 
 def keep_accepted(docs: DataFrame, model: Model | None, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that the model accepts, with all their columns; without a model all rows stay."""
     if model is None:
         return docs
-    rows = docs.select(F.struct(*quoted(docs.columns)).alias("__row"), F.col(text_col).alias("__own"))
-    return score(rows, model, "__own").filter(F.col("__score") >= threshold).select("__row.*")
+    return map_packed(docs, docs.columns, text_col, "string", _scorer(model), "__score double").filter(F.col("__score") >= threshold).select("kept.*")

@@ -28,10 +28,10 @@ MARK = "▁"
 #: Where the public vocabulary lies; a parameter of every function that reads it.
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 #: Bytes of text whose distinct words are encoded together.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 _CHUNK = re.compile(rf"\n|{MARK}*[^{MARK}\n]+|{MARK}+")
-#: Compatible pairs, and words of earlier blocks, that a worker remembers.
-_PAIRS, _WORDS = 1_000_000, 300_000
+#: Compatible pairs, and words of earlier blocks in each of two generations, that a worker remembers.
+_PAIRS, _WORDS = 250_000, 120_000
 
 
 @dataclass
@@ -45,15 +45,18 @@ class Vocabulary:
     unk: int
     merges: bool
     unk_score: float = 0.0
-    reach: dict[str, int] = field(default_factory=dict)
+    long: dict[str, tuple[int, ...]] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
-        """Keep the pieces that an encoding can have, and for each two last letters the longest of them."""
+        """Keep the pieces that an encoding can have, and for each four last letters the sizes of longer ones, the largest first."""
         self.unk_score = min([self.scores[i] for i in self.ids.values()], default=0.0) - 10.0
         names = dict(self.ids)
         kept = {p: i for p, i in names.items() if not self.merges or merged(p, names, self.scores) == [p]}
+        found: dict[str, set[int]] = {}
         for p in kept:
-            self.reach[p[-2:]] = max(self.reach.get(p[-2:], 1), len(p))
+            if len(p) > 4:
+                found.setdefault(p[-4:], set()).add(len(p))
+        self.long = {k: tuple(sorted(v, reverse=True)) for k, v in found.items()}
         self.names, self.pieces = names, kept
 
 
@@ -98,14 +101,21 @@ class Encoder:
     def __init__(self, vocabulary: Vocabulary) -> None:
         self.v = vocabulary
         self.pairs: dict[int, bool] = {}
+        self.last: dict[str, tuple[tuple[int, int], ...]] = {}
+        self.size = max(vocabulary.names.values(), default=0) + 1
         self.kept: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.spelled = {i: p for p, i in vocabulary.names.items()}
         self.coded = {i: i.to_bytes(4, "little") for i in vocabulary.names.values()}
         self.unk = vocabulary.unk.to_bytes(4, "little")
 
+    def forget(self) -> None:
+        """Drop all but the compatible pairs, which cost most to find."""
+        self.kept, self.older, self.last = {}, {}, {}
+
     def fits(self, before: int, piece: int) -> bool:
         """Whether merging leaves the two pieces side by side."""
-        key = before << 32 | piece
+        key = before * self.size + piece
         ok = self.pairs.get(key)
         if ok is None:
             if len(self.pairs) > _PAIRS:
@@ -119,35 +129,48 @@ class Encoder:
             return before[1] + b"".join([self.v.bytes_at[b].to_bytes(4, "little") for b in letter.encode("utf-8", "replace")])
         return before[1] if before[1].endswith(self.unk) and before[0] == -1 else before[1] + self.unk
 
+    def _candidates(self, last: str) -> tuple[tuple[int, int], ...]:
+        """(size, id) of the pieces that can end at these last four letters (fewer: all there are), the largest first; the id of
+        a piece of over four letters is left to be looked up (-1), one letter without a piece is -1, too."""
+        found = [(n, -1) for n in self.v.long.get(last, ())] + [(n, i) for n in range(len(last), 0, -1) if (i := self.v.pieces.get(last[-n:])) is not None]
+        if not found or found[-1][0] > 1:
+            found.append((1, -1))
+        if len(self.last) > _PAIRS:
+            self.last.clear()
+        self.last[last] = tuple(found)
+        return self.last[last]
+
     def _extend_merges(self, word: str, states: list[tuple], start: int) -> None:
-        ids, reach, pairs, coded, fits = self.v.pieces.get, self.v.reach.get, self.pairs, self.coded, self.fits
+        ids, known, pairs, coded, fits, n = self.v.pieces.get, self.last.get, self.pairs.get, self.coded, self.fits, self.size
         for end in range(start + 1, len(word) + 1):
-            begin = end - reach(word[end - 2 : end], 1) if end > 1 else 0
-            for begin in range(begin if begin > 0 else 0, end):
-                piece = ids(word[begin:end])
-                if piece is None:
-                    if begin == end - 1:
-                        states.append((-1, self._unknown(word[begin:end], states[begin])))
-                    continue
-                before = states[begin]
+            last = word[end - 4 : end] if end > 3 else word[:end]
+            for size, piece in known(last) or self._candidates(last):
+                if piece < 0:
+                    piece = ids(word[end - size : end], -1) if 1 < size <= end else -1
+                    if piece < 0:
+                        if size == 1:
+                            states.append((-1, self._unknown(word[end - 1 : end], states[end - 1])))
+                        continue
+                before = states[end - size]
                 if before[0] >= 0:
-                    ok = pairs.get(before[0] << 32 | piece)
+                    ok = pairs(before[0] * n + piece)
                     if not (fits(before[0], piece) if ok is None else ok):
                         continue
                 states.append((piece, before[1] + coded[piece]))
                 break
 
     def _extend_scores(self, word: str, states: list[tuple], start: int) -> None:
-        ids, reach, scores, coded = self.v.pieces.get, self.v.reach.get, self.v.scores, self.coded
+        ids, known, scores, coded = self.v.pieces.get, self.last.get, self.v.scores, self.coded
         for end in range(start + 1, len(word) + 1):
-            best = None
-            for begin in range(max(0, end - reach(word[end - 2 : end], 1)), end):
-                piece = ids(word[begin:end], -1)
-                if piece < 0 and begin < end - 1:
-                    continue
-                total = states[begin][2] + (scores[piece] if piece >= 0 else self.v.unk_score)
+            last, best = word[end - 4 : end] if end > 3 else word[:end], None
+            for size, piece in known(last) or self._candidates(last):
+                if piece < 0 and size > 1:
+                    piece = ids(word[end - size : end], -1) if size <= end else -1
+                    if piece < 0:
+                        continue
+                total = states[end - size][2] + (scores[piece] if piece >= 0 else self.v.unk_score)
                 if best is None or total > best[2]:
-                    best = (piece, begin, total)
+                    best = (piece, end - size, total)
             piece, begin, total = best
             before = states[begin]
             states.append((piece, before[1] + coded[piece] if piece >= 0 else self._unknown(word[begin:end], before), total))
@@ -186,10 +209,12 @@ def encode_texts(texts: list[str | None], encoder: Encoder) -> list[np.ndarray]:
     wanted.difference_update(lines)
     for found in lines.values():
         wanted.update(found)
-    known = encoder.kept
-    if len(known) > _WORDS:
-        known.clear()
-    known.update(encoder.encode_sorted(sorted(wanted.difference(known))))
+    if len(encoder.kept) > _WORDS:  # words that are not met again are forgotten
+        encoder.kept, encoder.older = {}, encoder.kept
+    known, older = encoder.kept, encoder.older
+    missing = wanted.difference(known)
+    known.update([(w, older[w]) for w in missing.intersection(older)])
+    known.update(encoder.encode_sorted(sorted(missing.difference(older))))
     known |= {f: b"".join([known[c] for c in found]) for f, found in lines.items()}
     return [np.frombuffer(b"".join([known[f] for f in fields_of(text)]), dtype="<i4") for text in texts]
 
@@ -238,6 +263,7 @@ def _encode_batches(sent):
                     held, size = [], 0
         if held:
             yield from flush()
+        _encoder(sent).forget()
 
     return run
 
@@ -255,6 +281,19 @@ def _decode_batches(sent):
     return run
 
 
+def _both_batches(sent):
+    """Encode, then decode what was encoded, in one task."""
+    encode_all = _encode_batches(sent)
+
+    def run(batches):
+        for batch in encode_all(batches):
+            spelled = sent.value.spelled
+            texts = [decode_ids(x.values.to_numpy(), spelled) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "__text"])
+
+    return run
+
+
 def _send(spark: SparkSession, value):
     return spark.sparkContext.broadcast(value)
 
@@ -264,10 +303,16 @@ def encode(docs: DataFrame, text_col: str = "text", path: str = MODEL_PATH) -> D
 
     All columns (but one called __ids, which is replaced) and rows stay; repeated rows get equal ids. U+2581 in a text counts as a space, as in the library."""
     task = _encode_batches(_send(docs.sparkSession, load(path)))
-    return map_kept(docs, kept_columns(docs, ["__ids"]), F.col(text_col).cast("string"), task, "__ids array<int>")
+    return map_kept(docs, kept_columns(docs, ["__ids"]), text_col, "string", task, "__ids array<int>")
 
 
 def decode(encoded: DataFrame, ids_col: str = "__ids", path: str = MODEL_PATH) -> DataFrame:
     """``encoded`` with __text, the text of its ids (null for null). Unknown pieces read as in the library."""
     task = _decode_batches(_send(encoded.sparkSession, load(path).spelled))
-    return map_kept(encoded, kept_columns(encoded, ["__text"]), F.col(ids_col), task, "__text string")
+    return map_kept(encoded, kept_columns(encoded, ["__text"]), ids_col, "array<int>", task, "__text string")
+
+
+def round_trip(docs: DataFrame, text_col: str = "text", path: str = MODEL_PATH) -> DataFrame:
+    """``docs`` with __ids as by :func:`encode` and __text as by :func:`decode` from them, in one pass over the rows."""
+    task = _both_batches(_send(docs.sparkSession, load(path)))
+    return map_kept(docs, kept_columns(docs, ["__ids", "__text"]), text_col, "string", task, "__ids array<int>, __text string")

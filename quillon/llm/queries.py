@@ -57,7 +57,7 @@ def op5_mil_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    both = pieces.decode(pieces.encode(docs))
+    both = pieces.round_trip(docs)
     same = F.col("__text") == F.translate("text", pieces.MARK, " ")
     return both.select("doc_id", F.size("__ids").cast("long").alias("n_ids"), F.col("__ids").alias("ids"), F.sha2("__text", 256).alias("decoded_sha256"), same.alias("round_trip"))
 
