@@ -14,8 +14,8 @@ row's own share is taken out of its host's sums, so that it does not confirm its
 from __future__ import annotations
 
 import re
-import zlib
-from collections import Counter
+import unicodedata
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,36 +26,80 @@ from .common import table
 from .html_extract import main_text
 
 #: Hash buckets of the text model: with L languages the model is 4 * L * BUCKETS bytes, which bounds what is sent to tasks.
-BUCKETS = 1 << 16
+BITS = 16
+BUCKETS = 1 << BITS
 #: Text evidence counts as at most this many independent features, since the words of one text are not independent.
 EVIDENCE = 60.0
 #: Pseudo-counts: of the corpus prior in a suffix, of the suffix prior in a host, of each declared value.
 SUFFIX_WEIGHT, HOST_WEIGHT, DECLARED_WEIGHT = 20.0, 5.0, 1.0
 SALTS = 16
-_CACHE = 400_000
-_NOT_LETTERS = re.compile(r"[\W\d_]+")
-
-
-def features(word: str) -> list[int]:
-    """Buckets of a word in lower case: itself and its letter trigrams."""
-    padded = f"<{word}>"
-    return [zlib.crc32(x.encode("utf-8", "replace")) % BUCKETS for x in (padded, *(padded[i : i + 3] for i in range(max(1, len(padded) - 2))))]
-
-
-def words(text: str | None) -> list[str]:
-    return _NOT_LETTERS.sub(" ", (text or "").lower()).split()
+#: Characters whose features are made at once; longer texts are cut at spaces.
+PIECE = 1 << 20
+#: Code points from here on are no letters.
+_POINTS = 0x33480
+#: Odd multipliers of the hashes.
+_A, _B, _C, _D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
+
+
+@lru_cache(maxsize=1)
+def _letters() -> np.ndarray:
+    """Whether each code point is a letter, or a mark inside words of some scripts."""
+    return np.fromiter(((c := chr(k)).isalpha() or unicodedata.category(c)[0] == "M" for k in range(_POINTS)), dtype=bool, count=_POINTS)
+
+
+def _pieces(text: str):
+    while len(text) > PIECE:
+        at = text.rfind(" ", 0, PIECE) + 1 or PIECE
+        yield text[:at]
+        text = text[at:]
+    yield text
+
+
+def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, number of its text) for every letter, with its neighbours, and every word of the texts in lower case."""
+    lowered = [t.lower() for t in texts]
+    points = np.frombuffer(" ".join(["", *lowered, ""]).encode("utf-32-le", "replace"), dtype=np.uint32)
+    row_of = np.repeat(np.arange(len(texts), dtype=np.int32), np.fromiter(map(len, lowered), dtype=np.int64, count=len(texts)) + 1)
+    inside = _letters()[np.minimum(points, _POINTS - 1)]
+    value = np.where(inside, points, 32).astype(np.uint64)
+    at = np.flatnonzero(inside)
+    if not len(at):
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int32)
+    three = (value[at - 1] * _A ^ value[at] * _B ^ value[at + 1] * _C) * _D
+    first = np.flatnonzero(~inside[at - 1])
+    place = np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))
+    whole = np.add.reduceat(value[at] * np.random.PCG64(5).random_raw(int(place.max()) + 1)[place], first) * _D
+    buckets = np.concatenate((three, whole)) >> np.uint64(64 - BITS)
+    rows = row_of[at - 1]
+    return buckets.astype(np.int64), np.concatenate((rows, rows[first]))
+
+
+def _grouped(texts: list[str | None]):
+    """Lists of (number, piece) of about ``PIECE`` characters."""
+    held, size = [], 0
+    for k, text in enumerate(texts):
+        for piece in _pieces(text or ""):
+            if held and size + len(piece) > PIECE:
+                yield held
+                held, size = [], 0
+            held.append((k, piece))
+            size += len(piece)
+    if held:
+        yield held
 
 
 def _count_batches(batches):
     """(lang, bucket, n) per task, each pair once."""
-    held: dict[str, Counter] = {}
+    held: dict[str, np.ndarray] = {}
     for batch in batches:
+        by_lang: dict[str, list] = {}
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            held.setdefault(lang, Counter()).update(words(text))
-    for lang, counter in held.items():
-        total = np.zeros(BUCKETS, dtype=np.int64)
-        for word, n in counter.items():
-            np.add.at(total, features(word), n)
+            by_lang.setdefault(lang, []).append(text)
+        for lang, texts in by_lang.items():
+            total = held.setdefault(lang, np.zeros(BUCKETS, dtype=np.int64))
+            for group in _grouped(texts):
+                total += np.bincount(features([t for _, t in group])[0], minlength=BUCKETS)
+    for lang, total in held.items():
         at = np.nonzero(total)[0]
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(total[at])], names=["lang", "bucket", "n"])
 
@@ -75,33 +119,23 @@ def text_model(labelled: DataFrame, lang_col: str = "lang", text_col: str = "tex
 
 def _scorer(model, is_html: bool):
     def run(batches):
-        weights, index, vectors = model.value, {}, []
-
-        def place(word: str) -> int:
-            k = index.get(word)
-            if k is None:
-                k = index[word] = len(vectors)
-                f = features(word)
-                vectors.append(np.append(weights[f].sum(0), len(f)))
-            return k
-
+        weights = model.value.astype(np.float64)
+        size = weights.shape[1]
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)
-                if len(index) > _CACHE:
-                    index.clear()
-                    vectors.clear()
-                out = []
-                for text in part.column(part.num_columns - 1).to_pylist():
-                    found = words(main_text(text) or re.sub(r"<[^>]*>", " ", text or "") if is_html else text)
-                    if not found:
-                        out.append([0.0] * weights.shape[1])
-                        continue
-                    counted = Counter(found)
-                    at = [place(w) for w in counted]
-                    sums = np.fromiter(counted.values(), dtype=np.float64, count=len(at)) @ np.array([vectors[k] for k in at])
-                    out.append((sums[:-1] * min(1.0, EVIDENCE / sums[-1])).tolist())
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(out, pa.list_(pa.float64()))], names=[*part.schema.names[:-1], "loglik"])
+                texts = part.column(part.num_columns - 1).to_pylist()
+                if is_html:
+                    texts = [main_text(t) or re.sub(r"<[^>]*>", " ", t or "") for t in texts]
+                sums, counts = np.zeros((len(texts), size)), np.zeros(len(texts))
+                for group in _grouped(texts):
+                    bucket, row = features([t for _, t in group])
+                    own = np.array([k for k, _ in group])
+                    np.add.at(counts, own, np.bincount(row, minlength=len(group)))
+                    for j in range(size):
+                        np.add.at(sums[:, j], own, np.bincount(row, weights=weights[bucket, j], minlength=len(group)))
+                out = sums * np.minimum(1.0, EVIDENCE / np.maximum(counts, 1.0))[:, None]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(list(out), pa.list_(pa.float64()))], names=[*part.schema.names[:-1], "loglik"])
 
     return run
 
