@@ -97,8 +97,11 @@ def ordered(rows: DataFrame, query: SearchQuery) -> DataFrame:
 
 
 def _matched(segments: DataFrame, asked: list[str]) -> DataFrame:
-    """segments with token_count and own, the tokens that the query asks for. Tokens are made once: two columns need them."""
-    return tokenised(segments).withColumn("own", F.filter("tokens", lambda x: x.isin(asked))).drop("tokens")
+    """segments with token_count and own, the tokens that the query asks for.
+
+    Both come out of a generator of one row, below which no later filter is pushed: tokens are made once."""
+    rows = segments.withColumn("tokens", T.tokens(F.col("text")))
+    return rows.select(*segments.columns, F.inline(F.array(F.struct(F.size("tokens").alias("token_count"), F.filter("tokens", lambda x: x.isin(asked)).alias("own")))))
 
 
 def scored(segments: DataFrame, query: SearchQuery, scope: DataFrame | None = None) -> DataFrame:

@@ -23,9 +23,15 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table of fewer splits than the cluster has cores, dealt to all of them; any larger one as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """document_id, text, language, canonical_sha256, source_sha256."""
-    return read(spark, sf_dir, "documents").select(
+    return spread(read(spark, sf_dir, "documents")).select(
         F.col("doc_id").alias("document_id"), "text", F.col("lang").alias("language"), F.sha2("text", 256).alias("canonical_sha256"), F.sha2("source", 256).alias("source_sha256")
     )
 
@@ -45,7 +51,7 @@ def segments(spark: SparkSession, sf_dir: str, with_sha: bool = False) -> DataFr
 def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same columns from conversations: one segment per turn, the role as its speaker."""
     order = W.partitionBy("conv_id").orderBy("turn", "role", "text")
-    rows = read(spark, sf_dir, "conversations").withColumn("size", F.length("text"))
+    rows = spread(read(spark, sf_dir, "conversations")).withColumn("size", F.length("text"))
     before = F.coalesce(F.sum("size").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     return rows.withColumn("before", before).select(
         F.col("conv_id").alias("document_id"), F.col("turn").alias("segment_index"), F.format_string("segment-%06d", "turn").alias("segment_id"), "text",
