@@ -26,7 +26,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -66,14 +66,20 @@ def _fingerprint_batches(batches):
     for batch in batches:
         for start in range(0, batch.num_rows, 1000):
             part = batch.slice(start, 1000)
-            prints = fingerprints_of(part.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(prints.view(np.int64))], names=["id", "fp"])
+            prints = fingerprints_of(part.column(part.num_columns - 1).to_pylist())
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(prints.view(np.int64))], names=[*part.schema.names[:-1], "fp"])
 
 
-def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp) per row; fp holds the 64 bits as a long. Null and empty texts have fingerprint zero."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_fingerprint_batches, "id long, fp long")
+def text_marks(text_col: str) -> list[Column]:
+    """Two hashes that tell texts apart, null from the empty one too (128 bits)."""
+    return [F.xxhash64(F.col(text_col)).alias("__hash"), F.xxhash64(F.lit(1), F.col(text_col)).alias("__hash2")]
+
+
+def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", marked: bool = False) -> DataFrame:
+    """(id, fp) per row, with the text's marks between them if asked; fp holds the 64 bits as a long. Null and empty texts have fingerprint zero."""
+    marks = text_marks(text_col) if marked else []
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), *marks, F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(_fingerprint_batches, "id long, __hash long, __hash2 long, fp long" if marked else "id long, fp long")
 
 
 @lru_cache(maxsize=1)
@@ -259,6 +265,12 @@ def links(prints: DataFrame, block: int = BLOCK) -> DataFrame:
     return plain.unionByName(more).distinct()
 
 
+def _rooted(nodes: DataFrame) -> DataFrame:
+    """``nodes``, a row per distinct fp, with root, the smallest fp of its component."""
+    roots = components(links(nodes.select("fp")))
+    return nodes.join(roots, nodes["fp"] == roots["node"], "left").select(*[nodes[c] for c in nodes.columns], F.coalesce("root", "fp").alias("root"))
+
+
 def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
     """One row per input row: id_col, fp (the 64 bits as a long), component_id.
 
@@ -268,8 +280,7 @@ def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts
     rows = table(fingerprint(docs, id_col, text_col).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")), "fingerprints")
     salted = rows.groupBy("fp", "salt").agg(F.min("id").alias("least"))
     nodes = table(salted.groupBy("fp").agg(F.min("least").alias("least"), F.bit_or(F.expr("shiftleft(1L, salt)")).alias("salts")), "fingerprint-nodes")
-    roots = components(links(nodes.select("fp")))
-    rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", "salts", F.coalesce("root", "fp").alias("root"))
+    rooted = _rooted(nodes)
     first = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     known = rooted.join(first, "root").selectExpr("fp", "component_id", f"explode(filter(sequence(0, {salts - 1}), s -> getbit(salts, s) = 1)) AS salt")
     return rows.join(known, ["fp", "salt"]).select(F.col("id").alias(id_col), "fp", "component_id")
@@ -283,9 +294,14 @@ def hex_of(fp: str = "fp"):
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, with all columns, of which one stays per component: the one with the smallest id.
 
-    Of rows that share that id one stays; rows with null ids stay only where a component has no other."""
-    stay = group(docs, id_col, text_col).filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__keep"), F.lit(True).alias("__there")).distinct()
-    rows = docs.select(F.struct(*quoted(docs.columns)).alias("__row"), F.col(id_col).cast("long").alias("__id"), F.xxhash64(F.col(text_col)).alias("__hash"))
-    met = rows.join(stay, F.col("__id").eqNullSafe(F.col("__keep")))
-    one = F.row_number().over(W.partitionBy("__id").orderBy("__hash"))
+    Of rows that share that id in a component, the one with the smallest text hash stays, and of repeated rows any one; null
+    ids come last, so they stay only where a component has no other. One id or null may stay in many components."""
+    rows = fingerprint(docs, id_col, text_col, marked=True)
+    best = F.struct(F.col("id").isNull().alias("none"), "id", "__hash", "__hash2").alias("best")
+    salted = rows.select("fp", F.pmod(F.xxhash64("id", "__hash"), F.lit(SALTS)).alias("salt"), best).groupBy("fp", "salt").agg(F.min("best").alias("best"))
+    nodes = table(salted.groupBy("fp").agg(F.min("best").alias("best")), "fingerprint-nodes")
+    stay = _rooted(nodes).groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.id").alias("__keep"), F.col("best.__hash").alias("__keep_hash"), F.col("best.__hash2").alias("__keep_hash2"))
+    rows = docs.select(F.struct(*quoted(docs.columns)).alias("__row"), F.col(id_col).cast("long").alias("__id"), *text_marks(text_col))
+    met = rows.join(stay, F.col("__id").eqNullSafe(F.col("__keep")) & (F.col("__hash") == F.col("__keep_hash")) & (F.col("__hash2") == F.col("__keep_hash2")))
+    one = F.row_number().over(W.partitionBy("__id", "__hash", "__hash2").orderBy("__hash"))
     return met.withColumn("__first", one).filter("__first = 1").select("__row.*")

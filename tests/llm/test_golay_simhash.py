@@ -128,6 +128,15 @@ def test_one_of_each_group_stays(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(groups)
 
 
+def test_null_and_repeated_ids_lose_no_group(spark):
+    """Different texts under null or one id each stay; a null id's copy of a text that has an id goes."""
+    text = [" ".join(f"{w}{k}" for w in ("alpha", "beta", "gamma", "delta", "eta", "zeta")) for k in range(9)]
+    rows = [(None, text[0]), (None, text[1]), (None, text[2]), (None, text[2]), (5, text[3]), (5, text[4]), (5, text[4]), (None, text[3]), (7, text[5]), (3, text[5]), (3, text[6]), (None, None)]
+    kept = g.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    wanted = [(None, text[0]), (None, text[1]), (None, text[2]), (5, text[3]), (5, text[4]), (3, text[5]), (3, text[6]), (None, None)]
+    assert sorted(map(tuple, kept), key=repr) == sorted(wanted, key=repr)
+
+
 def test_empty_table(spark):
     assert g.group(empty(spark)).count() == 0
     assert g.keep_one(empty(spark)).count() == 0
