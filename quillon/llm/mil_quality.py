@@ -24,8 +24,6 @@ CLASSES = 8
 FEATURES = CLASSES * CLASSES + 11
 #: At most this many labelled documents are used for training, those with the smallest hash of their id.
 TRAINING_ROWS = 4000
-#: Of a training document, at most this many passages, evenly spaced. Scoring uses all.
-TRAINING_PASSAGES = 256
 THRESHOLD = 0.7
 
 
@@ -141,13 +139,11 @@ def _training_batches(batches):
     for batch in batches:
         for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             x = passages(text)
-            if len(x) > TRAINING_PASSAGES:
-                x = x[np.linspace(0, len(x) - 1, TRAINING_PASSAGES).astype(int)]
             yield pa.RecordBatch.from_arrays([pa.array([label], pa.float64()), pa.array([x.astype(np.float32).tobytes()], pa.binary())], names=["label", "x"])
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = TRAINING_ROWS) -> Model | None:
-    """A model fitted on at most ``rows`` labelled documents outside the held-out part; None without labels.
+    """A model fitted on at most ``rows`` labelled documents outside the held-out part, on all passages of each; None without labels.
 
     Several labels of one document count as their mean; null labels and ids are left out."""
     known = (

@@ -53,6 +53,15 @@ def test_passages_cover_whole_texts():
     assert not np.allclose(a[-1], b[-1])
 
 
+def test_training_reads_every_passage(spark):
+    """Of 400 passages the second, which even thinning to 256 leaves out, changes the fit."""
+    words = [f"plain words here{k % 7}." for k in range(400 * m.PASSAGE // 3)]
+    odd = [*words[:24], *["####"] * 30, *words[34:]]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(8)], "doc_id long, quality int")
+    one, two = (m.train(spark.createDataFrame([(k, " ".join(w if k % 2 else words)) for k in range(8)], "doc_id long, text string"), labels) for w in (words, odd))
+    assert not np.allclose(one.mean, two.mean, rtol=0, atol=1e-9)
+
+
 def test_the_same_rows_give_the_same_model(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
     one, two = m.train(docs, labels), m.train(docs.repartition(5), labels.repartition(3))
