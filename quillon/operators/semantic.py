@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -105,17 +108,48 @@ def ranked(hits: DataFrame, ties: tuple[str, ...] = ("document_id", "start_secon
     return hits.withColumn("semantic_rank", F.row_number().over(W.orderBy(F.desc("score"), *ties)))
 
 
-#: A library whose digest is taken in one piece has at most this many documents.
-ONE_PIECE = 1_000_000
+#: Bytes of lines that travel as one row to the task that digests them in order.
+LINES_BYTES = 8192
+
+
+def _line_blocks(batches):
+    """Sorted lines joined to blocks, each with its first line's id and its number within the range."""
+    held, size, first, number = [], 0, None, 0
+
+    def block():
+        return pa.RecordBatch.from_arrays([pa.array([first], pa.string()), pa.array([number], pa.int64()), pa.array(["".join(held)], pa.string())], names=["d", "n", "l"])
+
+    for batch in batches:
+        for d, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            first = d if not held else first
+            held.append(line)
+            size += len(line)
+            if size >= LINES_BYTES:
+                yield block()
+                held, size, number = [], 0, number + 1
+    if held:
+        yield block()
+
+
+def _digest_blocks(batches):
+    digest = hashlib.sha256()
+    for batch in batches:
+        for text in batch.column(2).to_pylist():
+            digest.update(text.encode("utf-8"))
+    yield pa.RecordBatch.from_arrays([pa.array([digest.hexdigest()], pa.string())], names=["fingerprint"])
 
 
 def fingerprint(documents: DataFrame) -> DataFrame:
-    """One row: digest of all (document_id, canonical_sha256) in order, for a library of at most a million documents."""
-    if documents.limit(ONE_PIECE + 1).count() > ONE_PIECE:
-        raise ValueError("too many documents for a digest in one piece; use fingerprint_tree")
+    """One row: digest of all (document_id, canonical_sha256) in order, for a library of any size.
+
+    Lines are sorted and joined in ranges; as a digest of one text is made in order, one task then reads the blocks as a
+    stream, in a sort that spills, and holds none of them."""
     line = F.concat(F.col("document_id").cast("string"), F.lit("\u0000"), F.col("canonical_sha256"), F.lit("\u0000"))
-    rows = documents.agg(F.array_sort(F.collect_list(F.struct(F.col("document_id").cast("string").alias("d"), line.alias("l")))).alias("s"), F.count(F.lit(1)).alias("documents"))
-    return rows.select(F.sha2(F.array_join(F.transform("s", lambda x: x["l"]), ""), 256).alias("fingerprint"), "documents")
+    lines = documents.select(F.col("document_id").cast("string").alias("d"), line.alias("l")).filter("l IS NOT NULL")
+    blocks = lines.repartitionByRange("d", "l").sortWithinPartitions("d", "l").mapInArrow(_line_blocks, "d string, n long, l string")
+    whole = blocks.repartition(1).sortWithinPartitions("d", "n").mapInArrow(_digest_blocks, "fingerprint string")
+    count = documents.agg(F.count(F.lit(1)).alias("documents"))
+    return count.join(whole, F.lit(True), "left").select(F.coalesce("fingerprint", F.sha2(F.lit(""), 256)).alias("fingerprint"), "documents")
 
 
 def fingerprint_tree(documents: DataFrame) -> DataFrame:

@@ -183,6 +183,16 @@ def test_rrf_order(spark):
     assert fusion.candidates(900) == 1000
 
 
+def test_fingerprint_has_no_limit_of_size(spark):
+    """More than a million documents, in any order, have the digest of their sorted lines."""
+    n = 1_000_100
+    ids = F.pmod(F.col("id") * 7919, F.lit(n))
+    docs = spark.range(n).select(ids.alias("document_id"), F.concat(F.lit("h"), ids.cast("string")).alias("canonical_sha256"))
+    expected = hashlib.sha256("".join(f"{k}\0h{k}\0" for k in sorted(map(str, range(n)))).encode()).hexdigest()
+    assert tuple(semantic.fingerprint(docs).first()) == (expected, n)
+    assert tuple(semantic.fingerprint(docs.limit(0)).first()) == (hashlib.sha256(b"").hexdigest(), 0)
+
+
 def test_fingerprints(spark):
     docs = spark.createDataFrame([("b", "2" * 64), ("a", "1" * 64)], "document_id string, canonical_sha256 string")
     expected = hashlib.sha256(("a\0" + "1" * 64 + "\0b\0" + "2" * 64 + "\0").encode()).hexdigest()
