@@ -125,8 +125,10 @@ def search(segments: DataFrame, query: SearchQuery, scope: DataFrame | None = No
     return ordered(scored(segments, query, scope), query)
 
 
-def search_index(index: DataFrame, stats: DataFrame, segments: DataFrame, query: SearchQuery, scope: DataFrame | None = None) -> DataFrame:
-    """The same answer from an inverted index and its statistics (one row, see :func:`corpus_stats`)."""
+def search_index(index: DataFrame, stats: DataFrame, segments: DataFrame, query: SearchQuery, scope: DataFrame | None = None, places: int | None = None) -> DataFrame:
+    """The same answer from an inverted index and its statistics (one row, see :func:`corpus_stats`).
+
+    ``places``: scores are rounded before the limit, as sums over terms in any order differ in the last bit and split ties."""
     own = index.filter(F.col("term").isin(query.terms))
     df = own.groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("df"))  # as many rows as the query has terms
     weight = _weight(F.col("segment_count"), F.col("df"), F.col("term_frequency").cast("double"), F.col("token_count"), F.col("average_length"))
@@ -135,6 +137,8 @@ def search_index(index: DataFrame, stats: DataFrame, segments: DataFrame, query:
         .groupBy("document_id", "segment_id").agg(F.count(F.lit(1)).alias("matched_terms"), F.sum(weight).alias("score"))
         .filter(F.col("matched_terms") >= (len(query.terms) if query.all_terms else 1))
     )
+    if places is not None:
+        scores = scores.withColumn("score", F.round("score", places))
     return ordered(filtered(segments.join(scores, ["document_id", "segment_id"]), query, scope), query)
 
 

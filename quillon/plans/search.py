@@ -114,9 +114,8 @@ def bm25_timeline(spark, sf_dir):
 @query(_bm25_sql(ASKED.split()))
 def bm25_indexed(spark, sf_dir):
     """The same hits through an inverted index."""
-    rows, q = views.segments(spark, sf_dir), SearchQuery(ASKED, limit=1000)
-    hits = lexical.search_index(lexical.terms(rows), lexical.corpus_stats(rows), rows, q).withColumn("score", F.round("score", 6))
-    return lexical.ordered(hits, SearchQuery(ASKED, limit=50)).select("document_id", "segment_id", "start_seconds", "matched_terms", "score")
+    rows = views.segments(spark, sf_dir)
+    return lexical.search_index(lexical.terms(rows), lexical.corpus_stats(rows), rows, SearchQuery(ASKED, limit=50), places=6).select("document_id", "segment_id", "start_seconds", "matched_terms", "score")
 
 
 @query(f"""WITH {S.bm25(S.SEGMENTS, ASKED.split())}, hits AS (SELECT * FROM sc JOIN seg USING (document_id, segment_id) ORDER BY score DESC, document_id, start_seconds, segment_id LIMIT 20)

@@ -183,6 +183,16 @@ def test_rrf_order(spark):
     assert fusion.candidates(900) == 1000
 
 
+def test_index_rounds_before_its_limit(spark):
+    """Scores that differ in the last places only are ties, and the smallest documents win."""
+    index = spark.createDataFrame([(k, "s", "a", 1 if k < 9 else 2, 1000) for k in range(20)], "document_id long, segment_id string, term string, term_frequency long, token_count long")
+    rows = spark.createDataFrame([(k, "s", "a", 0.0) for k in range(20)], "document_id long, segment_id string, text string, start_seconds double")
+    stats = spark.createDataFrame([(1e4, 1e-6)], "segment_count double, average_length double")
+    hits = lexical.search_index(index, stats, rows, SearchQuery("a", limit=5), places=6)
+    assert [r["document_id"] for r in hits.collect()] == [0, 1, 2, 3, 4]
+    assert [r["document_id"] for r in lexical.search_index(index, stats, rows, SearchQuery("a", limit=5)).collect()] == [9, 10, 11, 12, 13]
+
+
 def test_fingerprint_has_no_limit_of_size(spark):
     """More than a million documents, in any order, have the digest of their sorted lines."""
     n = 1_000_100
