@@ -224,7 +224,8 @@ def corpus_fingerprint_tree(spark, sf_dir):
 LIMIT = 20
 
 
-def _fused(spark, sf_dir) -> DataFrame:
+def _fused(spark, sf_dir, whole: bool = False) -> DataFrame:
+    """``whole``: chunks are placed over all embeddings, not over the first 500."""
     rows = views.transcripts(spark, sf_dir)
     chunks = semantic.chunks(rows, TARGET, MOST)
     n = fusion.candidates(LIMIT)
@@ -232,7 +233,8 @@ def _fused(spark, sf_dir) -> DataFrame:
     hits = lexical.ranked(lexical.ordered(lexical.scored(rows, q).withColumn("score", F.round("score", 6)), q), q)
     lex = fusion.collapse(hits.select("document_id", "segment_id", "lexical_rank"), semantic.segment_to_chunk(hits.select("document_id", "segment_id"), semantic.bridge(chunks)))
     vectors = views.read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("_v"), F.col("embedding").alias("vector"))
-    placed = chunks.withColumn("_v", (F.col("document_id") * 31 + F.col("chunk_no")) % 500).join(vectors, "_v")
+    places = vectors.count() if whole else 500
+    placed = chunks.withColumn("_v", (F.col("document_id") * 31 + F.col("chunk_no")) % places).join(vectors, "_v")
     scores = placed.withColumn("score", F.round(V.dot(F.col("vector"), V.literal(_query_vector(spark, sf_dir))), 6))
     near = scores.select("chunk_id", "document_id", "start_seconds", "score").orderBy(F.desc("score"), "document_id", "start_seconds", "chunk_id").limit(n)
     fused = fusion.fuse(lex, semantic.ranked(near), LIMIT)
@@ -263,3 +265,17 @@ def hybrid_rrf(spark, sf_dir):
 def hybrid_rrf_timeline(spark, sf_dir):
     """Relevance picks, time sorts; ranks stay."""
     return fusion.along_timeline(_fused(spark, sf_dir)).select(*_FUSED, joined("matched_segment_ids"))
+
+
+_HYBRID_WHOLE = _HYBRID.replace("(document_id * 31 + chunk_no) % 500", "(document_id * 31 + chunk_no) % (SELECT count(*) FROM embeddings)")
+
+
+@query(_HYBRID_WHOLE)
+def hybrid_rrf_whole(spark, sf_dir):
+    """Chunks placed over the whole embeddings table."""
+    return _fused(spark, sf_dir, whole=True).select(*_FUSED, joined("matched_segment_ids"))
+
+
+@query(_HYBRID_WHOLE + " ORDER BY document_id, start_seconds, first_segment_id")
+def hybrid_rrf_whole_timeline(spark, sf_dir):
+    return fusion.along_timeline(_fused(spark, sf_dir, whole=True)).select(*_FUSED, joined("matched_segment_ids"))
