@@ -125,6 +125,14 @@ def file_names(spark, sf_dir):
     return views.documents(spark, sf_dir).select("document_id", T.file_name(F.substring("text", 1, 24)).alias("file_name"))
 
 
+@query("""WITH d AS (SELECT doc_id AS document_id, regexp_replace(text, '[^\\p{L}\\p{N} ._\\-()]', '_', 'g') AS c FROM documents)
+  , e AS (SELECT document_id, c, CASE WHEN rtrim(c, ' .') = '' THEN '_' ELSE rtrim(c, ' .') END AS t FROM d)
+  SELECT document_id, CASE WHEN c IN ('', '.', '..') THEN repeat('_', greatest(1, length(c))) WHEN regexp_matches(upper(regexp_replace(t, '^(.+)\\.[^.]*$', '\\1')), '^(CON|PRN|AUX|NUL|COM[1-9]|LPT[1-9])$') THEN '_' || t ELSE t END AS file_name FROM e""")
+def file_names_whole(spark, sf_dir):
+    """Artifact names from whole texts."""
+    return views.documents(spark, sf_dir).select("document_id", T.file_name(F.col("text")).alias("file_name"))
+
+
 # ---- custody: orders are jobs, their date the last update
 
 

@@ -62,3 +62,8 @@ def test_whole_hybrid_search_reads_vectors_beyond_500(spark, tmp_path):
     found = rows_of(registry.QUERIES["hybrid_rrf_whole"](spark, str(tmp_path / "t")).collect(), sorted(columns))
     assert found == rows_of([dict(zip(columns, r, strict=True)) for r in expected], sorted(columns))
     assert found != rows_of(registry.QUERIES["hybrid_rrf"](spark, str(tmp_path / "t")).collect(), sorted(columns))
+
+
+def test_whole_file_names_are_not_cut(spark):
+    names = [len(r["file_name"]) for r in registry.QUERIES["file_names_whole"](spark, SF).collect()]
+    assert max(names) > 25
