@@ -4,7 +4,7 @@ Every run of text in a page belongs to a block and to the path of tags from the
 text length and punctuation are summed over its blocks and divided by their number; both ratios are
 smoothed over the blocks in page order, multiplied, and compared with a threshold. Paths above it are
 content; the nearest element that holds most of their text is the article, whose blocks are returned whole, so that
-headings and short paragraphs between long ones stay. Elements that are never article text by their tag, role or
+headings and short paragraphs between long ones stay; content outside it is returned with the elements beside it that hold it. Elements that are never article text by their tag, role or
 class (menus, sidebars, adverts, forms, comments, scripts ...) are left out before.
 """
 
@@ -64,7 +64,7 @@ HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 KERNEL = (0.06, 0.24, 0.4, 0.24, 0.06)
 #: A path is content from this share of the ratios' standard deviation on.
 THRESHOLD = 0.5
-#: The article is the smallest element that holds this share of the content paths' text.
+#: The article is the smallest element that holds this share of the content paths' text, with the elements beside it that hold the rest.
 MOST = 0.7
 
 
@@ -222,14 +222,16 @@ def main_text(page: str | None) -> str:
     if home and not home % 2 and sum(home in b.holders for b in blocks) == 1:  # an element around one paragraph: take the one around it, if any
         holders = next(b.holders for b in blocks if home in b.holders)
         home = next(iter(reversed(holders[: holders.index(home)])), home)
+    inside = [_is_inside(b, home) for b in blocks]
+    if home and not all(home in b.holders for b in chosen):
+        _add_parts(blocks, chosen, home, inside)
     kept = []
     for k, b in enumerate(blocks):
-        listed = b.tag == "li" and b.linked >= len(b.text)
         if home:
-            keep = home in b.holders and not listed
+            keep = inside[k]
         else:
             title = b.tag in HEADINGS and k + 1 < len(blocks) and (id(blocks[k + 1]) in picked or blocks[k + 1].tag in HEADINGS)
-            keep = (id(b) in picked or title) and not listed
+            keep = (id(b) in picked or title) and not _is_link(b)
         if keep:
             if not kept and home and k and _is_title(blocks[k - 1], b):
                 kept.append(blocks[k - 1])
@@ -237,6 +239,39 @@ def main_text(page: str | None) -> str:
     return "\n\n".join([b.text for b in kept])
 
 
+def _is_link(b: Block) -> bool:
+    """Whether a block is a list item that is all link."""
+    return b.tag == "li" and b.linked >= len(b.text)
+
+
+def _is_inside(b: Block, home: int) -> bool:
+    return bool(home) and home in b.holders
+
+
+def _add_parts(blocks: list[Block], chosen: list[Block], home: int, inside: list[bool]) -> None:
+    """Mark the article's other parts in ``inside``: of each chosen block outside ``home`` the largest element that does not
+    hold home (the block alone if there is none), without list items that are all link, and headings right before a part."""
+    holders = next(b.holders for b in blocks if home in b.holders)
+    above = holders[: holders.index(home)]
+    roots, single, common = set(), set(), len(above)
+    for b in chosen:
+        if home in b.holders:
+            continue
+        shared = sum(n in above for n in b.holders)
+        common = min(common, shared)
+        if shared < len(b.holders):
+            roots.add(b.holders[shared])
+        else:
+            single.add(id(b))
+    for k, b in enumerate(blocks):
+        inside[k] = inside[k] or ((id(b) in single or not roots.isdisjoint(b.holders)) and not _is_link(b))
+    first = inside.index(True)
+    for k in range(len(blocks) - 2, -1, -1):  # backwards, so that a heading before a heading is met
+        b = blocks[k]
+        if b.tag in HEADINGS and inside[k + 1] and (k > first or common and above[common - 1] in b.holders):
+            inside[k] = True
+
+
 def _is_title(before: Block, first: Block) -> bool:
     """Whether a top heading stands right before the article, inside the same element (not the body itself)."""
     return before.tag == "h1" and before.chain[:-1] == first.chain[: len(before.chain) - 1] and any(n // 2 == before.chain[-2] for n in before.holders) if len(before.chain) > 1 else False

@@ -56,3 +56,20 @@ def test_title_beside_the_article():
     text = "\n\n".join(f"{SENTENCE}{k}" for k in range(3))
     assert h.main_text(f"<body><div id='content'><h1>Title</h1><div class='post'>{body}</div></div></body>") == "Title\n\n" + text
     assert h.main_text(f"<body><h1>Site</h1><div class='post'>{body}</div></body>") == text
+
+
+def test_parts_beside_the_largest_stay():
+    """An article in containers side by side, one of which has over 70% of the text, loses none of them."""
+    long = [f"{SENTENCE * 3}{k}" for k in range(6)]
+    lead, last = f"{SENTENCE * 3}lead", f"{SENTENCE * 3}last"
+    tag = lambda *texts: "".join(f"<p>{t}</p>" for t in texts)
+    whole = "\n\n".join([lead, *long, last])
+    assert h.main_text(f"<body><div class='x'><div class='lead'>{tag(lead)}</div><div class='text'>{tag(*long)}</div><div class='end'>{tag(last)}</div></div></body>") == whole
+    assert h.main_text(f"<body><div class='lead'>{tag(lead)}</div><div class='text'>{tag(*long)}</div><div class='end'>{tag(last)}</div></body>") == whole
+    page = f"<body><div class='x'><section><h2>One</h2>{tag(lead)}</section><section><h2>Two</h2>{tag(*long)}</section><h2>Three</h2><section>{tag(last)}<p>Short.</p></section></div></body>"
+    assert h.main_text(page) == "\n\n".join(["One", lead, "Two", *long, "Three", last, "Short."])
+
+
+def test_linked_items_of_the_article_stay():
+    body = "".join(f"<p>{SENTENCE * 3}{k}</p>" for k in range(4))
+    assert h.main_text(article(body + "<ul><li><a href='/s'>A source</a></li></ul>")).endswith("3\n\nA source")
