@@ -4,18 +4,22 @@ A text is the sequence of its words in lower case, each followed by a space, the
 decomposed into 8 binary decisions; each decision has a context tree over the preceding bytes, up to ``DEPTH``. A node
 counts zeros and ones of the training texts, has their Krichevsky-Trofimov probability, and mixes it half and half with
 its children's: weighted = (own + product of children) / 2. A bit is predicted along its path by the posterior shares of
-all depths; the path ends at the deepest context that the training texts have.
+all depths; a context that the training texts do not have is mixed in with its estimate of no counts, 1/2.
 
 What is gathered is the count of every distinct (DEPTH + 1)-gram of bytes, however many there are:
 
 1. each task cuts its input into blocks and writes, per block, the texts (compressed) and the block's distinct grams and
-   words with their training counts, dealt to buckets by the two nearest context bytes (words, as hashes of 96 bits, by those);
-2. a bucket merges the grams of all blocks and owns all tree nodes from depth two down; the two levels above are sums of
-   at most 256 x 255 rows;
-3. it answers each block with one log probability per gram asked for (words: their count), in the order asked;
-4. a block meets its answers and scores its texts.
-
-So no task holds more than a block or a bucket, and nothing is broadcast but those two levels (1 MB).
+   words with their training counts, dealt to buckets by a hash of the ``TOP`` nearest context bytes (words, as hashes of
+   96 bits, by those);
+2. a bucket's lists are merged in salted groups first, as many as its measured size asks for, then as one: what is left
+   is bounded by the distinct grams of the bucket, however often they occur. A bucket has whole subtrees from depth ``TOP`` down;
+3. the levels above are sums of the buckets' rows: by nearest byte (at most 256^(TOP - 1) contexts each), then for the root.
+   They come back to a bucket as three numbers a node: the part of each bit's probability from above, and the weight below;
+4. every salted group gets its bucket's log probabilities and answers each of its blocks, in the order asked;
+5. a block meets its answers and scores its texts.
+
+So no task holds more than a block, a salted group or the distinct grams of a bucket; broadcast are the root's 255 nodes
+and one row per bucket.
 """
 
 from __future__ import annotations
@@ -28,13 +32,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, table
+from .common import crc_mod, release_memory, table
 
-DEPTH = 6
-#: Bytes of text in one block and in one of its parts, which also has at most 256 rows (their number is packed beside the gram).
+DEPTH = 7
+#: A bucket has whole subtrees of nodes of this depth (one less than the depth of the tree, if that is smaller).
+TOP = 4
+#: Bytes of text in one block and in one of its parts, which also has at most 256 rows.
 BLOCK_BYTES, PART_BYTES, PART_ROWS = 16 << 20, 2 << 20, 256
+#: Bytes of packed lists in one salted group of a bucket.
+GROUP_BYTES = 8 << 20
 _TEXTS, _GRAMS, _WORDS = 0, 1, 2
-_PACKED = "kind int, block string, bucket int, part int, payload binary"
+_PACKED = "kind int, block string, bucket int, part int, keys binary, counts binary"
+_MODEL = "kind int, bucket int, keys binary, counts binary"
 _LOG_HALF = math.log(0.5)
 
 
@@ -111,7 +120,7 @@ def counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pack(values: np.ndarray) -> bytes:
-    """Sorted or small numbers, compressed by byte planes."""
+    """Numbers, compressed by byte planes."""
     return pa.compress(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes(), codec="zstd", asbytes=True) if len(values) else b""
 
 
@@ -135,41 +144,61 @@ def _parts(raw: bytes) -> list[bytes]:
     return out
 
 
-def pack_grams(keys: np.ndarray, counts: np.ndarray) -> bytes:
-    return _frame([len(keys).to_bytes(8, "little"), pack(np.diff(keys, prepend=np.uint64(0))), pack(counts.astype(np.uint32))])
+def pack_columns(*columns: np.ndarray) -> bytes:
+    return _frame([(len(columns[0]) if columns else 0).to_bytes(8, "little"), *map(pack, columns)])
+
+
+def unpack_columns(raw: bytes, *kinds) -> tuple[np.ndarray, ...]:
+    n, *columns = _parts(raw)
+    return tuple(unpack(c, int.from_bytes(n, "little"), kind) for c, kind in zip(columns, kinds, strict=True))
+
+
+def pack_keys(keys: tuple[np.ndarray, ...]) -> bytes:
+    """Grams (one array) or words (two); the first is in order, so its steps are stored."""
+    return pack_columns(np.diff(keys[0], prepend=np.uint64(0)), *keys[1:])
 
 
-def unpack_grams(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n, keys, counts = _parts(raw)
-    n = int.from_bytes(n, "little")
-    return np.cumsum(unpack(keys, n, np.uint64), dtype=np.uint64), unpack(counts, n, np.uint32).astype(np.int64)
+def unpack_keys(raw: bytes, words: bool) -> tuple[np.ndarray, ...]:
+    first, *rest = unpack_columns(raw, np.uint64, np.uint32) if words else unpack_columns(raw, np.uint64)
+    return np.cumsum(first, dtype=np.uint64), *rest
 
 
-def pack_words(h1: np.ndarray, h2: np.ndarray, counts: np.ndarray) -> bytes:
-    return _frame([len(h1).to_bytes(8, "little"), pack(np.diff(h1, prepend=np.uint64(0))), h2.tobytes(), pack(counts.astype(np.uint32))])
+def pack_logs(logs: np.ndarray) -> bytes:
+    """Log probabilities, rounded to 16 significant bits."""
+    raw = logs.astype(np.float32).view(np.uint32)
+    return pack_columns((raw + np.uint32(0x80)) >> np.uint32(8))
 
 
-def unpack_words(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    n, h1, h2, counts = _parts(raw)
-    n = int.from_bytes(n, "little")
-    return np.cumsum(unpack(h1, n, np.uint64), dtype=np.uint64), np.frombuffer(h2, dtype=np.uint32), unpack(counts, n, np.uint32).astype(np.int64)
+def unpack_logs(raw: bytes) -> np.ndarray:
+    return (unpack_columns(raw, np.uint32)[0] << np.uint32(8)).view(np.float32)
 
 
 def gram_bucket(keys: np.ndarray, depth: int, buckets: int) -> np.ndarray:
-    near = (keys >> np.uint64(8 * (depth - 1))).astype(np.uint64)
-    return ((near * np.uint64(2654435761)) >> np.uint64(8)) % np.uint64(buckets)
+    """By a hash of the nearest context bytes, so that a bucket has whole subtrees."""
+    near = (keys >> np.uint64(8 * (depth + 1 - top_of(depth)))) * np.uint64(0x9E3779B97F4A7C15)
+    return ((near >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+
+
+def word_bucket(h1: np.ndarray, buckets: int) -> np.ndarray:
+    return ((h1 >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+
+
+def top_of(depth: int) -> int:
+    return min(TOP, depth - 1)
 
 
 def by_bucket(bucket: np.ndarray, buckets: int):
     """(bucket, positions of its keys in order), for buckets that have any."""
-    bucket = bucket.astype(np.uint16)
-    order = np.argsort(bucket, kind="stable")
+    order = np.argsort(bucket.astype(np.uint32), kind="stable")
     edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
     for b in range(buckets):
         if edges[b] < edges[b + 1]:
             yield b, order[edges[b] : edges[b + 1]]
 
 
+# ---- blocks
+
+
 class _Block:
     """The distinct grams and words of one block's texts, with their training counts."""
 
@@ -201,24 +230,22 @@ class _Block:
     def rows(self, buckets: int):
         self.merge()
         for b, at in by_bucket(gram_bucket(self.keys, self.depth, buckets), buckets):
-            yield _GRAMS, b, pack_grams(self.keys[at], self.counts[at])
+            yield _GRAMS, b, pack_keys((self.keys[at],)), pack_columns(self.counts[at])
         h1, h2, counts = self.words[0]
-        for b, at in by_bucket(h1 % np.uint64(buckets), buckets):
-            yield _WORDS, b, pack_words(h1[at], h2[at], counts[at])
+        for b, at in by_bucket(word_bucket(h1, buckets), buckets):
+            yield _WORDS, b, pack_keys((h1[at], h2[at])), pack_columns(counts[at])
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kind, block, bucket, part, payload = zip(*rows, strict=True)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(kind, pa.int32()), pa.array(block, pa.string()), pa.array(bucket, pa.int32()), pa.array(part, pa.int32()), pa.array(payload, pa.binary())], names=["kind", "block", "bucket", "part", "payload"]
-    )
+    kinds = {"kind": pa.int32(), "block": pa.string(), "bucket": pa.int32(), "part": pa.int32(), "keys": pa.binary(), "counts": pa.binary()}
+    return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), kinds.values(), strict=True)], names=list(kinds))
 
 
 def _pack_texts(ids: list, held: list[bool], lines: list[bytes]) -> bytes:
     raw = b"".join(lines)
     return _frame([
         np.array([x if x is not None else 0 for x in ids], dtype=np.int64).tobytes(), bytes(x is None for x in ids), bytes(held),
-        len(raw).to_bytes(8, "little"), pa.compress(raw, codec="zstd", asbytes=True),
+        len(raw).to_bytes(8, "little"), pa.Codec("zstd", compression_level=3).compress(raw, asbytes=True),
     ])
 
 
@@ -236,14 +263,14 @@ def _packer(depth: int, buckets: int):
         def close_part():
             nonlocal ids, held, texts, size, part
             block.add(texts, held)
-            row = (_TEXTS, name, -1, part, _pack_texts(ids, held, texts))
+            row = (_TEXTS, name, -1, part, _pack_texts(ids, held, texts), None)
             ids, held, texts, size, part = [], [], [], 0, part + 1
             return _batch([row])
 
         def close_block():
             rows = []
-            for kind, b, payload in block.rows(buckets):
-                rows.append((kind, name, b, 0, payload))
+            for kind, b, keys, counts in block.rows(buckets):
+                rows.append((kind, name, b, 0, keys, counts))
                 if len(rows) == 256:
                     yield _batch(rows)
                     rows = []
@@ -274,11 +301,39 @@ def _packer(depth: int, buckets: int):
             if texts:
                 yield close_part()
             yield from close_block()
+        release_memory()
 
     return run
 
 
-# ---- the tree of one bucket
+# ---- merging a bucket's lists
+
+
+def _sum(words: bool, keys: tuple[np.ndarray, ...], counts: np.ndarray) -> tuple[tuple[np.ndarray, ...], np.ndarray]:
+    *keys, counts = word_sums(*keys, counts) if words else summed(*keys, counts)
+    return tuple(keys), counts
+
+
+def _merge(rows: pa.Table) -> pa.Table:
+    """One row for all lists of a bucket or of one of its salted groups: distinct keys and the sums of their counts."""
+    kind, bucket = rows.column("kind")[0].as_py(), rows.column("bucket")[0].as_py()
+    words, held, size, done = kind == _WORDS, [], 0, 0
+    for keys, counts in zip(rows.column("keys"), rows.column("counts"), strict=True):
+        held.append((*unpack_keys(keys.as_py(), words), unpack_columns(counts.as_py(), np.int64)[0]))
+        size += len(held[-1][0])
+        if size > max(2_000_000, 2 * done):
+            *keys, counts = (np.concatenate(x) for x in zip(*held, strict=True))
+            keys, counts = _sum(words, keys, counts)
+            held, size, done = [(*keys, counts)], len(counts), len(counts)
+    *keys, counts = (np.concatenate(x) for x in zip(*held, strict=True))
+    keys, counts = _sum(words, keys, counts)
+    return pa.table({
+        "kind": pa.array([kind], pa.int32()), "bucket": pa.array([bucket], pa.int32()), "keys": pa.array([pack_keys(keys)], pa.binary()), "counts": pa.array([pack_columns(counts)], pa.binary()),
+        "n": pa.array([int(counts.sum())], pa.int64()), "v": pa.array([int((counts > 0).sum())], pa.int64()),
+    })
+
+
+# ---- the tree
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -299,162 +354,210 @@ def weighted(own: np.ndarray, children: np.ndarray) -> tuple[np.ndarray, np.ndar
     return both, np.exp(_LOG_HALF + own - both)
 
 
-class Tree:
-    """All nodes of depth ``top`` to ``depth`` over a set of grams that has all of a node's grams or none."""
-
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, depth: int, top: int = 2) -> None:
-        self.depth, self.top = depth, top
-        counts = counts.astype(np.float64)
-        level, up = {depth: (keys, counts)}, {}
-        for d in range(depth - 1, top - 1, -1):
-            below, n = level[d + 1]
-            short = (below >> np.uint64(16)) << np.uint64(8) | (below & np.uint64(255))
-            k, up[d + 1] = np.unique(short, return_inverse=True)
-            level[d] = k, np.bincount(up[d + 1], weights=n, minlength=len(k))
-        path = {depth: np.arange(len(keys))}
-        for d in range(depth - 1, top - 1, -1):
-            path[d] = up[d + 1][path[d + 1]]
-        self.chance = np.zeros((8, len(keys)))  # of each bit of each gram, mixed from the depths here
-        self.known = np.zeros((8, len(keys)), dtype=bool)  # whether training texts have the node of depth top
-        self.tops = []  # per bit: (node's key, log weighted, zeros, ones) at depth top
-        for j in range(8):
-            mixed = seen = children = groups = None
-            for d in range(depth, top - 1, -1):
-                k, n = level[d]
-                node = k >> np.uint64(8 - j)
-                first = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1]))) if len(k) else np.zeros(0, dtype=np.int64)
-                at = np.cumsum(np.concatenate(([0], (node[1:] != node[:-1]).astype(np.int64)))) if len(k) else first
-                bit = (k >> np.uint64(7 - j)) & np.uint64(1)
-                ones = np.add.reduceat(n * bit, first) if len(k) else np.zeros(0)
-                zeros = (np.add.reduceat(n, first) if len(k) else np.zeros(0)) - ones
-                own = kt(zeros, ones)
-                estimate = (np.where(bit == 1, ones[at], zeros[at]) + 0.5) / (zeros[at] + ones[at] + 1.0)
-                some = (zeros + ones > 0)[at]
-                if d == depth:
-                    log_w, mixed, seen = own, estimate, some
-                else:
-                    log_w, share = weighted(own, np.bincount(at[up[d + 1][groups]], weights=children, minlength=len(first)))
-                    share, here, was = share[at][path[d]], estimate[path[d]], seen
-                    seen = some[path[d]]
-                    mixed = np.where(was, share * here + (1 - share) * mixed, here)
-                children, groups = log_w, first
-            self.chance[j], self.known[j] = mixed, seen
-            self.tops.append((node[first], log_w, zeros, ones))
-
-
-def _merged(payloads, unpacked=unpack_grams) -> tuple[np.ndarray, np.ndarray]:
-    keys, counts, held = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), []
-    for raw in payloads:
-        held.append(unpacked(raw.as_py()))
-        if sum(len(k) for k, _ in held) > max(4_000_000, len(keys)):
-            keys, counts = summed(np.concatenate([keys, *[k for k, _ in held]]), np.concatenate([counts, *[c for _, c in held]]))
-            held = []
-    return summed(np.concatenate([keys, *[k for k, _ in held]]), np.concatenate([counts, *[c for _, c in held]]))
-
-
-def _top_rows(depth: int):
-    """Of one bucket: for each nearest byte and node of its tree, the children's log weighted sum and the counts."""
+def _runs(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each distinct key starts, and the number of its run for every place."""
+    new = np.concatenate(([True], sorted_keys[1:] != sorted_keys[:-1]))
+    return np.flatnonzero(new), np.cumsum(new) - 1
+
+
+def subtrees(keys: np.ndarray, counts: np.ndarray, depth: int, top: int):
+    """For each of the 8 bits, over grams that have all of a node's grams or none: the bit's probability after each gram's
+    context, mixed over depths ``top`` to ``depth``; and the nodes of depth ``top``: (node, log weighted, zeros, ones)."""
+    level, up = {depth: (keys, counts.astype(np.float64))}, {}
+    for d in range(depth - 1, top - 1, -1):
+        below, n = level[d + 1]
+        short = (below >> np.uint64(16)) << np.uint64(8) | (below & np.uint64(255))
+        k, up[d + 1] = np.unique(short, return_inverse=True)
+        level[d] = k, np.bincount(up[d + 1], weights=n, minlength=len(k))
+    for j in range(8):
+        seen = {}  # per depth: share of the own estimate, and the estimate, for every gram of that depth
+        children = groups = None
+        for d in range(depth, top - 1, -1):
+            k, n = level[d]
+            node = k >> np.uint64(8 - j)
+            first, at = _runs(node)
+            bit = (k >> np.uint64(7 - j)) & np.uint64(1)
+            ones = np.add.reduceat(n * bit, first)
+            zeros = np.add.reduceat(n, first) - ones
+            own = kt(zeros, ones)
+            estimate = (np.where(bit == 1, ones[at], zeros[at]) + 0.5) / (zeros[at] + ones[at] + 1.0)
+            if d == depth:
+                log_w, seen[d] = own, (None, estimate)
+            else:
+                log_w, share = weighted(own, np.bincount(at[up[d + 1][groups]], weights=children, minlength=len(first)))
+                seen[d] = share[at], estimate
+            children, groups = log_w, first
+        mixed, path = seen[top][1], None  # from above downwards, so that each step works on the grams of one depth
+        below = 1.0
+        if top < depth:
+            share, estimate = seen[top]
+            mixed, below = share * estimate, 1.0 - share
+            for d in range(top + 1, depth + 1):
+                share, estimate = seen[d]
+                path = up[d]
+                share = 1.0 if share is None else share
+                mixed, below = mixed[path] + below[path] * share * estimate, below[path] * (1.0 - share)
+        yield mixed, (node[first], log_w, zeros, ones)
+
+
+def _frontier(depth: int):
+    """Per bucket and nearest byte: the nodes one level above its subtrees, as (place, sum of the children's log weighted, zeros, ones)."""
+    top = top_of(depth)
+
+    def run(batches):
+        for batch in batches:
+            for bucket, keys, counts in zip(batch.column("bucket").to_pylist(), batch.column("keys"), batch.column("counts"), strict=True):
+                out = []
+                for j, (_, (node, log_w, zeros, ones)) in enumerate(subtrees(unpack_keys(keys.as_py(), False)[0], unpack_columns(counts.as_py(), np.int64)[0], depth, top)):
+                    place = (node >> np.uint64(8 + j)) << np.uint64(8) | np.uint64(1 << j) | (node & np.uint64((1 << j) - 1))
+                    at, back = np.unique(place, return_inverse=True)
+                    out.append((at, *[np.bincount(back, weights=x, minlength=len(at)) for x in (log_w, zeros, ones)]))
+                columns = [np.concatenate(x) for x in zip(*out, strict=True)]
+                order = np.argsort(columns[0])
+                columns = [x[order] for x in columns]
+                near = columns[0] >> np.uint64(8 * (top - 1))
+                for lo, hi in zip(*[e.tolist() for e in _edges(near)], strict=True):
+                    row = [[int(near[lo])], [bucket], [pack_columns(*[x[lo:hi] for x in columns])]]
+                    yield pa.RecordBatch.from_arrays([pa.array(row[0], pa.int32()), pa.array(row[1], pa.int32()), pa.array(row[2], pa.binary())], names=["near", "bucket", "nodes"])
+
+    return run
+
+
+def _edges(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    first = _runs(sorted_keys)[0]
+    return first, np.append(first[1:], len(sorted_keys))
+
+
+def _nodes_of(raw: bytes) -> tuple[np.ndarray, ...]:
+    return unpack_columns(raw, np.uint64, np.float64, np.float64, np.float64)
+
+
+def _levels(nodes: pa.ChunkedArray, depth: int) -> list[tuple[np.ndarray, ...]]:
+    """From depth ``top`` - 1 to depth one, for one nearest byte: (place, log weighted, share, zeros, ones, place's row one level up)."""
+    place, s, zeros, ones = (np.concatenate(x) for x in zip(*[_nodes_of(raw.as_py()) for raw in nodes], strict=True))
+    out = []
+    for d in range(top_of(depth) - 1, 0, -1):
+        at, back = np.unique(place, return_inverse=True)
+        s, zeros, ones = (np.bincount(back, weights=x, minlength=len(at)) for x in (s, zeros, ones))
+        log_w, share = weighted(kt(zeros, ones), s)
+        if out:
+            out[-1] = (*out[-1], back)
+        out.append((at, log_w, share, zeros, ones))
+        place, s = (at >> np.uint64(16)) << np.uint64(8) | (at & np.uint64(255)), log_w
+    return out
+
+
+def _root_rows(depth: int):
+    """Of one nearest byte: its part of the root's sums."""
 
     def run(rows: pa.Table) -> pa.Table:
-        tree = Tree(*_merged(rows.column("payload")), depth)
-        out = []
-        for j, (node, log_w, zeros, ones) in enumerate(tree.tops):
-            place = ((node >> np.uint64(8 + j)).astype(np.int64) << 8) | (1 << j) | (node & np.uint64((1 << j) - 1)).astype(np.int64)
-            at, back = np.unique(place, return_inverse=True)
-            out.append((at, *[np.bincount(back, weights=x, minlength=len(at)) for x in (log_w, zeros, ones)]))
-        place, s, zeros, ones = (np.concatenate(x) for x in zip(*out, strict=True))
-        return pa.table({"place": pa.array(place, pa.int32()), "s": s, "zeros": zeros, "ones": ones})
+        at, log_w, _, zeros, ones = _levels(rows.column("nodes"), depth)[-1]
+        return pa.table({"node": pa.array((at & np.uint64(255)).astype(np.int32)), "s": log_w, "zeros": zeros, "ones": ones})
 
     return run
 
 
-def top_levels(rows: pa.Table) -> dict[str, np.ndarray]:
-    """Depths one and zero from the summed rows: shares and counts by nearest byte and node, as arrays of 256 x 256 and 256."""
-    place = rows.column("place").to_numpy()
-    s, zeros, ones = (np.zeros(1 << 16) for _ in range(3))
+def root_of(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Share, zeros and ones of the root's 255 nodes."""
+    node = rows.column("node").to_numpy()
+    s, zeros, ones = (np.zeros(256) for _ in range(3))
     for name, x in (("s", s), ("zeros", zeros), ("ones", ones)):
-        x[place] = rows.column(name).to_numpy()
-    there = np.zeros(1 << 16, dtype=bool)
-    there[place] = True
-    log_w, share1 = weighted(kt(zeros, ones), s)
-    log_w = np.where(there, log_w, 0.0).reshape(256, 256).sum(0)
-    zeros0, ones0 = (x.reshape(256, 256).sum(0) for x in (zeros, ones))
-    _, share0 = weighted(kt(zeros0, ones0), log_w)
-    return {"share1": share1, "zeros1": zeros, "ones1": ones, "share0": share0, "zeros0": zeros0, "ones0": ones0}
+        x[node] = rows.column(name).to_numpy()
+    return weighted(kt(zeros, ones), s)[1], zeros, ones
+
 
+def _above(depth: int, root):
+    """Of one nearest byte, for every bucket: what the levels above give to each of its nodes' bits, and the weight left below."""
 
-def _gram_answers(depth: int, top):
     def run(rows: pa.Table) -> pa.Table:
-        keys, counts = _merged(rows.column("payload"))
-        tree, t = Tree(keys, counts, depth), top.value
-        near = (keys >> np.uint64(8 * depth)).astype(np.int64)
-        total = np.zeros(len(keys))
-        for j in range(8):
-            node = (1 << j) | ((keys & np.uint64(255)) >> np.uint64(8 - j)).astype(np.int64)
-            bit = ((keys >> np.uint64(7 - j)) & np.uint64(1)) == 1
-            place = near << 8 | node
-            n1 = t["zeros1"][place] + t["ones1"][place]
-            own1 = (np.where(bit, t["ones1"][place], t["zeros1"][place]) + 0.5) / (n1 + 1)
-            p1 = np.where(tree.known[j], t["share1"][place] * own1 + (1 - t["share1"][place]) * tree.chance[j], own1)
-            own0 = (np.where(bit, t["ones0"][node], t["zeros0"][node]) + 0.5) / (t["zeros0"][node] + t["ones0"][node] + 1)
-            total += np.log10(np.where(n1 > 0, t["share0"][node] * own0 + (1 - t["share0"][node]) * p1, own0))
-        total = total.astype(np.float32)
-        answers = [total[np.searchsorted(keys, unpack_grams(raw.as_py())[0])].tobytes() for raw in rows.column("payload")]
-        return pa.table({"kind": rows.column("kind"), "block": rows.column("block"), "bucket": rows.column("bucket"), "part": rows.column("part"), "payload": pa.array(answers, pa.binary())})
+        levels = _levels(rows.column("nodes"), depth)
+        share, zeros, ones = (x[(levels[-1][0] & np.uint64(255)).astype(np.int64)] for x in root.value)
+        zero, one, below = share * (zeros + 0.5) / (zeros + ones + 1), share * (ones + 0.5) / (zeros + ones + 1), 1 - share
+        for k in range(len(levels) - 1, -1, -1):
+            _, _, share, zeros, ones, *up = levels[k]
+            if up:
+                zero, one, below = zero[up[0]], one[up[0]], below[up[0]]
+            zero = zero + below * share * (zeros + 0.5) / (zeros + ones + 1)
+            one = one + below * share * (ones + 0.5) / (zeros + ones + 1)
+            below = below * (1 - share)
+        out = []
+        for raw in rows.column("nodes"):
+            place = _nodes_of(raw.as_py())[0]
+            at = np.searchsorted(levels[0][0], place)
+            out.append(pack_columns(place, zero[at], one[at], below[at]))
+        return pa.table({"bucket": rows.column("bucket"), "above": pa.array(out, pa.binary())})
 
     return run
 
 
-def _word_totals(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return word_sums(*(np.concatenate(x) for x in zip(*[unpack_words(raw.as_py()) for raw in rows.column("payload")], strict=True)))
+def _bucket_logs(depth: int):
+    """The log probability of the last byte of each of a bucket's grams."""
+    top = top_of(depth)
 
+    def run(grams: pa.Table, above: pa.Table) -> pa.Table:
+        if not grams.num_rows:
+            return pa.table({"kind": pa.array([], pa.int32()), "bucket": pa.array([], pa.int32()), "keys": pa.array([], pa.binary()), "counts": pa.array([], pa.binary())})
+        keys = unpack_keys(grams.column("keys")[0].as_py(), False)[0]
+        place, zero, one, below = (np.concatenate(x) for x in zip(*[_nodes_of(raw.as_py()) for raw in above.column("above")], strict=True))
+        order = np.argsort(place)
+        place, zero, one, below = (x[order] for x in (place, zero, one, below))
+        context = (keys >> np.uint64(8 * (depth + 2 - top))) << np.uint64(8)
+        total = np.zeros(len(keys))
+        for j, (mixed, _) in enumerate(subtrees(keys, unpack_columns(grams.column("counts")[0].as_py(), np.int64)[0], depth, top)):
+            at = np.searchsorted(place, context | np.uint64(1 << j) | ((keys & np.uint64(255)) >> np.uint64(8 - j)))
+            total += np.log10(np.where((keys >> np.uint64(7 - j)) & np.uint64(1) == 1, one[at], zero[at]) + below[at] * mixed)
+        return pa.table({"kind": grams.column("kind"), "bucket": grams.column("bucket"), "keys": grams.column("keys"), "counts": pa.array([pack_logs(total)], pa.binary())})
 
-def _word_sums(rows: pa.Table) -> pa.Table:
-    counts = _word_totals(rows)[2]
-    return pa.table({"n": pa.array([counts.sum()], pa.int64()), "v": pa.array([(counts > 0).sum()], pa.int64())})
+    return run
 
 
-def _word_answers(rows: pa.Table) -> pa.Table:
-    h1, h2, counts = _word_totals(rows)
-    answers = [counts[places_of(*unpack_words(raw.as_py())[:2], h1, h2)].tobytes() for raw in rows.column("payload")]
-    return pa.table({"kind": rows.column("kind"), "block": rows.column("block"), "bucket": rows.column("bucket"), "part": rows.column("part"), "payload": pa.array(answers, pa.binary())})
+def _reply(asked: pa.Table, model: pa.Table) -> pa.Table:
+    """Of one salted group: for each block's list, in its order, the log probabilities of its grams or the counts of its words."""
+    if not asked.num_rows:
+        return pa.table({"kind": pa.array([], pa.int32()), "block": pa.array([], pa.string()), "bucket": pa.array([], pa.int32()), "reply": pa.array([], pa.binary())})
+    words = asked.column("kind")[0].as_py() == _WORDS
+    keys = unpack_keys(model.column("keys")[0].as_py(), words)
+    values = unpack_columns(model.column("counts")[0].as_py(), np.int64 if words else np.uint32)[0]
+    out = []
+    for raw in asked.column("keys"):
+        own = unpack_keys(raw.as_py(), words)
+        out.append(pack_columns(values[places_of(*own, *keys) if words else np.searchsorted(keys[0], own[0])]))
+    return pa.table({"kind": asked.column("kind"), "block": asked.column("block"), "bucket": asked.column("bucket"), "reply": pa.array(out, pa.binary())})
 
 
 def _scorer(depth: int, buckets: int, n: int, v: int):
     base_unit = math.log10(n + v + 1)
 
-    def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
+    def run(texts: pa.Table, replies: pa.Table) -> pa.Table:
         order = sorted(range(texts.num_rows), key=lambda k: texts.column("part")[k].as_py())
-        found = {_GRAMS: {}, _WORDS: {}}
-        for kind, bucket, payload in zip(answers.column("kind").to_pylist(), answers.column("bucket").to_pylist(), answers.column("payload").to_pylist(), strict=True):
-            found[kind][bucket] = payload
+        found = {(kind, bucket): k for k, (kind, bucket) in enumerate(zip(replies.column("kind").to_pylist(), replies.column("bucket").to_pylist(), strict=True))}
+        reply = lambda kind, b: replies.column("reply")[found[kind, b]].as_py()
         keys, late = np.zeros(0, dtype=np.uint64), []
         end = np.zeros(1, dtype=np.uint64)
         words = [(end, end.astype(np.uint32), end.astype(np.int64))]
         for k in order:  # the block's grams and words again, in the order in which it asked
-            lines = _unpack_texts(texts.column("payload")[k].as_py())[2]
+            lines = _unpack_texts(texts.column("keys")[k].as_py())[2]
             late.append(counted(keys_of(lines.splitlines(keepends=True), depth)[0])[0])
             if sum(map(len, late)) > max(2_000_000, len(keys)):
                 keys, late = counted(np.concatenate([keys, *late]))[0], []
             _, h1, h2 = words_of(lines)
             words.append(word_sums(h1, h2, np.zeros(len(h1), dtype=np.int64)))
-        keys = counted(np.concatenate([keys, *late]))[0]
+        keys, late = counted(np.concatenate([keys, *late]))[0], []
         logs = np.zeros(len(keys), dtype=np.float32)
         for b, at in by_bucket(gram_bucket(keys, depth, buckets), buckets):
-            logs[at] = np.frombuffer(found[_GRAMS][b], dtype=np.float32)
+            logs[at] = unpack_logs(reply(_GRAMS, b))
         known1, known2, counts = word_sums(*(np.concatenate(x) for x in zip(*words, strict=True)))
-        for b, at in by_bucket(known1 % np.uint64(buckets), buckets):
-            counts[at] = np.frombuffer(found[_WORDS][b], dtype=np.int64)
+        for b, at in by_bucket(word_bucket(known1, buckets), buckets):
+            counts[at] = unpack_columns(reply(_WORDS, b), np.int64)[0]
         word_logs, word_known = np.log10(counts + 1.0) - base_unit, counts > 0
         out = []
         for k in order:
-            ids, held, lines = _unpack_texts(texts.column("payload")[k].as_py())
+            ids, held, lines = _unpack_texts(texts.column("keys")[k].as_py())
             own, row = keys_of(lines.splitlines(keepends=True), depth)
-            packed = np.sort(own << np.uint64(8) | row.astype(np.uint64))
-            own, row = packed >> np.uint64(8), (packed & np.uint64(255)).astype(np.int64)
-            first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
-            values = np.repeat(logs[np.searchsorted(keys, own[first])], np.diff(np.append(first, len(own))))
-            scores, sizes = np.bincount(row, weights=values, minlength=len(ids)), np.bincount(row, minlength=len(ids))
+            by_key = np.argsort(own)
+            first, at = _runs(own[by_key])
+            values = logs[np.searchsorted(keys, own[by_key[first]])][at]
+            scores, sizes = np.bincount(row[by_key], weights=values, minlength=len(ids)), np.bincount(row, minlength=len(ids))
             row, h1, h2 = words_of(lines)
             by_hash = np.argsort(h1)
             at, row = places_of(h1[by_hash], h2[by_hash], known1, known2), row[by_hash]
@@ -472,23 +575,35 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth
     """One row per input row: id_col, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte.
 
     Rows whose crc32 of the id modulo 7 is 2 are held out; all others train the model. ``score`` is the model's log10
-    probability of the text, ``bits_per_byte`` its code length per byte (words, single spaces and the end). Null and
-    empty texts are the end alone. Without training rows each bit has probability 1/2 and base_score is 0. Repeated
-    rows are counted and scored as often as they occur. Other columns are ignored. ``depth`` is 2 to 6."""
-    if not 2 <= depth <= 6:
-        raise ValueError("depth must be 2 to 6")
+    probability of the text (a byte's share rounded to 16 significant bits), ``bits_per_byte`` its code length per byte
+    (words, single spaces and the end). Null and empty texts are the end alone. Without training rows each bit has
+    probability 1/2 and base_score is 0. Repeated rows are counted and scored as often as they occur; an empty table
+    gives no row. Other columns are ignored. ``depth`` is 3 to 7: a gram of one byte more fills 64 bits. ``buckets``
+    changes how the work is dealt, not the result; unless given it grows with the square root of the input's
+    partitions, and salted groups take up the rest of the growth."""
+    if not 3 <= depth <= 7:
+        raise ValueError("depth must be 3 to 7")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), (crc_mod(id_col, 7) == 2).alias("held"), F.col(text_col).cast("string").alias("text"))
-    buckets = buckets or min(4096, max(64, 2 * rows.rdd.getNumPartitions()))
-    packed = table(rows.mapInArrow(_packer(depth, buckets), _PACKED), "ctw-blocks")
-    grams, words, texts = (packed.filter(F.col("kind") == k) for k in (_GRAMS, _WORDS, _TEXTS))
-    top = grams.groupBy("bucket").applyInArrow(_top_rows(depth), "place int, s double, zeros double, ones double").groupBy("place").agg(F.sum("s").alias("s"), F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones")).toArrow()
-    sums = words.groupBy("bucket").applyInArrow(_word_sums, "n long, v long").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
-    sent = docs.sparkSession.sparkContext.broadcast(top_levels(top))
-    answers = grams.groupBy("bucket").applyInArrow(_gram_answers(depth, sent), _PACKED).unionByName(words.groupBy("bucket").applyInArrow(_word_answers, _PACKED))
-    scored = texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
-        _scorer(depth, buckets, sums[0], sums[1]), "id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, n_bytes long"
+    buckets = buckets or 8 * math.isqrt(64 + rows.rdd.getNumPartitions())
+    packed = table(rows.mapInArrow(_packer(depth, buckets), _PACKED), "ctw-blocks", by="kind")
+    lists, texts = packed.filter(F.col("kind") != _TEXTS), packed.filter(F.col("kind") == _TEXTS)
+    sizes = table(lists.groupBy("kind", "bucket").agg(F.ceil(F.sum(F.octet_length("keys") + F.octet_length("counts")) / GROUP_BYTES).cast("int").alias("salts")), "ctw-sizes")
+    sizes = F.broadcast(sizes)  # at most 2 * buckets rows
+    lists = lists.join(sizes, ["kind", "bucket"]).withColumn("salt", F.pmod(F.xxhash64("block"), F.col("salts")).cast("int"))
+    groups = lists.groupBy("kind", "bucket", "salt").applyInArrow(_merge, _MODEL + ", n long, v long")
+    merged = table(groups.groupBy("kind", "bucket").applyInArrow(_merge, _MODEL + ", n long, v long"), "ctw-merged", by="kind")
+    grams, words = merged.filter(F.col("kind") == _GRAMS), merged.filter(F.col("kind") == _WORDS)
+    n, v = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
+    frontier = table(grams.select("bucket", "keys", "counts").mapInArrow(_frontier(depth), "near int, bucket int, nodes binary"), "ctw-frontier")
+    root = frontier.groupBy("near").applyInArrow(_root_rows(depth), "node int, s double, zeros double, ones double").groupBy("node").agg(*[F.sum(c).alias(c) for c in ("s", "zeros", "ones")]).toArrow()
+    above = frontier.groupBy("near").applyInArrow(_above(depth, docs.sparkSession.sparkContext.broadcast(root_of(root))), "bucket int, above binary")
+    logs = grams.select("kind", "bucket", "keys", "counts").groupBy("bucket").cogroup(above.groupBy("bucket")).applyInArrow(_bucket_logs(depth), _MODEL)
+    model = logs.unionByName(words.select("kind", "bucket", "keys", "counts")).join(sizes, ["kind", "bucket"]).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    replies = lists.select("kind", "block", "bucket", "salt", "keys").groupBy("kind", "bucket", "salt").cogroup(model.groupBy("kind", "bucket", "salt")).applyInArrow(_reply, "kind int, block string, bucket int, reply binary")
+    scored = texts.select("block", "part", "keys").groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(
+        _scorer(depth, buckets, n, v), "id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, n_bytes long"
     )
     return scored.select(
-        F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(sums[0]).cast("long").alias("train_tokens"), "base_score", "score", "n_bytes",
+        F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score", "n_bytes",
         (-F.col("score") / F.col("n_bytes") / math.log10(2)).alias("bits_per_byte"),
     )
