@@ -9,8 +9,7 @@ all depths; a context that the training texts do not have is mixed in with its e
 What is gathered is the count of every distinct (DEPTH + 1)-gram of bytes, however many there are:
 
 1. each task cuts its input into blocks and writes, per block, the texts (compressed) and the block's distinct grams and
-   words with their training counts, dealt to buckets by a hash of the ``TOP`` nearest context bytes (words, as hashes of
-   96 bits, by those);
+   words with their training counts, dealt to buckets by a hash of the ``TOP`` nearest context bytes (words: of the word);
 2. a bucket's lists are merged in salted groups first, as many as its measured size asks for, then as one: what is left
    is bounded by the distinct grams of the bucket, however often they occur. A bucket has whole subtrees from depth ``TOP`` down;
 3. the levels above are sums of the buckets' rows: by nearest byte (at most 256^(TOP - 1) contexts each), then for the root.
@@ -29,6 +28,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +36,7 @@ from .common import crc_mod, release_memory, table
 
 DEPTH = 7
 #: A bucket has whole subtrees of nodes of this depth (one less than the depth of the tree, if that is smaller).
-TOP = 4
+TOP = 3
 #: Bytes of text in one block and in one of its parts, which also has at most 256 rows.
 BLOCK_BYTES, PART_BYTES, PART_ROWS = 16 << 20, 2 << 20, 256
 #: Bytes of packed lists in one salted group of a bucket.
@@ -44,6 +44,7 @@ GROUP_BYTES = 8 << 20
 _TEXTS, _GRAMS, _WORDS = 0, 1, 2
 _PACKED = "kind int, block string, bucket int, part int, keys binary, counts binary"
 _MODEL = "kind int, bucket int, keys binary, counts binary"
+_MERGED = "kind int, bucket int, salts int, keys binary, counts binary, n long, v long"
 _LOG_HALF = math.log(0.5)
 
 
@@ -52,43 +53,47 @@ def line(text: str | None) -> bytes:
     return b" ".join((text or "").encode("utf-8", "replace").lower().split()) + b"\n"
 
 
-def _weights(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Random multipliers of the first n places, always the same."""
-    return np.random.PCG64(1).random_raw(n), np.random.PCG64(2).random_raw(n)
-
-
-def words_of(lines: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of every word in these lines: the number of its line and two independent hashes, of 64 and of 32 bits."""
+def words_of(lines: bytes) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Of every word in these lines: the number of its line, and its place among the distinct words, which come third."""
     raw = np.frombuffer(lines, dtype=np.uint8)
     ends = np.flatnonzero((raw == 32) | (raw == 10))
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    size = ends - starts
     last = raw[ends] == 10
-    place = np.arange(len(raw), dtype=np.int32) - np.repeat(starts.astype(np.int32), size + 1)
-    value = raw.astype(np.uint64) + np.uint64(1)
-    value[ends] = 0
-    full = size > 0
-    h1, h2 = (np.add.reduceat(value * w[place], starts)[full] for w in _weights(int(size.max()) + 1))
-    return (np.cumsum(last) - last)[full], h1, (h2 >> np.uint64(32)).astype(np.uint32)
+    offsets = np.concatenate(([0], ends + 1))
+    raw = raw.copy()
+    raw[ends] = 32  # a word's bytes are taken with the space after it
+    found = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(raw)]).dictionary_encode()
+    full = np.diff(offsets) > 1
+    return (np.cumsum(last) - last)[full], found.indices.to_numpy()[full], found.dictionary
+
+
+#: The end of a text among the words, which have no line end in them.
+END = pa.array([b"\n"], pa.large_binary())
+
+
+def sums_of(words: list[pa.Array], counts: list[np.ndarray]) -> tuple[pa.Array, np.ndarray]:
+    """Distinct words, and the sums of their counts."""
+    found = pa.concat_arrays(words).dictionary_encode()
+    return found.dictionary, np.bincount(found.indices.to_numpy(), weights=np.concatenate(counts), minlength=len(found.dictionary)).astype(np.int64)
+
 
+def in_order(words: pa.Array, counts: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    order = pc.sort_indices(words)
+    return words.take(order), counts[order.to_numpy()]
 
-def word_sums(h1: np.ndarray, h2: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct words in order of their hashes, and the sums of their counts."""
-    order = np.argsort(h1)
-    a, b = h1[order], h2[order]
-    if ((a[1:] == a[:-1]) & (b[1:] != b[:-1])).any():
-        order = np.lexsort((h2, h1))
-        a, b = h1[order], h2[order]
-    first = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))) if len(a) else np.zeros(0, dtype=np.int64)
-    return a[first], b[first], np.add.reduceat(counts[order], first) if len(first) else counts[:0]
 
+def places_of(words: pa.Array, known: pa.Array) -> np.ndarray:
+    """Where each word stands among the known ones, which have them all."""
+    return pc.index_in(words, value_set=known).to_numpy()
 
-def places_of(h1: np.ndarray, h2: np.ndarray, known1: np.ndarray, known2: np.ndarray) -> np.ndarray:
-    """Where each word (ordered by h1) stands among the known ones, which have them all."""
-    at = np.searchsorted(known1, h1)
-    while (off := known2[at] != h2).any():
-        at[off] += 1
-    return at
+
+def word_hash(words: pa.Array) -> np.ndarray:
+    """A number of 32 bits of every word, always the same; it only deals words to buckets."""
+    offsets = np.frombuffer(words.buffers()[1], dtype=np.int64)[words.offset : words.offset + len(words) + 1]
+    raw = np.frombuffer(words.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]] if len(words) else np.zeros(0, dtype=np.uint8)
+    size = np.diff(offsets)
+    place = np.arange(len(raw)) - np.repeat(offsets[:-1] - offsets[0], size)
+    weights = np.random.PCG64(1).random_raw(int(size.max(initial=0)))
+    return np.add.reduceat(raw * weights[place], offsets[:-1] - offsets[0]) >> np.uint64(32) if len(words) else np.zeros(0, dtype=np.uint64)
 
 
 def keys_of(lines: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -153,14 +158,40 @@ def unpack_columns(raw: bytes, *kinds) -> tuple[np.ndarray, ...]:
     return tuple(unpack(c, int.from_bytes(n, "little"), kind) for c, kind in zip(columns, kinds, strict=True))
 
 
-def pack_keys(keys: tuple[np.ndarray, ...]) -> bytes:
-    """Grams (one array) or words (two); the first is in order, so its steps are stored."""
-    return pack_columns(np.diff(keys[0], prepend=np.uint64(0)), *keys[1:])
+def pack_grams(keys: np.ndarray) -> bytes:
+    """Grams in order: for each the number of leading bytes that it shares with the one before, and, by place, the bytes after those."""
+    rows = keys.astype(">u8").view(np.uint8).reshape(-1, 8)
+    new = np.ones(rows.shape, dtype=bool)
+    np.logical_or.accumulate(rows[1:] != rows[:-1], axis=1, out=new[1:])
+    shared = (8 - new.sum(1)).astype(np.uint8)
+    return _frame([len(keys).to_bytes(8, "little"), *[pa.compress(x.tobytes(), codec="zstd", asbytes=True) if len(x) else b"" for x in (shared, *[rows[new[:, k], k] for k in range(8)])]])
+
+
+def unpack_grams(raw: bytes) -> np.ndarray:
+    n, shared, *places = _parts(raw)
+    n = int.from_bytes(n, "little")
+    shared = unpack(shared, n, np.uint8)
+    keys = np.zeros(n, dtype=np.uint64)
+    for k, x in enumerate(places):
+        new = shared <= k
+        at = np.cumsum(new) - 1
+        keys |= unpack(x, int(at[-1]) + 1 if n else 0, np.uint8)[at].astype(np.uint64) << np.uint64(56 - 8 * k)
+    return keys
+
 
+def pack_words(words: pa.Array) -> bytes:
+    words = pa.concat_arrays([words])  # from offset 0 on
+    sizes = pc.binary_length(words).to_numpy().astype(np.int64)
+    raw = words.buffers()[2]
+    raw = raw.to_pybytes()[: int(sizes.sum())] if raw is not None else b""
+    return _frame([len(words).to_bytes(8, "little"), pack(sizes), pa.compress(raw, codec="zstd", asbytes=True)])
 
-def unpack_keys(raw: bytes, words: bool) -> tuple[np.ndarray, ...]:
-    first, *rest = unpack_columns(raw, np.uint64, np.uint32) if words else unpack_columns(raw, np.uint64)
-    return np.cumsum(first, dtype=np.uint64), *rest
+
+def unpack_words(raw: bytes) -> pa.Array:
+    n, sizes, text = _parts(raw)
+    n = int.from_bytes(n, "little")
+    offsets = np.concatenate(([0], np.cumsum(unpack(sizes, n, np.int64)))).astype(np.int64)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(pa.decompress(text, int(offsets[-1]), codec="zstd", asbytes=True))])
 
 
 def pack_logs(logs: np.ndarray) -> bytes:
@@ -179,8 +210,8 @@ def gram_bucket(keys: np.ndarray, depth: int, buckets: int) -> np.ndarray:
     return ((near >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
 
 
-def word_bucket(h1: np.ndarray, buckets: int) -> np.ndarray:
-    return ((h1 >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+def word_bucket(words: pa.Array, buckets: int) -> np.ndarray:
+    return (word_hash(words) * np.uint64(buckets)) >> np.uint64(32)
 
 
 def top_of(depth: int) -> int:
@@ -206,7 +237,7 @@ class _Block:
         self.depth = depth
         self.keys, self.counts = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
         self.late: list[tuple[np.ndarray, np.ndarray]] = []
-        self.words: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.words: list[tuple[pa.Array, np.ndarray]] = []
 
     def add(self, lines: list[bytes], held: list[bool]) -> None:
         for training in (True, False):
@@ -215,25 +246,24 @@ class _Block:
                 continue
             keys, counts = counted(keys_of(own, self.depth)[0])
             self.late.append((keys, counts if training else np.zeros_like(counts)))
-            _, h1, h2 = words_of(b"".join(own))
-            end = np.zeros(1, dtype=h1.dtype)  # the end's hashes are 0
-            ones = np.append(np.ones(len(h1), dtype=np.int64), len(own))
-            self.words.append(word_sums(np.append(h1, end), np.append(h2, end.astype(h2.dtype)), ones if training else ones * 0))
+            _, at, words = words_of(b"".join(own))
+            counts = np.append(np.bincount(at, minlength=len(words)), len(own))
+            self.words.append((pa.concat_arrays([words, END]), counts if training else np.zeros_like(counts)))
         if sum(len(k) for k, _ in self.late) > max(2_000_000, len(self.keys)):
             self.merge()
 
     def merge(self) -> None:
         self.keys, self.counts = summed(np.concatenate([self.keys, *[k for k, _ in self.late]]), np.concatenate([self.counts, *[c for _, c in self.late]]))
         self.late = []
-        self.words = [word_sums(*(np.concatenate(x) for x in zip(*self.words, strict=True)))]
+        self.words = [sums_of(*zip(*self.words, strict=True))]
 
     def rows(self, buckets: int):
         self.merge()
         for b, at in by_bucket(gram_bucket(self.keys, self.depth, buckets), buckets):
-            yield _GRAMS, b, pack_keys((self.keys[at],)), pack_columns(self.counts[at])
-        h1, h2, counts = self.words[0]
-        for b, at in by_bucket(word_bucket(h1, buckets), buckets):
-            yield _WORDS, b, pack_keys((h1[at], h2[at])), pack_columns(counts[at])
+            yield _GRAMS, b, pack_grams(self.keys[at]), pack_columns(self.counts[at])
+        words, counts = in_order(*self.words[0])
+        for b, at in by_bucket(word_bucket(words, buckets), buckets):
+            yield _WORDS, b, pack_words(words.take(pa.array(at))), pack_columns(counts[at])
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -309,27 +339,23 @@ def _packer(depth: int, buckets: int):
 # ---- merging a bucket's lists
 
 
-def _sum(words: bool, keys: tuple[np.ndarray, ...], counts: np.ndarray) -> tuple[tuple[np.ndarray, ...], np.ndarray]:
-    *keys, counts = word_sums(*keys, counts) if words else summed(*keys, counts)
-    return tuple(keys), counts
-
-
 def _merge(rows: pa.Table) -> pa.Table:
     """One row for all lists of a bucket or of one of its salted groups: distinct keys and the sums of their counts."""
-    kind, bucket = rows.column("kind")[0].as_py(), rows.column("bucket")[0].as_py()
-    words, held, size, done = kind == _WORDS, [], 0, 0
+    kind = rows.column("kind")[0].as_py()
+    unpacked, add = (unpack_words, sums_of) if kind == _WORDS else (unpack_grams, lambda k, c: summed(np.concatenate(k), np.concatenate(c)))
+    held, size, done = [], 0, 0
     for keys, counts in zip(rows.column("keys"), rows.column("counts"), strict=True):
-        held.append((*unpack_keys(keys.as_py(), words), unpack_columns(counts.as_py(), np.int64)[0]))
-        size += len(held[-1][0])
+        held.append((unpacked(keys.as_py()), unpack_columns(counts.as_py(), np.int64)[0]))
+        size += len(held[-1][1])
         if size > max(2_000_000, 2 * done):
-            *keys, counts = (np.concatenate(x) for x in zip(*held, strict=True))
-            keys, counts = _sum(words, keys, counts)
-            held, size, done = [(*keys, counts)], len(counts), len(counts)
-    *keys, counts = (np.concatenate(x) for x in zip(*held, strict=True))
-    keys, counts = _sum(words, keys, counts)
+            held = [add(*zip(*held, strict=True))]
+            size = done = len(held[0][1])
+    keys, counts = add(*zip(*held, strict=True))
+    if kind == _WORDS:
+        keys, counts = in_order(keys, counts)
     return pa.table({
-        "kind": pa.array([kind], pa.int32()), "bucket": pa.array([bucket], pa.int32()), "keys": pa.array([pack_keys(keys)], pa.binary()), "counts": pa.array([pack_columns(counts)], pa.binary()),
-        "n": pa.array([int(counts.sum())], pa.int64()), "v": pa.array([int((counts > 0).sum())], pa.int64()),
+        "kind": rows.column("kind")[:1], "bucket": rows.column("bucket")[:1], "salts": rows.column("salts")[:1], "keys": pa.array([(pack_words if kind == _WORDS else pack_grams)(keys)], pa.binary()),
+        "counts": pa.array([pack_columns(counts)], pa.binary()), "n": pa.array([int(counts.sum())], pa.int64()), "v": pa.array([int((counts > 0).sum())], pa.int64()),
     })
 
 
@@ -408,7 +434,7 @@ def _frontier(depth: int):
         for batch in batches:
             for bucket, keys, counts in zip(batch.column("bucket").to_pylist(), batch.column("keys"), batch.column("counts"), strict=True):
                 out = []
-                for j, (_, (node, log_w, zeros, ones)) in enumerate(subtrees(unpack_keys(keys.as_py(), False)[0], unpack_columns(counts.as_py(), np.int64)[0], depth, top)):
+                for j, (_, (node, log_w, zeros, ones)) in enumerate(subtrees(unpack_grams(keys.as_py()), unpack_columns(counts.as_py(), np.int64)[0], depth, top)):
                     place = (node >> np.uint64(8 + j)) << np.uint64(8) | np.uint64(1 << j) | (node & np.uint64((1 << j) - 1))
                     at, back = np.unique(place, return_inverse=True)
                     out.append((at, *[np.bincount(back, weights=x, minlength=len(at)) for x in (log_w, zeros, ones)]))
@@ -416,9 +442,9 @@ def _frontier(depth: int):
                 order = np.argsort(columns[0])
                 columns = [x[order] for x in columns]
                 near = columns[0] >> np.uint64(8 * (top - 1))
-                for lo, hi in zip(*[e.tolist() for e in _edges(near)], strict=True):
-                    row = [[int(near[lo])], [bucket], [pack_columns(*[x[lo:hi] for x in columns])]]
-                    yield pa.RecordBatch.from_arrays([pa.array(row[0], pa.int32()), pa.array(row[1], pa.int32()), pa.array(row[2], pa.binary())], names=["near", "bucket", "nodes"])
+                first, end = _edges(near)
+                nodes = [pack_columns(*[x[lo:hi] for x in columns]) for lo, hi in zip(first.tolist(), end.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(near[first].astype(np.int32)), pa.array([bucket] * len(nodes), pa.int32()), pa.array(nodes, pa.binary())], names=["near", "bucket", "nodes"])
 
     return run
 
@@ -497,7 +523,7 @@ def _bucket_logs(depth: int):
     def run(grams: pa.Table, above: pa.Table) -> pa.Table:
         if not grams.num_rows:
             return pa.table({"kind": pa.array([], pa.int32()), "bucket": pa.array([], pa.int32()), "keys": pa.array([], pa.binary()), "counts": pa.array([], pa.binary())})
-        keys = unpack_keys(grams.column("keys")[0].as_py(), False)[0]
+        keys = unpack_grams(grams.column("keys")[0].as_py())
         place, zero, one, below = (np.concatenate(x) for x in zip(*[_nodes_of(raw.as_py()) for raw in above.column("above")], strict=True))
         order = np.argsort(place)
         place, zero, one, below = (x[order] for x in (place, zero, one, below))
@@ -516,12 +542,12 @@ def _reply(asked: pa.Table, model: pa.Table) -> pa.Table:
     if not asked.num_rows:
         return pa.table({"kind": pa.array([], pa.int32()), "block": pa.array([], pa.string()), "bucket": pa.array([], pa.int32()), "reply": pa.array([], pa.binary())})
     words = asked.column("kind")[0].as_py() == _WORDS
-    keys = unpack_keys(model.column("keys")[0].as_py(), words)
     values = unpack_columns(model.column("counts")[0].as_py(), np.int64 if words else np.uint32)[0]
+    keys = (unpack_words if words else unpack_grams)(model.column("keys")[0].as_py())
     out = []
     for raw in asked.column("keys"):
-        own = unpack_keys(raw.as_py(), words)
-        out.append(pack_columns(values[places_of(*own, *keys) if words else np.searchsorted(keys[0], own[0])]))
+        at = places_of(unpack_words(raw.as_py()), keys) if words else np.searchsorted(keys, unpack_grams(raw.as_py()))
+        out.append(pack_columns(values[at]))
     return pa.table({"kind": asked.column("kind"), "block": asked.column("block"), "bucket": asked.column("bucket"), "reply": pa.array(out, pa.binary())})
 
 
@@ -533,22 +559,22 @@ def _scorer(depth: int, buckets: int, n: int, v: int):
         found = {(kind, bucket): k for k, (kind, bucket) in enumerate(zip(replies.column("kind").to_pylist(), replies.column("bucket").to_pylist(), strict=True))}
         reply = lambda kind, b: replies.column("reply")[found[kind, b]].as_py()
         keys, late = np.zeros(0, dtype=np.uint64), []
-        end = np.zeros(1, dtype=np.uint64)
-        words = [(end, end.astype(np.uint32), end.astype(np.int64))]
+        words = [(END, np.zeros(1, dtype=np.int64))]
         for k in order:  # the block's grams and words again, in the order in which it asked
             lines = _unpack_texts(texts.column("keys")[k].as_py())[2]
             late.append(counted(keys_of(lines.splitlines(keepends=True), depth)[0])[0])
             if sum(map(len, late)) > max(2_000_000, len(keys)):
                 keys, late = counted(np.concatenate([keys, *late]))[0], []
-            _, h1, h2 = words_of(lines)
-            words.append(word_sums(h1, h2, np.zeros(len(h1), dtype=np.int64)))
+            found_words = words_of(lines)[2]
+            words.append((found_words, np.zeros(len(found_words), dtype=np.int64)))
         keys, late = counted(np.concatenate([keys, *late]))[0], []
         logs = np.zeros(len(keys), dtype=np.float32)
         for b, at in by_bucket(gram_bucket(keys, depth, buckets), buckets):
             logs[at] = unpack_logs(reply(_GRAMS, b))
-        known1, known2, counts = word_sums(*(np.concatenate(x) for x in zip(*words, strict=True)))
-        for b, at in by_bucket(word_bucket(known1, buckets), buckets):
+        known, counts = in_order(*sums_of(*zip(*words, strict=True)))
+        for b, at in by_bucket(word_bucket(known, buckets), buckets):
             counts[at] = unpack_columns(reply(_WORDS, b), np.int64)[0]
+        end = places_of(END, known)[0]
         word_logs, word_known = np.log10(counts + 1.0) - base_unit, counts > 0
         out = []
         for k in order:
@@ -558,13 +584,12 @@ def _scorer(depth: int, buckets: int, n: int, v: int):
             first, at = _runs(own[by_key])
             values = logs[np.searchsorted(keys, own[by_key[first]])][at]
             scores, sizes = np.bincount(row[by_key], weights=values, minlength=len(ids)), np.bincount(row, minlength=len(ids))
-            row, h1, h2 = words_of(lines)
-            by_hash = np.argsort(h1)
-            at, row = places_of(h1[by_hash], h2[by_hash], known1, known2), row[by_hash]
+            row, at, distinct = words_of(lines)
+            at = pc.index_in(distinct, value_set=known).fill_null(0).to_numpy()[at]
             n, seen, base = (np.bincount(row, weights=w, minlength=len(ids)) for w in (None, word_known[at], word_logs[at]))
             out.append(pa.table({
-                "id": pa.array(ids, pa.int64()), "held_out": pa.array(held, pa.bool_()), "n_tokens": pa.array(n + 1, pa.int64()), "n_known": pa.array(seen.astype(np.int64) + int(word_known[0]), pa.int64()),
-                "base_score": pa.array(base + word_logs[0]), "score": pa.array(scores), "n_bytes": pa.array(sizes, pa.int64()),
+                "id": pa.array(ids, pa.int64()), "held_out": pa.array(held, pa.bool_()), "n_tokens": pa.array(n + 1, pa.int64()), "n_known": pa.array(seen.astype(np.int64) + int(word_known[end]), pa.int64()),
+                "base_score": pa.array(base + word_logs[end]), "score": pa.array(scores), "n_bytes": pa.array(sizes, pa.int64()),
             }))
         return pa.concat_tables(out)
 
@@ -590,8 +615,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth
     sizes = table(lists.groupBy("kind", "bucket").agg(F.ceil(F.sum(F.octet_length("keys") + F.octet_length("counts")) / GROUP_BYTES).cast("int").alias("salts")), "ctw-sizes")
     sizes = F.broadcast(sizes)  # at most 2 * buckets rows
     lists = lists.join(sizes, ["kind", "bucket"]).withColumn("salt", F.pmod(F.xxhash64("block"), F.col("salts")).cast("int"))
-    groups = lists.groupBy("kind", "bucket", "salt").applyInArrow(_merge, _MODEL + ", n long, v long")
-    merged = table(groups.groupBy("kind", "bucket").applyInArrow(_merge, _MODEL + ", n long, v long"), "ctw-merged", by="kind")
+    groups = table(lists.drop("block", "part").groupBy("kind", "bucket", "salt").applyInArrow(_merge, _MERGED), "ctw-groups", by="kind")
+    several = table(groups.filter("salts > 1").groupBy("kind", "bucket").applyInArrow(_merge, _MERGED), "ctw-merged", by="kind")
+    merged = groups.filter("salts = 1").unionByName(several)
     grams, words = merged.filter(F.col("kind") == _GRAMS), merged.filter(F.col("kind") == _WORDS)
     n, v = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
     frontier = table(grams.select("bucket", "keys", "counts").mapInArrow(_frontier(depth), "near int, bucket int, nodes binary"), "ctw-frontier")

@@ -3,11 +3,13 @@
 Pieces never reach over the mark that begins a word, so a text is encoded word by word. Each task sorts the distinct
 marked words of a block, which is a trie in depth-first order: a word keeps the forward states of the prefix it
 shares with the word before and computes only those of its own letters. A state is that of the best segmentation of
-the prefix and its last piece:
+the prefix: its last piece and where this begins, in flat arrays, so that a text without a space costs a few bytes a
+letter. The ids are read off backwards at a word's end.
 
-* unigram models: the largest sum of piece scores (Viterbi), ties to the longer last piece;
+* unigram models: the largest sum of piece scores (Viterbi); a state has its forward score, too. Ties go to the longer last piece;
 * merge (BPE) models: the segmentation that merging gives. Merging leaves two pieces side by side exactly if it leaves
-  them so on their own, so the last piece of a prefix is the one that is compatible with the state before it.
+  them so on their own, so the last piece of a prefix is the one that is compatible with the state before it; no scores
+  are added up, as merging has none for a whole segmentation.
 
 Both give the ids of the sentencepiece library. Characters without a piece become byte pieces or <unk>.
 """
@@ -15,6 +17,7 @@ Both give the ids of the sentencepiece library. Characters without a piece becom
 from __future__ import annotations
 
 import re
+from array import array
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -96,7 +99,7 @@ def load(path: str = MODEL_PATH) -> Vocabulary:
 
 
 class Encoder:
-    """Forward states of words in sorted order. A state is (last piece or -1, ids so far as bytes, score so far)."""
+    """Forward states of words in sorted order: the last piece of a prefix (-1 for a letter without one), its begin, and the score so far."""
 
     def __init__(self, vocabulary: Vocabulary) -> None:
         self.v = vocabulary
@@ -108,6 +111,7 @@ class Encoder:
         self.spelled = {i: p for p, i in vocabulary.names.items()}
         self.coded = {i: i.to_bytes(4, "little") for i in vocabulary.names.values()}
         self.unk = vocabulary.unk.to_bytes(4, "little")
+        self.piece, self.begin, self.score = array("i", [-1]), array("q", [0]), array("d", [0.0])
 
     def forget(self) -> None:
         """Drop all but the compatible pairs, which cost most to find."""
@@ -124,10 +128,20 @@ class Encoder:
             ok = self.pairs[key] = merged(a + b, self.v.names, self.v.scores) == [a, b]
         return ok
 
-    def _unknown(self, letter: str, before: tuple) -> bytes:
-        if self.v.bytes_at:
-            return before[1] + b"".join([self.v.bytes_at[b].to_bytes(4, "little") for b in letter.encode("utf-8", "replace")])
-        return before[1] if before[1].endswith(self.unk) and before[0] == -1 else before[1] + self.unk
+    def _read_off(self, word: str) -> bytes:
+        """The ids of a word whose states are there. Of neighbouring letters without a piece, a model without byte pieces makes one <unk>."""
+        piece, begin, coded, out, end = self.piece, self.begin, self.coded, [], len(word)
+        while end:
+            start, p = begin[end], piece[end]
+            if p >= 0:
+                out.append(coded[p])
+            elif self.v.bytes_at:
+                out.append(b"".join([self.v.bytes_at[b].to_bytes(4, "little") for b in word[start:end].encode("utf-8", "replace")]))
+            elif not start or piece[start] >= 0:
+                out.append(self.unk)
+            end = start
+        out.reverse()
+        return b"".join(out)
 
     def _candidates(self, last: str) -> tuple[tuple[int, int], ...]:
         """(size, id) of the pieces that can end at these last four letters (fewer: all there are), the largest first; the id of
@@ -140,8 +154,9 @@ class Encoder:
         self.last[last] = tuple(found)
         return self.last[last]
 
-    def _extend_merges(self, word: str, states: list[tuple], start: int) -> None:
-        ids, known, pairs, coded, fits, n = self.v.pieces.get, self.last.get, self.pairs.get, self.coded, self.fits, self.size
+    def _extend_merges(self, word: str, start: int) -> None:
+        ids, known, pairs, fits, n = self.v.pieces.get, self.last.get, self.pairs.get, self.fits, self.size
+        pieces, add, add_begin = self.piece, self.piece.append, self.begin.append
         for end in range(start + 1, len(word) + 1):
             last = word[end - 4 : end] if end > 3 else word[:end]
             for size, piece in known(last) or self._candidates(last):
@@ -149,45 +164,51 @@ class Encoder:
                     piece = ids(word[end - size : end], -1) if 1 < size <= end else -1
                     if piece < 0:
                         if size == 1:
-                            states.append((-1, self._unknown(word[end - 1 : end], states[end - 1])))
+                            add(-1)
+                            add_begin(end - 1)
                         continue
-                before = states[end - size]
-                if before[0] >= 0:
-                    ok = pairs(before[0] * n + piece)
-                    if not (fits(before[0], piece) if ok is None else ok):
+                before = pieces[end - size]
+                if before >= 0:
+                    ok = pairs(before * n + piece)
+                    if not (fits(before, piece) if ok is None else ok):
                         continue
-                states.append((piece, before[1] + coded[piece]))
+                add(piece)
+                add_begin(end - size)
                 break
 
-    def _extend_scores(self, word: str, states: list[tuple], start: int) -> None:
-        ids, known, scores, coded = self.v.pieces.get, self.last.get, self.v.scores, self.coded
+    def _extend_scores(self, word: str, start: int) -> None:
+        ids, known, scores, unk = self.v.pieces.get, self.last.get, self.v.scores, self.v.unk_score
+        forward, add, add_begin, add_score = self.score, self.piece.append, self.begin.append, self.score.append
         for end in range(start + 1, len(word) + 1):
-            last, best = word[end - 4 : end] if end > 3 else word[:end], None
+            last, chosen = word[end - 4 : end] if end > 3 else word[:end], None
             for size, piece in known(last) or self._candidates(last):
                 if piece < 0 and size > 1:
                     piece = ids(word[end - size : end], -1) if size <= end else -1
                     if piece < 0:
                         continue
-                total = states[end - size][2] + (scores[piece] if piece >= 0 else self.v.unk_score)
-                if best is None or total > best[2]:
-                    best = (piece, end - size, total)
-            piece, begin, total = best
-            before = states[begin]
-            states.append((piece, before[1] + coded[piece] if piece >= 0 else self._unknown(word[begin:end], before), total))
+                total = forward[end - size] + (scores[piece] if piece >= 0 else unk)
+                if chosen is None or total > best:
+                    chosen, begin, best = piece, end - size, total
+            add(chosen)
+            add_begin(begin)
+            add_score(best)
 
     def encode_sorted(self, words: list[str]):
         """(word, its ids as little-endian int32 bytes) for words in sorted order."""
-        states: list[tuple] = [(-1, b"", 0.0)]
+        states = (self.piece, self.begin) if self.v.merges else (self.piece, self.begin, self.score)
         extend = self._extend_merges if self.v.merges else self._extend_scores
         before = ""
         for word in words:
             shared, most = 0, min(len(before), len(word))
             while shared < most and before[shared] == word[shared]:
                 shared += 1
-            del states[shared + 1 :]
-            extend(word, states, shared)
-            yield word, states[-1][1]
+            for x in states:
+                del x[shared + 1 :]
+            extend(word, shared)
+            yield word, self._read_off(word)
             before = word
+        for x in states:
+            del x[1:]
 
 
 def fields_of(text: str | None) -> list[str]:

@@ -129,12 +129,15 @@ def test_held_out_texts_beat_the_base(spark, sf):
     assert found["avg(bits_per_byte)"] < 2.5
 
 
-def test_colliding_hashes_stay_apart():
+def test_lists_come_back_whole():
     import numpy as np
-
-    h1 = np.array([5, 3, 5, 5, 3], dtype=np.uint64)
-    h2 = np.array([1, 9, 2, 1, 9], dtype=np.uint32)
-    a, b, n = ctw.word_sums(h1, h2, np.ones(5, dtype=np.int64))
-    assert (a.tolist(), b.tolist(), n.tolist()) == ([3, 5, 5], [9, 1, 2], [2, 2, 1])
-    order = np.argsort(h1)
-    assert ctw.places_of(h1[order], h2[order], a, b).tolist() == [[0, 1, 2][{(3, 9): 0, (5, 1): 1, (5, 2): 2}[x, y]] for x, y in zip(h1[order].tolist(), h2[order].tolist(), strict=True)]
+    import pyarrow as pa
+
+    rng = np.random.default_rng(0)
+    for n in (0, 1, 5000):
+        keys = np.unique(rng.integers(0, 1 << 62, n, dtype=np.uint64) >> np.uint64(rng.integers(0, 40)))
+        assert ctw.unpack_grams(ctw.pack_grams(keys)).tolist() == keys.tolist()
+        words = pa.array([str(k).encode() * (k % 3) for k in keys.tolist()], pa.large_binary())
+        assert ctw.unpack_words(ctw.pack_words(words)).equals(words)
+    row, at, distinct = ctw.words_of(b"a bb a\n\nbb \xc3\xa9\n")
+    assert [(r, distinct[k].as_py()) for r, k in zip(row.tolist(), at.tolist(), strict=True)] == [(0, b"a "), (0, b"bb "), (0, b"a "), (2, b"bb "), (2, b"\xc3\xa9 ")]

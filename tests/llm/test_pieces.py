@@ -66,6 +66,44 @@ def test_unigram_viterbi_equals_brute_force():
         assert np.frombuffer(raw, dtype="<i4").tolist() == best(word)[1]
 
 
+def test_unigram_equals_the_library():
+    """The public pieces with scores of our own, as a unigram model: Viterbi gives the library's ids."""
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    model = pb.ModelProto.FromString(open(pieces.MODEL_PATH, "rb").read())
+    model.trainer_spec.model_type = 1
+    rng = np.random.default_rng(0)
+    for k, piece in enumerate(model.pieces):
+        piece.score = -np.log(k + 10.0) - rng.random() * 1e-3  # no ties
+    library = sentencepiece.SentencePieceProcessor(model_proto=model.SerializeToString())
+    ids = {p.piece: k for k, p in enumerate(model.pieces) if p.type == 1}
+    byte_ids = [k for k, p in enumerate(model.pieces) if p.type == 6]
+    v = pieces.Vocabulary(ids, [library.get_score(k) for k in range(len(model.pieces))], [], byte_ids, 0, False)
+    texts = [*CASES, "the unbelievable characterisation of internationally renowned words", "Größenordnung naïveté überhaupt", "wordword " * 50]
+    assert [x.tolist() for x in pieces.encode_texts(texts, pieces.Encoder(v))] == library.encode(texts)
+
+
+@pytest.mark.parametrize("alphabet", ["abcdefghijklmnopqrstuvwxyz0123456789+/", "".join(map(chr, range(0x4E00, 0x4E00 + 3000)))])
+def test_a_million_letters_without_a_space(alphabet):
+    """Memory and time are linear in a word's length."""
+    import random
+    import time
+    import tracemalloc
+
+    rng = random.Random(1)
+    word = "".join(rng.choices(alphabet, k=1_000_000))
+    began = time.time()
+    tracemalloc.start()
+    found = pieces.encode_texts([word[:200_000]], pieces.Encoder(VOCABULARY))[0]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6
+    whole = pieces.encode_texts([word], pieces.Encoder(VOCABULARY))[0]
+    assert pieces.decode_ids(whole, VOCABULARY.spelled) == word
+    assert pieces.decode_ids(found, VOCABULARY.spelled) == word[:200_000]
+    assert time.time() - began < 120
+
+
 def test_awkward_and_empty(spark):
     docs = awkward(spark)
     found = pieces.decode(pieces.encode(docs))
