@@ -112,18 +112,48 @@ def keys_of(lines: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
 
 def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys in order, and the sums of their counts."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys = keys[order]
     first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.array([], dtype=np.int64)
     return keys[first], np.add.reduceat(counts[order], first) if len(first) else counts[:0]
 
 
-def counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    keys = np.sort(keys)
+def counted(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and how often they occur."""
+    keys = np.concatenate([np.zeros(0, dtype=np.uint64), *keys])
+    keys.sort()
     first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.array([], dtype=np.int64)
     return keys[first], np.diff(np.append(first, len(keys)))
 
 
+class Counter:
+    """Counts keys as they come: ``HELD`` of them are sorted at a time."""
+
+    HELD = 6_000_000
+
+    def __init__(self) -> None:
+        self.raw: list[np.ndarray] = []
+        self.size = 0
+        self.done: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add(self, keys: np.ndarray) -> None:
+        self.raw.append(keys)
+        self.size += len(keys)
+        if self.size > self.HELD:
+            self.sort()
+
+    def sort(self) -> None:
+        raw, self.raw, self.size = self.raw, [], 0
+        self.done.append(counted(raw))
+        if len(self.done) > 4:
+            self.done = [self.result()]
+
+    def result(self) -> tuple[np.ndarray, np.ndarray]:
+        if self.raw or not self.done:
+            self.sort()
+        return self.done[0] if len(self.done) == 1 else summed(*(np.concatenate(x) for x in zip(*self.done, strict=True)))
+
+
 def pack(values: np.ndarray) -> bytes:
     """Numbers, compressed by byte planes."""
     return pa.compress(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes(), codec="zstd", asbytes=True) if len(values) else b""
@@ -220,7 +250,7 @@ def top_of(depth: int) -> int:
 
 def by_bucket(bucket: np.ndarray, buckets: int):
     """(bucket, positions of its keys in order), for buckets that have any."""
-    order = np.argsort(bucket.astype(np.uint32), kind="stable")
+    order = np.argsort(bucket.astype(np.uint16 if buckets <= 1 << 16 else np.uint32), kind="stable")
     edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
     for b in range(buckets):
         if edges[b] < edges[b + 1]:
@@ -235,26 +265,23 @@ class _Block:
 
     def __init__(self, depth: int) -> None:
         self.depth = depth
-        self.keys, self.counts = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
-        self.late: list[tuple[np.ndarray, np.ndarray]] = []
+        self.grams = {training: Counter() for training in (True, False)}
         self.words: list[tuple[pa.Array, np.ndarray]] = []
 
     def add(self, lines: list[bytes], held: list[bool]) -> None:
-        for training in (True, False):
+        for training, grams in self.grams.items():
             own = [t for t, h in zip(lines, held, strict=True) if h != training]
             if not own:
                 continue
-            keys, counts = counted(keys_of(own, self.depth)[0])
-            self.late.append((keys, counts if training else np.zeros_like(counts)))
+            grams.add(keys_of(own, self.depth)[0])
             _, at, words = words_of(b"".join(own))
             counts = np.append(np.bincount(at, minlength=len(words)), len(own))
             self.words.append((pa.concat_arrays([words, END]), counts if training else np.zeros_like(counts)))
-        if sum(len(k) for k, _ in self.late) > max(2_000_000, len(self.keys)):
-            self.merge()
 
     def merge(self) -> None:
-        self.keys, self.counts = summed(np.concatenate([self.keys, *[k for k, _ in self.late]]), np.concatenate([self.counts, *[c for _, c in self.late]]))
-        self.late = []
+        keys, counts = self.grams[True].result()
+        asked = self.grams[False].result()[0]
+        self.keys, self.counts = summed(np.concatenate([keys, asked]), np.concatenate([counts, np.zeros(len(asked), dtype=counts.dtype)]))
         self.words = [sums_of(*zip(*self.words, strict=True))]
 
     def rows(self, buckets: int):
@@ -383,7 +410,7 @@ def weighted(own: np.ndarray, children: np.ndarray) -> tuple[np.ndarray, np.ndar
 def _runs(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where each distinct key starts, and the number of its run for every place."""
     new = np.concatenate(([True], sorted_keys[1:] != sorted_keys[:-1]))
-    return np.flatnonzero(new), np.cumsum(new) - 1
+    return np.flatnonzero(new), np.cumsum(new, dtype=np.int32) - 1
 
 
 def subtrees(keys: np.ndarray, counts: np.ndarray, depth: int, top: int):
@@ -558,34 +585,35 @@ def _scorer(depth: int, buckets: int, n: int, v: int):
         order = sorted(range(texts.num_rows), key=lambda k: texts.column("part")[k].as_py())
         found = {(kind, bucket): k for k, (kind, bucket) in enumerate(zip(replies.column("kind").to_pylist(), replies.column("bucket").to_pylist(), strict=True))}
         reply = lambda kind, b: replies.column("reply")[found[kind, b]].as_py()
-        keys, late = np.zeros(0, dtype=np.uint64), []
-        words = [(END, np.zeros(1, dtype=np.int64))]
+        grams = Counter()
+        words = [END]
         for k in order:  # the block's grams and words again, in the order in which it asked
             lines = _unpack_texts(texts.column("keys")[k].as_py())[2]
-            late.append(counted(keys_of(lines.splitlines(keepends=True), depth)[0])[0])
-            if sum(map(len, late)) > max(2_000_000, len(keys)):
-                keys, late = counted(np.concatenate([keys, *late]))[0], []
-            found_words = words_of(lines)[2]
-            words.append((found_words, np.zeros(len(found_words), dtype=np.int64)))
-        keys, late = counted(np.concatenate([keys, *late]))[0], []
+            grams.add(keys_of(lines.splitlines(keepends=True), depth)[0])
+            words.append(words_of(lines)[2])
+        keys, grams = grams.result()[0], None
         logs = np.zeros(len(keys), dtype=np.float32)
         for b, at in by_bucket(gram_bucket(keys, depth, buckets), buckets):
             logs[at] = unpack_logs(reply(_GRAMS, b))
-        known, counts = in_order(*sums_of(*zip(*words, strict=True)))
+        found_words = pa.concat_arrays(words).dictionary_encode()
+        by_name = pc.sort_indices(found_words.dictionary)
+        known, counts = found_words.dictionary.take(by_name), np.zeros(len(by_name), dtype=np.int64)
         for b, at in by_bucket(word_bucket(known, buckets), buckets):
             counts[at] = unpack_columns(reply(_WORDS, b), np.int64)[0]
-        end = places_of(END, known)[0]
+        counts[by_name.to_numpy()] = counts.copy()  # in the order of the dictionary
+        end, *places = np.split(found_words.indices.to_numpy(), np.cumsum([len(w) for w in words])[:-1])  # each part's words in the dictionary
+        end = int(end[0])
         word_logs, word_known = np.log10(counts + 1.0) - base_unit, counts > 0
         out = []
-        for k in order:
+        for k, place in zip(order, places, strict=True):
             ids, held, lines = _unpack_texts(texts.column("keys")[k].as_py())
             own, row = keys_of(lines.splitlines(keepends=True), depth)
             by_key = np.argsort(own)
             first, at = _runs(own[by_key])
             values = logs[np.searchsorted(keys, own[by_key[first]])][at]
             scores, sizes = np.bincount(row[by_key], weights=values, minlength=len(ids)), np.bincount(row, minlength=len(ids))
-            row, at, distinct = words_of(lines)
-            at = pc.index_in(distinct, value_set=known).fill_null(0).to_numpy()[at]
+            row, at, _ = words_of(lines)
+            at = place[at]
             n, seen, base = (np.bincount(row, weights=w, minlength=len(ids)) for w in (None, word_known[at], word_logs[at]))
             out.append(pa.table({
                 "id": pa.array(ids, pa.int64()), "held_out": pa.array(held, pa.bool_()), "n_tokens": pa.array(n + 1, pa.int64()), "n_known": pa.array(seen.astype(np.int64) + int(word_known[end]), pa.int64()),
