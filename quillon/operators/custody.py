@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 SCOPES = ["library-view", "derived-artifacts", "execution-state", "canonical-transcript", "research-notes", "saved-searches", "source-recording"]
 IMPLIED = {"canonical-transcript": ["library-view", "derived-artifacts", "execution-state"]}
 COMPLETED, RUNNING = "completed", "running"
+#: First lines of what tokens are made from (fixed values).
+DELETE_HEAD, RETENTION_HEAD = "delete-v1", "retention-v1"
 
 
 def effective_scopes(requested: list[str]) -> list[str]:
@@ -33,43 +35,51 @@ def retention_candidates(jobs: DataFrame, cutoff: Column, include_incomplete: bo
 
 
 def retention_token(candidates: DataFrame, days: int, include_incomplete: bool) -> DataFrame:
-    """One row: candidates, confirmation_token. Lines are digested in 4096 groups by job id, so that no task reads them all."""
-    line = F.concat_ws(":", F.col("job_id").cast("string"), "status", F.date_format("updated_at", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+    """One row: candidates, confirmation_token, bound to every candidate's id, status, time and workspace_path.
+
+    Lines are digested in 4096 groups by job id, so that no task reads them all."""
+    line = F.concat_ws(":", F.col("job_id").cast("string"), "status", F.date_format("updated_at", "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.coalesce("workspace_path", F.lit("")))
     group = F.substring(F.sha2(F.col("job_id").cast("string"), 256), 1, 3)
     parts = candidates.select(group.alias("g"), line.alias("l")).groupBy("g").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("l")), "\n"), 256).alias("h"), F.count(F.lit(1)).alias("n"))
-    head = F.array(F.lit("retention-v1"), F.lit(str(days)), F.lit(str(include_incomplete)))
+    head = F.array(F.lit(RETENTION_HEAD), F.lit(str(days)), F.lit(str(include_incomplete)))
     whole = parts.agg(F.array_sort(F.collect_list(F.concat("g", "h"))).alias("s"), F.coalesce(F.sum("n"), F.lit(0)).alias("candidates"))
     return whole.select("candidates", token(F.concat(head, F.col("s")), "retention", 24).alias("confirmation_token"))
 
 
+#: What becomes of a line of a deletion plan.
+ACTION, PRESERVED, AFFECTED = "action", "preserved", "affected"
+
+
 def deletion_actions(documents: DataFrame, notes: DataFrame, saved: DataFrame, scopes: list[str]) -> DataFrame:
-    """(document_id, target, object_id, preserved): what goes with each document, and the notes that stay although it goes.
+    """(document_id, target, object_id, fate): what goes with each document ("action"), the notes that stay although it goes
+    ("preserved"), and the saved searches that name it and stay ("affected").
 
     ``notes``: note_id, document_id; ``saved``: saved_search_id, document_id (a row per document that it names)."""
     effective = effective_scopes(scopes)
     own = [s for s in effective if s not in ("research-notes", "saved-searches")]
-    rows = documents.select("document_id", F.explode(F.array(*[F.lit(s) for s in own]).cast("array<string>")).alias("target"), F.col("document_id").cast("string").alias("object_id"), F.lit(False).alias("preserved"))
-    kept = "research-notes" not in effective
-    noted = notes.join(documents.select("document_id"), "document_id", "left_semi")
-    rows = rows.unionByName(noted.select("document_id", F.lit("research-note").alias("target"), F.col("note_id").cast("string").alias("object_id"), F.lit(kept).alias("preserved")))
-    if "saved-searches" in effective:
-        named = saved.join(documents.select("document_id"), "document_id", "left_semi")
-        rows = rows.unionByName(named.select("document_id", F.lit("saved-search").alias("target"), F.col("saved_search_id").cast("string").alias("object_id"), F.lit(False).alias("preserved")))
+    rows = documents.select("document_id", F.explode(F.array(*[F.lit(s) for s in own]).cast("array<string>")).alias("target"), F.col("document_id").cast("string").alias("object_id"), F.lit(ACTION).alias("fate"))
+    for table, name, target, scope, otherwise in ((notes, "note_id", "research-note", "research-notes", PRESERVED), (saved, "saved_search_id", "saved-search", "saved-searches", AFFECTED)):
+        named = table.join(documents.select("document_id"), "document_id", "left_semi")
+        rows = rows.unionByName(named.select("document_id", F.lit(target).alias("target"), F.col(name).cast("string").alias("object_id"), F.lit(ACTION if scope in effective else otherwise).alias("fate")))
     return rows
 
 
 def deletion_plans(actions: DataFrame, documents: DataFrame, scopes: list[str]) -> DataFrame:
-    """Per document: n_actions, n_preserved, confirmation_token (bound to its generation and every line of the plan).
+    """Per document: n_actions, n_preserved, n_affected, confirmation_token, bound to its generation, to the scopes as asked and
+    as they take effect, and to every line of the plan.
 
     Lines are digested in 256 groups of each document first: a document may have a third of all notes."""
-    line = F.concat_ws(":", F.when(F.col("preserved"), "preserved").otherwise("action"), "target", "object_id")
-    rows = actions.select("document_id", F.substring(F.sha2(line, 256), 1, 2).alias("g"), line.alias("l"), (~F.col("preserved")).cast("long").alias("a"), F.col("preserved").cast("long").alias("p"))
-    groups = rows.groupBy("document_id", "g").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("l")), "\n"), 256).alias("h"), F.sum("a").alias("a"), F.sum("p").alias("p"))
-    per = groups.groupBy("document_id").agg(F.array_sort(F.collect_list(F.concat("g", "h"))).alias("l"), F.sum("a").alias("n_actions"), F.sum("p").alias("n_preserved"))
-    head = [F.lit("delete-v1"), F.col("document_id").cast("string"), F.col("canonical_sha256"), *[F.lit(f"effective:{s}") for s in effective_scopes(scopes)]]
+    line = F.concat_ws(":", "fate", "target", "object_id")
+    counts = {name: (F.col("fate") == fate).cast("long").alias(name) for name, fate in (("n_actions", ACTION), ("n_preserved", PRESERVED), ("n_affected", AFFECTED))}
+    rows = actions.select("document_id", F.substring(F.sha2(line, 256), 1, 2).alias("g"), line.alias("l"), *counts.values())
+    sums = [F.sum(n).alias(n) for n in counts]
+    groups = rows.groupBy("document_id", "g").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("l")), "\n"), 256).alias("h"), *sums)
+    per = groups.groupBy("document_id").agg(F.array_sort(F.collect_list(F.concat("g", "h"))).alias("l"), *sums)
+    asked = [F.lit(f"requested:{s}") for s in SCOPES if s in scopes]
+    head = [F.lit(DELETE_HEAD), F.col("document_id").cast("string"), F.col("canonical_sha256"), *asked, *[F.lit(f"effective:{s}") for s in effective_scopes(scopes)]]
     digest = F.substring(F.sha2(F.array_join(F.concat(F.array(*head), F.col("l")), "\n"), 256), 1, 16)
     out = documents.select("document_id", "canonical_sha256").join(per, "document_id")
-    return out.select("document_id", "n_actions", "n_preserved", F.concat_ws(":", F.lit("delete"), F.col("document_id").cast("string"), F.substring("canonical_sha256", 1, 12), digest).alias("confirmation_token"))
+    return out.select("document_id", *counts, F.concat_ws(":", F.lit("delete"), F.col("document_id").cast("string"), F.substring("canonical_sha256", 1, 12), digest).alias("confirmation_token"))
 
 
 def volume_admission(needs: DataFrame) -> DataFrame:

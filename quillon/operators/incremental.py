@@ -27,10 +27,23 @@ def to_hash(listing: DataFrame, known: DataFrame, verify: bool = False) -> DataF
     return listing.join(known.select("path", "size", "modified_ns"), ["path", "size", "modified_ns"], "left_anti")
 
 
-def apply_delta(base: DataFrame, upserts: DataFrame, removals: DataFrame, key: str = "document_id") -> DataFrame:
-    """``base`` without touched keys, and the upserts. A key in both lists, or twice in the upserts, is an error."""
-    if not upserts.select(key).intersect(removals.select(key)).isEmpty():
-        raise ValueError("a key is both upserted and removed")
+def delta_problems(upserted: DataFrame, removed: DataFrame, key: str = "document_id") -> DataFrame:
+    """(key, problem) for what makes a delta invalid: an upsert or a removal that is listed twice ("duplicate upsert",
+    "duplicate removal"), a blank or null key ("blank"), a key in both lists ("both"). Lists have a row per key."""
+    rows = upserted.select(F.col(key), F.lit(1).alias("u"), F.lit(0).alias("r")).unionByName(removed.select(F.col(key), F.lit(0).alias("u"), F.lit(1).alias("r")))
+    counts = rows.groupBy(key).agg(F.sum("u").alias("u"), F.sum("r").alias("r"))
+    blank = F.trim(F.coalesce(F.col(key).cast("string"), F.lit(""))) == ""
+    named = [(F.col("u") > 1, "duplicate upsert"), (F.col("r") > 1, "duplicate removal"), (blank, "blank"), ((F.col("u") > 0) & (F.col("r") > 0), "both")]
+    return counts.select(key, F.explode(F.array_compact(F.array(*[F.when(when, F.lit(name)) for when, name in named]))).alias("problem"))
+
+
+def apply_delta(base: DataFrame, upserts: DataFrame, removals: DataFrame, key: str = "document_id", upserted: DataFrame | None = None) -> DataFrame:
+    """``base`` without touched keys, and the upserts. An invalid delta (see :func:`delta_problems`) is an error.
+
+    ``upserted`` lists the upserted keys where ``upserts`` has several rows for one, as segments of a document."""
+    bad = delta_problems(upserts if upserted is None else upserted, removals, key).limit(5).collect()
+    if bad:
+        raise ValueError("invalid delta: " + ", ".join(f"{r[0]!r} ({r[1]})" for r in bad))
     touched = upserts.select(key).unionByName(removals.select(key)).distinct()
     return base.join(touched, key, "left_anti").unionByName(upserts)
 
@@ -54,10 +67,14 @@ def batch_after(log: DataFrame, watermark: int, size: int = BATCH) -> DataFrame:
     return log.filter(F.col("sequence_id") > watermark).orderBy("sequence_id").limit(size)
 
 
-def has_gap(log: DataFrame, watermark: int) -> bool:
-    """Whether the log no longer has the change after the watermark, so that only a rebuild helps."""
+def has_gap(log: DataFrame, watermark: int, current: int | None = None) -> bool:
+    """Whether the log no longer has the change after the watermark, so that only a rebuild helps.
+
+    ``current`` is the authority's sequence: when it is past the watermark and the log is empty, that is a gap too."""
     oldest = log.agg(F.min("sequence_id")).first()[0]
-    return oldest is not None and oldest > watermark + 1
+    if oldest is None:
+        return current is not None and current > watermark
+    return oldest > watermark + 1 and (current is None or current > watermark)
 
 
 def compacted(log: DataFrame, through: int, retain: int = RETAIN) -> DataFrame:

@@ -117,29 +117,24 @@ def elapsed_format(spark, sf_dir):
     return rows.select("document_id", "segment_id", D.elapsed(F.col("end_seconds")).alias("elapsed"), D.short_clock(F.col("end_seconds")).alias("short"))
 
 
-@query("""WITH d AS (SELECT doc_id AS document_id, regexp_replace(substr(text, 1, 24), '[^\\p{L}\\p{N} ._\\-()]', '_', 'g') AS c FROM documents)
-  , e AS (SELECT document_id, c, CASE WHEN rtrim(c, ' .') = '' THEN '_' ELSE rtrim(c, ' .') END AS t FROM d)
-  SELECT document_id, CASE WHEN c IN ('', '.', '..') THEN repeat('_', greatest(1, length(c))) WHEN regexp_matches(upper(regexp_replace(t, '^(.+)\\.[^.]*$', '\\1')), '^(CON|PRN|AUX|NUL|COM[1-9]|LPT[1-9])$') THEN '_' || t ELSE t END AS file_name FROM e""")
-def file_names(spark, sf_dir):
-    """Artifact names from the first characters of a text."""
-    return views.documents(spark, sf_dir).select("document_id", T.file_name(F.substring("text", 1, 24)).alias("file_name"))
-
-
 @query("""WITH d AS (SELECT doc_id AS document_id, regexp_replace(text, '[^\\p{L}\\p{N} ._\\-()]', '_', 'g') AS c FROM documents)
   , e AS (SELECT document_id, c, CASE WHEN rtrim(c, ' .') = '' THEN '_' ELSE rtrim(c, ' .') END AS t FROM d)
   SELECT document_id, CASE WHEN c IN ('', '.', '..') THEN repeat('_', greatest(1, length(c))) WHEN regexp_matches(upper(regexp_replace(t, '^(.+)\\.[^.]*$', '\\1')), '^(CON|PRN|AUX|NUL|COM[1-9]|LPT[1-9])$') THEN '_' || t ELSE t END AS file_name FROM e""")
-def file_names_whole(spark, sf_dir):
+def file_names(spark, sf_dir):
     """Artifact names from whole texts."""
     return views.documents(spark, sf_dir).select("document_id", T.file_name(F.col("text")).alias("file_name"))
 
 
+QUERIES["file_names_whole"], ORACLES["file_names_whole"] = QUERIES["file_names"], ORACLES["file_names"]
+
+
 # ---- custody: orders are jobs, their date the last update
 
 
 def _jobs(spark, sf_dir) -> DataFrame:
     orders = views.read(spark, sf_dir, "orders")
     status = F.when(F.col("o_orderstatus") == "O", "running").when(F.col("o_orderstatus") == "F", "completed").otherwise("failed")
-    return orders.select(F.col("o_orderkey").alias("job_id"), status.alias("status"), F.col("o_orderdate").alias("updated_at"))
+    return orders.select(F.col("o_orderkey").alias("job_id"), status.alias("status"), F.col("o_orderdate").alias("updated_at"), F.concat(F.lit("jobs/"), F.col("o_orderkey").cast("string")).alias("workspace_path"))
 
 
 def _candidates(spark, sf_dir) -> DataFrame:
@@ -160,7 +155,7 @@ def retention_plan(spark, sf_dir):
     return rows.select("job_id", "status", F.date_format("updated_at", "yyyy-MM-dd HH:mm:ss").alias("updated_at"), "resume_lost")
 
 
-@query(f"""WITH {_JOBS}, l AS (SELECT substr(sha256(job_id::VARCHAR), 1, 3) AS g, job_id || ':' || status || ':' || strftime(updated_at, '%Y-%m-%d %H:%M:%S.%f') AS l FROM cand),
+@query(f"""WITH {_JOBS}, l AS (SELECT substr(sha256(job_id::VARCHAR), 1, 3) AS g, job_id || ':' || status || ':' || strftime(updated_at, '%Y-%m-%d %H:%M:%S.%f') || ':jobs/' || job_id AS l FROM cand),
   h AS (SELECT g, sha256(string_agg(l, chr(10) ORDER BY l)) AS h, count(*) AS n FROM l GROUP BY g)
   SELECT sum(n)::BIGINT AS candidates, 'retention:' || substr(sha256('retention-v1' || chr(10) || '30' || chr(10) || 'True' || chr(10) || string_agg(g || h, chr(10) ORDER BY g || h)), 1, 24) AS confirmation_token FROM h""")
 def retention_token(spark, sf_dir):
@@ -170,35 +165,48 @@ def retention_token(spark, sf_dir):
 _REQUESTED = ["canonical-transcript", "saved-searches"]
 
 
-def _actions(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+def _actions(spark, sf_dir, scopes: list[str]) -> tuple[DataFrame, DataFrame]:
     docs = views.documents(spark, sf_dir)
     notes = views.notes(spark, sf_dir).select("note_id", "document_id")
     saved = views.read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("saved_search_id"), F.explode(F.array(F.col("item_id"), F.col("item_id") + 7)).alias("document_id"))
-    return custody.deletion_actions(docs, notes, saved, _REQUESTED), docs
+    return custody.deletion_actions(docs, notes, saved, scopes), docs
 
 
+_LINES = """
+  UNION ALL SELECT user_id, 'research-note', event_id::VARCHAR, 'preserved' FROM events WHERE user_id IN (SELECT doc_id FROM documents)
+  UNION ALL SELECT document_id, 'saved-search', id, '{fate}' FROM (SELECT item_id::VARCHAR AS id, unnest([item_id, item_id + 7]) AS document_id FROM benchmark) WHERE document_id IN (SELECT doc_id FROM documents))"""
 _ACTIONS = """a AS (
-  SELECT doc_id AS document_id, unnest(['library-view', 'derived-artifacts', 'execution-state', 'canonical-transcript']) AS target, doc_id::VARCHAR AS object_id, false AS preserved FROM documents
-  UNION ALL SELECT user_id, 'research-note', event_id::VARCHAR, true FROM events WHERE user_id IN (SELECT doc_id FROM documents)
-  UNION ALL SELECT document_id, 'saved-search', id, false FROM (SELECT item_id::VARCHAR AS id, unnest([item_id, item_id + 7]) AS document_id FROM benchmark) WHERE document_id IN (SELECT doc_id FROM documents))"""
+  SELECT doc_id AS document_id, unnest(['library-view', 'derived-artifacts', 'execution-state', 'canonical-transcript']) AS target, doc_id::VARCHAR AS object_id, 'action' AS fate FROM documents""" + _LINES.format(fate="action")
+_VIEW_ACTIONS = "a AS (SELECT doc_id AS document_id, 'library-view' AS target, doc_id::VARCHAR AS object_id, 'action' AS fate FROM documents" + _LINES.format(fate="affected")
 
 
-@query(f"WITH {_ACTIONS} SELECT document_id, target, object_id, preserved FROM a")
+@query(f"WITH {_ACTIONS} SELECT document_id, target, object_id, fate FROM a")
 def deletion_actions(spark, sf_dir):
-    return _actions(spark, sf_dir)[0]
+    return _actions(spark, sf_dir, _REQUESTED)[0]
+
 
+def _plan_sql(actions: str, scopes: list[str]) -> str:
+    head = " || chr(10) || ".join(f"'{s}'" for s in scopes)
+    return f"""WITH {actions}, l AS (SELECT *, fate || ':' || target || ':' || object_id AS l FROM a),
+  g AS (SELECT document_id, substr(sha256(l), 1, 2) AS g, sha256(string_agg(l, chr(10) ORDER BY l)) AS h, count(*) FILTER (fate = 'action') AS a, count(*) FILTER (fate = 'preserved') AS p, count(*) FILTER (fate = 'affected') AS f FROM l GROUP BY ALL),
+  p AS (SELECT document_id, string_agg(g || h, chr(10) ORDER BY g || h) AS l, sum(a)::BIGINT AS n_actions, sum(p)::BIGINT AS n_preserved, sum(f)::BIGINT AS n_affected FROM g GROUP BY document_id)
+  SELECT p.document_id, n_actions, n_preserved, n_affected, 'delete:' || p.document_id || ':' || substr(sha256(text), 1, 12) || ':' || substr(sha256('delete-v1' || chr(10) || p.document_id || chr(10) || sha256(text) || chr(10)
+    || {head} || chr(10) || l), 1, 16) AS confirmation_token FROM p JOIN documents ON doc_id = document_id"""
 
-@query(f"""WITH {_ACTIONS}, l AS (SELECT *, CASE WHEN preserved THEN 'preserved' ELSE 'action' END || ':' || target || ':' || object_id AS l FROM a),
-  g AS (SELECT document_id, substr(sha256(l), 1, 2) AS g, sha256(string_agg(l, chr(10) ORDER BY l)) AS h, count(*) FILTER (NOT preserved) AS a, count(*) FILTER (preserved) AS p FROM l GROUP BY ALL),
-  p AS (SELECT document_id, string_agg(g || h, chr(10) ORDER BY g || h) AS l, sum(a)::BIGINT AS n_actions, sum(p)::BIGINT AS n_preserved FROM g GROUP BY document_id)
-  SELECT p.document_id, n_actions, n_preserved, 'delete:' || p.document_id || ':' || substr(sha256(text), 1, 12) || ':' || substr(sha256('delete-v1' || chr(10) || p.document_id || chr(10) || sha256(text) || chr(10)
-    || 'effective:library-view' || chr(10) || 'effective:derived-artifacts' || chr(10) || 'effective:execution-state' || chr(10) || 'effective:canonical-transcript' || chr(10) || 'effective:saved-searches' || chr(10) || l), 1, 16) AS confirmation_token
-  FROM p JOIN documents ON doc_id = document_id""")
+
+@query(_plan_sql(_ACTIONS, ["requested:canonical-transcript", "requested:saved-searches", "effective:library-view", "effective:derived-artifacts", "effective:execution-state", "effective:canonical-transcript", "effective:saved-searches"]))
 def deletion_plan(spark, sf_dir):
-    actions, docs = _actions(spark, sf_dir)
+    actions, docs = _actions(spark, sf_dir, _REQUESTED)
     return custody.deletion_plans(actions, docs, _REQUESTED)
 
 
+@query(_plan_sql(_VIEW_ACTIONS, ["requested:library-view", "effective:library-view"]))
+def deletion_plan_of_views(spark, sf_dir):
+    """Only the views go; saved searches that name a document are affected."""
+    actions, docs = _actions(spark, sf_dir, ["library-view"])
+    return custody.deletion_plans(actions, docs, ["library-view"])
+
+
 @query("SELECT l_shipdate::DATE::VARCHAR AS volume, sum(l_quantity)::DOUBLE AS required, min(l_extendedprice) AS free, sum(l_quantity) <= min(l_extendedprice) AS admitted FROM lineitem GROUP BY 1")
 def volume_admission(spark, sf_dir):
     rows = views.read(spark, sf_dir, "lineitem").select(F.date_format("l_shipdate", "yyyy-MM-dd").alias("volume"), F.col("l_quantity").alias("required"), F.col("l_extendedprice").alias("free"))

@@ -297,11 +297,28 @@ def outbox_compaction(spark, sf_dir):
     return incremental.compacted(log, last).select("sequence_id", "note_id")
 
 
-@query("SELECT * FROM (VALUES (0, false), (300, false)) t(watermark, gap) UNION ALL SELECT -5, true")
+@query(f"""WITH {_LOG}, t AS (SELECT * FROM (VALUES (0, 'whole'), (300, 'whole'), (300, 'compacted'), (0, 'compacted'), (300, 'empty')) t(watermark, kept)),
+  n AS (SELECT max(sequence_id) AS last FROM log)
+  SELECT watermark, kept, CASE kept WHEN 'empty' THEN last > watermark WHEN 'whole' THEN 1 > watermark + 1 ELSE greatest(1, last - 99) > watermark + 1 END AND last > watermark AS gap FROM t, n""")
 def outbox_gap(spark, sf_dir):
-    """Whether a log that starts at 1 can serve a projection at some watermark."""
+    """Whether a whole log, its last 100 changes, or none can serve a projection at some watermark."""
     log = _log(spark, sf_dir)
-    return spark.createDataFrame([(w, incremental.has_gap(log, w)) for w in (0, 300, -5)], "watermark int, gap boolean")
+    last = log.agg(F.max("sequence_id")).first()[0] or 0
+    logs = {"whole": log, "compacted": incremental.compacted(log, last, 100), "empty": log.limit(0)}
+    cases = [(0, "whole"), (300, "whole"), (300, "compacted"), (0, "compacted"), (300, "empty")]
+    return spark.createDataFrame([(w, kept, incremental.has_gap(logs[kept], w, last)) for w, kept in cases], "watermark int, kept string, gap boolean")
+
+
+@query("""WITH u AS (SELECT doc_id FROM documents WHERE doc_id % 5 < 2 UNION ALL SELECT doc_id FROM documents WHERE doc_id % 10 = 1),
+  r AS (SELECT doc_id FROM documents WHERE doc_id % 5 = 3 UNION ALL SELECT doc_id FROM documents WHERE doc_id % 15 = 3 UNION ALL SELECT doc_id FROM documents WHERE doc_id % 20 = 0),
+  c AS (SELECT doc_id, sum(u) AS u, sum(r) AS r FROM (SELECT doc_id, 1 AS u, 0 AS r FROM u UNION ALL SELECT doc_id, 0, 1 FROM r) GROUP BY doc_id)
+  SELECT doc_id AS document_id, 'duplicate upsert' AS problem FROM c WHERE u > 1 UNION ALL SELECT doc_id, 'duplicate removal' FROM c WHERE r > 1 UNION ALL SELECT doc_id, 'both' FROM c WHERE u > 0 AND r > 0""")
+def delta_rejects(spark, sf_dir):
+    """What is wrong with a delta in which some documents are listed twice, and some in both lists."""
+    docs, n = views.documents(spark, sf_dir).select("document_id"), F.col("document_id")
+    upserted = docs.filter(n % 5 < 2).unionByName(docs.filter(n % 10 == 1))
+    removed = docs.filter(n % 5 == 3).unionByName(docs.filter(n % 15 == 3)).unionByName(docs.filter(n % 20 == 0))
+    return incremental.delta_problems(upserted, removed)
 
 
 @query(f"""WITH {_LOG}, s AS (SELECT user_id AS note_id, count(*) AS n_events FROM events WHERE event_type <> 'view' GROUP BY user_id HAVING user_id % 7 <> 0),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -36,8 +37,8 @@ def test_fold_is_python_casefold(spark, text):
 
 
 def test_tokens(spark):
-    got = column(spark, "Housing HOUSING l’été O'Brien --- a_b").select(T.tokens(F.col("x"))).first()[0]
-    assert got == ["housing", "housing", "l’été", "o'brien", "a_b"]
+    got = column(spark, "Der Fluß, 3rd QUAY -- d'où? x_1’s").select(T.tokens(F.col("x"))).first()[0]
+    assert got == ["der", "fluss", "3rd", "quay", "d'où", "x_1’s"]
     assert column(spark, None).select(T.tokens(F.col("x"))).first()[0] is None
 
 
@@ -76,45 +77,74 @@ def test_vector_checks(spark):
 
 # ---- lexical search
 
-HOUSING = [("a", 0, "housing housing housing prices affordability", "en", "s1"), ("a", 1, "housing affordability", "en", "s2"), ("b", 0, "transit affordability", "fr", "s1")]
+PORT = [
+    ("m", 0, "A lantern hangs over the quiet pier, and the pier is empty", "en", "s1"), ("m", 1, "Pier pier, lantern", "en", "s2"), ("m", 2, "nobody came", "en", "s1"),
+    ("n", 0, "le phare et la lantern", "fr", "s1"), ("n", 1, "quiet pier", "fr", "s2"),
+]
 
 
 def ids(df):
     return [(r["document_id"], r["segment_index"]) for r in df.collect()]
 
 
-def test_bm25_order_and_filters(spark):
-    rows = segments(spark, HOUSING)
-    assert ids(lexical.search(rows, SearchQuery("housing"))) == [("a", 0), ("a", 1)]
-    assert len(ids(lexical.search(rows, SearchQuery("housing affordability")))) == 3
-    assert sorted(ids(lexical.search(rows, SearchQuery("Housing affordability", all_terms=True)))) == [("a", 0), ("a", 1)]
-    assert ids(lexical.search(rows, SearchQuery("housing affordability", phrase="Housing Affordability"))) == [("a", 1)]
-    assert ids(lexical.search(rows, SearchQuery("affordability", speaker_refs=("s1",), languages=("fr",), document_ids=("b",)))) == [("b", 0)]
+def brute_bm25(rows, terms):
+    """(score, document, segment) of the segments that have any of the terms, best first."""
+    import math
+
+    words = {(d, k): re.findall(r"\w+", text.lower()) for d, k, text, *_ in rows}
+    mean = sum(map(len, words.values())) / len(words)
+    found = []
+    for key, own in words.items():
+        score = 0.0
+        for t in terms:
+            n, df = own.count(t), sum(t in w for w in words.values())
+            if n:
+                score += math.log(1 + (len(words) - df + 0.5) / (df + 0.5)) * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * len(own) / mean))
+        if score:
+            found.append((-score, *key))
+    return sorted(found)
+
+
+@pytest.mark.parametrize("asked", ["pier", "lantern", "quiet pier", "lantern PIER phare", "nobody"])
+def test_bm25_equals_brute_force(spark, asked):
+    got = [(r["document_id"], r["segment_index"], r["score"]) for r in lexical.search(segments(spark, PORT), SearchQuery(asked)).collect()]
+    expected = brute_bm25(PORT, asked.lower().split())
+    assert [g[:2] for g in got] == [e[1:] for e in expected]
+    assert [g[2] for g in got] == pytest.approx([-e[0] for e in expected])
+
+
+def test_bm25_filters(spark):
+    rows = segments(spark, PORT)
+    assert sorted(ids(lexical.search(rows, SearchQuery("Lantern pier", all_terms=True)))) == [("m", 0), ("m", 1)]
+    assert ids(lexical.search(rows, SearchQuery("pier", phrase=" Quiet PIER"))) == [("n", 1), ("m", 0)]
+    assert ids(lexical.search(rows, SearchQuery("lantern", speaker_refs=("s1",), languages=("fr",), document_ids=("n",)))) == [("n", 0)]
+    assert ids(lexical.search(rows, SearchQuery("pier", speaker_refs=("s2",), languages=("de",)))) == []
 
 
 def test_filters_do_not_change_scores(spark):
-    rows = segments(spark, HOUSING)
+    rows = segments(spark, PORT)
     score = lambda q: {(r["document_id"], r["segment_index"]): r["score"] for r in lexical.search(rows, q).collect()}
-    assert score(SearchQuery("affordability", languages=("fr",)))["b", 0] == score(SearchQuery("affordability"))["b", 0]
+    assert score(SearchQuery("pier", languages=("fr",))) == {("n", 1): score(SearchQuery("pier"))["n", 1]}
 
 
 def test_scope_none_and_empty(spark):
-    rows = segments(spark, HOUSING)
-    assert len(ids(lexical.search(rows, SearchQuery("affordability"), None))) == 3
-    assert ids(lexical.search(rows, SearchQuery("affordability"), rows.limit(0))) == []
-    assert ids(lexical.search(rows, SearchQuery("affordability"), rows.filter("document_id = 'b'"))) == [("b", 0)]
-    assert ids(lexical.search(rows, SearchQuery("affordability"), rows.filter("document_id = 'b'").withColumn("canonical_sha256", F.lit("old")))) == []
+    rows, q = segments(spark, PORT), SearchQuery("lantern")
+    assert len(ids(lexical.search(rows, q, None))) == 3
+    assert ids(lexical.search(rows, q, rows.limit(0))) == []
+    assert ids(lexical.search(rows, q, rows.filter("document_id = 'n'"))) == [("n", 0)]
+    assert ids(lexical.search(rows, q, rows.filter("document_id = 'n'").withColumn("canonical_sha256", F.lit("old")))) == []
 
 
 def test_timeline_sorts_before_it_limits(spark):
-    rows = segments(spark, HOUSING).withColumn("start_seconds", F.when(F.col("segment_index") == 0, 5.0).otherwise(1.0))
-    hits = lexical.search(rows, SearchQuery("housing", timeline=True, limit=1))
-    assert ids(hits) == [("a", 1)]
-    assert lexical.ranked(hits, SearchQuery("housing", timeline=True)).first()["lexical_rank"] is None
+    rows = segments(spark, PORT).withColumn("start_seconds", 9.0 - F.col("segment_index"))
+    q = SearchQuery("pier", document_ids=("m",), timeline=True, limit=1)
+    hits = lexical.search(rows, q)
+    assert ids(hits) == [("m", 1)]
+    assert lexical.ranked(hits, q).first()["lexical_rank"] is None
 
 
 def test_index_gives_the_same_hits(spark):
-    rows, q = segments(spark, HOUSING), SearchQuery("housing affordability prices")
+    rows, q = segments(spark, PORT), SearchQuery("lantern pier quiet")
     scan = [(r["segment_id"], r["document_id"], round(r["score"], 9), r["matched_terms"]) for r in lexical.search(rows, q).collect()]
     index = [(r["segment_id"], r["document_id"], round(r["score"], 9), r["matched_terms"]) for r in lexical.search_index(lexical.terms(rows), lexical.corpus_stats(rows), rows, q).collect()]
     assert scan == index
@@ -212,7 +242,7 @@ def test_fingerprints(spark):
 
 
 def test_workspace_modes(spark):
-    rows = segments(spark, HOUSING)
+    rows = segments(spark, PORT)
     chunks = hashed_vectors(semantic.chunks(rows, 1, 1), dimensions=16)
     assert chunks.filter(~V.is_valid(F.col("vector"), 16)).count() == 0
 
@@ -221,13 +251,13 @@ def test_workspace_modes(spark):
         return hashed_vectors(column(spark, text.removeprefix("query: ")), "x", 16).first()["vector"]
 
     work = Workspace(rows, chunks, embed_query=embed, fingerprint="f", current_fingerprint="f")
-    q = SearchQuery("transit affordability", limit=2)
-    assert work.search(q, "semantic").first()["document_id"] == "b"
+    q = SearchQuery("phare lantern", limit=2)
+    assert work.search(q, "semantic").first()["document_id"] == "n"
     hybrid = work.search(q, "hybrid").collect()
     assert [r["fused_rank"] for r in hybrid] == [1, 2]
-    assert hybrid[0]["document_id"] == "b"
-    scope = rows.filter("document_id = 'a' AND segment_index = 1").drop("canonical_sha256").withColumn("canonical_sha256", F.lit("sha-a"))
-    assert {r["document_id"] for r in work.search(q, "semantic", scope).collect()} == {"a"}
+    assert hybrid[0]["document_id"] == "n"
+    scope = rows.filter("document_id = 'm' AND segment_index = 1").drop("canonical_sha256").withColumn("canonical_sha256", F.lit("sha-m"))
+    assert {r["document_id"] for r in work.search(q, "semantic", scope).collect()} == {"m"}
     with pytest.raises(ValueError, match="older"):
         Workspace(rows, chunks, embed_query=embed, fingerprint="f", current_fingerprint="g").search(q, "semantic")
     with pytest.raises(ValueError, match="unknown mode"):
@@ -442,11 +472,13 @@ def test_exports(spark):
 
 def test_retention(spark):
     jobs = spark.createDataFrame([(1, "completed", "2024-01-01"), (2, "running", "2024-01-01"), (3, "failed", "2024-01-01"), (4, "completed", "2024-03-01")], "job_id long, status string, at string").withColumn("updated_at", F.to_timestamp("at"))
+    jobs = jobs.withColumn("workspace_path", F.concat(F.lit("/jobs/"), "job_id"))
     cutoff = F.lit("2024-02-01").cast("timestamp")
     assert [r["job_id"] for r in custody.retention_candidates(jobs, cutoff, False).collect()] == [1]
     both = custody.retention_candidates(jobs, cutoff, True)
     assert {r["job_id"]: r["resume_lost"] for r in both.collect()} == {1: False, 3: True}
     assert custody.retention_token(both, 30, True).first()[1] != custody.retention_token(both.limit(1), 30, True).first()[1]
+    assert custody.retention_token(both, 30, True).first()[1] != custody.retention_token(both.withColumn("workspace_path", F.lit("/x")), 30, True).first()[1]
     assert custody.retention_token(both.limit(0), 30, True).first()[0] == 0
 
 
@@ -458,10 +490,13 @@ def test_deletion(spark):
     with pytest.raises(ValueError, match="scopes"):
         custody.effective_scopes([])
     actions = custody.deletion_actions(docs, notes, saved, ["library-view"])
-    assert sorted((r["target"], r["preserved"]) for r in actions.collect()) == [("library-view", False), ("research-note", True)]
+    assert sorted((r["target"], r["fate"]) for r in actions.collect()) == [("library-view", "action"), ("research-note", "preserved"), ("saved-search", "affected")]
     plan = custody.deletion_plans(actions, docs, ["library-view"]).first()
-    assert (plan["n_actions"], plan["n_preserved"]) == (1, 1)
+    assert (plan["n_actions"], plan["n_preserved"], plan["n_affected"]) == (1, 1, 1)
     assert plan["confirmation_token"].startswith("delete:d:cccccccccccc:")
+    token = lambda saved, scopes: custody.deletion_plans(custody.deletion_actions(docs, notes, saved, scopes), docs, scopes).first()["confirmation_token"]
+    whole = ["canonical-transcript"]
+    assert len({token(saved, ["library-view"]), token(saved.limit(0), ["library-view"]), token(saved, whole), token(saved, [*whole, "library-view"])}) == 4  # the last two take the same, but ask otherwise
 
 
 def test_violations(spark):
@@ -481,8 +516,16 @@ def test_refresh_delta_and_apply(spark):
     assert got == {"a": ("unchanged", False), "b": ("updated", True), "c": ("removed", True), "d": ("added", True), "e": ("updated", False)}
     after = incremental.apply_delta(old, new.filter("document_id IN ('b', 'd', 'e')"), old.filter("document_id = 'c'").select("document_id"))
     assert sorted(map(tuple, after.collect())) == sorted(map(tuple, new.collect()))
-    with pytest.raises(ValueError, match="both"):
-        incremental.apply_delta(old, new, old.select("document_id"))
+    none = old.select("document_id").limit(0)
+    for upserts, removals, problem in (
+        (new, old.select("document_id"), "both"), (new.unionByName(new.limit(1)), none, "duplicate upsert"), (new.limit(0), old.select("document_id").unionByName(old.select("document_id")), "duplicate removal"),
+        (new.limit(0), spark.createDataFrame([("  ",)], "document_id string"), "blank"), (new.limit(0), spark.createDataFrame([(None,)], "document_id string"), "blank"),
+    ):
+        with pytest.raises(ValueError, match=problem):
+            incremental.apply_delta(old, upserts, removals)
+    segments = spark.createDataFrame([("b", 0), ("b", 1), ("c", 0)], "document_id string, segment_index int")
+    after = incremental.apply_delta(segments, segments.filter("document_id = 'b'"), none, upserted=spark.createDataFrame([("b",)], "document_id string"))
+    assert after.count() == 3
 
 
 def test_sequence_and_log(spark):
@@ -491,6 +534,7 @@ def test_sequence_and_log(spark):
     assert [r["sequence_id"] - r["k"] for r in log.collect()] == [11] * 1000
     assert incremental.batch_after(log, 1005).count() == 5
     assert incremental.has_gap(log, 9) and not incremental.has_gap(log, 10)
+    assert incremental.has_gap(log.limit(0), 9, 10) and not incremental.has_gap(log.limit(0), 10, 10)
     assert incremental.compacted(log, 1010, 3).count() == 3
 
 
@@ -541,15 +585,41 @@ def test_generations_survive_a_failed_write(spark, tmp_path):
 
 def test_outbox_replay_equals_rebuild(spark, tmp_path):
     log, root = f"file://{tmp_path}/log", f"file://{tmp_path}/projection"
-    spark.createDataFrame([(1, 10), (2, 11)], outbox.LOG_SCHEMA).coalesce(1).write.parquet(log)
-    spark.createDataFrame([(3, 12), (4, 10)], outbox.LOG_SCHEMA).coalesce(1).write.mode("append").parquet(log)
+    add = lambda *rows: spark.createDataFrame(list(rows), outbox.LOG_SCHEMA).coalesce(1).write.mode("append").parquet(log)
     state = spark.createDataFrame([(10, "new"), (12, "c")], "note_id long, body string")  # note 11 is gone
-    outbox.replay(spark, log, root, f"file://{tmp_path}/checkpoint", lambda: state)
-    assert sorted(map(tuple, generations.read(spark, root, "projection").collect())) == [(10, "new"), (12, "c")]
+    run = lambda now: outbox.replay(spark, log, root, f"file://{tmp_path}/checkpoint", lambda: now, buckets=8)
+    rows = lambda: sorted(map(tuple, outbox.read(spark, root, state).collect()))
+    add((1, 10), (2, 11))
+    add((3, 12), (4, 10))
+    run(state)
+    assert rows() == [(10, "new"), (12, "c")]
     assert generations.current(spark, root)[1] == 4
-    later = state.unionByName(spark.createDataFrame([(13, "d")], state.schema))
-    spark.createDataFrame([(5, 13)], outbox.LOG_SCHEMA).coalesce(1).write.mode("append").parquet(log)
-    outbox.replay(spark, log, root, f"file://{tmp_path}/checkpoint", lambda: later)
-    assert generations.read(spark, root, "projection").count() == 3
-    outbox.rebuild(spark, root, state, 5)
-    assert generations.read(spark, root, "projection").count() == 2
+    later = state.unionByName(spark.createDataFrame([(13, "d"), (14, "e")], state.schema))
+    add((5, 13))
+    run(later)
+    assert rows() == [(10, "new"), (12, "c"), (13, "d")]  # 14 has no change yet
+    add((9, 13))  # changes 6 to 8 are lost
+    run(later)
+    assert rows() == [(10, "new"), (12, "c"), (13, "d"), (14, "e")]
+    for _ in range(2):
+        outbox.rebuild(spark, root, state, 9, buckets=8)
+    assert rows() == [(10, "new"), (12, "c")]
+    assert len([p for p in (tmp_path / "projection").iterdir() if p.is_dir()]) == 3  # two generations and the pointers
+
+
+def test_catch_up(spark, tmp_path):
+    root = f"file://{tmp_path}/projection"
+    notes = lambda n: spark.createDataFrame([(k, f"v{n}") for k in range(10) if k != n % 10], "note_id long, body string")
+    log = lambda first, last: spark.createDataFrame([(k, k % 10) for k in range(first, last + 1)], outbox.LOG_SCHEMA)
+    run = lambda lines, n, **more: outbox.catch_up(spark, root, lambda: lines, lambda: notes(n), lambda: n, buckets=4, **more)
+    assert run(log(1, 25), 25, size=10) == outbox.Report(0, 25, 25, 3, False)
+    same = lambda n: sorted(map(tuple, outbox.read(spark, root, notes(n)).collect())) == sorted(map(tuple, notes(n).collect()))
+    assert same(25)
+    assert run(log(1, 25), 25) == outbox.Report(25, 25, 25, 0, False)
+    assert run(log(30, 40), 40) == outbox.Report(25, 40, 40, 1, True)  # compacted past the watermark
+    assert same(40)
+    assert run(log(1, 0), 41) == outbox.Report(40, 41, 41, 1, True)  # nothing is left of the log
+    with pytest.raises(ValueError, match="ahead"):
+        run(log(1, 5), 5)
+    with pytest.raises(RuntimeError, match="batches"):
+        run(log(42, 60), 60, size=5, most=2)
