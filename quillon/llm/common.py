@@ -21,11 +21,21 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share; one of our own only where the session names none."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="quillon-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
+def forget(df: DataFrame) -> None:
+    """Delete the files of a table that no later step reads."""
+    spark = df.sparkSession
+    for path in {f.rsplit("/part-", 1)[0] for f in df.inputFiles()}:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def table(df: DataFrame, name: str = "table", by: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again: lineage ends, and a lost executor costs nothing.
     ``by`` names a column of few values whose rows go to folders of their own, so that a filter on it reads only those."""
@@ -35,6 +45,18 @@ def table(df: DataFrame, name: str = "table", by: str | None = None) -> DataFram
     return spark.read.schema(df.schema).parquet(path)
 
 
+def with_sums(rows: DataFrame, keys: list[str], by: Column, sums: dict[str, tuple], salts: int = 32) -> DataFrame:
+    """``rows`` with aggregates of their group. ``sums``: name to (aggregate of rows, function that merges such aggregates).
+
+    A group is dealt to ``salts`` parts by a hash of ``by``, both when it is summed and when the sums come back, so that no
+    task meets a whole group; only parts that exist get a row. Null keys form no group and are dropped."""
+    rows = rows.withColumn("__part", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
+    parts = rows.groupBy(*keys, "__part").agg(*[made.alias(name) for name, (made, _) in sums.items()])
+    whole = parts.groupBy(*keys).agg(*[merge(name).alias(name) for name, (_, merge) in sums.items()], F.bit_or(F.expr("shiftleft(1L, __part)")).alias("__parts"))
+    known = whole.select(*keys, *sums, F.expr(f"explode(filter(sequence(0, {salts - 1}), s -> getbit(__parts, s) = 1))").alias("__part"))
+    return rows.join(known, [*keys, "__part"]).drop("__part")
+
+
 def kept_columns(df: DataFrame, made: list[str]) -> list[str]:
     """Columns of ``df`` without those that an operator makes itself, which replace them."""
     return [c for c in df.columns if c.lower() not in {m.lower() for m in made}]

@@ -8,14 +8,13 @@ all depths; a context that the training texts do not have is mixed in with its e
 
 What is gathered is the count of every distinct (DEPTH + 1)-gram of bytes, however many there are:
 
-1. each task cuts its input into blocks and writes, per block, the texts (compressed) and the block's distinct grams and
-   words with their training counts, dealt to buckets by a hash of the ``TOP`` nearest context bytes (words: of the word);
+1. each task cuts its input into blocks and writes, per block, the block's distinct grams and words with their training counts, dealt to buckets by a hash of the ``TOP`` nearest context bytes (words: of the word);
 2. a bucket's lists are merged in salted groups first, as many as its measured size asks for, then as one: what is left
    is bounded by the distinct grams of the bucket, however often they occur. A bucket has whole subtrees from depth ``TOP`` down;
 3. the levels above are sums of the buckets' rows: by nearest byte (at most 256^(TOP - 1) contexts each), then for the root.
    They come back to a bucket as three numbers a node: the part of each bit's probability from above, and the weight below;
 4. every salted group gets its bucket's log probabilities and answers each of its blocks, in the order asked;
-5. a block meets its answers and scores its texts.
+5. the input is read again, cut into the same blocks; a block meets its answers and scores its texts.
 
 So no task holds more than a block, a salted group or the distinct grams of a bucket; broadcast are the root's 255 nodes
 and one row per bucket.
@@ -24,11 +23,11 @@ and one row per bucket.
 from __future__ import annotations
 
 import math
-import uuid
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,7 +37,7 @@ DEPTH = 7
 #: A bucket has whole subtrees of nodes of this depth (one less than the depth of the tree, if that is smaller).
 TOP = 3
 #: Bytes of text in one block and in one of its parts, which also has at most 256 rows.
-BLOCK_BYTES, PART_BYTES, PART_ROWS = 16 << 20, 2 << 20, 256
+BLOCK_BYTES, PART_BYTES, PART_ROWS = 16 << 20, 1 << 20, 256
 #: Bytes of packed lists in one salted group of a bucket.
 GROUP_BYTES = 8 << 20
 _TEXTS, _GRAMS, _WORDS = 0, 1, 2
@@ -129,7 +128,7 @@ def counted(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 class Counter:
     """Counts keys as they come: ``HELD`` of them are sorted at a time."""
 
-    HELD = 6_000_000
+    HELD = 4_000_000
 
     def __init__(self) -> None:
         self.raw: list[np.ndarray] = []
@@ -225,13 +224,12 @@ def unpack_words(raw: bytes) -> pa.Array:
 
 
 def pack_logs(logs: np.ndarray) -> bytes:
-    """Log probabilities, rounded to 16 significant bits."""
-    raw = logs.astype(np.float32).view(np.uint32)
-    return pack_columns((raw + np.uint32(0x80)) >> np.uint32(8))
+    """Log probabilities in half precision, which has 11 significant bits."""
+    return pack_columns(logs.astype(np.float16))
 
 
 def unpack_logs(raw: bytes) -> np.ndarray:
-    return (unpack_columns(raw, np.uint32)[0] << np.uint32(8)).view(np.float32)
+    return unpack_columns(raw, np.float16)[0].astype(np.float32)
 
 
 def gram_bucket(keys: np.ndarray, depth: int, buckets: int) -> np.ndarray:
@@ -312,21 +310,26 @@ def _unpack_texts(raw: bytes) -> tuple[list, list[bool], bytes]:
     return [None if n else i for i, n in zip(np.frombuffer(ids, dtype=np.int64).tolist(), nulls, strict=True)], [bool(h) for h in held], lines
 
 
-def _packer(depth: int, buckets: int):
+def _packer(depth: int, buckets: int, texts_only: bool):
+    """Blocks of a task's rows, named by its partition and their order: either their texts or the lists of what they ask for.
+
+    Both are made from the same rows in the same order; :func:`_scorer` refuses a block whose two sides differ."""
+
     def run(batches):
-        block = name = None
+        partition, number, block, name = TaskContext.get().partitionId(), 0, None, None
         ids, held, texts, size, total, part = [], [], [], 0, 0, 0
 
         def close_part():
             nonlocal ids, held, texts, size, part
-            block.add(texts, held)
-            row = (_TEXTS, name, -1, part, _pack_texts(ids, held, texts), None)
+            if texts_only:
+                yield _batch([(_TEXTS, name, -1, part, _pack_texts(ids, held, texts), None)])
+            else:
+                block.add(texts, held)
             ids, held, texts, size, part = [], [], [], 0, part + 1
-            return _batch([row])
 
         def close_block():
             rows = []
-            for kind, b, keys, counts in block.rows(buckets):
+            for kind, b, keys, counts in () if texts_only else block.rows(buckets):
                 rows.append((kind, name, b, 0, keys, counts))
                 if len(rows) == 256:
                     yield _batch(rows)
@@ -341,14 +344,14 @@ def _packer(depth: int, buckets: int):
                     own = line(text)
                     n = len(own)
                     if texts and (len(texts) == PART_ROWS or size + n > PART_BYTES):
-                        yield close_part()
+                        yield from close_part()
                     if block is not None and total and total + n > BLOCK_BYTES:
                         if texts:
-                            yield close_part()
+                            yield from close_part()
                         yield from close_block()
                         block = None
                     if block is None:
-                        block, name, total, part = _Block(depth), uuid.uuid4().hex, 0, 0
+                        block, name, number, total, part = _Block(depth), f"{partition}-{number}", number + 1, 0, 0
                     ids.append(doc_id)
                     held.append(bool(is_held))
                     texts.append(own)
@@ -356,7 +359,7 @@ def _packer(depth: int, buckets: int):
                     total += n
         if block is not None:
             if texts:
-                yield close_part()
+                yield from close_part()
             yield from close_block()
         release_memory()
 
@@ -569,7 +572,7 @@ def _reply(asked: pa.Table, model: pa.Table) -> pa.Table:
     if not asked.num_rows:
         return pa.table({"kind": pa.array([], pa.int32()), "block": pa.array([], pa.string()), "bucket": pa.array([], pa.int32()), "reply": pa.array([], pa.binary())})
     words = asked.column("kind")[0].as_py() == _WORDS
-    values = unpack_columns(model.column("counts")[0].as_py(), np.int64 if words else np.uint32)[0]
+    values = unpack_columns(model.column("counts")[0].as_py(), np.int64 if words else np.float16)[0]
     keys = (unpack_words if words else unpack_grams)(model.column("keys")[0].as_py())
     out = []
     for raw in asked.column("keys"):
@@ -584,7 +587,13 @@ def _scorer(depth: int, buckets: int, n: int, v: int):
     def run(texts: pa.Table, replies: pa.Table) -> pa.Table:
         order = sorted(range(texts.num_rows), key=lambda k: texts.column("part")[k].as_py())
         found = {(kind, bucket): k for k, (kind, bucket) in enumerate(zip(replies.column("kind").to_pylist(), replies.column("bucket").to_pylist(), strict=True))}
-        reply = lambda kind, b: replies.column("reply")[found[kind, b]].as_py()
+
+        def reply(kind: int, b: int, unpacked, n: int) -> np.ndarray:
+            values = unpacked(replies.column("reply")[found[kind, b]].as_py()) if (kind, b) in found else ()
+            if len(values) != n:
+                raise ValueError("the rows came in another order when they were read again: write them to a table first")
+            return values
+
         grams = Counter()
         words = [END]
         for k in order:  # the block's grams and words again, in the order in which it asked
@@ -594,12 +603,12 @@ def _scorer(depth: int, buckets: int, n: int, v: int):
         keys, grams = grams.result()[0], None
         logs = np.zeros(len(keys), dtype=np.float32)
         for b, at in by_bucket(gram_bucket(keys, depth, buckets), buckets):
-            logs[at] = unpack_logs(reply(_GRAMS, b))
+            logs[at] = reply(_GRAMS, b, unpack_logs, len(at))
         found_words = pa.concat_arrays(words).dictionary_encode()
         by_name = pc.sort_indices(found_words.dictionary)
         known, counts = found_words.dictionary.take(by_name), np.zeros(len(by_name), dtype=np.int64)
         for b, at in by_bucket(word_bucket(known, buckets), buckets):
-            counts[at] = unpack_columns(reply(_WORDS, b), np.int64)[0]
+            counts[at] = reply(_WORDS, b, lambda raw: unpack_columns(raw, np.int64)[0], len(at))
         counts[by_name.to_numpy()] = counts.copy()  # in the order of the dictionary
         end, *places = np.split(found_words.indices.to_numpy(), np.cumsum([len(w) for w in words])[:-1])  # each part's words in the dictionary
         end = int(end[0])
@@ -619,6 +628,7 @@ def _scorer(depth: int, buckets: int, n: int, v: int):
                 "id": pa.array(ids, pa.int64()), "held_out": pa.array(held, pa.bool_()), "n_tokens": pa.array(n + 1, pa.int64()), "n_known": pa.array(seen.astype(np.int64) + int(word_known[end]), pa.int64()),
                 "base_score": pa.array(base + word_logs[end]), "score": pa.array(scores), "n_bytes": pa.array(sizes, pa.int64()),
             }))
+        release_memory()
         return pa.concat_tables(out)
 
     return run
@@ -628,18 +638,18 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth
     """One row per input row: id_col, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte.
 
     Rows whose crc32 of the id modulo 7 is 2 are held out; all others train the model. ``score`` is the model's log10
-    probability of the text (a byte's share rounded to 16 significant bits), ``bits_per_byte`` its code length per byte
+    probability of the text (a byte's share rounded to 11 significant bits), ``bits_per_byte`` its code length per byte
     (words, single spaces and the end). Null and empty texts are the end alone. Without training rows each bit has
     probability 1/2 and base_score is 0. Repeated rows are counted and scored as often as they occur; an empty table
-    gives no row. Other columns are ignored. ``depth`` is 3 to 7: a gram of one byte more fills 64 bits. ``buckets``
+    gives no row. Other columns are ignored. ``docs`` is read twice and must give its rows in the same order, as files do; it is
+    an error if it does not. ``depth`` is 3 to 7: a gram of one byte more fills 64 bits. ``buckets``
     changes how the work is dealt, not the result; unless given it grows with the square root of the input's
     partitions, and salted groups take up the rest of the growth."""
     if not 3 <= depth <= 7:
         raise ValueError("depth must be 3 to 7")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), (crc_mod(id_col, 7) == 2).alias("held"), F.col(text_col).cast("string").alias("text"))
     buckets = buckets or 8 * math.isqrt(64 + rows.rdd.getNumPartitions())
-    packed = table(rows.mapInArrow(_packer(depth, buckets), _PACKED), "ctw-blocks", by="kind")
-    lists, texts = packed.filter(F.col("kind") != _TEXTS), packed.filter(F.col("kind") == _TEXTS)
+    lists, texts = table(rows.mapInArrow(_packer(depth, buckets, False), _PACKED), "ctw-blocks"), rows.mapInArrow(_packer(depth, buckets, True), _PACKED)
     sizes = table(lists.groupBy("kind", "bucket").agg(F.ceil(F.sum(F.octet_length("keys") + F.octet_length("counts")) / GROUP_BYTES).cast("int").alias("salts")), "ctw-sizes")
     sizes = F.broadcast(sizes)  # at most 2 * buckets rows
     lists = lists.join(sizes, ["kind", "bucket"]).withColumn("salt", F.pmod(F.xxhash64("block"), F.col("salts")).cast("int"))

@@ -33,7 +33,7 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str, splits:
     """The whole row as __row, so that no column of it can clash with ours."""
     source, doc_id = F.col(source_col).cast("string"), F.col(id_col)
     out = docs.select(
-        F.struct(*quoted(docs.columns)).alias("__row"), doc_id.alias("__id"), words(F.col(text_col)).alias("__size"), source.isNull().alias("__none"), F.coalesce(source, F.lit("")).alias("__source"), F.xxhash64(doc_id).alias("__hash")
+        F.struct(*quoted(docs.columns)).alias("__row"), doc_id.alias("__id"), words(F.col(text_col)).alias("__size"), source.isNull().alias("__none"), F.coalesce(source, F.lit("")).alias("__source"), F.xxhash64(doc_id, F.col(text_col).cast("string")).alias("__hash")
     )
     return out.withColumn("__part", F.pmod(F.shiftright("__hash", 7), F.lit(splits)).cast("int"))
 
@@ -95,6 +95,9 @@ def tilts(counts: DataFrame, wanted: DataFrame, cap: int = CAP, steps: int = 60,
             ),
             "tilts",
         )
+    else:
+        if not state.filter("NOT done").isEmpty():
+            raise RuntimeError(f"a source's multiplier did not settle in {steps} steps")
     return state.select(*SOURCE, "source_size", "target", "mean", F.when(~F.col("full"), F.col("tilt")).alias("tilt"))
 
 
@@ -124,12 +127,12 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with __size, __source_size, __target and __copies (0 to ``cap``), which replace columns of these names.
 
     A null text has size 0, a null source is a source of its own, the last one. Documents without words get one copy.
-    Reruns agree: ties within one size go by a hash of the id, then the id; repeated rows count each by itself. If there
+    Reruns agree: ties within one size go by a hash of the id and the text, then the id; repeated rows count each by itself. If there
     are no words at all, targets are 0. An empty table stays empty."""
     return _mixed(docs, **options).select(*[F.col("__row")[c].alias(c) for c in kept_columns(docs, MADE)], *MADE)
 
 
-def _mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), cap: int = CAP, splits: int = 64) -> DataFrame:
+def _mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), cap: int = CAP, splits: int = 256) -> DataFrame:
     rows = _keyed(docs, id_col, text_col, source_col, splits)
     parts = table(rows.groupBy(*SOURCE, "__size", "__part").agg(F.count(F.lit(1)).alias("in_part")), "mix-parts")
     counts = table(parts.groupBy(*SOURCE, "__size").agg(F.sum("in_part").alias("n")), "mix-counts")

@@ -9,7 +9,8 @@ digest, so that two texts never meet because of a digest collision:
    over ``salts`` tasks;
 3. *global*: at most ``salts`` winners per text meet by digest and yield the class.
 
-Decisions go back to the rows by (digest, salt), the keys that spread the hot classes. Only if two
+Decisions go back to the rows by digest. Classes of a size that at most ``HOT`` classes can have, whatever the data, are
+broadcast, so the rows of a text held by a third of all rows are not gathered; the others are joined. Only if two
 different texts do share a digest are the rows of those digests joined by text as well.
 """
 
@@ -25,6 +26,8 @@ from .common import SPACES, quoted, table
 _NULL_ORDER = "18446744073709551616"
 _SHIFT = "9223372036854775808"
 _MAX_LENGTH = 2**31
+#: At most so many classes are broadcast: those with more than a HOT-th part of all rows each.
+HOT = 50_000
 
 
 def normalised(text: Column) -> Column:
@@ -48,47 +51,49 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str, salts: int, digest_bits:
     """The whole row as __row, so that no column of it can clash with ours."""
     doc_id, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
     rows = docs.select(F.struct(*quoted(docs.columns)).alias("__row"), normalised(text).alias("__norm"), doc_id.alias("__id"), _order(text, doc_id).alias("__order"))
-    return rows.withColumns({"__sha": F.sha2(F.col("__norm"), 256), "__salt": F.pmod(F.xxhash64("__id"), F.lit(salts)).cast("int")}).withColumn("__digest", F.substring("__sha", 1, digest_bits // 4))
+    return rows.withColumns({"__sha": F.sha2(F.col("__norm"), 256), "__salt": F.pmod(F.xxhash64("__id", "__norm"), F.lit(salts)).cast("int")}).withColumn("__digest", F.substring("__sha", 1, digest_bits // 4))
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 32, digest_bits: int = 256) -> DataFrame:
-    """One row per distinct normalised text: digest, keep_id, group_size, the salts its rows have (a bit mask),
-    the number of texts under its digest and, only if that is over one, the text. Written to the shared folder."""
+    """One row per distinct normalised text: digest, keep_id, group_size, the number of texts under its digest and, only
+    if that is over one, the text. Written to the shared folder."""
     rows = _keyed(docs, id_col, text_col, salts, digest_bits).select("__digest", "__salt", "__norm", "__order")
     salted = rows.groupBy("__digest", "__salt", "__norm").agg(F.count(F.lit(1)).alias("n"), F.min("__order").alias("best"))
     merged = (
         salted.repartition("__digest")
         .groupBy("__digest", "__norm")
-        .agg(F.sum("n").alias("group_size"), F.min("best").alias("best"), F.bit_or(F.expr("shiftleft(1L, __salt)")).alias("salts"))
+        .agg(F.sum("n").alias("group_size"), F.min("best").alias("best"))
         .withColumn("texts", F.count(F.lit(1)).over(W.partitionBy("__digest")))
     )
-    return table(
-        merged.select("__digest", _id_of(F.col("best")).alias("keep_id"), "group_size", "salts", "texts", F.when(F.col("texts") > 1, F.col("__norm")).alias("__text")),
-        "dedup-classes",
-    )
+    return table(merged.select("__digest", _id_of(F.col("best")).alias("keep_id"), "group_size", "texts", F.when(F.col("texts") > 1, F.col("__norm")).alias("__text")), "dedup-classes")
 
 
-def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 32, digest_bits: int = 256) -> DataFrame:
+def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 32, digest_bits: int = 256, hot: int = HOT) -> DataFrame:
     """One row per input row: id_col, keep_id, group_size, kept, text_sha256.
 
     The row with the most code points in the original text stays, then the smallest id. Null and empty
     texts form one class with those of white space only. Null ids come last; a class of null ids only has a
-    null keep_id. Of repeated rows (same id, same text) one is kept. Ids are integers. Other columns are ignored.
-    ``salts`` (at most 63) bounds the rows a text has in the global stage; ``digest_bits`` exists to test collisions.
-    """
+    null keep_id. Of repeated rows (same id, same text) one is kept; an empty table gives no row. Ids are integers. Other
+    columns are ignored. ``salts`` bounds the rows a text has in the global stage, ``hot`` the classes that are
+    broadcast; ``digest_bits`` exists to test collisions."""
     found = classes(docs, id_col, text_col, salts, digest_bits)
     rows = _keyed(docs, id_col, text_col, salts, digest_bits)
-    plain = found.filter("texts = 1").selectExpr(
-        "__digest", "keep_id", "group_size", f"explode(filter(sequence(0, {salts - 1}), s -> getbit(salts, s) = 1)) AS __salt"
-    )
-    joined = rows.select("__id", "__sha", "__digest", "__salt").join(plain, ["__digest", "__salt"])
-    first = F.row_number().over(W.partitionBy("__digest", "__salt", "__id").orderBy(F.lit(1)))
-    out = joined.withColumn("__first", first)
+    every = found.agg(F.coalesce(F.sum("group_size"), F.lit(0))).first()[0]
+    plain = found.filter("texts = 1").select("__digest", "keep_id", "group_size")
+    large = F.col("group_size") > every / hot  # true for fewer than `hot` classes
+    hot_ones = plain.filter(large).select("__digest", F.struct("keep_id", "group_size").alias("__hot"))
+    met = rows.select("__id", "__sha", "__digest").join(F.broadcast(hot_ones), "__digest", "left")
+    stands = F.col("__hot").isNotNull() & ~F.col("__id").eqNullSafe(F.col("__hot.keep_id"))  # needs no look at other rows
+    met = met.withColumn("__key", F.when(stands, F.concat("__digest", F.lit("-"), F.pmod(F.monotonically_increasing_id(), F.lit(65536)).cast("string"))).otherwise(F.col("__digest")))
+    rest = plain.filter(~large).select(F.col("__digest").alias("__key"), F.struct("keep_id", "group_size").alias("__rest"))
+    joined = met.join(rest, "__key", "left").withColumn("__class", F.coalesce("__hot", "__rest")).filter("__class IS NOT NULL")
+    first = F.row_number().over(W.partitionBy("__key", "__id").orderBy(F.lit(1)))
+    out = joined.withColumn("__first", first).select("__id", "__sha", "__class.keep_id", "__class.group_size", "__first")
     clash = found.filter("texts > 1")
     if not clash.isEmpty():
         met = rows.select("__id", "__sha", "__digest", "__norm").join(clash.select("__digest", F.col("__text").alias("__norm"), "keep_id", "group_size"), ["__digest", "__norm"])
         met = met.withColumn("__first", F.row_number().over(W.partitionBy("__digest", "__norm", "__id").orderBy(F.lit(1))))
-        out = out.select("__id", "__sha", "keep_id", "group_size", "__first").unionByName(met.select("__id", "__sha", "keep_id", "group_size", "__first"))
+        out = out.unionByName(met.select("__id", "__sha", "keep_id", "group_size", "__first"))
     return out.select(
         F.col("__id").alias(id_col),
         "keep_id",

@@ -7,14 +7,18 @@ more within 4. Decoding a segment to these indices gives keys that survive bit e
 * words one bit apart: the nearest codeword of one is within 4 bits of the other;
 * words two bits apart: the sets of codewords within 4 bits meet (the tests verify both for all words).
 
-With at most 4 differing bits, (a, b, c) in the segments, the pigeonhole leaves these cases, each a family:
-
-    a <= 1, b <= 1          nearest(A), nearest(B)
-    a == 0, c <= 2          A itself and one of three 6-bit parts of C      (and likewise for B)
-    a == 1, c <= 1          nearest(A) and one of two 9-bit parts of C      (and likewise for B)
-    a == b == 2, c == 0     one codeword within 4 bits of A, C itself
-
-Rows that share a key are compared in full. Distinct fingerprints only are dealt to keys, so a group of
+With at most 4 differing bits, (a, b, c) in the segments, the pigeonhole leaves these cases, each a family of keys of 30
+to 35 bits (so that even ten billion fingerprints leave a key of chance at most some hundred rows):
+
+    a == 0, b <= 2                  A itself, one codeword within 4 bits of B          (and likewise b == 0, a <= 2)
+    a == 0, c <= 1                  A itself, one of two 9-bit parts of C              (and likewise b == 0, c <= 1)
+    a <= 2, b <= 2, c <= 1          a codeword of A, a codeword of B, one of two 9-bit parts of C
+    a == b == 1, c <= 2             a codeword of A, a codeword of B (nearest for one row), one of three 6-bit parts of C
+    a == 1, b == 3, c == 0          a codeword of A (nearest for one row), C itself    (and likewise a == 3, b == 1)
+
+Rows that share a key are compared in full; a task reads its keys in order and holds one stretch of them at a time. Keys that
+a sample of the fingerprints shows to be large are spread over tasks from the start, others that turn out to be large pass
+through; both are compared block against block. Distinct fingerprints only are dealt to keys, so a group of
 exact copies counts once however large it is.
 """
 
@@ -30,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import quoted, table
+from .common import quoted, table, with_sums
 from .components import components
 
 #: Generator polynomial of the binary Golay code, x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1 (fixed value).
@@ -39,6 +43,10 @@ MAX_BITS = 4
 SALTS = 32
 #: Rows of one key that one task compares; keys with more are compared in pairs of blocks of this size.
 BLOCK = 4096
+#: One fingerprint in SAMPLE, by hash, is counted to find large keys beforehand, and the SPREAD largest of those are spread (the others pass through).
+SAMPLE, SPREAD = 64, 100_000
+#: Rows that a task compares at once.
+STRETCH = 1_000_000
 
 
 def fingerprints_of(texts: list[str | None], shingle: int = 4) -> np.ndarray:
@@ -125,21 +133,24 @@ def keys_of(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         rows.append(which)
         keys.append((np.uint64(family) << np.uint64(58)) | (value.astype(np.uint64) << np.uint64(1)) | np.uint64(probe))
 
-    for i in range(6):
-        for j in range(6):
-            there = everyone[(na > i) & (nb > j)]
-            add(1, there, ga[there, i].astype(np.uint64) << np.uint64(12) | gb[there, j], bool(i or j))
     six, nine = [c >> np.uint64(6 * p) & np.uint64(63) for p in range(3)], [c >> np.uint64(9 * p) & np.uint64(511) for p in range(2)]
-    for f, whole, near, n in ((2, a, ga, na), (7, b, gb, nb)):
-        for p in range(3):
-            add(f + p, everyone, whole.astype(np.uint64) << np.uint64(6) | six[p], False)
+    for f, whole, near, n, other, m in ((1, a, ga, na, gb, nb), (5, b, gb, nb, ga, na)):
+        whole = whole.astype(np.uint64)
+        for i in range(6):
+            there = everyone[m > i]
+            add(f, there, whole[there] << np.uint64(12) | other[there, i], False)
+            there = everyone[n > i]
+            add(f + 3, there, near[there, i].astype(np.uint64) << np.uint64(18) | c[there], bool(i))
         for p in range(2):
-            for i in range(6):
-                there = everyone[n > i]
-                add(f + 3 + p, there, near[there, i].astype(np.uint64) << np.uint64(9) | nine[p][there], bool(i))
+            add(f + 1 + p, everyone, whole << np.uint64(9) | nine[p], False)
     for i in range(6):
-        there = everyone[na > i]
-        add(12, there, ga[there, i].astype(np.uint64) << np.uint64(18) | c[there], False)
+        for j in range(6):
+            there = everyone[(na > i) & (nb > j)]
+            both = ga[there, i].astype(np.uint64) << np.uint64(12) | gb[there, j]
+            for p in range(2):
+                add(9 + p, there, both << np.uint64(9) | nine[p][there], False)
+            for p in range(3):
+                add(11 + p, there, both << np.uint64(6) | six[p][there], bool(i or j))
     return np.concatenate(rows), np.concatenate(keys)
 
 
@@ -219,24 +230,58 @@ def _out(key, a, b):
     return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["key", "a", "b"])
 
 
-def _link_batches(batches):
-    held = [(x.column(0).to_numpy(zero_copy_only=False), x.column(1).to_numpy(zero_copy_only=False)) for x in batches]
-    if not held:
-        return
-    keys, prints = (np.concatenate(x).view(np.uint64) for x in zip(*held, strict=True))
-    a, b, later = links_in_keys(keys, prints)
-    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0) if len(a) else np.zeros((0, 2), dtype=np.uint64)
-    pairs = pairs[pairs[:, 0] != pairs[:, 1]]
-    for start in range(0, len(pairs), 50_000):
-        part = np.ascontiguousarray(pairs[start : start + 50_000].T)
-        yield _out([None] * part.shape[1], part[0], part[1])
-    for key, own in later:  # a key too large for one task: its rows go on, to be compared block by block
-        for start in range(0, len(own), 50_000):
-            part = own[start : start + 50_000]
-            yield _out([key] * len(part), part, part)
-
-
-def _block_pair_batches(key, rows: pa.Table) -> pa.Table:
+def _later(key: int, prints: np.ndarray):
+    for start in range(0, len(prints), 50_000):
+        part = prints[start : start + 50_000]
+        yield _out([key] * len(part), part, part)
+
+
+def _link_batches(block: int):
+    """Links among rows (key, fp, spread) that come in the order of their keys; rows of large keys go on, to be compared block by block."""
+
+    def compare(keys: np.ndarray, prints: np.ndarray):
+        a, b, large = links_in_keys(keys, prints, block)
+        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0) if len(a) else np.zeros((0, 2), dtype=np.uint64)
+        pairs = pairs[pairs[:, 0] != pairs[:, 1]]
+        for start in range(0, len(pairs), 50_000):
+            part = np.ascontiguousarray(pairs[start : start + 50_000].T)
+            yield _out([None] * part.shape[1], part[0], part[1])
+        for key, own in large:
+            yield from _later(key, own)
+
+    def run(batches):
+        held, size, passing = [], 0, None
+        for batch in batches:
+            keys, prints = (batch.column(k).to_numpy(zero_copy_only=False).view(np.uint64) for k in (0, 1))
+            spread = batch.column(2).to_numpy(zero_copy_only=False)
+            if spread.any():
+                for key in np.unique(keys[spread] >> np.uint64(1)).tolist():
+                    yield from _later(key, prints[spread & (keys >> np.uint64(1) == key)])
+                keys, prints = keys[~spread], prints[~spread]
+            if passing is not None and len(keys):
+                more = keys >> np.uint64(1) == passing
+                yield from _later(int(passing), prints[more])
+                keys, prints = keys[~more], prints[~more]
+                passing = passing if not len(keys) else None
+            held.append((keys, prints))
+            size += len(keys)
+            if size >= STRETCH:
+                keys, prints = (np.concatenate(x) for x in zip(*held, strict=True))
+                shared = keys >> np.uint64(1)
+                cut = int(np.argmax(shared == shared[-1]))  # where the last key begins, which may go on
+                yield from compare(keys[:cut], prints[:cut])
+                held, size = [(keys[cut:], prints[cut:])], len(keys) - cut
+                if size >= STRETCH:
+                    passing = shared[-1]
+                    yield from _later(int(passing), prints[cut:])
+                    held, size = [], 0
+        if held:
+            yield from compare(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+    return run
+
+
+def _block_pair_batches(rows: pa.Table) -> pa.Table:
     i, j = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
     prints = rows.column("fp").to_numpy().view(np.uint64)
     side = rows.column("side").to_numpy(zero_copy_only=False)
@@ -252,14 +297,18 @@ def links(prints: DataFrame, block: int = BLOCK) -> DataFrame:
 
     A key with over ``block`` fingerprints (many soft bits in one family of copies) is cut into blocks of about
     that size, and every pair of its blocks is compared in a task of its own."""
-    dealt = prints.mapInArrow(_key_batches, "key long, fp long").repartition(F.shiftrightunsigned("key", 1))
-    found = table(dealt.mapInArrow(_link_batches, "key long, a long, b long"), "golay-links")
+    sampled = prints.filter(F.pmod(F.xxhash64("fp"), F.lit(SAMPLE)) == 0).mapInArrow(_key_batches, "key long, fp long").groupBy(F.shiftrightunsigned("key", 1).alias("shared")).agg(F.count(F.lit(1)).alias("n"))
+    sampled = sampled.filter(F.col("n") * SAMPLE >= 2 * block).orderBy(F.desc("n"), "shared").limit(SPREAD).select("shared", F.ceil(F.col("n") * SAMPLE / block).cast("int").alias("parts"))
+    dealt = prints.mapInArrow(_key_batches, "key long, fp long").withColumn("shared", F.shiftrightunsigned("key", 1)).join(F.broadcast(sampled), "shared", "left")
+    salt = F.coalesce(F.pmod(F.xxhash64("fp"), F.col("parts")), F.lit(0))
+    dealt = dealt.select("shared", salt.alias("salt"), "key", "fp", F.col("parts").isNotNull().alias("spread")).repartition("shared", "salt").sortWithinPartitions("key").select("key", "fp", "spread")
+    found = table(dealt.mapInArrow(_link_batches(block), "key long, a long, b long"), "golay-links")
     plain = found.filter("key IS NULL").select("a", "b").distinct()
-    large = found.filter("key IS NOT NULL")
+    large = found.filter("key IS NOT NULL").select("key", "a").distinct()
     if large.isEmpty():
         return plain
-    blocks = large.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("n"))
-    dealt = large.join(blocks, "key").withColumn("x", F.pmod(F.xxhash64("a"), F.col("n")).cast("int")).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    dealt = with_sums(large, ["key"], F.col("a"), {"rows": (F.count(F.lit(1)), F.sum)}).withColumn("n", F.ceil(F.col("rows") / block).cast("int"))
+    dealt = dealt.withColumn("x", F.pmod(F.xxhash64("a"), F.col("n")).cast("int")).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     dealt = dealt.select("key", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), (F.col("x") > F.col("y")).cast("int").alias("side"), F.col("a").alias("fp"))
     more = dealt.groupBy("key", "i", "j").applyInArrow(_block_pair_batches, "a long, b long")
     return plain.unionByName(more).distinct()
@@ -277,12 +326,12 @@ def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts
     component_id is the smallest id reachable over links of at most 4 differing bits, the row's own included.
     Null, empty and white-space texts share fingerprint zero; repeated rows share a component; null ids never
     become a component_id unless all ids of a component are null. Other columns are ignored."""
-    rows = table(fingerprint(docs, id_col, text_col).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")), "fingerprints")
+    place = F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")  # of the row, whatever its id is; the table keeps it
+    rows = table(fingerprint(docs, id_col, text_col).withColumn("salt", place), "fingerprints")
     salted = rows.groupBy("fp", "salt").agg(F.min("id").alias("least"))
     nodes = table(salted.groupBy("fp").agg(F.min("least").alias("least"), F.bit_or(F.expr("shiftleft(1L, salt)")).alias("salts")), "fingerprint-nodes")
-    rooted = _rooted(nodes)
-    first = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    known = rooted.join(first, "root").selectExpr("fp", "component_id", f"explode(filter(sequence(0, {salts - 1}), s -> getbit(salts, s) = 1)) AS salt")
+    rooted = with_sums(_rooted(nodes), ["root"], F.col("fp"), {"component_id": (F.min("least"), F.min)})
+    known = rooted.selectExpr("fp", "component_id", f"explode(filter(sequence(0, {salts - 1}), s -> getbit(salts, s) = 1)) AS salt")
     return rows.join(known, ["fp", "salt"]).select(F.col("id").alias(id_col), "fp", "component_id")
 
 

@@ -32,8 +32,11 @@ BUCKETS = 1 << BITS
 EVIDENCE = 60.0
 #: Pseudo-counts: of the corpus prior in a suffix, of the suffix prior in a host, of each declared value.
 SUFFIX_WEIGHT, HOST_WEIGHT, DECLARED_WEIGHT = 20.0, 5.0, 1.0
-SALTS = 16
-#: Characters whose features are made at once; longer texts are cut at spaces.
+#: Parts that a host's rows are dealt to, whatever they hold.
+SALTS = 64
+#: Languages that a text model may have: 256 KB each in what is sent to tasks.
+MAX_LANGUAGES = 400
+#: Characters whose features are made at once.
 PIECE = 1 << 20
 #: Code points from here on are no letters.
 _POINTS = 0x33480
@@ -47,12 +50,20 @@ def _letters() -> np.ndarray:
     return np.fromiter(((c := chr(k)).isalpha() or unicodedata.category(c)[0] == "M" for k in range(_POINTS)), dtype=bool, count=_POINTS)
 
 
+#: Signs that end a word in any script; a long text is cut after one of them only.
+_BREAK = re.compile(r"[\s.,;:!?/+=|\"()\[\]{}<>。，、！？；：]")
+
+
 def _pieces(text: str):
-    while len(text) > PIECE:
-        at = text.rfind(" ", 0, PIECE) + 1 or PIECE
-        yield text[:at]
-        text = text[at:]
-    yield text
+    """Stretches of about ``PIECE`` characters; none is cut inside a word, so features do not depend on a text's length."""
+    start = 0
+    while len(text) - start > PIECE:
+        found = _BREAK.search(text, start + PIECE)
+        if found is None:
+            break
+        yield text[start : found.end()]
+        start = found.end()
+    yield text[start:]
 
 
 def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -105,8 +116,13 @@ def _count_batches(batches):
 
 
 def text_model(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text") -> tuple[list[str], np.ndarray]:
-    """Languages in order, and log P(feature | language) as BUCKETS x L, from all rows with a label."""
+    """Languages in order, and log P(feature | language) as BUCKETS x L, from all rows with a label; at most ``MAX_LANGUAGES`` labels.
+
+    Null labels are left out; repeated rows count as often as they occur; an empty table gives the language "und"."""
     rows = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).filter("lang IS NOT NULL")
+    many = rows.select("lang").distinct().limit(MAX_LANGUAGES + 1).count()
+    if many > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} labels: map them to languages first")
     counts = rows.mapInArrow(_count_batches, "lang string, bucket int, n long").groupBy("bucket", "lang").agg(F.sum("n").alias("n"))
     found = counts.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("bucket", "n"))).alias("cells")).orderBy("lang").toArrow()
     langs = found.column("lang").to_pylist()
@@ -191,8 +207,8 @@ def fuse(evidence: DataFrame, langs: list[str]) -> DataFrame:
     total = lambda x: F.aggregate(x, F.lit(0.0), lambda a, b: a + b)
     worded = F.exists("loglik", lambda x: x != 0)
     rows = evidence.withColumn("worded", worded).withColumn("soft", F.when(F.col("worded"), _softmax(F.col("loglik"))))
-    rows = rows.withColumns({"host_key": F.coalesce("host", F.lit("")), "suffix_key": F.coalesce("suffix", F.lit("")), "declared_key": F.coalesce("declared", F.lit("")), "salt": F.pmod(F.hash("loglik"), F.lit(SALTS))})
-    rows = table(rows, "language-evidence")
+    rows = rows.withColumns({"host_key": F.coalesce("host", F.lit("")), "suffix_key": F.coalesce("suffix", F.lit("")), "declared_key": F.coalesce("declared", F.lit("")), "salt": F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")})
+    rows = table(rows, "language-evidence")  # which also keeps each row's salt
     hosts = table(_sums(["suffix_key", "host_key", "salt"], rows.filter("worded"), size), "language-hosts").withColumnRenamed("sums", "soft")
     by_host = _sums(["suffix_key", "host_key"], hosts, size).withColumnRenamed("sums", "host_sums")
     by_suffix = _sums(["suffix_key"], hosts, size).withColumnRenamed("sums", "suffix_sums")
@@ -231,7 +247,7 @@ def identify(labelled: DataFrame, pages: DataFrame | None = None, documents: Dat
 
     ``labelled`` (text, lang) trains the text model; its labels are used for nothing else. A document has no markup and
     no address; its source stands for the host. Null texts, pages and addresses are missing evidence. Repeated rows
-    are kept. Other columns are ignored. Returns kind, page_id, doc_id, host, suffix, declared, text_lang, lang,
+    are kept, ties go to the first language by name, empty tables give no rows. Other columns are ignored. Returns kind, page_id, doc_id, host, suffix, declared, text_lang, lang,
     confidence."""
     langs, model = text_model(labelled)
     parts = []

@@ -16,14 +16,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, kept_columns, map_kept, map_packed
+from .common import crc_mod, kept_columns, map_kept, map_packed, table
 
 PASSAGE = 64
 #: Character classes: white space, line end, lower, upper, digit, sentence mark, other sign, byte of a longer character.
 CLASSES = 8
 FEATURES = CLASSES * CLASSES + 11
-#: At most this many labelled documents are used for training, those with the smallest hash of their id.
-TRAINING_ROWS = 4000
+#: At most this many labelled documents are used for training, those with the smallest hash of their id, and of those as
+#: many as have this many passages together, each with all its passages. So the driver holds at most 160 MB of them.
+TRAINING_ROWS, TRAINING_PASSAGES = 4000, 500_000
 THRESHOLD = 0.7
 
 
@@ -109,26 +110,51 @@ class Model:
         return self.forward(x, starts)[-1]
 
 
-def fit(x: np.ndarray, starts: np.ndarray, labels: np.ndarray, width: int = 24, gates: int = 12, epochs: int = 150, rate: float = 0.02, decay: float = 1e-3, seed: int = 7) -> Model:
-    """Adam on the log loss of the documents' labels; the same rows give the same model."""
+def gradients(m: Model, x: np.ndarray, starts: np.ndarray, labels: np.ndarray, decay: float) -> tuple[float, dict[str, np.ndarray]]:
+    """The mean log loss of the documents' labels (with the weights' decay), and its gradient by part of the model."""
+    sizes, h, t, g, weight, z, p = m.forward(x, starts)
+    loss = -np.mean(labels * np.log(p) + (1 - labels) * np.log(1 - p)) + decay / 2 * sum((getattr(m, k) ** 2).sum() for k in ("w", "v", "u", "c"))
+    d = (p - labels) / len(labels)
+    dz = np.repeat(d[:, None] * m.c, sizes, axis=0)
+    pull = (dz * h).sum(1)
+    de = weight * (pull - np.repeat(np.add.reduceat(weight * pull, starts), sizes))
+    dt, dg = de[:, None] * m.a * g * (1 - t * t), de[:, None] * m.a * t * g * (1 - g)
+    dh = (weight[:, None] * dz + dt @ m.v.T + dg @ m.u.T) * (1 - h * h)
+    normal = (x - m.mean) / m.scale
+    return float(loss), {"w": normal.T @ dh + decay * m.w, "b": dh.sum(0), "v": h.T @ dt + decay * m.v, "u": h.T @ dg + decay * m.u, "a": (t * g).T @ de, "c": z.T @ d + decay * m.c, "c0": d.sum(keepdims=True)}
+
+
+def _bag_batches(sizes: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Ranges of documents with at most ``most`` passages each; a longer document is a range by itself."""
+    out, first, held = [], 0, 0
+    for k, n in enumerate(sizes.tolist()):
+        if k > first and held + n > most:
+            out.append((first, k))
+            first, held = k, 0
+        held += n
+    return [*out, (first, len(sizes))]
+
+
+def fit(x: np.ndarray, starts: np.ndarray, labels: np.ndarray, width: int = 24, gates: int = 12, epochs: int = 150, rate: float = 0.02, decay: float = 1e-3, seed: int = 7, most: int = 50_000) -> Model:
+    """Adam on the log loss of the documents' labels; the same rows give the same model.
+
+    ``x`` may be of single precision; each step adds up the gradients of batches of ``most`` passages, so that only one batch is widened at a time."""
     rng = np.random.default_rng(seed)
-    scale = x.std(0)
+    sizes = np.diff(np.append(starts, len(x)))
+    batches = [(slice(starts[i], starts[i] + sizes[i:j].sum()), starts[i:j] - starts[i], labels[i:j]) for i, j in _bag_batches(sizes, most)]
+    mean = sum(x[rows].sum(0, dtype=np.float64) for rows, _, _ in batches) / len(x)
+    scale = np.sqrt(sum(((x[rows] - mean) ** 2).sum(0) for rows, _, _ in batches) / len(x))
     m = Model(
-        x.mean(0), np.where(scale > 1e-6, scale, 1).astype(np.float32), rng.normal(0, x.shape[1] ** -0.5, (x.shape[1], width)), np.zeros(width),
+        mean, np.where(scale > 1e-6, scale, 1), rng.normal(0, x.shape[1] ** -0.5, (x.shape[1], width)), np.zeros(width),
         rng.normal(0, width**-0.5, (width, gates)), rng.normal(0, width**-0.5, (width, gates)), rng.normal(0, gates**-0.5, gates), rng.normal(0, width**-0.5, width), np.zeros(1),
     )
-    normal = (x - m.mean) / m.scale
     first, second = ({k: np.zeros_like(getattr(m, k)) for k in Model.PARTS} for _ in range(2))
     for step in range(1, epochs + 1):
-        sizes, h, t, g, weight, z, p = m.forward(x, starts)
-        d = (p - labels) / len(labels)
-        dz = np.repeat(d[:, None] * m.c, sizes, axis=0)
-        pull = (dz * h).sum(1)
-        de = weight * (pull - np.repeat(np.add.reduceat(weight * pull, starts), sizes))
-        dt, dg = de[:, None] * m.a * g * (1 - t * t), de[:, None] * m.a * t * g * (1 - g)
-        dh = (weight[:, None] * dz + dt @ m.v.T + dg @ m.u.T) * (1 - h * h)
-        grads = {"w": normal.T @ dh + decay * m.w, "b": dh.sum(0), "v": h.T @ dt + decay * m.v, "u": h.T @ dg + decay * m.u, "a": (t * g).T @ de, "c": z.T @ d + decay * m.c, "c0": d.sum(keepdims=True)}
-        for k, grad in grads.items():
+        total = dict.fromkeys(Model.PARTS, 0.0)
+        for rows, own, y in batches:
+            for k, grad in gradients(m, x[rows].astype(np.float64), own, y, decay)[1].items():
+                total[k] = total[k] + grad * (len(y) / len(labels))
+        for k, grad in total.items():
             first[k] = 0.9 * first[k] + 0.1 * grad
             second[k] = 0.999 * second[k] + 0.001 * grad * grad
             setattr(m, k, getattr(m, k) - rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8))
@@ -137,27 +163,38 @@ def fit(x: np.ndarray, starts: np.ndarray, labels: np.ndarray, width: int = 24,
 
 def _training_batches(batches):
     for batch in batches:
-        for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for label, text, place in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             x = passages(text)
-            yield pa.RecordBatch.from_arrays([pa.array([label], pa.float64()), pa.array([x.astype(np.float32).tobytes()], pa.binary())], names=["label", "x"])
+            row = [[label], pa.float64()], [[place], pa.int64()], [[len(x)], pa.int64()], [[x.astype(np.float32).tobytes()], pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(*r) for r in row], names=["label", "place", "n", "x"])
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = TRAINING_ROWS) -> Model | None:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = TRAINING_ROWS, most: int = TRAINING_PASSAGES) -> Model | None:
     """A model fitted on at most ``rows`` labelled documents outside the held-out part, on all passages of each; None without labels.
 
-    Several labels of one document count as their mean; null labels and ids are left out."""
+    The documents are those with the smallest hash of their id, as many of them as have ``most`` passages together; one that has
+    more alone is passed over. Several labels of one document count as their mean, repeated rows as often as they occur; null
+    labels and ids are left out, null texts are empty. Empty tables give None."""
     known = (
         labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("double").alias("__label")).filter("__id IS NOT NULL AND __label IS NOT NULL")
         .filter(crc_mod("__id", 4) != 2).groupBy("__id").agg(F.avg("__label").alias("__label")).orderBy(F.xxhash64("__id"), "__id").limit(rows)
     )
     met = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).cast("string").alias("__text")).join(F.broadcast(known), F.col("__doc") == F.col("__id"))
-    got = met.select("__label", "__text", "__id").mapInArrow(_training_batches, "label double, x binary").toArrow()
-    if not got.num_rows:
+    bags = table(met.withColumn("__order", F.xxhash64("__id")).select("__label", "__text", "__order").mapInArrow(_training_batches, "label double, place long, n long, x binary"), "training-bags")
+    chosen, held = [], 0
+    for place, n in sorted(tuple(r) for r in bags.groupBy("place").agg(F.sum("n")).collect()):  # a row for each of at most `rows` documents
+        if n <= most:
+            held += n
+            if held > most:
+                break
+            chosen.append(place)
+    if not chosen:
         return None
-    order = sorted(range(got.num_rows), key=lambda k: (got.column("x")[k].as_py(), got.column("label")[k].as_py()))
-    bags = [np.frombuffer(got.column("x")[k].as_py(), dtype=np.float32).reshape(-1, FEATURES) for k in order]
-    starts = np.concatenate(([0], np.cumsum([len(x) for x in bags])[:-1])).astype(np.int64)
-    return fit(np.concatenate(bags).astype(np.float64), starts, np.array([got.column("label")[k].as_py() for k in order]))
+    got = bags.filter(F.col("place").isin(chosen)).select("label", "place", "x").toArrow()
+    order = sorted(range(got.num_rows), key=lambda k: (got.column("place")[k].as_py(), got.column("x")[k].as_py()))
+    found = [np.frombuffer(got.column("x")[k].as_py(), dtype=np.float32).reshape(-1, FEATURES) for k in order]
+    starts = np.concatenate(([0], np.cumsum([len(x) for x in found])[:-1])).astype(np.int64)
+    return fit(np.concatenate(found), starts, np.array([got.column("label")[k].as_py() for k in order]))
 
 
 def _scorer(model: Model | None):

@@ -88,3 +88,26 @@ def test_larger_rates_go_with_one_sign_of_size(spark):
     means = [sum(v) / len(v) for _, v in sorted(by.items())]
     assert means[0] == pytest.approx(1, abs=0.6)
     assert means[-1] <= means[0]
+
+
+def test_rates_solve_the_dual(spark):
+    """Multipliers against plain bisection: the capped exponential rates of a source's sizes meet its target."""
+    import math
+
+    sizes = {"a": [1, 1, 2, 5, 9, 9, 30], "b": [3] * 5 + [100, 7], "c": [1000, 10, 10, 11], None: [4, 4, 8]}
+    docs = spark.createDataFrame([("w " * n, s) for s, own in sizes.items() for n in own], "text string, source string").selectExpr("monotonically_increasing_id() AS doc_id", "*")
+    rows = entropy_mix._keyed(docs, "doc_id", "text", "source", 8)
+    counts = rows.groupBy(*entropy_mix.SOURCE, "__size").count().withColumnRenamed("count", "n")
+    wanted = entropy_mix.targets(counts.groupBy(*entropy_mix.SOURCE).agg({"n": "count"}).select(*entropy_mix.SOURCE).join(rows.groupBy(*entropy_mix.SOURCE).agg({"__size": "sum"}).withColumnRenamed("sum(__size)", "source_size"), entropy_mix.SOURCE))
+    for r in entropy_mix.tilts(counts, wanted).collect():
+        own = sizes[None if r["__none"] else r["__source"]]
+        mean = sum(own) / len(own)
+        if r["tilt"] is None:
+            assert r["target"] == pytest.approx(3 * sum(own))
+            continue
+        taken = lambda t: sum(n * min(3.0, math.exp(min(t * n / mean, 2.0))) for n in own)
+        low, high = -60.0, 60.0 * mean
+        for _ in range(200):
+            low, high = ((low + high) / 2, high) if taken((low + high) / 2) < r["target"] else (low, (low + high) / 2)
+        assert taken(r["tilt"]) == pytest.approx(r["target"], rel=1e-6)
+        assert r["tilt"] == pytest.approx(low, rel=1e-4, abs=1e-6)

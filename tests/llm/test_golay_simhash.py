@@ -112,6 +112,56 @@ def test_links_of_all_patterns_are_found(spark, block):
     assert sorted(map(sorted, found.values())) == sorted(map(sorted, wanted.values()))
 
 
+def test_every_case_of_four_bits_has_a_common_key():
+    """All splits (a, b, c) of up to 4 bits over the segments, many times: some key is shared, and not by two probes only."""
+    rng = np.random.default_rng(5)
+    for a in range(5):
+        for b in range(5 - a):
+            for c in range(5 - a - b):
+                one = rng.integers(0, 1 << 63, 200, dtype=np.uint64)
+                other = one.copy()
+                for size, shift, n in ((23, 0, a), (23, 23, b), (18, 46, c)):
+                    places = np.array([rng.choice(size, n, replace=False) for _ in one]).reshape(len(one), n).astype(np.uint64)
+                    for k in range(n):
+                        other ^= np.uint64(1) << (places[:, k] + np.uint64(shift))
+                sets = []
+                for prints in (one, other):
+                    rows, keys = g.keys_of(prints)
+                    found = [{} for _ in prints]
+                    for r, k in zip(rows.tolist(), keys.tolist(), strict=True):
+                        found[r][k >> 1] = found[r].get(k >> 1, 1) & (k & 1)
+                    sets.append(found)
+                for x, y in zip(*sets, strict=True):
+                    assert any(not (x[k] and y[k]) for k in x.keys() & y.keys()), (a, b, c)
+
+
+def test_keys_of_random_fingerprints_are_small():
+    """A million random fingerprints: few candidates for each, and no large key."""
+    rng = np.random.default_rng(6)
+    prints = rng.integers(0, 1 << 63, 1_000_000, dtype=np.uint64) ^ (rng.integers(0, 2, 1_000_000, dtype=np.uint64) << np.uint64(63))
+    some = prints[:20_000]
+    keys = np.sort(np.concatenate([g.keys_of(prints[k : k + 50_000])[1][::1] >> np.uint64(1) for k in range(0, 200_000, 50_000)]))
+    own = g.keys_of(some)[1] >> np.uint64(1)
+    met = np.searchsorted(keys, own, "right") - np.searchsorted(keys, own, "left") - 1
+    assert met.max() < 100
+    assert met.sum() / len(some) < 5  # candidates per fingerprint among 200,000
+
+
+@pytest.mark.parametrize("spread", [0, 100])
+def test_large_keys_lose_no_link(spark, monkeypatch, spread):
+    """A dense group whose keys are large, spread beforehand or met as they come, in short stretches."""
+    monkeypatch.setattr(g, "STRETCH", 50)
+    monkeypatch.setattr(g, "SAMPLE", 2)
+    monkeypatch.setattr(g, "SPREAD", spread)
+    rng = np.random.default_rng(7)
+    prints = sorted({int(0x0123456789ABCDEF) ^ int(sum(1 << int(k) for k in rng.choice(12, n, replace=False)) << 46) for n in range(5) for _ in range(60)} | set(rng.integers(0, 1 << 62, 50).tolist()))
+    df = spark.createDataFrame([(x,) for x in prints], "fp long")
+    from quillon.llm.components import components
+
+    roots = {r["node"]: r["root"] for r in components(g.links(df, 20)).collect()}
+    assert [roots.get(x, x) for x in prints] == [brute_components(prints, prints)[k] for k in range(len(prints))]
+
+
 def test_chain_is_one_component(spark):
     chain = [sum(1 << b for b in range(4 * k)) for k in range(16)]
     df = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x,) for x in chain], "fp long")

@@ -21,11 +21,58 @@ def test_held_out_accuracy(spark):
     assert docs.count() == queries.op5_mil_quality(spark, sf).count()
 
 
-def test_gradients_are_right():
+def tiny(seed=0, width=4, gates=3):
+    rng = np.random.default_rng(seed)
+    shapes = {"mean": 5, "scale": 5, "w": (5, width), "b": width, "v": (width, gates), "u": (width, gates), "a": gates, "c": width, "c0": 1}
+    model = m.Model(**{k: rng.normal(size=s) for k, s in shapes.items()})
+    model.scale = np.abs(model.scale) + 0.5
+    return model, rng.normal(size=(7, 5)), np.array([0, 3, 4]), np.array([1.0, 0.0, 1.0])
+
+
+def test_gradients_equal_differences():
+    """Every part of the gradient against the loss moved a little either way."""
+    model, x, starts, y = tiny()
+    grads = m.gradients(model, x, starts, y, 0.01)[1]
+    for k in m.Model.PARTS:
+        part = getattr(model, k)
+        for at in np.ndindex(part.shape):
+            was, side = part[at], []
+            for step in (1e-5, -1e-5):
+                part[at] = was + step
+                side.append(m.gradients(model, x, starts, y, 0.01)[0])
+            part[at] = was
+            assert abs((side[0] - side[1]) / 2e-5 - grads[k][at]) < 1e-6, (k, at)
+
+
+def test_forward_equals_brute_force():
+    import math
+
+    model, x, starts, _ = tiny(3)
+    got = model.scores(x, starts)
+    for k, (lo, hi) in enumerate([(0, 3), (3, 4), (4, 7)]):
+        encoded, force = [], []
+        for row in x[lo:hi]:
+            h = [math.tanh(sum((row[i] - model.mean[i]) / model.scale[i] * model.w[i, j] for i in range(5)) + model.b[j]) for j in range(4)]
+            gate = [math.tanh(sum(h[j] * model.v[j, q] for j in range(4))) / (1 + math.exp(-sum(h[j] * model.u[j, q] for j in range(4)))) for q in range(3)]
+            encoded.append(h)
+            force.append(math.exp(sum(g * a for g, a in zip(gate, model.a, strict=True))))
+        bag = [sum(f * h[j] for f, h in zip(force, encoded, strict=True)) / sum(force) for j in range(4)]
+        assert got[k] == 1 / (1 + math.exp(-(sum(b * c for b, c in zip(bag, model.c, strict=True)) + model.c0[0]))) or abs(got[k] - 1 / (1 + math.exp(-(sum(b * c for b, c in zip(bag, model.c, strict=True)) + model.c0[0])))) < 1e-12
+
+
+def test_batches_do_not_change_the_fit():
     rng = np.random.default_rng(0)
     x, starts, y = rng.normal(size=(7, 5)), np.array([0, 3, 4]), np.array([1.0, 0.0, 1.0])
-    model = m.fit(x, starts, y, width=4, gates=3, epochs=300, decay=0.0)
-    assert np.abs(model.scores(x, starts) - y).max() < 0.05
+    one, many = (m.fit(x, starts, y, width=4, gates=3, epochs=300, decay=0.0, most=n) for n in (100, 2))
+    assert np.abs(one.scores(x, starts) - y).max() < 0.05
+    assert np.allclose(one.w, many.w, atol=1e-6)
+
+
+def test_documents_are_taken_whole_up_to_the_bound(spark):
+    docs = spark.createDataFrame([(k, "some words here. " * 640) for k in range(12)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(12)], "doc_id long, quality int")
+    whole, half, none = (m.train(docs, labels, most=n) for n in (10_000, 100, 5))
+    assert whole is not None and half is not None and none is None
 
 
 def test_attention_finds_the_one_passage():
