@@ -39,16 +39,18 @@ def highlights(segments: DataFrame, words: DataFrame, query: str, phrase: bool =
 
     With ``phrase`` the tokens must follow each other, repeated ones too; without, any of them counts."""
     asked = [x.casefold() for x in T._DRIVER_TOKEN.findall(query)]
-    rows = words.select("document_id", "segment_id", "word_index", "start_seconds", T.tokens(F.col("word")).alias("t"))
+    item = F.struct("word_index", F.col("start_seconds").alias("at"), T.tokens(F.col("word")).alias("t"))
+    whole = words.groupBy("document_id", "segment_id").agg(F.array_sort(F.collect_list(item)).alias("s"))
     if phrase:
-        flat = rows.select("document_id", "segment_id", "word_index", F.posexplode("t").alias("k", "token"))
-        whole = flat.groupBy("document_id", "segment_id").agg(F.array_sort(F.collect_list(F.struct("word_index", "k", "token"))).alias("s"))
-        found = phrase_positions(F.transform("s", lambda x: x["token"]), F.transform("s", lambda x: x["word_index"]), asked)
-        marks = whole.select("document_id", "segment_id", F.explode(found).alias("word_index"))
+        places = F.flatten(F.transform("s", lambda x: F.transform(x["t"], lambda _: x["word_index"])))
+        whole = whole.select("document_id", "segment_id", "s", F.flatten(F.transform("s", lambda x: x["t"])).alias("tokens"), places.alias("places"))
+        found = phrase_positions(F.col("tokens"), F.col("places"), asked)
     else:
-        marks = rows.filter(F.arrays_overlap("t", F.array(*[F.lit(t) for t in asked]).cast("array<string>"))).select("document_id", "segment_id", "word_index")
-    met = marks.join(words.select("document_id", "segment_id", "word_index", F.col("start_seconds").alias("_at")), ["document_id", "segment_id", "word_index"])
-    per = met.groupBy("document_id", "segment_id").agg(F.array_sort(F.collect_list("word_index")).alias("highlighted"), F.min_by("_at", "word_index").alias("_seek"))
+        wanted = F.array(*[F.lit(t) for t in asked]).cast("array<string>")
+        found = F.transform(F.filter("s", lambda x: F.arrays_overlap(x["t"], wanted)), lambda x: x["word_index"])
+    per = whole.withColumn("highlighted", found)
+    seek = F.get(F.filter("s", lambda x: x["word_index"] == F.get("highlighted", F.lit(0))), F.lit(0))["at"]
+    per = per.select("document_id", "segment_id", "highlighted", seek.alias("_seek"))
     return segments.join(per, ["document_id", "segment_id"], "left").select(
         "document_id", "segment_id", F.coalesce("highlighted", F.array().cast("array<int>")).alias("highlighted"), F.coalesce("_seek", "start_seconds").alias("seek_seconds")
     )
@@ -71,6 +73,39 @@ def anchor_checks(anchors: DataFrame, segments: DataFrame) -> DataFrame:
     )
 
 
+def reopened(anchors: DataFrame, documents: DataFrame, segments: DataFrame) -> DataFrame:
+    """Anchors (those of :func:`anchor_checks`, with canonical_sha256 and source_sha256) as evidence that can be opened:
+    status, and, where it is "open", text and seek_seconds.
+
+    The document must exist and have the anchor's generation and source ("missing", "changed"), the segments must follow each
+    other and hold the anchor's time ("broken")."""
+    now = documents.select("document_id", F.col("canonical_sha256").alias("_c"), F.col("source_sha256").alias("_s"))
+    checks = anchor_checks(anchors, segments).select("anchor_id", "contiguous", "in_time")
+    parts = anchors.select("anchor_id", "document_id", F.posexplode("segment_ids").alias("ordinal", "segment_id")).join(segments.select("document_id", "segment_id", "text"), ["document_id", "segment_id"])
+    texts = parts.groupBy("anchor_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "text"))), lambda x: T.strip(x["text"])), " ").alias("text"))
+    met = anchors.join(now, "document_id", "left").join(checks, "anchor_id", "left").join(texts, "anchor_id", "left")
+    same = (F.col("canonical_sha256") == F.col("_c")) & (F.col("source_sha256") == F.col("_s"))
+    status = F.when(F.col("_c").isNull(), "missing").when(~F.coalesce(same, F.lit(False)), "changed").when(F.col("contiguous") & F.col("in_time"), "open").otherwise("broken")
+    opened = status == "open"
+    return met.select("anchor_id", "document_id", status.alias("status"), F.when(opened, F.col("text")).alias("text"), F.when(opened, F.col("start_seconds")).alias("seek_seconds"))
+
+
+def reanchored(notes: DataFrame, requests: DataFrame, candidates: DataFrame) -> DataFrame:
+    """What comes of requests (note_id, document_id, segment_ids, canonical_sha256) to move notes to another anchor, one per note:
+    outcome "moved", or why not: "unknown note", "other document", "same anchor", "no candidate", "stale" (the candidate's
+    generation is not the one that was confirmed).
+
+    ``notes`` has note_id, document_id, segment_ids; ``candidates`` those of :func:`candidate_anchors` with canonical_sha256."""
+    own = notes.select("note_id", F.col("document_id").alias("_d"), F.col("segment_ids").alias("_ids"))
+    offered = candidates.select("note_id", F.col("segment_ids").alias("_o"), F.col("canonical_sha256").alias("_oc"))
+    met = requests.join(own, "note_id", "left").join(offered, "note_id", "left")
+    outcome = (
+        F.when(F.col("_d").isNull(), "unknown note").when(F.col("document_id") != F.col("_d"), "other document").when(F.col("segment_ids") == F.col("_ids"), "same anchor")
+        .when(F.col("_o").isNull() | (F.col("_o") != F.col("segment_ids")), "no candidate").when(F.col("canonical_sha256") != F.col("_oc"), "stale").otherwise("moved")
+    )
+    return met.select(*requests.columns, outcome.alias("outcome"))
+
+
 def candidate_anchors(notes: DataFrame, documents: DataFrame, segments: DataFrame) -> DataFrame:
     """For notes of an older generation of the same source: the current segments in the note's time, and the range
     clipped to them. A point takes the segments that touch it; a range those that share time with it."""
@@ -99,7 +134,8 @@ def review(notes: DataFrame, documents: DataFrame, candidates: DataFrame) -> Dat
 
 
 def anchor_history(changes: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """``changes`` with revision 1, 2, ... in order for each key and whether it is the current one."""
+    """``changes`` with revision 1, 2, ... in order for each key and whether it is the current one. A listing sorts by
+    descending revision, the newest first."""
     n = F.row_number().over(W.partitionBy(key).orderBy(*order))
     last = F.count(F.lit(1)).over(W.partitionBy(key))
     return changes.withColumn("revision", n).withColumn("is_current", F.col("revision") == last)

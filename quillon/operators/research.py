@@ -96,14 +96,33 @@ def by_ids(rows: DataFrame, ids: list, id_col: str) -> DataFrame:
     return rows.join(F.broadcast(asked), id_col).orderBy("ordinal")
 
 
-def get_or_create(dimension: DataFrame, names: DataFrame, id_col: str, name_col: str, source_col: str) -> DataFrame:
-    """New dimension rows for names that no known name equals when folded: the least spelling, and an id from its digest."""
-    own = names.select(T.squeeze(F.col(source_col)).alias("normalized_name"), F.col(source_col).alias(name_col)).filter("normalized_name <> ''")
-    fresh = own.groupBy("normalized_name").agg(F.min(name_col).alias(name_col))
+def get_or_create(dimension: DataFrame, names: DataFrame, id_col: str, name_col: str, source_col: str, order_col: str | None = None) -> DataFrame:
+    """New dimension rows for names that no known name equals when folded: the first spelling by ``order_col`` (without it the
+    least), and an id from its digest."""
+    order = [F.col(order_col).alias("_o")] if order_col else []
+    own = names.select(T.squeeze(F.col(source_col)).alias("normalized_name"), F.struct(*order, F.col(source_col).alias("_name")).alias("_first")).filter("normalized_name <> ''")
+    fresh = own.groupBy("normalized_name").agg(F.min("_first")["_name"].alias(name_col))
     known = dimension.select(T.squeeze(F.col(name_col)).alias("normalized_name"))
     return fresh.join(known, "normalized_name", "left_anti").select(F.substring(F.sha2("normalized_name", 256), 1, 16).alias(id_col), name_col, "normalized_name")
 
 
+def overview(notes: DataFrame, limit: int = 20) -> dict[str, DataFrame]:
+    """What a workspace opens with: its latest notes (note_id, updated_at, body), and the most used tags and collections.
+
+    ``notes``: note_id, updated_at, body, tag, collection, a row per combination."""
+    listing = notes_listing(notes.select("note_id", "updated_at", "body").distinct(), limit)
+    used = lambda col: navigation(notes.filter(F.col(col).isNotNull()).select("note_id", "updated_at", col).distinct(), col, "updated_at", limit=min(limit, 100))
+    return {"notes": listing, "tags": used("tag"), "collections": used("collection")}
+
+
+def with_lists(notes: DataFrame, note_segments: DataFrame, tags: DataFrame, collections: DataFrame) -> DataFrame:
+    """``notes`` with segment_ids in their order (``ordinal``), and tags and collections by their folded names."""
+    spread = lambda side, col: side.groupBy("note_id").agg(F.transform(F.array_sort(F.collect_set(F.struct(T.squeeze(F.col(col)).alias("n"), F.col(col).alias("v")))), lambda x: x["v"]).alias(f"{col}s"))
+    ids = note_segments.groupBy("note_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "segment_id"))), lambda x: x["segment_id"]).alias("segment_ids"))
+    out = notes.join(ids, "note_id", "left").join(spread(tags, "tag"), "note_id", "left").join(spread(collections, "collection"), "note_id", "left")
+    return out.withColumns({c: F.coalesce(c, F.array().cast("array<string>")) for c in ("segment_ids", "tags", "collections")})
+
+
 def union_views(summary: DataFrame, passages: DataFrame, keys: list[str]) -> DataFrame:
     """Per passage (passage_id and one row per evidence key): sorted distinct notes, tags and collections of its segments."""
     none = lambda c: F.coalesce(F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))), F.array())

@@ -18,46 +18,49 @@ TARGET_WORDS, MAX_WORDS = 220, 300
 CHUNKING_PROFILE = "chunks-v1"
 
 
-def _chunk_numbers(sizes: Column, target: int, most: int) -> Column:
-    """Chunk number of each element of an array of word counts, by a fold that carries (numbers, words so far, parts so far, number)."""
-    start = F.struct(F.array().cast("array<int>").alias("out"), F.lit(0).alias("words"), F.lit(0).alias("parts"), F.lit(0).alias("number"))
+def _chunk_starts(sizes: Column, target: int, most: int) -> Column:
+    """Places (from 1) where chunks begin in an array of word counts, by a fold that carries (places, words and parts of the open
+    chunk, place). The places grow at a chunk's begin only, so the fold costs what it reads."""
+    start = F.struct(F.array().cast("array<int>").alias("out"), F.lit(0).alias("words"), F.lit(0).alias("parts"), F.lit(1).alias("at"))
 
     def step(acc: Column, size: Column) -> Column:
-        close = (acc["parts"] > 0) & ((acc["words"] >= target) | (acc["words"] + size > most))
-        number = acc["number"] + close.cast("int")
-        words = F.when(close, size).otherwise(acc["words"] + size)
+        begin = (acc["parts"] == 0) | (acc["words"] >= target) | (acc["words"] + size > most)
+        words = F.when(begin, size).otherwise(acc["words"] + size)
         full = words >= most
         return F.struct(
-            F.concat(acc["out"], F.array(number)).alias("out"), F.when(full, 0).otherwise(words).alias("words"),
-            F.when(full, 0).otherwise(F.when(close, 1).otherwise(acc["parts"] + 1)).alias("parts"), (number + full.cast("int")).alias("number"),
+            F.when(begin, F.concat(acc["out"], F.array(acc["at"]))).otherwise(acc["out"]).alias("out"), F.when(full, 0).otherwise(words).alias("words"),
+            F.when(full, 0).when(begin, 1).otherwise(acc["parts"] + 1).alias("parts"), (acc["at"] + 1).alias("at"),
         )
 
     return F.aggregate(sizes, start, step, lambda acc: acc["out"])
 
 
-def chunk_assignment(segments: DataFrame, target: int = TARGET_WORDS, most: int = MAX_WORDS) -> DataFrame:
-    """(document_id, segment_index, words, chunk_no): segments are packed greedily in order and never split.
+def _packed(segments: DataFrame, columns: list[str], target: int, most: int) -> DataFrame:
+    """(document_id, chunk_no, p): the segments of each chunk in order, as structs of segment_index, words (w) and ``columns``.
+
+    A document's segments meet in one array; a document is bounded by its source file."""
+    item = F.struct("segment_index", T.word_count(F.col("text")).cast("int").alias("w"), *columns)
+    whole = segments.groupBy("document_id").agg(F.array_sort(F.collect_list(item)).alias("s"))
+    whole = whole.withColumn("b", _chunk_starts(F.transform("s", lambda x: x["w"]), target, most))
+    ends = F.concat(F.slice("b", F.lit(2), F.size("b")), F.array(F.size("s") + 1))
+    parts = F.zip_with("b", ends, lambda b, e: F.slice("s", b, e - b))
+    return whole.select("document_id", F.posexplode(parts).alias("chunk_no", "p"))
 
-    A document's word counts meet in one array; a document is bounded by its source file."""
-    sizes = segments.select("document_id", F.struct(F.col("segment_index").alias("i"), T.word_count(F.col("text")).cast("int").alias("w")).alias("s"))
-    whole = sizes.groupBy("document_id").agg(F.array_sort(F.collect_list("s")).alias("s"))
-    numbered = whole.withColumn("c", _chunk_numbers(F.transform("s", lambda x: x["w"]), target, most))
-    return numbered.select("document_id", F.explode(F.arrays_zip("s", "c")).alias("z")).select(
-        "document_id", F.col("z.s.i").alias("segment_index"), F.col("z.s.w").cast("long").alias("words"), F.col("z.c").alias("chunk_no")
-    )
+
+def chunk_assignment(segments: DataFrame, target: int = TARGET_WORDS, most: int = MAX_WORDS) -> DataFrame:
+    """(document_id, segment_index, words, chunk_no): segments are packed greedily in order and never split."""
+    rows = _packed(segments, [], target, most).select("document_id", "chunk_no", F.explode("p").alias("x"))
+    return rows.select("document_id", "x.segment_index", F.col("x.w").cast("long").alias("words"), "chunk_no")
 
 
 def chunks(segments: DataFrame, target: int = TARGET_WORDS, most: int = MAX_WORDS, profile: str = CHUNKING_PROFILE) -> DataFrame:
     """chunk_id, document_id, chunk_no, segment_ids, first/last_segment_id, start/end_seconds, text, content_sha256, languages, speaker_refs."""
-    parts = segments.join(chunk_assignment(segments, target, most).drop("words"), ["document_id", "segment_index"])
-    item = F.struct("segment_index", "segment_id", "start_seconds", "end_seconds", T.strip(F.col("text")).alias("text"))
-    whole = parts.groupBy("document_id", "chunk_no").agg(
-        F.array_sort(F.collect_list(item)).alias("s"), F.array_sort(F.collect_set("language")).alias("languages"), F.array_sort(F.collect_set("speaker_ref")).alias("speaker_refs")
-    )
+    whole = _packed(segments, ["segment_id", "start_seconds", "end_seconds", "text", "language", "speaker_ref"], target, most)
+    distinct = lambda c: F.array_sort(F.array_distinct(F.array_compact(F.transform("p", lambda x: x[c]))))
     rows = whole.select(
-        "document_id", "chunk_no", F.transform("s", lambda x: x["segment_id"]).alias("segment_ids"), F.element_at("s", 1)["segment_id"].alias("first_segment_id"),
-        F.element_at("s", -1)["segment_id"].alias("last_segment_id"), F.element_at("s", 1)["start_seconds"].alias("start_seconds"), F.element_at("s", -1)["end_seconds"].alias("end_seconds"),
-        F.array_join(F.transform("s", lambda x: x["text"]), " ").alias("text"), "languages", "speaker_refs",
+        "document_id", "chunk_no", F.transform("p", lambda x: x["segment_id"]).alias("segment_ids"), F.element_at("p", 1)["segment_id"].alias("first_segment_id"),
+        F.element_at("p", -1)["segment_id"].alias("last_segment_id"), F.element_at("p", 1)["start_seconds"].alias("start_seconds"), F.element_at("p", -1)["end_seconds"].alias("end_seconds"),
+        F.array_join(F.transform("p", lambda x: T.strip(x["text"])), " ").alias("text"), distinct("language").alias("languages"), distinct("speaker_ref").alias("speaker_refs"),
     ).withColumn("content_sha256", F.sha2("text", 256))
     material = F.concat_ws("\u0000", F.lit(profile), F.col("document_id").cast("string"), "first_segment_id", "last_segment_id", "content_sha256")
     return rows.withColumn("chunk_id", F.concat(F.lit("chunk-"), F.sha2(material, 256)))
@@ -68,14 +71,21 @@ def bridge(chunked: DataFrame) -> DataFrame:
     return chunked.select("chunk_id", "document_id", F.explode("segment_ids").alias("segment_id"))
 
 
+def placed_bridge(chunked: DataFrame, *columns: str) -> DataFrame:
+    """The same with the segment's place in its chunk and other columns of the chunk."""
+    return chunked.select("chunk_id", "document_id", F.posexplode("segment_ids").alias("place", "segment_id"), *columns)
+
+
 def missing_bridge(chunked: DataFrame, known: DataFrame) -> DataFrame:
     """Bridge rows of the chunks that ``known`` has none of."""
     return bridge(chunked.join(known.select("chunk_id").distinct(), "chunk_id", "left_anti"))
 
 
 def segment_to_chunk(requested: DataFrame, links: DataFrame) -> DataFrame:
-    """``requested`` (document_id, segment_id) with chunk_id; of several chunks the greatest id; without one, dropped."""
-    return requested.join(links.groupBy("document_id", "segment_id").agg(F.max("chunk_id").alias("chunk_id")), ["document_id", "segment_id"])
+    """``requested`` (document_id, segment_id) with chunk_id and what else the links have; of several chunks the greatest id; without one, dropped."""
+    rest = [c for c in links.columns if c not in ("document_id", "segment_id", "chunk_id")]
+    met = requested.join(links, ["document_id", "segment_id"]).groupBy(*requested.columns).agg(F.max(F.struct("chunk_id", *rest)).alias("_c"))
+    return met.select(*requested.columns, *[F.col(f"_c.{c}").alias(c) for c in ("chunk_id", *rest)])
 
 
 def matches(rows: DataFrame, query: SearchQuery | None, scope: DataFrame | None = None, links: DataFrame | None = None) -> DataFrame:
@@ -103,6 +113,26 @@ def vector_topk(rows: DataFrame, query_vector: list[float], limit: int, vector_c
     return scores.orderBy(F.desc("score"), *ties).limit(limit)
 
 
+def vector_topk_many(rows: DataFrame, asked: DataFrame, limit: int, places: int = 12, block: int = 64) -> DataFrame:
+    """(query_id, chunk_id, score): for each of many query vectors (query_id, query_vector) the ``limit`` best of all rows
+    (chunk_id, vector) by dot product, rounded to ``places``; ties to the smaller id.
+
+    A stated set of queries is taken in blocks of ``block``; a block is a literal in a scan of all rows, which keeps the best of
+    each task before they travel."""
+    queries = asked.select("query_id", "query_vector").orderBy("query_id").collect()  # the stated queries only
+    found = []
+    for start in range(0, len(queries), block):
+        scores = F.array(*[F.struct(F.lit(q["query_id"]).alias("query_id"), F.round(V.dot(F.col("vector"), V.literal(q["query_vector"])), places).alias("score")) for q in queries[start : start + block]])
+        found.append(rows.select("chunk_id", F.explode(scores).alias("q")).select("q.query_id", "chunk_id", "q.score"))
+    if not found:
+        return rows.select(F.col("chunk_id").alias("query_id"), "chunk_id", F.lit(0.0).alias("score")).limit(0)
+    every = found[0]
+    for more in found[1:]:
+        every = every.unionByName(more)
+    place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))
+    return every.withColumn("_n", place).filter(F.col("_n") <= limit).drop("_n")
+
+
 def ranked(hits: DataFrame, ties: tuple[str, ...] = ("document_id", "start_seconds", "chunk_id")) -> DataFrame:
     """Hits (at most ``limit`` rows) with semantic_rank."""
     return hits.withColumn("semantic_rank", F.row_number().over(W.orderBy(F.desc("score"), *ties)))

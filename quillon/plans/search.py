@@ -157,6 +157,15 @@ def vector_topk(spark, sf_dir):
     return _topk(_vectors(spark, sf_dir), _query_vector(spark, sf_dir), 20)
 
 
+@query("""SELECT q.vec_id AS query_id, e.vec_id AS chunk_id, round(list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 100 = 0) q
+  QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) DESC, e.vec_id) <= 10""")
+def vector_topk_many(spark, sf_dir):
+    """Every vector whose id is divisible by 100 as a query against all rows."""
+    rows = _vectors(spark, sf_dir)
+    asked = rows.filter("chunk_id % 100 = 0").select(F.col("chunk_id").alias("query_id"), F.col("vector").alias("query_vector"))
+    return semantic.vector_topk_many(rows, asked, 10, places=6).select("query_id", "chunk_id", "score")
+
+
 @query(f"SELECT vec_id AS chunk_id, {_DOT} AS score FROM embeddings WHERE label IN (1, 4, 7) ORDER BY score DESC, vec_id LIMIT 20")
 def vector_topk_filtered(spark, sf_dir):
     rows = semantic.matches(_vectors(spark, sf_dir), SearchQuery("any", languages=("1", "4", "7")))
@@ -224,21 +233,21 @@ def corpus_fingerprint_tree(spark, sf_dir):
 LIMIT = 20
 
 
-def _fused(spark, sf_dir, whole: bool = False) -> DataFrame:
-    """``whole``: chunks are placed over all embeddings, not over the first 500."""
+def _fused(spark, sf_dir) -> DataFrame:
+    """Chunks are placed over all embeddings by their document and number. What the result tells of a chunk travels with both sides."""
     rows = views.transcripts(spark, sf_dir)
     chunks = semantic.chunks(rows, TARGET, MOST)
     n = fusion.candidates(LIMIT)
     q = SearchQuery(ASKED, limit=n)
-    hits = lexical.ranked(lexical.ordered(lexical.scored(rows, q).withColumn("score", F.round("score", 6)), q), q)
-    lex = fusion.collapse(hits.select("document_id", "segment_id", "lexical_rank"), semantic.segment_to_chunk(hits.select("document_id", "segment_id"), semantic.bridge(chunks)))
+    hits = lexical.ranked(lexical.ordered(lexical.scored(rows, q).withColumn("score", F.round("score", 6)), q), q).select("document_id", "segment_id", "lexical_rank")
+    told = ["start_seconds", "first_segment_id"]
+    links = semantic.placed_bridge(chunks.withColumn("_doc", F.col("document_id")), "_doc", *told)
+    lex = fusion.collapse(hits, semantic.segment_to_chunk(hits.select("document_id", "segment_id"), links)).withColumnRenamed("_doc", "document_id")
     vectors = views.read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("_v"), F.col("embedding").alias("vector"))
-    places = vectors.count() if whole else 500
-    placed = chunks.withColumn("_v", (F.col("document_id") * 31 + F.col("chunk_no")) % places).join(vectors, "_v")
+    placed = chunks.withColumn("_v", (F.col("document_id") * 31 + F.col("chunk_no")) % vectors.count()).join(vectors, "_v")
     scores = placed.withColumn("score", F.round(V.dot(F.col("vector"), V.literal(_query_vector(spark, sf_dir))), 6))
-    near = scores.select("chunk_id", "document_id", "start_seconds", "score").orderBy(F.desc("score"), "document_id", "start_seconds", "chunk_id").limit(n)
-    fused = fusion.fuse(lex, semantic.ranked(near), LIMIT)
-    return fused.join(chunks.select("chunk_id", "document_id", "start_seconds", "first_segment_id"), "chunk_id").withColumn("fused_score", F.round("fused_score", 9))
+    near = scores.select("chunk_id", "document_id", *told, "score").orderBy(F.desc("score"), "document_id", "start_seconds", "chunk_id").limit(n)
+    return fusion.fuse(lex, semantic.ranked(near), LIMIT).withColumn("fused_score", F.round("fused_score", 9))
 
 
 _HYBRID = f"""WITH RECURSIVE tr AS ({S.TRANSCRIPTS}), {S.chunk_numbers(TARGET, MOST)}, chunks AS ({S.CHUNKS}), {S.bm25('SELECT * FROM tr', ASKED.split())},
@@ -247,7 +256,7 @@ _HYBRID = f"""WITH RECURSIVE tr AS ({S.TRANSCRIPTS}), {S.chunk_numbers(TARGET, M
   b AS (SELECT chunk_id, document_id, unnest(segment_ids) AS segment_id FROM chunks),
   best AS (SELECT chunk_id, min(r) AS best, list_sort(list_distinct(list(segment_id))) AS matched FROM hits JOIN b USING (document_id, segment_id) GROUP BY chunk_id),
   lex AS (SELECT chunk_id, row_number() OVER (ORDER BY best, chunk_id)::INT AS lexical_rank, matched FROM best),
-  v AS (SELECT chunk_id, document_id, start_seconds, {_DOT} AS s FROM chunks JOIN embeddings ON vec_id = (document_id * 31 + chunk_no) % 500),
+  v AS (SELECT chunk_id, document_id, start_seconds, {_DOT} AS s FROM chunks JOIN embeddings ON vec_id = (document_id * 31 + chunk_no) % (SELECT count(*) FROM embeddings)),
   sem AS (SELECT chunk_id, row_number() OVER (ORDER BY s DESC, document_id, start_seconds, chunk_id)::INT AS semantic_rank FROM v ORDER BY s DESC, document_id, start_seconds, chunk_id LIMIT 100),
   fused AS (SELECT chunk_id, lexical_rank, semantic_rank, matched, coalesce(1.0::DOUBLE / (60 + lexical_rank), 0) + coalesce(1.0::DOUBLE / (60 + semantic_rank), 0) AS score FROM lex FULL JOIN sem USING (chunk_id)),
   placed AS (SELECT *, row_number() OVER (ORDER BY score DESC, chunk_id)::INT AS fused_rank FROM fused)
@@ -267,15 +276,5 @@ def hybrid_rrf_timeline(spark, sf_dir):
     return fusion.along_timeline(_fused(spark, sf_dir)).select(*_FUSED, joined("matched_segment_ids"))
 
 
-_HYBRID_WHOLE = _HYBRID.replace("(document_id * 31 + chunk_no) % 500", "(document_id * 31 + chunk_no) % (SELECT count(*) FROM embeddings)")
-
-
-@query(_HYBRID_WHOLE)
-def hybrid_rrf_whole(spark, sf_dir):
-    """Chunks placed over the whole embeddings table."""
-    return _fused(spark, sf_dir, whole=True).select(*_FUSED, joined("matched_segment_ids"))
-
-
-@query(_HYBRID_WHOLE + " ORDER BY document_id, start_seconds, first_segment_id")
-def hybrid_rrf_whole_timeline(spark, sf_dir):
-    return fusion.along_timeline(_fused(spark, sf_dir, whole=True)).select(*_FUSED, joined("matched_segment_ids"))
+for _name in ("hybrid_rrf", "hybrid_rrf_timeline"):
+    QUERIES[_name.replace("rrf", "rrf_whole")], ORACLES[_name.replace("rrf", "rrf_whole")] = QUERIES[_name], ORACLES[_name]

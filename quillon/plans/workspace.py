@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Callable
 from dataclasses import asdict, fields
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.functions import text as T
 from quillon.functions import vectors as V
 from quillon.operators import fusion, lexical, research, semantic
 from quillon.operators.lexical import SearchQuery
+from quillon.sources import generations
 
 LEXICAL, SEMANTIC, HYBRID = "lexical", "semantic", "hybrid"
 #: What providers put before a query and before a passage (fixed values).
@@ -50,16 +52,41 @@ def hashed_vectors(rows: DataFrame, text_col: str = "text", dimensions: int = 64
     return rows.withColumn("_h", hashes).withColumn("_v", raw).withColumn("vector", F.when(length > 0, F.transform("_v", lambda x: x / length)).otherwise(first)).drop("_h", "_v")
 
 
+def profile_id(model: str, dimensions: int, chunking: str = semantic.CHUNKING_PROFILE) -> str:
+    """Names what vectors depend on: the model, its width, the prefixes and the chunking."""
+    parts = [model, str(dimensions), QUERY_PREFIX, PASSAGE_PREFIX, chunking]
+    return "profile-" + hashlib.sha256("\0".join(parts).encode()).hexdigest()
+
+
+def rebuild(segments: DataFrame, embed: Callable[[DataFrame], DataFrame], model: str, dimensions: int, target: int = semantic.TARGET_WORDS, most: int = semantic.MAX_WORDS) -> DataFrame:
+    """Chunks with vectors and the profile they were made by, ready to be published with their bridge.
+
+    ``embed`` adds ``vector`` to rows with ``passage`` (the chunk's text behind its prefix). A vector of another width, not finite
+    or not of length one is an error, before anything is stored."""
+    rows = embed(semantic.chunks(segments, target, most).withColumn("passage", F.concat(F.lit(PASSAGE_PREFIX), "text"))).drop("passage")
+    if bad := rows.filter(~F.coalesce(V.is_valid(F.col("vector"), dimensions), F.lit(False))).select("chunk_id").first():
+        raise ValueError(f"the vector of {bad[0]} is not of length one and width {dimensions}")
+    return rows.withColumn("profile_id", F.lit(profile_id(model, dimensions)))
+
+
+def store(spark: SparkSession, root: str, rebuilt: DataFrame, documents: DataFrame) -> str:
+    """Publish chunks, bridge and the fingerprint of the documents they were made from, as one generation."""
+    return generations.publish(spark, root, {"chunks": rebuilt, "bridge": semantic.bridge(rebuilt), "fingerprint": semantic.fingerprint(documents)})
+
+
 class Workspace:
-    """``segments`` are required; ``chunks`` with vectors, ``notes`` and the rest only for what needs them.
+    """``segments`` are required; ``chunks`` with vectors, ``notes`` and the rest only for what needs them. With ``labels``
+    (document_id, speaker_ref, label) lexical hits tell the speaker's display_name. With ``profile`` only chunks of that profile count.
 
     ``embed_query`` maps a text (with its prefix) to a vector. ``fingerprint`` is that of the documents the vectors were
     made from; semantic search refuses when it is not the present one."""
 
     def __init__(
         self, segments: DataFrame, chunks: DataFrame | None = None, notes: DataFrame | None = None, note_segments: DataFrame | None = None, labels: DataFrame | None = None,
-        embed_query: Callable[[str], list[float]] | None = None, fingerprint: str | None = None, current_fingerprint: str | None = None,
+        embed_query: Callable[[str], list[float]] | None = None, fingerprint: str | None = None, current_fingerprint: str | None = None, profile: str | None = None,
     ) -> None:
+        if chunks is not None and profile is not None:
+            chunks = chunks.filter(F.col("profile_id") == profile)
         self.segments, self.chunks, self.notes, self.note_segments, self.labels = segments, chunks, notes, note_segments, labels
         self.embed_query, self.fingerprint, self.current_fingerprint = embed_query, fingerprint, current_fingerprint
 
@@ -71,7 +98,8 @@ class Workspace:
 
     def search(self, query: SearchQuery, mode: str = LEXICAL, scope: DataFrame | None = None) -> DataFrame:
         if mode == LEXICAL:
-            return lexical.ranked(lexical.search(self.segments, query, scope), query)
+            hits = lexical.ranked(lexical.search(self.segments, query, scope), query)
+            return hits if self.labels is None else self._named(hits, query)
         if mode not in (SEMANTIC, HYBRID):
             raise ValueError(f"unknown mode {mode}")
         if self.chunks is None or self.embed_query is None:
@@ -86,10 +114,15 @@ class Workspace:
             return fusion.along_timeline(near) if query.timeline else near.orderBy("semantic_rank")
         wide = SearchQuery(query.text, query.phrase, query.all_terms, query.speaker_refs, query.languages, query.document_ids, False, n)
         hits = lexical.ranked(lexical.search(self.segments, wide, scope), wide).select("document_id", "segment_id", "lexical_rank")
-        lex = fusion.collapse(hits, semantic.segment_to_chunk(hits.select("document_id", "segment_id"), links))
+        lex = fusion.collapse(hits, semantic.segment_to_chunk(hits.select("document_id", "segment_id"), semantic.placed_bridge(self.chunks)))
         fused = fusion.fuse(lex, near, query.limit).join(self.chunks.drop("vector"), "chunk_id")
         return fusion.along_timeline(fused) if query.timeline else fused.orderBy("fused_rank")
 
+    def _named(self, hits: DataFrame, query: SearchQuery) -> DataFrame:
+        """Hits with label and display_name, in their order. Hits are at most the query's limit; labels are asked for their speakers only."""
+        own = hits.join(self.labels.select("document_id", "speaker_ref", "label"), ["document_id", "speaker_ref"], "left").withColumn("display_name", T.display_name(F.col("label"), F.col("speaker_ref")))
+        return own.orderBy("document_id", "start_seconds", "segment_id") if query.timeline else own.orderBy("lexical_rank")
+
     def discover(self, text: str, limit: int = 20, mode: str = LEXICAL) -> dict[str, DataFrame]:
         """Evidence, notes, tags and collections that answer a text, each group by its own order."""
         if not 1 <= limit <= 100:

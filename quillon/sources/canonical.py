@@ -86,6 +86,46 @@ def verified(loaded: DataFrame, index: DataFrame) -> DataFrame:
     return index.join(now, "canonical_path", "left").withColumn("intact", F.coalesce(same, F.lit(False))).drop("_c", "_d", "_s")
 
 
+def source_integrity(index: DataFrame, listing: DataFrame) -> DataFrame:
+    """Index rows (document_id, source_path, source_sha256) with integrity: "matches", "changed", "missing" (no file at the path) or
+    "unreadable" (a file that could not be read whole). ``listing``: path, sha256 (null if unreadable), and size and modified_ns
+    before and after reading, where it was read."""
+    found = listing.select(F.col("path").alias("source_path"), F.col("sha256").alias("_h"), F.lit(True).alias("_there"), *[F.col(c).alias(f"_{c}") for c in ("size_before", "size_after", "modified_before", "modified_after")])
+    steady = F.col("_size_before").eqNullSafe(F.col("_size_after")) & F.col("_modified_before").eqNullSafe(F.col("_modified_after"))
+    state = F.when(F.col("_there").isNull(), "missing").when(F.col("_h").isNull() | ~steady, "unreadable").when(F.col("_h") == F.col("source_sha256"), "matches").otherwise("changed")
+    return index.join(found, "source_path", "left").withColumn("integrity", state).drop("_h", "_there", "_size_before", "_size_after", "_modified_before", "_modified_after")
+
+
+def details(segment_rows: DataFrame, index: DataFrame) -> DataFrame:
+    """A snapshot per document of the index (document_id, canonical_sha256, segment_count): segments, words, speakers and seconds as
+    they are in the transcript, and sound: generation and number of segments are those of the index."""
+    refs = F.array_distinct(F.filter(F.concat(F.array("speaker_ref"), F.coalesce(F.transform("words", lambda w: w["speaker_ref"]), F.array().cast("array<string>"))), lambda r: r.isNotNull()))
+    now = segment_rows.groupBy("document_id").agg(
+        F.count(F.lit(1)).alias("segments"), F.sum(F.coalesce(F.size("words"), F.lit(0))).alias("n_words"), F.max("end_seconds").alias("seconds"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set(refs)))).alias("speakers"), F.min("canonical_sha256").alias("_c"),
+    )
+    met = index.join(now, "document_id", "left")
+    same = (F.col("segments") == F.col("segment_count")) & (F.col("_c") == F.col("canonical_sha256"))
+    return met.select("document_id", "segments", "n_words", "speakers", "seconds", F.coalesce(same, F.lit(False)).alias("sound"))
+
+
+#: Fields of a label file; any other is an error (fixed values).
+LABEL_FIELDS = "document_id string, canonical_sha256 string, speaker_ref string, label string"
+
+
+def label_states(spark: SparkSession, path: str) -> DataFrame:
+    """Speaker labels from JSON lines. Unknown or missing fields, and two labels of one speaker in one generation, are errors."""
+    raw = spark.read.text(path).filter(F.trim("value") != "")
+    names = sorted(f.split()[0] for f in LABEL_FIELDS.split(", "))
+    rows = raw.withColumns({"keys": F.array_sort(F.json_object_keys("value")), "doc": F.from_json("value", LABEL_FIELDS)})
+    if bad := rows.filter(~F.col("keys").eqNullSafe(F.array(*[F.lit(n) for n in names]))).select("value").first():
+        raise ValueError(f"not a label: {bad[0][:200]}")
+    found = rows.select("doc.*")
+    if twice := found.groupBy("document_id", "canonical_sha256", "speaker_ref").count().filter("count > 1").first():
+        raise ValueError(f"two labels of {twice['speaker_ref']} in {twice['document_id']}")
+    return found
+
+
 def recordings(listing: DataFrame, limit: int = 10_000) -> DataFrame:
     """``listing`` (path, size, location_id, automatic) per media file: size, locations, automatic if any root is; hidden and empty files are left out."""
     name = F.element_at(F.split("path", "/"), -1)
