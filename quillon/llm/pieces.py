@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import kept_columns, map_kept
+from .common import kept_columns, map_kept, map_packed
 
 MARK = "▁"
 #: Where the public vocabulary lies; a parameter of every function that reads it.
@@ -333,7 +333,9 @@ def decode(encoded: DataFrame, ids_col: str = "__ids", path: str = MODEL_PATH) -
     return map_kept(encoded, kept_columns(encoded, ["__text"]), ids_col, "array<int>", task, "__text string")
 
 
-def round_trip(docs: DataFrame, text_col: str = "text", path: str = MODEL_PATH) -> DataFrame:
-    """``docs`` with __ids as by :func:`encode` and __text as by :func:`decode` from them, in one pass over the rows."""
+def round_trip(docs: DataFrame, text_col: str = "text", path: str = MODEL_PATH, ids_as: str = "__ids", text_as: str = "__text") -> DataFrame:
+    """``docs`` with ids as by :func:`encode` and text as by :func:`decode` from them, in one pass over the rows. The two columns
+    are called as asked, and replace columns of these names only."""
     task = _both_batches(_send(docs.sparkSession, load(path)))
-    return map_kept(docs, kept_columns(docs, ["__ids", "__text"]), text_col, "string", task, "__ids array<int>, __text string")
+    found = map_packed(docs, kept_columns(docs, [ids_as, text_as]), text_col, "string", task, "__ids array<int>, __text string")
+    return found.select("kept.*", F.col("__ids").alias(ids_as), F.col("__text").alias(text_as))

@@ -142,6 +142,7 @@ _LETTERS = [bytes((i,)) for i in range(256)] + [b"", b""]
 
 
 def lzw_decode(raw: bytes, size: int) -> bytes:
+    """At most ``size`` bytes; what a strip would expand to beyond them is not made."""
     out, have = [], 0
     for codes in _lzw_codes(raw):
         if not codes:
@@ -153,6 +154,8 @@ def lzw_decode(raw: bytes, size: int) -> bytes:
         out.append(before)
         have += 1
         for code in codes[1:]:
+            if have >= size:
+                return b"".join(out)[:size]
             if code < len(table):
                 entry = table[code]
             elif code == len(table):
@@ -161,6 +164,7 @@ def lzw_decode(raw: bytes, size: int) -> bytes:
                 raise ValueError("bad LZW code")
             table.append(before + entry[:1])
             out.append(entry)
+            have += len(entry)
             before = entry
     return b"".join(out)[:size]
 
@@ -470,6 +474,7 @@ def payload(text: Column) -> Column:
 
 
 def media_column(docs: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
-    """The ``keep`` columns of every row, and ``media``: its padded text as a file."""
+    """The ``keep`` columns of every row, and ``media``: its padded text as a file. Null texts are empty, repeated rows get equal
+    files, an empty table stays empty; ``keep`` must not name media."""
     rows = docs.select(*keep, payload(F.col(text_col)).alias("__payload"))
     return rows.mapInArrow(_store_batches, _kept(rows, keep) + "media binary")

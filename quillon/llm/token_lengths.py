@@ -60,7 +60,10 @@ def _length_batches(sent):
 
 
 def lengths(docs: DataFrame, text_col: str = "text", keep: list[str] = ["doc_id"], path: str = RANKS_PATH, pattern: str = PATTERN) -> DataFrame:  # noqa: B006
-    """The ``keep`` columns of every row and n_tokens, the encoded length of its whole text (0 for null and empty texts)."""
+    """The ``keep`` columns of every row and n_tokens, the encoded length of its whole text (0 for null and empty texts).
+
+    Repeated rows are each counted; an empty table gives no rows; a kept column called n_tokens is replaced."""
+    keep = [c for c in keep if c.lower() != "n_tokens"]
     rows = docs.select(*keep, F.col(text_col).cast("string").alias("__text"))
     kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[:-1])
     sent = docs.sparkSession.sparkContext.broadcast((load_ranks(path), pattern))
@@ -100,18 +103,22 @@ def limits(hist: DataFrame, group: int = GROUP) -> DataFrame:
     )
 
 
-def at_limits(answers: DataFrame, wanted: DataFrame, limit_col: str = "context_limit") -> DataFrame:
-    """For each limit in ``wanted`` (a few rows, checked): docs_over, kept_tokens and cut_tokens, from the rows of :func:`limits`."""
-    if wanted.limit(10_001).count() > 10_000:
-        raise ValueError("at most 10,000 limits at once; join on lengths for more")
-    asked = F.broadcast(wanted.select(F.col(limit_col).cast("long").alias(limit_col)).distinct())
-    longer = answers.join(asked, F.col("n_tokens") > F.col(limit_col))
-    over = longer.groupBy(limit_col).agg(F.sum("n_docs").alias("docs_over"), F.sum(F.col("n_docs") * (F.col("n_tokens") - F.col(limit_col))).alias("cut_tokens"))
-    whole = answers.agg(F.coalesce(F.max("total_tokens"), F.lit(0)).alias("total_tokens"))
-    return (
-        asked.join(over, limit_col, "left").crossJoin(F.broadcast(whole))
-        .select(limit_col, F.coalesce("docs_over", F.lit(0)).alias("docs_over"), (F.col("total_tokens") - F.coalesce("cut_tokens", F.lit(0))).alias("kept_tokens"), F.coalesce("cut_tokens", F.lit(0)).alias("cut_tokens"))
-    )
+def at_limits(answers: DataFrame, wanted: DataFrame, limit_col: str = "context_limit", group: int = GROUP) -> DataFrame:
+    """For each limit in ``wanted``, however many: docs_over, kept_tokens and cut_tokens, from the rows of :func:`limits`.
+
+    Documents over a limit are those of the later groups of lengths, by suffix sums over groups, and the longer ones of its own
+    group. Null limits are left out, repeated ones answered once; without lengths all figures are 0."""
+    asked = wanted.select(F.col(limit_col).cast("long").alias(limit_col)).filter(F.col(limit_col).isNotNull()).distinct().withColumn("g", F.floor(F.col(limit_col) / group))
+    rows = answers.select("n_tokens", "n_docs", (F.col("n_tokens") * F.col("n_docs")).alias("t"), F.floor(F.col("n_tokens") / group).alias("g"))
+    sums = rows.groupBy("g").agg(F.sum("n_docs").alias("d"), F.sum("t").alias("t")).unionByName(asked.select("g", F.lit(0).alias("d"), F.lit(0).alias("t")).distinct())
+    sums = sums.groupBy("g").agg(F.sum("d").alias("d"), F.sum("t").alias("t"))  # a row per group of lengths
+    after = W.orderBy(F.desc("g")).rowsBetween(W.unboundedPreceding, -1)
+    sums = sums.select("g", F.coalesce(F.sum("d").over(after), F.lit(0)).alias("docs_after"), F.coalesce(F.sum("t").over(after), F.lit(0)).alias("tokens_after"), F.sum("t").over(W.partitionBy(F.lit(1))).alias("total_tokens"))
+    own = asked.join(rows, "g").filter(F.col("n_tokens") > F.col(limit_col)).groupBy(limit_col).agg(F.sum("n_docs").alias("d"), F.sum("t").alias("t"))
+    met = asked.join(sums, "g").join(own, limit_col, "left")
+    met = met.select(limit_col, (F.col("docs_after") + F.coalesce("d", F.lit(0))).alias("docs_over"), (F.col("tokens_after") + F.coalesce("t", F.lit(0))).alias("over"), "total_tokens")
+    cut = F.col("over") - F.col("docs_over") * F.col(limit_col)
+    return met.select(limit_col, "docs_over", (F.col("total_tokens") - cut).alias("kept_tokens"), cut.alias("cut_tokens"))
 
 
 def quantiles(answers: DataFrame, shares: list[float]) -> DataFrame:

@@ -6,6 +6,7 @@ import corpus_pipeline
 from quillon.llm import golay_simhash, mil_quality, pieces
 from quillon.llm.common import table
 
+from .helpers import awkward, empty
 from .test_golay_simhash import brute_print
 
 SF = "/root/testdata/sf0.001"
@@ -44,3 +45,19 @@ def test_stages_follow_each_other(spark):
 
 def test_names():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality classifier", "exact dedup", "near dedup", "mixing", "pieces"]
+
+
+def test_awkward_and_empty_rows_pass_all_stages(spark, tmp_path):
+    """Nulls in any column, empty and long texts, ties, repeated rows and clashing names, then no rows at all."""
+
+
+    for name, docs in (("awkward", awkward(spark)), ("empty", empty(spark))):
+        folder = f"{tmp_path}/{name}"
+        docs.write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([(1, 1, 0), (3, 0, None), (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        found = corpus_pipeline.run(spark, folder)
+        assert found.columns == [*docs.columns, "piece_ids", "decoded_sha256"]
+        rows = found.collect()
+        assert len(rows) == 0 if name == "empty" else all(r["decoded_sha256"] for r in rows)
+        for _, stage in corpus_pipeline.STAGES[1:4]:
+            assert stage(spark, docs, folder).columns == docs.columns

@@ -27,6 +27,16 @@ def test_lzw_at_the_width_changes(n):
     assert tiff.lzw_decode(tiff.lzw_encode(data), n) == data
 
 
+def test_lzw_stops_at_the_size():
+    import tracemalloc
+
+    raw = tiff.lzw_encode(bytes(3_000_000))
+    tracemalloc.start()
+    assert tiff.lzw_decode(raw, 10) == bytes(10)
+    assert tracemalloc.get_traced_memory()[1] < 1_000_000
+    tracemalloc.stop()
+
+
 def test_known_streams():
     assert tiff.packbits_decode(bytes.fromhex("FEAA0280002AFDAA0380002A22F7AA"), 24) == bytes.fromhex("AAAAAA80002AAAAAAAAA80002A22AAAAAAAAAAAAAAAAAAAA")
     # Clear, 7, 258, 8, 8, 258, 6, 6, End in nine bits each

@@ -34,7 +34,7 @@ def test_limits_equal_brute_force(spark, group):
         assert r["n_docs"] == lengths.count(limit)
         assert (r["total_docs"], r["total_tokens"]) == (len(lengths), sum(lengths))
     wanted = spark.createDataFrame([(0,), (2,), (2,), (100,), (10**6,)], "context_limit long")
-    for r in t.at_limits(answers, wanted).collect():
+    for r in t.at_limits(answers, wanted, group=group).collect():
         over, _, _, kept, cut = brute(lengths, r["context_limit"])
         assert (r["docs_over"], r["kept_tokens"], r["cut_tokens"]) == (over, kept, cut)
     ordered = sorted(lengths)
@@ -42,6 +42,12 @@ def test_limits_equal_brute_force(spark, group):
         assert r["n_tokens"] == next(n for n in ordered if sum(x <= n for x in ordered) / len(ordered) >= r["share"])
 
 
+def test_no_lengths_and_null_limits(spark):
+    none = t.limits(t.histogram(spark.createDataFrame([], "n_tokens long")))
+    wanted = spark.createDataFrame([(None,), (7,)], "context_limit long")
+    assert [tuple(r) for r in t.at_limits(none, wanted).collect()] == [(7, 0, 0, 0)]
+
+
 def test_empty(spark):
     assert t.limits(t.histogram(t.lengths(empty(spark)))).count() == 0
     assert t.histogram(spark.createDataFrame([(None,), (3,)], "n_tokens long")).collect() == [(3, 1)]
