@@ -50,8 +50,7 @@ def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """SentencePiece encoding and decoding: the ids of each text, and the hash of the text that they decode to.
 
     Null and empty texts have no ids; repeated rows get equal ids; an empty table stays empty."""
-    found = pieces.round_trip(docs)
-    return found.select(*docs.columns, F.col("__ids").alias("piece_ids"), F.sha2("__text", 256).alias("decoded_sha256"))
+    return pieces.round_trip(docs, ids_as="piece_ids", text_as="decoded_sha256").withColumn("decoded_sha256", F.sha2("decoded_sha256", 256))
 
 
 STAGES = [
