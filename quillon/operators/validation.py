@@ -43,3 +43,33 @@ def alignment_violations(words: DataFrame, segments: DataFrame) -> DataFrame:
         F.when((F.col("start_seconds") < F.col("_s") - WORD_SLACK) | (F.col("end_seconds") > F.col("_e") + WORD_SLACK), F.lit("outside")),
     )
     return met.select("document_id", "segment_id", "word_index", F.explode(F.array_compact(checks)).alias("problem"))
+
+
+def speaker_violations(words: DataFrame, segments: DataFrame) -> DataFrame:
+    """(document_id, segment_id) of segments with a speaker and words that do not all have that speaker."""
+    own = segments.filter("speaker_ref IS NOT NULL").select("document_id", "segment_id", F.col("speaker_ref").alias("_own"))
+    other = ~F.col("speaker_ref").eqNullSafe(F.col("_own"))
+    return words.join(own, ["document_id", "segment_id"]).filter(other).select("document_id", "segment_id").distinct()
+
+
+def language_violations(documents: DataFrame) -> DataFrame:
+    """(document_id, problem) of language summaries (detected_language, language_probability, detected_languages): blank, probability
+    (not 0 to 1), mixed (one language for several), other (not the one that was found), alone (a probability without a language)."""
+    one, chance, found = F.col("detected_language"), F.col("language_probability"), F.coalesce("detected_languages", F.array().cast("array<string>"))
+    checks = F.array(
+        F.when(F.trim(one) == "", F.lit("blank")), F.when(F.isnan(chance) | ~chance.between(0, 1), F.lit("probability")), F.when((F.size(found) > 1) & one.isNotNull(), F.lit("mixed")),
+        F.when((F.size(found) > 0) & (one != F.get(found, F.lit(0))), F.lit("other")), F.when(one.isNull() & chance.isNotNull(), F.lit("alone")),
+    )
+    return documents.select("document_id", F.explode(F.array_compact(checks)).alias("problem"))
+
+
+def span_violations(spans: DataFrame, segments: DataFrame) -> DataFrame:
+    """(document_id, segment_id, problem) of language spans: beyond (past the text), overlap, language (the segment's own language is
+    not the only one of its spans)."""
+    order = W.partitionBy("document_id", "segment_id").orderBy("start_char", "end_char")
+    own = segments.select("document_id", "segment_id", F.length("text").alias("_n"), F.col("language").alias("_own"))
+    met = spans.withColumn("_before", F.lag("end_char").over(order)).join(own, ["document_id", "segment_id"])
+    checks = F.array(
+        F.when(F.col("end_char") > F.col("_n"), F.lit("beyond")), F.when(F.col("start_char") < F.col("_before"), F.lit("overlap")), F.when(F.col("_own") != F.col("language"), F.lit("language")),
+    )
+    return met.select("document_id", "segment_id", F.explode(F.array_compact(checks)).alias("problem")).distinct()

@@ -256,6 +256,26 @@ def alignment_violations(spark, sf_dir):
     return validation.alignment_violations(words, rows)
 
 
+@query(f"""WITH {_TR}, words AS ({S.WORDS}) SELECT DISTINCT document_id, segment_id FROM words WHERE word_index % 9 = 8""")
+def speaker_violations(spark, sf_dir):
+    """Segments with a speaker of which every ninth word has none."""
+    rows = views.transcripts(spark, sf_dir)
+    own = rows.select("document_id", "segment_id", F.col("speaker_ref").alias("_s"))
+    words = views.words(rows).join(own, ["document_id", "segment_id"]).withColumn("speaker_ref", F.when(F.col("word_index") % 9 != 8, F.col("_s")))
+    return validation.speaker_violations(words, rows)
+
+
+@query("""WITH d AS (SELECT doc_id AS document_id, CASE WHEN doc_id % 10 = 7 THEN NULL WHEN doc_id % 10 = 8 THEN ' ' ELSE lang END AS one, (doc_id % 4) / 2.0::DOUBLE AS p, CASE doc_id % 3 WHEN 0 THEN [lang] WHEN 1 THEN ['xx'] ELSE [lang, 'xx'] END AS l FROM documents)
+  SELECT document_id, 'blank' AS problem FROM d WHERE trim(one) = '' UNION ALL SELECT document_id, 'probability' FROM d WHERE p > 1 UNION ALL SELECT document_id, 'mixed' FROM d WHERE len(l) > 1 AND one IS NOT NULL
+  UNION ALL SELECT document_id, 'other' FROM d WHERE one <> l[1] UNION ALL SELECT document_id, 'alone' FROM d WHERE one IS NULL""")
+def language_violations(spark, sf_dir):
+    """Language summaries of which some do not fit what was found."""
+    docs, n = views.read(spark, sf_dir, "documents"), F.col("doc_id")
+    found = F.when(n % 3 == 0, F.array("lang")).when(n % 3 == 1, F.array(F.lit("xx"))).otherwise(F.array("lang", F.lit("xx")))
+    one = F.when(n % 10 == 7, F.lit(None)).when(n % 10 == 8, " ").otherwise(F.col("lang"))
+    return validation.language_violations(docs.select(n.alias("document_id"), one.alias("detected_language"), ((n % 4) / 2.0).alias("language_probability"), found.alias("detected_languages")))
+
+
 @query(f"""WITH {_TR} SELECT c AS canonical_sha256, count(DISTINCT document_id) AS documents, sum(n)::BIGINT AS segments FROM (SELECT document_id, count(*) AS n, sha256(first(speaker_ref ORDER BY segment_index)) AS c FROM tr GROUP BY document_id) GROUP BY c""")
 def documents_of_generation(spark, sf_dir):
     """Documents and segments of each generation (a digest of the first speaker)."""

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.operators import changes, evidence, research
+from quillon.operators import changes, evidence, research, validation
 from quillon.plans.workspace import PASSAGE_PREFIX, Workspace, hashed_vectors, profile_id, rebuild, store
 from quillon.operators.lexical import SearchQuery
 from quillon.operators import semantic
@@ -172,3 +172,9 @@ def test_the_first_spelling_counts(spark):
     known = spark.createDataFrame([("PIER",)], "tag string")
     first = research.get_or_create(known, spark.createDataFrame([(2, "Harbour"), (1, "harbour"), (3, "pier")], names.schema), "tag_id", "tag", "name", "n").collect()
     assert [r["tag"] for r in first] == ["harbour"]
+
+
+def test_span_violations(spark):
+    rows = spark.createDataFrame([("d", "s0", "abcdef", "en"), ("d", "s1", "abc", None)], "document_id string, segment_id string, text string, language string")
+    spans = spark.createDataFrame([("d", "s0", 0, 4, "en"), ("d", "s0", 3, 9, "fr"), ("d", "s1", 0, 2, "fr"), ("d", "s1", 2, 3, "en")], "document_id string, segment_id string, start_char int, end_char int, language string")
+    assert sorted((r["segment_id"], r["problem"]) for r in validation.span_violations(spans, rows).collect()) == [("s0", "beyond"), ("s0", "language"), ("s0", "overlap")]
