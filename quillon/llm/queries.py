@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ctw, entropy_mix, exact_dedup, golay_simhash, html_extract, language_id, mil_quality, pieces, tiff, token_lengths
+from . import ctw, divergence, entropy_mix, exact_dedup, golay_simhash, html_extract, language_id, mil_quality, pieces, tiff, token_lengths
 from .common import crc_mod
 
 
@@ -87,6 +87,10 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(_read(spark, sf_dir, "pages"))
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_tiff_media": op1_tiff_media,
     "op2_exact_dedup": op2_exact_dedup,
@@ -98,6 +102,7 @@ QUERIES = {
     "op8_entropy_mix": op8_entropy_mix,
     "op9_golay_simhash": op9_golay_simhash,
     "op10_html_extract": op10_html_extract,
+    "op13_source_divergence": op13_source_divergence,
 }
 
 ORACLES = {
@@ -113,4 +118,38 @@ ORACLES = {
                sha256(norm) AS text_sha256
         FROM d WINDOW w AS (PARTITION BY norm ORDER BY chars DESC, doc_id)
     """,
+    "op13_source_divergence": r"""
+        WITH d AS (
+          SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                 translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+          FROM documents),
+        w AS (
+          SELECT k, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+        per AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT k) AS docs FROM w GROUP BY ALL),
+        kept AS (SELECT lang, term, sum(n) AS n FROM per GROUP BY ALL HAVING sum(docs) >= 3),
+        langs AS (SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY ALL),
+        own AS (SELECT lang, source, term, per.n FROM per JOIN kept USING (lang, term)),
+        sums AS (SELECT lang, source, sum(n) AS total FROM own GROUP BY ALL),
+        g AS (
+          SELECT x.lang, x.source, coalesce(s.total, 0) AS total, coalesce(l.v, 0) AS v, l.total AS lang_total
+          FROM (SELECT DISTINCT lang, source FROM d) x LEFT JOIN sums s USING (lang, source) LEFT JOIN langs l USING (lang)),
+        shares AS (
+          SELECT g.lang, g.source, k.term, coalesce(o.n, 0) AS c,
+                 1 + (1000000000::HUGEINT * (coalesce(o.n, 0) + 1)) // (g.total + g.v) AS p,
+                 1 + (1000000000::HUGEINT * (k.n + 1)) // (g.lang_total + g.v) AS q
+          FROM g JOIN kept k USING (lang) LEFT JOIN own o ON o.lang = g.lang AND o.source = g.source AND o.term = k.term),
+        far AS (
+          SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+          FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+        pairs AS (
+          SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0) AS value
+          FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+          LEFT JOIN far f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source),
+        terms AS (
+          SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // q AS value FROM shares WHERE c > 0 AND p > q),
+        ranked AS (
+          SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS r
+          FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+        SELECT lang, source, part, item, value::BIGINT AS value, r::INTEGER AS rank FROM ranked WHERE part = 'pair' OR r <= 200
+    """,
 }
