@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ctw, divergence, entropy_mix, exact_dedup, golay_simhash, html_extract, language_id, mil_quality, pieces, tiff, token_lengths
+from . import ctw, divergence, entropy_mix, exact_dedup, golay_simhash, html_extract, language_id, mil_quality, pieces, substring_dedup, tiff, token_lengths
 from .common import crc_mod
 
 
@@ -87,6 +87,10 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(_read(spark, sf_dir, "pages"))
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup(_read(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"), "spans")
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(_read(spark, sf_dir, "documents"))
 
@@ -102,6 +106,7 @@ QUERIES = {
     "op8_entropy_mix": op8_entropy_mix,
     "op9_golay_simhash": op9_golay_simhash,
     "op10_html_extract": op10_html_extract,
+    "op11_substring_dedup": op11_substring_dedup,
     "op13_source_divergence": op13_source_divergence,
 }
 
