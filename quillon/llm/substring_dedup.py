@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from numpy.lib.stride_tricks import sliding_window_view
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -338,15 +338,13 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
     counted = once.withColumn("n_words", F.regexp_count("text", F.lit(WORD_PATTERN)))
     passes = _Passes(spark, _bucketed(counted, "texts", dealt=True), lengths)
     survivors = passes.most >= window
-    for level, length in enumerate(lengths[:-1] if survivors else []):
-        seen = Observation()
-        found = passes.run(_anchor_task(lengths, level, passes.bits), ["a"]).observe(seen, F.sum((F.col("n") > 1).cast("long")).alias("repeated"))
-        passes.send_back(found.filter("n = 1"), f"once{length}", at=F.lit(True))
-        survivors = bool(seen.get["repeated"])
-        if not survivors:
-            break
     if survivors:
+        for level, length in enumerate(lengths[:-1]):
+            found = passes.run(_anchor_task(lengths, level, passes.bits), ["a"])
+            passes.send_back(found.filter("n = 1"), f"once{length}", at=F.lit(True))
         stretches = table(passes.run(_stretch_task(lengths, passes.bits), ["a", "b", "c"]).select("at", "c"), "dedup-stretches")
+        survivors = not stretches.isEmpty()
+    if survivors:
         shared = stretches.groupBy("c").agg((F.count(F.lit(1)) > 1).alias("parted"), F.min("at").alias("alone"))
         firsts = stretches.join(shared.filter("parted").select("c"), "c", "left_semi").select("at", F.lit(True).alias("parted")).unionByName(shared.filter("NOT parted").select(F.col("alone").alias("at"), "parted"))
         passes.send_back(firsts, "stretch", whole=~F.col("parted"), parted=F.col("parted"))
