@@ -28,10 +28,12 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def forget(df: DataFrame) -> None:
-    """Delete the files of a table that no later step reads."""
+def forget(df: DataFrame, folder: str = "") -> None:
+    """Delete the files of a table that no later step reads; ``folder``: those in folders that end so."""
     spark = df.sparkSession
     for path in {f.rsplit("/part-", 1)[0] for f in df.inputFiles()}:
+        if not path.endswith(folder):
+            continue
         target = spark._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ctw, divergence, entropy_mix, exact_dedup, golay_simhash, html_extract, language_id, mil_quality, pieces, substring_dedup, tiff, token_lengths
+from . import alignment, ctw, divergence, entropy_mix, exact_dedup, golay_simhash, html_extract, language_id, mil_quality, pieces, substring_dedup, tiff, token_lengths
 from .common import crc_mod
 
 
@@ -91,6 +91,10 @@ def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup(_read(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"), "spans")
 
 
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.Alignment(_read(spark, sf_dir, "documents")).by_document()
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(_read(spark, sf_dir, "documents"))
 
@@ -107,6 +111,7 @@ QUERIES = {
     "op9_golay_simhash": op9_golay_simhash,
     "op10_html_extract": op10_html_extract,
     "op11_substring_dedup": op11_substring_dedup,
+    "op12_tokenizer_alignment": op12_tokenizer_alignment,
     "op13_source_divergence": op13_source_divergence,
 }
 
