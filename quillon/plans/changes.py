@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillon.operators import changes
-from quillon.sources import canonical, views
+from quillon.plans.notebook import REQUEST, Notebook
+from quillon.sources import canonical, generations, shared, views
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -70,3 +71,53 @@ def source_integrity(spark, sf_dir):
         F.col("document_id").cast("string").alias("path"), digest.alias("sha256"), F.lit(1).alias("size_before"), F.when(last == 7, 2).otherwise(1).alias("size_after"), F.lit(1).alias("modified_before"), F.lit(1).alias("modified_after")
     )
     return canonical.source_integrity(index, listing).select("document_id", "integrity")
+
+
+def _requests(spark, sf_dir, who, body=None):
+    """A note to be made for every event; of two segments and its type as tag."""
+    rows = views.read(spark, sf_dir, "events").select(
+        F.col("event_id").alias("note_id"), F.col("user_id").cast("string").alias("document_id"), F.lit("g").alias("canonical_sha256"), (F.lit(who) if body is None else body).alias("body"),
+        F.array(F.concat(F.lit("segment-"), F.col("event_id").cast("string")), F.lit("segment-x")).alias("segment_ids"), F.array(F.col("event_type"), F.col("event_type")).alias("tags"),
+        F.when(F.col("event_id") % 2 == 0, F.array(F.lit("even"))).alias("collections"), F.unix_micros(F.col("ts").cast("timestamp")).alias("updated_at"),
+    )
+    return rows.select(*[f.split()[0] for f in REQUEST.split(", ")])
+
+
+@query("""WITH r AS (SELECT event_id AS note_id, event_id % 11 = 0 AS bad FROM events), a AS (SELECT note_id, row_number() OVER (ORDER BY note_id) AS sequence_id FROM r WHERE NOT bad AND note_id % 3 = 0),
+  b AS (SELECT note_id, (SELECT count(*) FROM a) + row_number() OVER (ORDER BY note_id) AS sequence_id FROM r WHERE NOT bad AND note_id % 3 <> 0),
+  asked AS (SELECT note_id, bad, false AS again FROM r UNION ALL SELECT note_id, bad, true FROM r WHERE note_id % 5 = 0)
+  SELECT note_id, again, CASE WHEN bad THEN 'invalid' WHEN note_id % 3 = 0 THEN 'exists' WHEN again THEN 'repeated' ELSE 'created' END AS outcome,
+    CASE WHEN NOT bad THEN coalesce(a.sequence_id, b.sequence_id) END AS sequence_id, CASE WHEN NOT bad THEN 2 ELSE 0 END::BIGINT AS segments, CASE WHEN NOT bad THEN 1 ELSE 0 END::BIGINT AS tags, CASE WHEN NOT bad AND note_id % 2 = 0 THEN 1 ELSE 0 END::BIGINT AS collections
+  FROM asked LEFT JOIN a USING (note_id) LEFT JOIN b USING (note_id)""")
+def note_batches(spark, sf_dir):
+    """Two batches of new notes, the second with notes that exist, are asked for twice or are blank; what the snapshot after them holds of each."""
+    book = Notebook(spark, shared.folder(spark, "notebook"))
+    rows = _requests(spark, sf_dir, "", F.when(F.col("event_id") % 11 != 0, F.concat(F.lit("about "), "event_type")))
+    book.create(rows.filter("note_id % 3 = 0"))
+    asked = rows.withColumn("again", F.lit(False)).unionByName(rows.filter("note_id % 5 = 0").withColumns({"updated_at": F.col("updated_at") + 1, "again": F.lit(True)}))
+    done = book.create(asked)
+    now = book.snapshot().tables
+    counts = [now[t].groupBy("note_id").agg(F.count(F.lit(1)).alias(c)) for t, c in (("note_segments", "segments"), ("note_tags", "tags"), ("note_collections", "collections"))]
+    out = done.select("note_id", "again", "outcome").join(now["journal"].select("note_id", "sequence_id"), "note_id", "left")
+    for one in counts:
+        out = out.join(one, "note_id", "left")
+    return out.fillna(0, ["segments", "tags", "collections"])
+
+
+@query("""WITH a AS (SELECT event_id AS note_id FROM events WHERE event_id % 2 = 0 OR event_id % 3 = 0), b AS (SELECT event_id AS note_id FROM events WHERE event_id % 2 = 1)
+  SELECT note_id, 'first' AS writer, row_number() OVER (ORDER BY note_id) AS sequence_id, 1 AS commit_number FROM a
+  UNION ALL SELECT note_id, 'second', (SELECT count(*) FROM a) + row_number() OVER (ORDER BY note_id), 2 FROM b WHERE note_id NOT IN (SELECT note_id FROM a)""")
+def commit_conflicts(spark, sf_dir):
+    """Two writers prepare a batch on one state. The first commits; the second is refused, looks again and adds only what is still missing."""
+    book = Notebook(spark, shared.folder(spark, "notebook"))
+    first, second = _requests(spark, sf_dir, "first").filter("note_id % 2 = 0 OR note_id % 3 = 0"), _requests(spark, sf_dir, "second").filter("note_id % 2 = 1")
+    base = generations.head(spark, book.root)
+    generations.commit(spark, book.root, base, **book.prepare(first, base))
+    number = 1
+    try:
+        generations.commit(spark, book.root, base, **book.prepare(second, base))
+    except generations.Conflict:
+        book.create(second)
+        number = generations.head(spark, book.root).number
+    now = book.snapshot().tables
+    return now["journal"].join(now["notes"], "note_id").select("note_id", F.col("body").alias("writer"), "sequence_id", F.when(F.col("body") == "first", 1).otherwise(number).alias("commit_number"))

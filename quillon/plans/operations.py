@@ -125,9 +125,6 @@ def file_names(spark, sf_dir):
     return views.documents(spark, sf_dir).select("document_id", T.file_name(F.col("text")).alias("file_name"))
 
 
-QUERIES["file_names_whole"], ORACLES["file_names_whole"] = QUERIES["file_names"], ORACLES["file_names"]
-
-
 # ---- custody: orders are jobs, their date the last update
 
 

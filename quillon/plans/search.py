@@ -274,7 +274,3 @@ def hybrid_rrf(spark, sf_dir):
 def hybrid_rrf_timeline(spark, sf_dir):
     """Relevance picks, time sorts; ranks stay."""
     return fusion.along_timeline(_fused(spark, sf_dir)).select(*_FUSED, joined("matched_segment_ids"))
-
-
-for _name in ("hybrid_rrf", "hybrid_rrf_timeline"):
-    QUERIES[_name.replace("rrf", "rrf_whole")], ORACLES[_name.replace("rrf", "rrf_whole")] = QUERIES[_name], ORACLES[_name]
