@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quillon.operators import changes
 from quillon.plans.notebook import REQUEST, Notebook
-from quillon.sources import canonical, generations, shared, views
+from quillon.sources import canonical, generations, guarded, shared, views
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -121,3 +121,42 @@ def commit_conflicts(spark, sf_dir):
         number = generations.head(spark, book.root).number
     now = book.snapshot().tables
     return now["journal"].join(now["notes"], "note_id").select("note_id", F.col("body").alias("writer"), "sequence_id", F.when(F.col("body") == "first", 1).otherwise(number).alias("commit_number"))
+
+
+def _source_files(spark, rows, folder):
+    """A file for each source with its texts in order, a line end after each."""
+    parts = rows.repartition("source").sortWithinPartitions("source", "doc_id")
+    made = f"{folder}-parts"
+    parts.select("text", "source").write.mode("overwrite").partitionBy("source").text(made)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    files = path(made).getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(path(folder))
+    for entry in files.listStatus(path(made)):
+        name = entry.getPath().getName()
+        if name.startswith("source="):  # one file for each source
+            part = next(x.getPath() for x in files.listStatus(entry.getPath()) if x.getPath().getName().startswith("part-"))
+            target = path(f"{folder}/{name[7:]}.txt")
+            files.delete(target, False)
+            files.rename(part, target)
+    return files
+
+
+@query("""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(source, 'none') AS source FROM documents), f AS (SELECT source, string_agg(text, chr(10) ORDER BY doc_id) || chr(10) AS old, string_agg(text || 'x', chr(10) ORDER BY doc_id) || chr(10) AS new FROM d GROUP BY source)
+  SELECT source, CASE WHEN source LIKE '%1' THEN 'changed' WHEN source LIKE '%3' THEN 'missing' ELSE 'matches' END AS integrity, CASE WHEN source LIKE '%1' THEN sha256(new) WHEN source LIKE '%3' THEN NULL ELSE sha256(old) END AS sha256,
+    count(*) FILTER (source LIKE '%1') OVER ()::BIGINT AS updated, count(*) FILTER (source LIKE '%3') OVER ()::BIGINT AS removed, 0::BIGINT AS added FROM f""")
+def guarded_refresh(spark, sf_dir):
+    """The texts of each source as a file; some files change and some go between two runs of a refreshing stream, the second of which reads those only."""
+    docs = views.read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("source", F.lit("none")).alias("source"))
+    folder, root = shared.folder(spark, "sources"), shared.folder(spark, "files")
+    files = _source_files(spark, docs, folder)
+    guarded.refresh(spark, folder, root, f"{root}-checkpoint", ".txt")
+    before = generations.read(spark, root, "files")
+    _source_files(spark, docs.filter("source LIKE '%1'").withColumn("text", F.concat("text", F.lit("x"))), folder)
+    for row in docs.filter("source LIKE '%3'").select("source").distinct().collect():  # a file for each source
+        files.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{row['source']}.txt"), False)
+    told = (guarded.refresh(spark, folder, root, f"{root}-checkpoint", ".txt") or [{}])[-1]
+    index = before.select(F.col("path").alias("document_id"), F.col("path").alias("source_path"), F.col("sha256").alias("source_sha256"))
+    now = generations.read(spark, root, "files").select("path", "sha256")
+    out = guarded.integrity(index, now.withColumn("problem", F.lit(None).cast("string"))).join(now.withColumnRenamed("path", "source_path"), "source_path", "left")
+    name = F.regexp_extract("source_path", "([^/]+)[.]txt$", 1)
+    return out.select(name.alias("source"), "integrity", "sha256", *[F.lit(told.get(k, 0)).cast("long").alias(k) for k in ("updated", "removed", "added")])

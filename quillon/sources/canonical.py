@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.sources import guarded
+
 #: Largest file that is read (fixed value).
 MAX_BYTES = 256 << 20
 SCHEMA_VERSION = 1
@@ -33,11 +35,11 @@ def _problem(doc: Column, size: Column) -> Column:
 
 
 def scan(spark: SparkSession, path: str) -> DataFrame:
-    """One row per file: path, size, modified_ns, canonical_sha256, doc (the parsed struct) and problem (null if sound)."""
-    rows = files(spark, path)
-    text = F.when(F.col("size") <= MAX_BYTES, F.col("content").cast("string"))
-    rows = rows.select("path", "size", "modified_ns", F.sha2("content", 256).alias("canonical_sha256"), F.from_json(text, SCHEMA, {"mode": "PERMISSIVE"}).alias("doc"))
-    return rows.withColumn("problem", _problem(F.col("doc"), F.col("size")))
+    """One row per file: path, size, modified_ns, canonical_sha256, doc (the parsed struct) and problem (null if sound). Each file is read under guard: one that
+    changes meanwhile has the problem "changed while reading"."""
+    rows = guarded.read(spark, path, ".json", keep=MAX_BYTES)
+    rows = rows.select("path", "size", "modified_ns", F.col("sha256").alias("canonical_sha256"), F.from_json(F.col("content").cast("string"), SCHEMA, {"mode": "PERMISSIVE"}).alias("doc"), "problem")
+    return rows.withColumn("problem", F.coalesce("problem", _problem(F.col("doc"), F.col("size"))))
 
 
 def load(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
