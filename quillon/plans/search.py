@@ -10,7 +10,8 @@ from quillon.functions import vectors as V
 from quillon.operators import fusion, lexical, semantic
 from quillon.operators.lexical import SearchQuery
 from quillon.plans import sql as S
-from quillon.sources import views
+from quillon.sources import shared, views
+from quillon.sources.term_index import TermIndex
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -118,6 +119,25 @@ def bm25_indexed(spark, sf_dir):
     return lexical.search_index(lexical.terms(rows), lexical.corpus_stats(rows), rows, SearchQuery(ASKED, limit=50), places=6).select("document_id", "segment_id", "start_seconds", "matched_terms", "score")
 
 
+_STORED: dict[tuple[str, str], TermIndex] = {}
+
+
+def stored_index(spark, sf_dir) -> TermIndex:
+    """The index of the documents' segments, built once in a session and then only read."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORED:
+        made = TermIndex(spark, shared.folder(spark, "terms"))
+        made.build(views.segments(spark, sf_dir).withColumn("speaker_ref", F.lit(None).cast("string")))
+        _STORED[key] = made
+    return _STORED[key]
+
+
+@query(_bm25_sql(ASKED.split()))
+def bm25_stored(spark, sf_dir):
+    """The same hits from the stored index."""
+    return stored_index(spark, sf_dir).search(SearchQuery(ASKED, limit=50), places=6).select("document_id", "segment_id", "start_seconds", "matched_terms", "score")
+
+
 @query(f"""WITH {S.bm25(S.SEGMENTS, ASKED.split())}, hits AS (SELECT * FROM sc JOIN seg USING (document_id, segment_id) ORDER BY score DESC, document_id, start_seconds, segment_id LIMIT 20)
   SELECT document_id, segment_id, hits.text, language, score, row_number() OVER (ORDER BY score DESC, document_id, start_seconds, segment_id)::INT AS lexical_rank, d.source FROM hits JOIN documents d ON d.doc_id = document_id""")
 def passage_projection(spark, sf_dir):
