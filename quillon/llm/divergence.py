@@ -14,7 +14,6 @@ word or a large source sends a few rows from each task; no group of rows is gath
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 
 import numpy as np
@@ -27,7 +26,8 @@ from .common import release_memory, table
 
 #: A term is a maximal run of these characters (fixed by the contract); of letters, A-Z alone are lower-cased.
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
-_LOWER = {c: c + 32 for c in range(65, 91)}
+#: The same for UTF-8 bytes, of which those of other characters are all 128 or more: every byte that is in no term becomes a space.
+_BYTES = bytes(b if b > 127 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 #: What shares are counted in.
 SCALE = 1_000_000_000
 #: Cells of a dense tile, and group rows of it that one task compares.
@@ -38,8 +38,7 @@ HELD = 400_000
 
 def _count_batches(batches):
     """Counts of (lang, source, term) and the documents that have it, as far as a task's memory holds them."""
-    found = re.compile(TERM).findall
-    held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+    held: dict[tuple[str, str], tuple[Counter[bytes], Counter[bytes]]] = {}
 
     def flush():
         for (lang, source), (counts, docs) in held.items():
@@ -48,14 +47,14 @@ def _count_batches(batches):
                 part = terms[start : start + 20_000]
                 n = pa.array(np.fromiter((counts[t] for t in part), np.int64, len(part)))
                 d = pa.array(np.fromiter((docs[t] for t in part), np.int64, len(part)))
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part), pa.string()), pa.array([source] * len(part), pa.string()), pa.array(part, pa.string()), n, d], names=["lang", "source", "term", "n", "docs"])
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part), pa.string()), pa.array([source] * len(part), pa.string()), pa.array(part, pa.binary()).cast(pa.string()), n, d], names=["lang", "source", "term", "n", "docs"])
 
     size = 0
     for batch in batches:
         for start in range(0, batch.num_rows, 200):
             part = batch.slice(start, 200)
             for lang, source, text in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
-                words = found(text.translate(_LOWER))
+                words = text.encode().translate(_BYTES).split()
                 if not words:
                     continue
                 counts, docs = held.setdefault((lang, source), (Counter(), Counter()))
