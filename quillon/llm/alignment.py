@@ -38,6 +38,7 @@ BLOCK = 32 << 20
 #: Distinct pairs of ids up to which their counts are sent to all tasks; more are joined by a shuffle.
 PAIRS = 4_000_000
 _CUT = re.compile(r"(?<=\S) (?=\S)")
+_RARE = re.compile(r"[^\S \n]")
 _CELLS = "kind int, block long, no int, n int, id long, text string, body binary"
 
 
@@ -52,6 +53,15 @@ def _unpack(body: bytes, n: int) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
+def stretches_of(text: str | None) -> list[str]:
+    """The text cut at the single spaces between two other characters, which are left out."""
+    if not text:
+        return []
+    if "  " in text or "\n " in text or " \n" in text or text[0] == " " or text[-1] == " " or _RARE.search(text):
+        return _CUT.split(text)
+    return text.split(" ")
+
+
 def _cut_batches(batches):
     """Documents as numbers of stretches (kind 1), and the stretches of a block with how often they occur there (kind 0)."""
     task, blocks = TaskContext.get().partitionId(), 0
@@ -68,8 +78,7 @@ def _cut_batches(batches):
         counts = np.zeros(len(known), np.int64)
         for start in range(0, len(bodies), 500):
             part = bodies[start : start + 500]
-            for x in part:
-                np.add.at(counts, x, 1)
+            counts += np.bincount(np.concatenate(part), minlength=len(known))
             yield rows(1, id=ids[start : start + 500], n=[len(x) for x in part], body=[_pack(x) if len(x) else b"" for x in part])
         texts = list(known)
         for start in range(0, len(texts), 20_000):
@@ -80,7 +89,7 @@ def _cut_batches(batches):
             part = batch.slice(start, 200)
             for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                 # Pieces give U+2581 back as a space, so such a text has no tokens; nothing else is rewritten (see _encode_batches).
-                stretches = _CUT.split(text) if text and MARK not in text else []
+                stretches = stretches_of(text) if text and MARK not in text else []
                 ids.append(doc_id)
                 bodies.append(np.array([known.setdefault(s, len(known)) for s in stretches], dtype=np.uint32))
                 held += len(text or "") + 100
@@ -133,11 +142,13 @@ def _encode_batches(sent):
                 texts = part.column(0).to_pylist()
                 ids_a = [x.ids for x in a.encode_batch([" " + t for t in texts], add_special_tokens=False)]
                 ids_b = b.encode(texts, num_threads=1)
-                for t, x, y in zip(texts, ids_a, ids_b, strict=True):
-                    n = len(t.encode()) + 1
-                    if int(size_a[x].sum()) != n or int(size_b[y].sum()) != n:
-                        raise ValueError(f"a tokenizer rewrites {t[:50]!r}; only vocabularies that keep all bytes but U+2581 are supported")
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), _tokens(ids_a, size_a), _tokens(ids_b, size_b)], names=["text", "n", "a", "b"])
+                both = [_tokens(ids_a, size_a), _tokens(ids_b, size_b)]
+                wanted = pc.binary_length(part.column(0)).to_numpy() + 1
+                for made in both:
+                    ends = np.concatenate(([0], np.cumsum(made.flatten().field("size").to_numpy())))[made.offsets.to_numpy()]
+                    if (wrong := np.flatnonzero(np.diff(ends) != wanted)).size:
+                        raise ValueError(f"a tokenizer rewrites {texts[wrong[0]][:50]!r}; only vocabularies that keep all bytes but U+2581 are supported")
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *both], names=["text", "n", "a", "b"])
         release_memory()
 
     return run
@@ -164,20 +175,19 @@ def _bucketed(df: DataFrame, name: str) -> DataFrame:
 
 
 def _ended(stretches: DataFrame, side: str) -> DataFrame:
-    """A row for each token of one side: text, end (in bytes) and the token."""
-    rows = stretches.select("text", F.posexplode(side).alias("pos", "t"))
+    """A row for each token of one side: text, n, end (in bytes) and the token."""
+    rows = stretches.select("text", "n", F.posexplode(side).alias("pos", "t"))
     end = F.sum("t.size").over(W.partitionBy("text").orderBy("pos")).cast("int")
-    return rows.select("text", end.alias("end"), F.struct((end - F.col("t.size")).alias("start"), end.alias("stop"), F.col("t.id").alias("id")).alias(side))
+    return rows.select("text", "n", end.alias("end"), F.struct((end - F.col("t.size")).alias("start"), end.alias("stop"), F.col("t.id").alias("id")).alias(side))
 
 
 def grouped(stretches: DataFrame) -> DataFrame:
     """text, n (occurrences), g (number of the group), as and bs: the group's tokens of both sides in order. ``stretches``: text, n, a, b."""
-    met = _ended(stretches, "a").join(_ended(stretches, "b"), ["text", "end"], "full")
+    met = _ended(stretches, "a").join(_ended(stretches, "b"), ["text", "n", "end"], "full")
     cut = F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), 1)
     before = W.partitionBy("text").orderBy("end").rowsBetween(W.unboundedPreceding, -1)
     numbered = met.withColumn("g", F.count(cut).over(before).cast("int"))
-    rows = numbered.groupBy("text", "g").agg(*[F.array_sort(F.collect_list(s)).alias(f"{s}s") for s in ("a", "b")])
-    return rows.join(stretches.select("text", "n"), "text")
+    return numbered.groupBy("text", "n", "g").agg(*[F.array_sort(F.collect_list(s)).alias(f"{s}s") for s in ("a", "b")])
 
 
 def links(groups: DataFrame, *keep: str) -> DataFrame:

@@ -93,6 +93,11 @@ def test_awkward_rows_and_small_blocks(spark, tokenizers, monkeypatch):
     assert found(alignment.Alignment(docs)) == brute(rows, *tokenizers)
 
 
+def test_cuts():
+    for text in [*TEXTS, "a b", "a\u00a0b c", "x\n y", "x \ny", "a\x1cb c", "", None]:
+        assert alignment.stretches_of(text) == (re.split(r"(?<=\S) (?=\S)", text) if text else [])
+
+
 def test_blocks_hold_each_stretch_once(monkeypatch):
     import pyarrow as pa
 
