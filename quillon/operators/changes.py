@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from quillon.functions import text as T
+from quillon.sources import shared
 
 CREATE, UPDATE, DELETE = "create", "update", "delete"
 APPLIED, EXISTS, MISSING, CONFLICT, TAKEN, INVALID = "applied", "exists", "missing", "conflict", "name taken", "invalid"
@@ -16,7 +18,9 @@ def outcomes(state: DataFrame, changes: DataFrame, key: str, order: str = "seque
     """``changes`` (order, key, op, expected_version, other columns) with outcome and version, the record's version afterwards.
 
     Each key's changes are taken in order: a create needs a key that does not exist, an update or delete one that does, at the
-    version it expects. ``state`` has key and version (1, 2, ...). A key's changes of one batch meet in one array."""
+    version it expects; two of one key and number are an error. ``state`` has key and version (1, 2, ...). A key's changes of one batch meet in one array."""
+    if twice := changes.groupBy(key, order).count().filter("count > 1").first():
+        raise ValueError(f"two changes of {twice[0]!r} have the number {twice[1]}")
     item = F.struct(order, "op", "expected_version")
     lists = changes.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("c")).join(state.select(key, F.col("version").cast("long").alias("_v")), key, "left")
     row = "struct<at:bigint,outcome:string,version:bigint>"
@@ -38,25 +42,86 @@ def outcomes(state: DataFrame, changes: DataFrame, key: str, order: str = "seque
 def apply_versioned(state: DataFrame, changes: DataFrame, key: str, order: str = "sequence_id", name: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(the state afterwards, the changes with their outcome). ``state``: key, version, other columns; ``changes`` have those too.
 
-    With ``name`` no two records may have one name when folded: of changes that take a name, the first one counts, and only if
-    no record that stays unchanged has it. Blank names are invalid."""
+    With ``name`` no two records have one name when folded, at any point of the batch: see :func:`named_outcomes`."""
     rest = [c for c in state.columns if c not in (key, "version")]
-    refused = None
-    if name:
-        folded = T.squeeze(F.col(name))
-        asked = changes.withColumn("_name", folded)
-        others = state.join(changes.select(key).distinct(), key, "left_anti").select(folded.alias("_name"), F.lit(True).alias("_held")).distinct()
-        asked = asked.join(others, "_name", "left")
-        owners = asked.filter(F.col("op") != DELETE).groupBy("_name").agg(F.min_by(key, order).alias("_owner"))
-        mine = asked.join(owners, "_name", "left")
-        problem = F.when(F.col("op") == DELETE, F.lit(None)).when(F.coalesce(F.col("_name"), F.lit("")) == "", INVALID).when(F.col("_held") | (F.col(key) != F.col("_owner")), TAKEN)
-        checked = mine.withColumn("outcome", problem).select(*changes.columns, "outcome")
-        refused = checked.filter("outcome IS NOT NULL").withColumn("version", F.lit(None).cast("long"))
-        changes = checked.filter("outcome IS NULL").drop("outcome")
-    done = outcomes(state, changes, key, order)
+    done = named_outcomes(state, changes, key, name, order) if name else outcomes(state, changes, key, order)
     last = done.filter(F.col("outcome") == APPLIED).withColumn("_n", F.row_number().over(W.partitionBy(key).orderBy(F.desc(order)))).filter("_n = 1")
     after = state.join(last.select(key), key, "left_anti").unionByName(last.filter(F.col("op") != DELETE).select(key, F.col("version").cast(state.schema["version"].dataType), *rest))
-    return after, done if refused is None else done.unionByName(refused)
+    return after, done
+
+
+def connected(spark: SparkSession, edges: DataFrame, rounds: int = 60) -> DataFrame:
+    """(node, component) of an undirected graph of strings (a, b): the least node that is reachable. Each round takes the least label of the neighbours, then that label's own, and
+    ends in a table of the shared folder."""
+    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    written = lambda df, name: (df.write.parquet(path := shared.folder(spark, name)), spark.read.parquet(path))[1]
+    both = written(both, "edges")
+    labels = written(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "node"), "labels")
+    for _ in range(rounds):
+        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("_near"))
+        step = labels.join(near, "node").select("node", F.col("label").alias("_was"), F.least("label", "_near").alias("label"))
+        jump = step.select(F.col("node").alias("label"), F.col("label").alias("_next"))
+        found = written(step.join(jump, "label", "left").select("node", "_was", F.least("label", "_next").alias("label")), "labels")
+        labels = found.select("node", "label")
+        if found.filter("label <> _was").isEmpty():
+            return labels.withColumnRenamed("label", "component")
+    raise RuntimeError(f"components did not settle in {rounds} rounds")
+
+
+def _fold_names(rows: pd.DataFrame) -> pd.DataFrame:
+    """The changes of one connected set, in order, on the records that hold its names."""
+    held = rows[rows["_order"].isna()]
+    versions, names = dict(zip(held["_key"], held["_version"].astype(int), strict=True)), dict(zip(held["_key"], held["_name"], strict=True))
+    holder = {n: k for k, n in names.items() if n}
+    out = []
+    for x in rows[rows["_order"].notna()].sort_values("_order").itertuples(index=False):
+        _, key, order, op, expected, _, name = x[:7]
+        there = versions.get(key)
+        if op not in (CREATE, UPDATE, DELETE):
+            said = INVALID
+        elif op == CREATE and there is not None:
+            said = EXISTS
+        elif op != CREATE and there is None:
+            said = MISSING
+        elif op != CREATE and (pd.isna(expected) or int(expected) != there):
+            said = CONFLICT
+        elif op != DELETE and not name:
+            said = INVALID
+        elif op != DELETE and holder.get(name, key) != key:
+            said = TAKEN
+        else:
+            said = APPLIED
+            if holder.get(names.get(key)) == key:
+                del holder[names[key]]
+            names.pop(key, None)
+            versions.pop(key, None)
+            if op != DELETE:
+                versions[key], names[key], holder[name] = 1 if op == CREATE else there + 1, name, key
+        out.append((key, int(order), said, versions.get(key)))
+    return pd.DataFrame(out, columns=["_key", "_order", "outcome", "version"]).astype({"version": "Int64", "_order": "Int64"})
+
+
+def named_outcomes(state: DataFrame, changes: DataFrame, key: str, name: str, order: str = "sequence_id") -> DataFrame:
+    """As :func:`outcomes`, where no two records may have one folded name either. A create or update that asks for a name that another record has at that point is "name taken", one
+    with a blank name "invalid"; a name is free again once its record was renamed or deleted by a change that was applied.
+
+    Whether a name is free can hang on other records' outcomes, so changes are folded in order within each connected set of keys and names (a name links the record that holds it
+    and all that ask for it), and sets side by side. A set is as large as the batch makes it. Two changes of one order number and key are an error."""
+    spark, kind = changes.sparkSession, changes.schema[key].dataType.simpleString()
+    if twice := changes.groupBy(key, order).count().filter("count > 1").first():
+        raise ValueError(f"two changes of {twice[0]!r} have the number {twice[1]}")
+    folded = T.squeeze(F.coalesce(F.col(name), F.lit("")))
+    asked = changes.select(F.col(key).alias("_key"), F.col(order).cast("long").alias("_order"), F.col("op").alias("_op"), F.col("expected_version").cast("long").alias("_expected"), F.lit(None).cast("long").alias("_version"), folded.alias("_name"))
+    records = state.select(F.col(key).alias("_key"), F.lit(None).cast("long").alias("_order"), F.lit(None).cast("string").alias("_op"), F.lit(None).cast("long").alias("_expected"), F.col("version").cast("long").alias("_version"), folded.alias("_name"))
+    wanted = asked.filter("_name <> ''").select("_name").distinct()
+    near = records.join(asked.select("_key").distinct(), "_key", "left_semi").unionByName(records.join(wanted, "_name", "left_semi").select(*records.columns)).distinct()
+    rows = asked.unionByName(near)
+    node = F.concat(F.lit("k"), F.col("_key").cast("string"))
+    edges = rows.select(node.alias("a"), F.when(F.col("_name") == "", node).otherwise(F.concat(F.lit("n"), "_name")).alias("b"))
+    sets = connected(spark, edges).select(F.col("node").alias("_node"), "component")
+    placed = rows.withColumn("_node", node).join(sets, "_node").select(F.col("component").alias("_set"), *rows.columns)
+    said = placed.groupBy("_set").applyInPandas(_fold_names, f"_key {kind}, _order long, outcome string, version long")
+    return changes.join(said.select(F.col("_key").alias(key), F.col("_order").alias(order), "outcome", "version"), [key, order])
 
 
 def replace_relations(relations: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
@@ -84,19 +149,25 @@ LAST_SUFFIX = 1000
 
 def free_names(wanted: DataFrame, taken: DataFrame, order: str = "file_id") -> DataFrame:
     """``wanted`` (order, stem, extension) with file_name: stem.extension, else stem-2, stem-3, ... to stem-1000, the first that is
-    neither in ``taken`` (file_name) nor given to a file before; null if none is left. Names are compared folded.
+    neither in ``taken`` (file_name) nor given to a file before; null if none is left. Names are compared folded and as a whole, so that ("x", "tar.gz") and
+    ("x.tar", "gz") ask for one name. Without an extension a name is its stem.
 
-    Numbers are given within a stem: the n-th file gets the n-th free number, so a stem's files and taken names meet in one task,
+    Numbers are given within a stem and extension: the n-th file gets the n-th free number, so these and their taken names meet in one task,
     at most a thousand of which matter."""
-    stem, extension = T.fold(F.col("stem")), T.fold(F.col("extension"))
-    rows = wanted.withColumns({"_s": stem, "_x": extension}).withColumn("_n", F.row_number().over(W.partitionBy("_s", "_x").orderBy(order)))
-    named = lambda k: F.when(k == 1, F.concat_ws(".", "stem", "extension")).otherwise(F.concat(F.col("stem"), F.lit("-"), k.cast("string"), F.lit("."), F.col("extension")))
-    groups = rows.filter(F.col("_n") <= LAST_SUFFIX).groupBy("_s", "_x").agg(F.max("_n").alias("_many"))
-    numbers = groups.select("_s", "_x", F.explode(F.sequence(F.lit(1), F.lit(LAST_SUFFIX))).alias("_k"))
-    key = F.when(F.col("_k") == 1, F.concat_ws(".", "_s", "_x")).otherwise(F.concat(F.col("_s"), F.lit("-"), F.col("_k").cast("string"), F.lit("."), F.col("_x")))
-    bases = groups.select(F.concat_ws(".", "_s", "_x").alias("_key"))  # another stem may look like a numbered one
+    tail = F.when(F.coalesce("extension", F.lit("")) == "", F.lit("")).otherwise(F.concat(F.lit("."), "extension"))
+    rows = wanted.withColumns({"_s": T.fold(F.col("stem")), "_x": T.fold(tail), "_t": tail}).withColumn("_base", F.concat("_s", "_x"))
+    rows = rows.withColumn("_first", F.row_number().over(W.partitionBy("_base").orderBy(order)) == 1)
+    # The first file of a whole name may get it as it is; of the others, each stem and extension has its own numbers.
+    rows = rows.withColumn("_n", F.row_number().over(W.partitionBy("_s", "_x").orderBy(F.desc("_first"), order)))
+    whole = rows.groupBy("_s", "_x", "_base").agg(F.max("_first").alias("_own"))
+    numbers = whole.select("_s", "_x", "_base", "_own", F.explode(F.sequence(F.lit(1), F.lit(LAST_SUFFIX))).alias("_k")).filter("_k > 1 OR _own")
+    key = F.when(F.col("_k") == 1, F.col("_base")).otherwise(F.concat("_s", F.lit("-"), F.col("_k").cast("string"), "_x"))
     numbers = numbers.withColumn("_key", key)
+    bases = rows.select(F.col("_base").alias("_key")).distinct()  # another stem may look like a numbered one
     numbers = numbers.filter("_k = 1").unionByName(numbers.filter("_k > 1").join(bases, "_key", "left_anti"))
     free = numbers.join(taken.select(T.fold(F.col("file_name")).alias("_key")).distinct(), "_key", "left_anti")
-    free = free.withColumn("_n", F.row_number().over(W.partitionBy("_s", "_x").orderBy("_k"))).select("_s", "_x", "_n", "_k")
-    return rows.join(free, ["_s", "_x", "_n"], "left").withColumn("file_name", F.when(F.col("_k").isNotNull(), named(F.col("_k")))).drop("_s", "_x", "_n", "_k")
+    free = free.withColumn("_n", F.row_number().over(W.partitionBy("_s", "_x").orderBy("_k"))).select("_s", "_x", "_n", "_k", "_key")
+    named = F.when(F.col("_k") == 1, F.concat("stem", "_t")).otherwise(F.concat("stem", F.lit("-"), F.col("_k").cast("string"), "_t"))
+    met = rows.join(free, ["_s", "_x", "_n"], "left")
+    again = F.row_number().over(W.partitionBy(F.coalesce("_key", F.concat(F.lit("/"), F.col(order).cast("string")))).orderBy(order)) > 1  # numbered alike by two ways to cut a name
+    return met.withColumn("file_name", F.when(F.col("_k").isNotNull() & ~again, named)).drop("_s", "_x", "_t", "_base", "_first", "_n", "_k", "_key")

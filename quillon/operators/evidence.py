@@ -93,15 +93,15 @@ def reopened(anchors: DataFrame, documents: DataFrame, segments: DataFrame) -> D
 def reanchored(notes: DataFrame, requests: DataFrame, candidates: DataFrame) -> DataFrame:
     """What comes of requests (note_id, document_id, segment_ids, canonical_sha256) to move notes to another anchor, one per note:
     outcome "moved", or why not: "unknown note", "other document", "same anchor", "no candidate", "stale" (the candidate's
-    generation is not the one that was confirmed).
+    generation is not the one that was confirmed, or nothing was confirmed).
 
     ``notes`` has note_id, document_id, segment_ids; ``candidates`` those of :func:`candidate_anchors` with canonical_sha256."""
     own = notes.select("note_id", F.col("document_id").alias("_d"), F.col("segment_ids").alias("_ids"))
     offered = candidates.select("note_id", F.col("segment_ids").alias("_o"), F.col("canonical_sha256").alias("_oc"))
     met = requests.join(own, "note_id", "left").join(offered, "note_id", "left")
     outcome = (
-        F.when(F.col("_d").isNull(), "unknown note").when(F.col("document_id") != F.col("_d"), "other document").when(F.col("segment_ids") == F.col("_ids"), "same anchor")
-        .when(F.col("_o").isNull() | (F.col("_o") != F.col("segment_ids")), "no candidate").when(F.col("canonical_sha256") != F.col("_oc"), "stale").otherwise("moved")
+        F.when(F.col("_d").isNull(), "unknown note").when(~F.col("document_id").eqNullSafe(F.col("_d")), "other document").when(F.col("segment_ids") == F.col("_ids"), "same anchor")
+        .when(F.col("_o").isNull() | (F.col("_o") != F.col("segment_ids")), "no candidate").when(~F.col("canonical_sha256").eqNullSafe(F.col("_oc")) | F.col("_oc").isNull(), "stale").otherwise("moved")
     )
     return met.select(*requests.columns, outcome.alias("outcome"))
 

@@ -77,13 +77,20 @@ def segment_spans(segments: DataFrame, turns: DataFrame) -> DataFrame:
 
 def roster(segments: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """Speakers of each document with their label and display name; ``labels``: document_id, canonical_sha256?, speaker_ref, label."""
-    refs = segments.filter("speaker_ref IS NOT NULL").select("document_id", "speaker_ref").distinct()
+    keys = label_keys(segments, labels)
+    refs = segments.filter("speaker_ref IS NOT NULL").select(*keys).distinct()
     if labels is None:
         return refs.withColumn("label", F.lit(None).cast("string")).withColumn("display_name", F.col("speaker_ref"))
-    met = refs.join(labels.select("document_id", "speaker_ref", "label"), ["document_id", "speaker_ref"], "left")
+    met = refs.join(labels.select(*keys, "label"), keys, "left")
     return met.withColumn("display_name", T.display_name(F.col("label"), F.col("speaker_ref")))
 
 
+def label_keys(rows: DataFrame, labels: DataFrame | None) -> list[str]:
+    """What a label belongs to: a speaker of a document, in one generation where both sides tell it."""
+    both = "canonical_sha256" in rows.columns and labels is not None and "canonical_sha256" in labels.columns
+    return ["document_id", *(["canonical_sha256"] if both else []), "speaker_ref"]
+
+
 def label_views(labels: DataFrame, documents: DataFrame) -> DataFrame:
     """Labels of all generations; current: the label's generation is the document's."""
     now = documents.select("document_id", F.col("canonical_sha256").alias("_c"))

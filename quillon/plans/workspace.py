@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import text as T
 from quillon.functions import vectors as V
-from quillon.operators import fusion, lexical, research, semantic
+from quillon.operators import fusion, lexical, research, semantic, speakers
 from quillon.operators.lexical import SearchQuery
 from quillon.sources import generations
 
@@ -76,7 +76,7 @@ def store(spark: SparkSession, root: str, rebuilt: DataFrame, documents: DataFra
 
 class Workspace:
     """``segments`` are required; ``chunks`` with vectors, ``notes`` and the rest only for what needs them. With ``labels``
-    (document_id, speaker_ref, label) lexical hits tell the speaker's display_name. With ``profile`` only chunks of that profile count.
+    (document_id, canonical_sha256?, speaker_ref, label) lexical hits tell the speaker's display_name, by the label of their generation. With ``profile`` only chunks of that profile count.
 
     ``embed_query`` maps a text (with its prefix) to a vector. ``fingerprint`` is that of the documents the vectors were
     made from; semantic search refuses when it is not the present one."""
@@ -120,7 +120,8 @@ class Workspace:
 
     def _named(self, hits: DataFrame, query: SearchQuery) -> DataFrame:
         """Hits with label and display_name, in their order. Hits are at most the query's limit; labels are asked for their speakers only."""
-        own = hits.join(self.labels.select("document_id", "speaker_ref", "label"), ["document_id", "speaker_ref"], "left").withColumn("display_name", T.display_name(F.col("label"), F.col("speaker_ref")))
+        keys = speakers.label_keys(hits, self.labels)
+        own = hits.join(self.labels.select(*keys, "label"), keys, "left").withColumn("display_name", T.display_name(F.col("label"), F.col("speaker_ref")))
         return own.orderBy("document_id", "start_seconds", "segment_id") if query.timeline else own.orderBy("lexical_rank")
 
     def discover(self, text: str, limit: int = 20, mode: str = LEXICAL) -> dict[str, DataFrame]:

@@ -50,6 +50,75 @@ def test_names_stay_unique(spark):
     assert {r["saved_search_id"]: (r["version"], r["name"]) for r in after.collect()} == {1: (1, "Port"), 2: (2, "Quay"), 4: (1, "Mole")}
 
 
+def fold(state, asked):
+    """Brute force: the batch in order, one change after the other."""
+    now, out = dict(state), []
+    for n, k, op, version, name in asked:
+        name, there = " ".join(name.casefold().split()), now.get(k)
+        if op == "create" and there:
+            said = "exists"
+        elif op != "create" and not there:
+            said = "missing"
+        elif op != "create" and there[0] != version:
+            said = "conflict"
+        elif op != "delete" and not name:
+            said = "invalid"
+        elif op != "delete" and any(x[1] == name for j, x in now.items() if j != k):
+            said = "name taken"
+        else:
+            said = "applied"
+            now.pop(k, None)
+            if op != "delete":
+                now[k] = (1 if op == "create" else there[0] + 1, name)
+        out.append((n, said, now[k][0] if k in now else None))
+    return now, out
+
+
+def test_names_equal_a_fold_of_the_whole_batch(spark):
+    """500 batches of creates, renames, deletes and swaps at once, each on keys and names of its own."""
+    rng = random.Random(11)
+    state, asked, expected, held = [], [], [], {}
+    for b in range(500):
+        own = {b * 10 + k: (rng.randint(1, 2), f"n{b}-{k}") for k in range(rng.randint(0, 4))}
+        rows = [(b * 1000 + n, b * 10 + rng.randrange(6), rng.choice(["create", "update", "update", "delete"]), rng.randint(1, 3), rng.choice([f"N{b}-{rng.randrange(6)}", f" n{b}-{rng.randrange(6)} ", " "])) for n in range(rng.randint(1, 14))]
+        after, said = fold(own, rows)
+        state += [(k, v, name) for k, (v, name) in own.items()]
+        asked, expected = asked + rows, expected + said
+        held |= after
+    frame = spark.createDataFrame(state, "id long, version int, name string")
+    lines = spark.createDataFrame(asked, "sequence_id long, id long, op string, expected_version int, name string")
+    after, done = changes.apply_versioned(frame, lines, "id", name="name")
+    assert sorted((r["sequence_id"], r["outcome"], r["version"]) for r in done.collect()) == sorted(expected)
+    assert {r["id"]: (r["version"], " ".join(r["name"].casefold().split())) for r in after.collect()} == held
+    with pytest.raises(ValueError, match="have the number"):
+        changes.apply_versioned(frame, lines.unionByName(lines.limit(1)), "id", name="name")
+    with pytest.raises(ValueError, match="have the number"):
+        changes.outcomes(frame, lines.unionByName(lines.limit(1)), "id")
+
+
+def test_names_are_whole(spark):
+    wanted = spark.createDataFrame([(1, "x", "tar.gz"), (2, "x.tar", "gz"), (3, "x", None), (4, "X", ""), (5, "x.tar", "gz")], "file_id int, stem string, extension string")
+    got = {r["file_id"]: r["file_name"] for r in changes.free_names(wanted, wanted.select(F.lit("X-2").alias("file_name")).limit(1)).collect()}
+    assert got == {1: "x.tar.gz", 2: "x.tar-2.gz", 3: "x", 4: "X-3", 5: "x.tar-3.gz"}
+
+
+def test_labels_are_of_one_generation(spark):
+    from quillon.operators import speakers
+
+    labels = spark.createDataFrame([("d", "g", "s2", "Ann"), ("d", "old", "s2", "Bo")], "document_id string, canonical_sha256 string, speaker_ref string, label string")
+    hits = Workspace(segments(spark), labels=labels).search(SearchQuery("boats day", limit=1)).collect()
+    assert len(hits) == 1
+    assert [r["display_name"] for r in Workspace(segments(spark), labels=labels).search(SearchQuery("boats")).collect()] == ["Ann (s2)"]
+    assert sorted(r["display_name"] for r in speakers.roster(segments(spark), labels).collect()) == ["Ann (s2)", "s1"]
+
+
+def test_a_move_needs_a_confirmation(spark):
+    notes = spark.createDataFrame([(0, "d", ["a"])], "note_id int, document_id string, segment_ids array<string>")
+    offered = spark.createDataFrame([(0, "d", ["b"], "g")], "note_id int, document_id string, segment_ids array<string>, canonical_sha256 string")
+    asked = spark.createDataFrame([(0, "d", ["b"], None), (0, None, ["b"], "g"), (0, "d", ["b"], "g")], offered.schema)
+    assert sorted(r["outcome"] for r in evidence.reanchored(notes, asked, offered).collect()) == ["moved", "other document", "stale"]
+
+
 def test_relations_are_replaced(spark):
     tags = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a"), (3, "c")], "note_id int, tag string")
     wanted = spark.createDataFrame([(1, "c"), (1, "c"), (3, None)], "note_id int, tag string")
