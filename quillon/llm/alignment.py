@@ -8,7 +8,8 @@ of *stretches* between such places, and a stretch has the same tokens wherever i
 3. the running count of cuts before a token is its group's number;
 4. the tokens of a group meet in one row, and those whose byte ranges overlap are links; a link counts as often as its stretch occurs.
 
-Stretches stay in buckets of their text, so that steps 1 to 4, the sums over links and the way back are free of shuffles; only the counts of pairs of ids travel.
+Stretches stay in buckets of their text, so that steps 1 and 2, the sums over links and the way back to blocks are free of shuffles. The joined ends are dealt
+by stretch once (a full join keeps no partitioning), and the counts of pairs of ids travel.
 Documents are kept in blocks, as numbers of the block's stretches; a block is a bounded number of characters, and never a hot key: what a
 frequent stretch adds is one row of each block.
 """
