@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from quillon.operators import changes
+from quillon.operators import changes, checkpoints
 from quillon.plans.notebook import REQUEST, Notebook
 from quillon.sources import canonical, generations, guarded, shared, views
 
@@ -160,3 +161,15 @@ def guarded_refresh(spark, sf_dir):
     out = guarded.integrity(index, now.withColumn("problem", F.lit(None).cast("string"))).join(now.withColumnRenamed("path", "source_path"), "source_path", "left")
     name = F.regexp_extract("source_path", "([^/]+)[.]txt$", 1)
     return out.select(name.alias("source"), "integrity", "sha256", *[F.lit(told.get(k, 0)).cast("long").alias(k) for k in ("updated", "removed", "added")])
+
+
+@query("""WITH RECURSIVE w AS (SELECT conv_id AS document_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS k, sha256('{"model":"m","window":' || conv_id % 3 || '}') AS c, sha256(coalesce(text, '')) AS p FROM conversations),
+  ch AS (SELECT document_id, k, c, sha256(c || chr(0) || k || chr(0) || p || chr(0)) AS h FROM w WHERE k = 0
+    UNION ALL SELECT w.document_id, w.k, w.c, sha256(w.c || chr(0) || w.k || chr(0) || w.p || chr(0) || ch.h) FROM ch JOIN w ON w.document_id = ch.document_id AND w.k = ch.k + 1)
+  SELECT document_id, k AS window_index, h AS chain_sha256 FROM ch""")
+def sealed_windows(spark, sf_dir):
+    """Every turn as a window's result, sealed to its contract and to those before it."""
+    order = W.partitionBy("conv_id").orderBy("turn")
+    rows = views.read(spark, sf_dir, "conversations").withColumns({"window_index": F.row_number().over(order) - 1, "model": F.lit("m"), "window": F.col("conv_id") % 3})
+    rows = rows.select(F.col("conv_id").alias("document_id"), "window_index", checkpoints.contract_digest("window", "model").alias("contract_sha256"), F.col("text").alias("payload"))
+    return checkpoints.sealed(rows).select("document_id", F.col("window_index").cast("long").alias("window_index"), "chain_sha256")
