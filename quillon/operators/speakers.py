@@ -76,13 +76,22 @@ def segment_spans(segments: DataFrame, turns: DataFrame) -> DataFrame:
 
 
 def roster(segments: DataFrame, labels: DataFrame | None = None) -> DataFrame:
-    """Speakers of each document with their label and display name; ``labels``: document_id, canonical_sha256?, speaker_ref, label."""
-    keys = label_keys(segments, labels)
-    refs = segments.filter("speaker_ref IS NOT NULL").select(*keys).distinct()
+    """Speakers of each document with their label and display name; ``labels``: document_id, canonical_sha256?, speaker_ref, label. Where both sides tell the generation, a
+    speaker has the label of their own, and only without one a label of another (see :func:`label_views` for which are current): a speaker is one row."""
+    made = ["label", "display_name"]
     if labels is None:
+        refs = segments.filter("speaker_ref IS NOT NULL").select("document_id", "speaker_ref").distinct()
         return refs.withColumn("label", F.lit(None).cast("string")).withColumn("display_name", F.col("speaker_ref"))
-    met = refs.join(labels.select(*keys, "label"), keys, "left")
-    return met.withColumn("display_name", T.display_name(F.col("label"), F.col("speaker_ref")))
+    keys = label_keys(segments, labels)
+    refs = segments.filter("speaker_ref IS NOT NULL").select(*keys).distinct()
+    if len(keys) == 2:
+        met = refs.join(labels.select(*keys, "label"), keys, "left")
+        return met.withColumn("display_name", T.display_name(F.col("label"), F.col("speaker_ref")))
+    theirs = labels.select("document_id", "speaker_ref", F.col("canonical_sha256").alias("_g"), "label")
+    own = F.col("canonical_sha256").eqNullSafe(F.col("_g"))
+    first = F.row_number().over(W.partitionBy(*keys).orderBy(F.when(own, 0).otherwise(1), "_g", "label"))
+    met = refs.join(theirs, ["document_id", "speaker_ref"], "left").withColumn("_n", first).filter("_n = 1")
+    return met.withColumn("display_name", T.display_name(F.col("label"), F.col("speaker_ref"))).select("document_id", "speaker_ref", *made)
 
 
 def label_keys(rows: DataFrame, labels: DataFrame | None) -> list[str]:
