@@ -46,25 +46,27 @@ def placed(rows: DataFrame, bounds: tuple[str, str], others: DataFrame, other_bo
     return rows.withColumns({c: F.col(f"_spot.{c}") for c in ("_role", "_level", "_bucket")}).drop("_own", "_there", "_spot")
 
 
-def bucket_join(left: DataFrame, right: DataFrame, keys: list[str], left_bounds: tuple[str, str], right_bounds: tuple[str, str], width: float = BUCKET) -> DataFrame:
+def bucket_join(left: DataFrame, right: DataFrame, keys: list[str], left_bounds: tuple[str, str], right_bounds: tuple[str, str], width: float = BUCKET, left_lengths: DataFrame | None = None) -> DataFrame:
     """Pairs with equal keys whose closed intervals may meet, each pair once. It has all pairs that touch or overlap, and others that
     the caller's condition removes.
 
     Lengths may differ by any factor: an interval takes two buckets of a width like its own and one for each longer level of the other
     side, never one for each stretch of its time. A pair meets where its shorter one begins, at the level of its longer one. An interval
-    with a null bound has no partner; one that ends before it begins counts as a point at its begin."""
+    with a null bound has no partner; one that ends before it begins counts as a point at its begin.
+
+    ``left_lengths``: rows with the same bounds' names and the same lengths as ``left``, where these are cheaper to read than ``left`` itself."""
     one = placed(left, left_bounds, right, right_bounds, width, 1, True)
-    two = placed(right, right_bounds, left, left_bounds, width, 0, False)
+    two = placed(right, right_bounds, left if left_lengths is None else left_lengths, left_bounds, width, 0, False)
     return one.join(two, [*keys, "_role", "_level", "_bucket"]).drop("_role", "_level", "_bucket")
 
 
-def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], left_bounds: tuple[str, str], right_bounds: tuple[str, str], width: float = BUCKET) -> DataFrame:
+def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], left_bounds: tuple[str, str], right_bounds: tuple[str, str], width: float = BUCKET, left_lengths: DataFrame | None = None) -> DataFrame:
     """Pairs with equal keys whose intervals share more than a point.
 
     Both sides are dealt to buckets, so one long document is many tasks. Interval columns must have different names on
     the two sides."""
     (ls, le), (rs, re) = left_bounds, right_bounds
-    return bucket_join(left, right, keys, left_bounds, right_bounds, width).filter(F.least(F.col(le), F.col(re)) > F.greatest(F.col(ls), F.col(rs)))
+    return bucket_join(left, right, keys, left_bounds, right_bounds, width, left_lengths).filter(F.least(F.col(le), F.col(re)) > F.greatest(F.col(ls), F.col(rs)))
 
 
 def contains_point(start: Column, end: Column, at: Column) -> Column:

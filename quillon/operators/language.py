@@ -35,7 +35,8 @@ def project_spans(segments: DataFrame, spans: DataFrame, width: int = 2000) -> D
     segment_id, start_char, end_char, language, confidence."""
     own = bounds(segments).select("document_id", "segment_id", "text", "doc_start", "doc_end")
     other = spans.select("document_id", F.col("start_char").alias("span_start"), F.col("end_char").alias("span_end"), "language", "confidence")
-    met = overlap_join(own, other, ["document_id"], ("doc_start", "doc_end"), ("span_start", "span_end"), width)
+    lengths = segments.select(F.lit(0).alias("doc_start"), F.length("text").alias("doc_end"))  # known without the running sums
+    met = overlap_join(own, other, ["document_id"], ("doc_start", "doc_end"), ("span_start", "span_end"), width, lengths)
     start, end = F.greatest("doc_start", "span_start") - F.col("doc_start"), F.least("doc_end", "span_end") - F.col("doc_start")
     met = met.withColumn("a", start).withColumn("part", F.substring("text", (start + 1).cast("int"), (end - start).cast("int")))
     lead = F.length("part") - F.length(F.regexp_replace("part", rf"^[{T.SPACE}]+", ""))

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import hashlib
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T_
 from pyspark.sql import Window as W
 
 from quillon.functions import text as T
@@ -113,24 +116,88 @@ def vector_topk(rows: DataFrame, query_vector: list[float], limit: int, vector_c
     return scores.orderBy(F.desc("score"), *ties).limit(limit)
 
 
-def vector_topk_many(rows: DataFrame, asked: DataFrame, limit: int, places: int = 12, block: int = 64) -> DataFrame:
+#: Vectors of one block, its bytes, and bytes of query blocks that may be broadcast (beyond, Spark meets blocks by partitions).
+BLOCK, BLOCK_BYTES, BROADCAST_BYTES = 1024, 1 << 20, 64 << 20
+#: Partial answers that a task holds before it passes them on.
+HELD = 1 << 20
+
+
+def _blocks(rows: DataFrame, id_col: str, vector_col: str, names: tuple[str, str, str]) -> DataFrame:
+    """Vectors in blocks of one width, of at most ``BLOCK`` and ``BLOCK_BYTES``: (width, ids, matrix). Rows whose id, vector or a number of it is null or not finite are left out."""
+    ids, width, matrix = names
+    schema = T_.StructType([T_.StructField(width, T_.IntegerType()), T_.StructField(ids, T_.ArrayType(rows.schema[id_col].dataType)), T_.StructField(matrix, T_.BinaryType())])
+
+    def pack(batches):
+        for batch in batches:
+            found = batch.column(1).filter(pc.is_valid(batch.column(1)))
+            lengths = pc.list_value_length(found).to_numpy(zero_copy_only=False)
+            numbers = found.flatten().to_numpy(zero_copy_only=False).astype(np.float64)  # nulls become NaN
+            keys, ends = batch.column(0).filter(pc.is_valid(batch.column(1))), np.cumsum(lengths)
+            for size in np.unique(lengths):
+                place = np.flatnonzero(lengths == size)
+                block = numbers[(ends[place] - size)[:, None] + np.arange(size)]
+                place, block = place[sound := np.isfinite(block).all(axis=1)], block[sound]
+                step = max(1, min(BLOCK, BLOCK_BYTES // (8 * max(1, int(size)))))
+                for k in range(0, len(place), step):
+                    own = keys.take(pa.array(place[k : k + step]))
+                    lists = pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own)
+                    yield pa.RecordBatch.from_arrays([pa.array([size], pa.int32()), lists, pa.array([block[k : k + step].tobytes()], pa.binary())], names=[width, ids, matrix])
+
+    return rows.select(id_col, vector_col).filter(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).mapInArrow(pack, schema)
+
+
+def _best(table: pa.Table, limit: int) -> pa.Table:
+    """The first ``limit`` of each query by falling score, then id."""
+    table = table.take(pc.sort_indices(table, [("query_id", "ascending"), ("score", "descending"), ("chunk_id", "ascending")]))
+    codes = table["query_id"].combine_chunks().dictionary_encode().indices.to_numpy()
+    first = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]]) if len(codes) else np.zeros(0, int)
+    rank = np.arange(len(codes)) - np.repeat(first, np.diff(np.r_[first, len(codes)]))
+    return table.filter(pa.array(rank < limit))
+
+
+def vector_topk_many(rows: DataFrame, asked: DataFrame, limit: int, places: int = 12) -> DataFrame:
     """(query_id, chunk_id, score): for each of many query vectors (query_id, query_vector) the ``limit`` best of all rows
-    (chunk_id, vector) by dot product, rounded to ``places``; ties to the smaller id.
-
-    A stated set of queries is taken in blocks of ``block``; a block is a literal in a scan of all rows, which keeps the best of
-    each task before they travel."""
-    queries = asked.select("query_id", "query_vector").orderBy("query_id").collect()  # the stated queries only
-    found = []
-    for start in range(0, len(queries), block):
-        scores = F.array(*[F.struct(F.lit(q["query_id"]).alias("query_id"), F.round(V.dot(F.col("vector"), V.literal(q["query_vector"])), places).alias("score")) for q in queries[start : start + block]])
-        found.append(rows.select("chunk_id", F.explode(scores).alias("q")).select("q.query_id", "chunk_id", "q.score"))
-    if not found:
-        return rows.select(F.col("chunk_id").alias("query_id"), "chunk_id", F.lit(0.0).alias("score")).limit(0)
-    every = found[0]
-    for more in found[1:]:
-        every = every.unionByName(more)
+    (chunk_id, vector) by dot product, rounded to ``places``; ties to the smaller id. ``query_id`` names one vector.
+
+    Both sides are packed into blocks, and each block of rows meets each block of queries as a product of two matrices: one pass over the
+    rows, no exchange of them, nothing on the driver. A task keeps its best per query, at most ``HELD`` rows at a time, and the tasks' answers
+    are ranked by query. Vectors of other lengths have no product; a null vector, or one with null or not finite numbers, is never found
+    and finds nothing."""
+    if limit < 1:
+        raise ValueError("limit must be 1 or more")
+    own, other = _blocks(rows, "chunk_id", "vector", ("_ids", "_width", "_matrix")), _blocks(asked, "query_id", "query_vector", ("_query_ids", "_query_width", "_query_matrix"))
+    size = asked.agg(F.coalesce(F.sum(F.size("query_vector").cast("long") * 8 + 32), F.lit(0))).first()[0]  # one number
+    met = own.crossJoin(F.broadcast(other) if size <= BROADCAST_BYTES else other).filter("_width = _query_width")
+    schema = T_.StructType([T_.StructField("query_id", asked.schema["query_id"].dataType), T_.StructField("chunk_id", rows.schema["chunk_id"].dataType), T_.StructField("score", T_.DoubleType())])
+
+    def multiply(batches):
+        held, count = [], 0
+        for batch in batches:
+            for r in range(batch.num_rows):
+                ids, asked_ids = batch.column("_ids")[r].values, batch.column("_query_ids")[r].values
+                if not batch.column("_width")[r].as_py():
+                    continue
+                a, b = (np.frombuffer(batch.column(c)[r].as_buffer()).reshape(n, -1) for c, n in (("_query_matrix", len(asked_ids)), ("_matrix", len(ids))))
+                scores = np.round(a @ b.T, places) + 0.0  # no negative zero
+                if scores.shape[1] > limit:  # all that reach the limit's score of their query, ties included
+                    least = np.partition(scores, -limit, axis=1)[:, -limit]
+                    q, c = np.nonzero(scores >= least[:, None])
+                else:
+                    q, c = (x.ravel() for x in np.indices(scores.shape))
+                found = pa.table({"query_id": asked_ids.take(pa.array(q)), "chunk_id": ids.take(pa.array(c)), "score": pa.array(scores[q, c])})
+                held.append(_best(found, limit))
+                count += held[-1].num_rows
+                if count >= HELD:
+                    held = [_best(pa.concat_tables(held), limit)]
+                    if (count := held[0].num_rows) >= HELD // 2:
+                        yield from held[0].to_batches()
+                        held, count = [], 0
+        if held:
+            yield from _best(pa.concat_tables(held), limit).to_batches()
+
     place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))
-    return every.withColumn("_n", place).filter(F.col("_n") <= limit).drop("_n")
+    wanted = ["_ids", "_width", "_matrix", "_query_ids", "_query_matrix"]
+    return met.select(*wanted).mapInArrow(multiply, schema).withColumn("_n", place).filter(F.col("_n") <= limit).drop("_n")
 
 
 def ranked(hits: DataFrame, ties: tuple[str, ...] = ("document_id", "start_seconds", "chunk_id")) -> DataFrame:
