@@ -86,3 +86,13 @@ def volume_admission(needs: DataFrame) -> DataFrame:
     """``needs`` (volume, required, free): what each volume must hold, its least free space, and whether that is enough."""
     per = needs.groupBy("volume").agg(F.sum("required").alias("required"), F.min("free").alias("free"))
     return per.withColumn("admitted", F.col("required") <= F.col("free"))
+
+
+def batch_token(plans: DataFrame) -> DataFrame:
+    """One row: documents, confirmation_token, bound to the tokens of many documents' plans (document_id, confirmation_token).
+
+    They are digested in 4096 groups by document first, so that no task reads them all."""
+    group = F.substring(F.sha2(F.col("document_id").cast("string"), 256), 1, 3)
+    parts = plans.select(group.alias("g"), "confirmation_token").groupBy("g").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("confirmation_token")), "\n"), 256).alias("h"), F.count(F.lit(1)).alias("n"))
+    whole = parts.agg(F.array_sort(F.collect_list(F.concat("g", "h"))).alias("s"), F.coalesce(F.sum("n"), F.lit(0)).alias("documents"))
+    return whole.select("documents", token(F.concat(F.array(F.lit(DELETE_HEAD)), F.col("s")), "delete-batch", 24).alias("confirmation_token"))

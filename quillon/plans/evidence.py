@@ -256,3 +256,25 @@ def segment_languages(spark, sf_dir):
 def detected_languages(spark, sf_dir):
     rows = language.detected_languages(language.project_spans(*_spans(spark, sf_dir)), ["segment_id", "start_char"])
     return rows.select("document_id", joined("detected_languages"), "detected_language")
+
+
+#: Frequent words of three languages, by which the query below attributes units.
+_COMMON = (("de", ("der", "die", "und", "ist", "das")), ("en", ("the", "and", "is", "of", "to")), ("fr", ("la", "les", "et", "est", "des")))
+
+
+def common_words() -> language.CommonWords:
+    return language.CommonWords(dict(_COMMON))
+
+
+_HITS = ", ".join(f"len(list_filter(w, lambda x: x IN ({', '.join(repr(x) for x in words)})))::DOUBLE AS n_{name}" for name, words in _COMMON)
+_ATTRIBUTED = f"""WITH {_UNITS}, w AS (SELECT document_id, start_char, end_char, list_transform(regexp_extract_all(unit, '[A-Za-z]+'), lambda x: lower(x)) AS w FROM units),
+  h AS (SELECT document_id, start_char, end_char, {_HITS} FROM w), m AS (SELECT *, greatest(n_de, n_en, n_fr) AS most, n_de + n_en + n_fr AS whole FROM h),
+  spans AS (SELECT document_id, start_char, end_char, CASE most WHEN n_de THEN 'de' WHEN n_en THEN 'en' ELSE 'fr' END AS language, round(most / whole, 9) AS confidence FROM m
+    WHERE most > 0 AND (n_de = most)::INT + (n_en = most)::INT + (n_fr = most)::INT = 1)"""
+
+
+@query(_ATTRIBUTED + " SELECT document_id, start_char, end_char, language, confidence FROM spans")
+def attributed_spans(spark, sf_dir):
+    """Units of every text with the language that their frequent words tell."""
+    units = language.text_units(views.documents(spark, sf_dir))
+    return language.attributed(units, common_words).withColumn("confidence", F.round("confidence", 9))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from quillon.plans import changes, evidence, operations, research, search
+from quillon.plans import changes, evidence, files, operations, research, search
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (search, research, evidence, operations, changes):
+for _module in (search, research, evidence, operations, changes, files):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
