@@ -1,4 +1,4 @@
-"""Registered queries: publication of exports, execution of deletion and retention plans."""
+"""Registered queries: publication of exports, execution of deletion plans, measured stages."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quillon.operators import custody, export
 from quillon.plans import operations
 from quillon.sources import execution, generations, publication, shared, views
+from quillon.streaming.measurements import Recorder, StreamRecorder, timings
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -78,3 +79,34 @@ def executed_deletion(spark, sf_dir):
     left = [generations.read(spark, root, name).select(F.lit(name).alias("kind"), F.col(key).cast("string").alias("object_id")) for name, key in (("documents", "document_id"), ("notes", "note_id"))]
     out = left[0].unionByName(left[1]).unionByName(done.select(F.concat(F.lit("done: "), "target").alias("kind"), "object_id"))
     return out.unionByName(spark.range(1).select(F.lit("refused").alias("kind"), F.lit(str(refused)).alias("object_id")))
+
+
+@query(f"""WITH {operations._TR}, words AS (SELECT document_id, unnest(regexp_extract_all(text, '[^ ]+')) AS w FROM tr)
+  SELECT 'segments' AS stage, 0::BIGINT AS failed, count(*) AS rows, round(sum(end_seconds - start_seconds), 4) AS media_seconds FROM tr
+  UNION ALL SELECT 'words', 0, count(*), NULL FROM words UNION ALL SELECT 'words again', 1, 0, NULL UNION ALL SELECT 'documents', 0, count(*), NULL FROM documents""")
+def observed_stages(spark, sf_dir):
+    """Three stages over all segments, of which one fails, and a stream of all documents, as their recorders tell them."""
+    recorder = Recorder(spark, shared.folder(spark, "measurements"))
+    rows = views.transcripts(spark, sf_dir)
+    write = lambda df: df.write.format("noop").mode("overwrite").save()
+    with recorder.stage("segments") as span:
+        span.run(rows, write, F.col("end_seconds") - F.col("start_seconds"))
+    words = rows.select(F.explode(F.regexp_extract_all("text", F.lit("[^ ]+"), F.lit(0))).alias("w"))
+    with recorder.stage("words") as span:
+        span.run(words, write)
+    try:
+        with recorder.stage("words again") as span:
+            span.run(words, lambda df: df.write.format("noop").mode("no such mode").save())
+    except Exception:  # the failure is what is measured
+        pass
+    listener = StreamRecorder(recorder)
+    spark.streams.addListener(listener)
+    try:
+        schema = views.read(spark, sf_dir, "documents").schema  # the stream wants a pattern where the table is one file
+        stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/documents.parque[t]").writeStream.queryName("documents").format("noop").trigger(availableNow=True)
+        run = stream.option("checkpointLocation", shared.folder(spark, "stream")).start()
+        run.awaitTermination()
+        listener.wait(run)
+    finally:
+        spark.streams.removeListener(listener)
+    return timings(recorder.table()).select("stage", "failed", "rows", F.round("media_seconds", 4).alias("media_seconds"))
