@@ -278,3 +278,17 @@ def attributed_spans(spark, sf_dir):
     """Units of every text with the language that their frequent words tell."""
     units = language.text_units(views.documents(spark, sf_dir))
     return language.attributed(units, common_words).withColumn("confidence", F.round("confidence", 9))
+
+
+@query("""WITH a AS (SELECT o_orderkey % 7 AS document_id, o_orderkey AS i, o_orderkey::DOUBLE AS s, o_orderkey + pow(2, o_orderkey % 19) / 8 AS e FROM orders),
+  b AS (SELECT c_custkey % 7 AS document_id, c_custkey AS j, c_custkey * 4.0::DOUBLE AS ts, c_custkey * 4 + pow(2, c_custkey % 23) / 64 AS te FROM customer)
+  SELECT j, count(*) AS n, round(sum(least(e, te) - greatest(s, ts)), 3) AS shared FROM a JOIN b ON a.document_id = b.document_id AND least(e, te) > greatest(s, ts) GROUP BY j""")
+def mixed_intervals(spark, sf_dir):
+    """Orders and customers as intervals whose lengths differ by a factor of millions, joined where they overlap."""
+    from quillon.operators.intervals import overlap_join
+
+    key, own = F.col("o_orderkey"), F.col("c_custkey")
+    a = views.read(spark, sf_dir, "orders").select((key % 7).alias("document_id"), key.cast("double").alias("s"), (key + F.pow(F.lit(2.0), key % 19) / 8).alias("e"))
+    b = views.read(spark, sf_dir, "customer").select((own % 7).alias("document_id"), own.alias("j"), (own * 4.0).alias("ts"), (own * 4 + F.pow(F.lit(2.0), own % 23) / 64).alias("te"))
+    met = overlap_join(a, b, ["document_id"], ("s", "e"), ("ts", "te"), 4.0)
+    return met.groupBy("j").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.least("e", "te") - F.greatest("s", "ts")), 3).alias("shared"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quillon.operators import custody, export
 from quillon.plans import operations
 from quillon.sources import execution, generations, publication, shared, views
-from quillon.streaming.measurements import Recorder, StreamRecorder, timings
+from quillon.streaming.measurements import Recorder, StreamRecorder, resource_summary, timings
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -110,3 +110,13 @@ def observed_stages(spark, sf_dir):
     finally:
         spark.streams.removeListener(listener)
     return timings(recorder.table()).select("stage", "failed", "rows", F.round("media_seconds", 4).alias("media_seconds"))
+
+
+@query("""SELECT count(*) AS samples, arg_min(event_id * 1000 + user_id, event_id) AS baseline_rss_bytes, max(event_id * 1000 + user_id) AS peak_rss_bytes, round(avg(event_id * 1000 + user_id), 4) AS mean_rss_bytes,
+    max(value)::DOUBLE AS peak_cpu_percent, round(avg(value), 6) AS mean_cpu_percent, round(max(event_id * 1000 + user_id) / 1000000.0::DOUBLE, 6) AS peak_to_estimate FROM events""")
+def resource_samples(spark, sf_dir):
+    """Events as samples of a process tree, against an estimate of a million bytes."""
+    rows = views.read(spark, sf_dir, "events")
+    samples = rows.select(F.col("event_id").alias("sampled_at"), (F.col("event_id") * 1000 + F.col("user_id")).alias("rss_bytes"), F.col("value").cast("double").alias("cpu_percent"))
+    out = resource_summary(samples, F.lit(1_000_000))
+    return out.withColumns({"mean_rss_bytes": F.round("mean_rss_bytes", 4), "mean_cpu_percent": F.round("mean_cpu_percent", 6), "peak_to_estimate": F.round("peak_to_estimate", 6)})
