@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, __row string, `Salt` int, `a.b c` string, __id string, media int, __ids int"
 
 
@@ -15,3 +17,30 @@ def awkward(spark, texts=None):
 
 def empty(spark):
     return spark.createDataFrame([], SCHEMA)
+
+
+@contextmanager
+def largest_read(spark):
+    """Yields a function: the most rows that one task has read from a shuffle of 16 partitions since."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+    jvm, none = spark.sparkContext._jvm, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+    stages = lambda: {(s.stageId(), s.attemptId()) for s in _items(store.stageList(jvm.java.util.ArrayList(), False, False, none, jvm.java.util.ArrayList()))}
+    before = stages()
+    own = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "16"}
+    usual = {k: spark.conf.get(k) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
+
+    def found() -> int:
+        tasks = (t for s in stages() - before for t in _items(store.taskList(*s, 100_000)))
+        return max((t.taskMetrics().get().shuffleReadMetrics().recordsRead() for t in tasks if t.taskMetrics().isDefined()), default=0)
+
+    try:
+        yield found
+    finally:
+        for k, v in usual.items():
+            spark.conf.set(k, v)
+
+
+def _items(sequence):
+    return [sequence.apply(k) for k in range(sequence.size())]

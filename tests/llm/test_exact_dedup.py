@@ -6,7 +6,7 @@ import pytest
 
 from quillon.llm import exact_dedup
 
-from .helpers import awkward, empty
+from .helpers import awkward, empty, largest_read
 
 
 def brute(rows):
@@ -66,3 +66,22 @@ def test_hot_group(spark):
     docs = spark.range(3000).selectExpr("id AS doc_id", "CASE WHEN id % 3 = 0 THEN repeat('same ', 1 + id % 2) ELSE concat('t', id % 700) END AS text")
     got = exact_dedup.decide(docs).filter("kept").count()
     assert got == len({(("same" * (1 + k % 2)) if k % 3 == 0 else f"t{k % 700}") for k in range(3000)})
+
+
+def test_longer_one_of_an_id_stays(spark):
+    """Of rows with one id and one normalised text, the longest original is the one that stays."""
+    docs = spark.createDataFrame([(1, "ab", "short"), (1, "a b", "long"), (1, "a b", "long"), (2, "a b", "other")], "doc_id long, text string, tag string")
+    assert [r["tag"] for r in exact_dedup.keep_first(docs).collect()] == ["long"]
+    assert sorted(r["kept"] for r in exact_dedup.decide(docs).collect()) == [False, False, False, True]
+
+
+@pytest.mark.parametrize("digest_bits", [256, 4])
+def test_repeated_rows_are_many_tasks(spark, digest_bits):
+    """200,000 equal rows without an id: no task reads a third of them, and one stays."""
+    docs = spark.range(0, 200_000, 1, 8).selectExpr("CAST(NULL AS LONG) AS doc_id", "'one two' AS text")
+    docs = docs.unionByName(spark.range(3000).selectExpr("id AS doc_id", "concat('t', id) AS text"))
+    with largest_read(spark) as read:
+        got = exact_dedup.decide(docs, digest_bits=digest_bits).filter("kept").agg({"*": "count", "group_size": "max"}).first()
+        assert exact_dedup.keep_first(docs, digest_bits=digest_bits).count() == 3001
+    assert (got["count(1)"], got["max(group_size)"]) == (3001, 200_000)
+    assert digest_bits == 4 or read() < 20_000
