@@ -8,7 +8,8 @@ table of (source, size) counts, which is made once: a step is one grouped sum, w
 Rates become whole copies by systematic rounding: within a source the sizes are walked from large to small, and the
 running sum of fractional copies decides how many documents of each size get one copy more, which keeps the
 sum within half the largest size; a second walk from small sizes up settles what is left. Documents of one size
-are dealt to ``splits`` parts by a hash, so that no part grows with a hot size.
+are dealt to parts by a hash of the id and the text, as many as the number of rows asks for, so that no part grows with a hot
+size. Repeated rows have one hash: where many do, they are dealt by their place in a table that they alone are written to.
 """
 
 from __future__ import annotations
@@ -19,9 +20,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import WORD_PATTERN, kept_columns, quoted, table
+from .common import WORD_PATTERN, forget, kept_columns, quoted, table
 
 CAP = 3
+#: Parts of a (source, size): as many as all rows would need for so many rows each, and not fewer than LEAST_PARTS.
+PART_ROWS, LEAST_PARTS = 250_000, 256
+#: Hashes that more than a HOT-th part of all rows share: fewer than HOT, whatever the data.
+HOT = 50_000
 SOURCE = ["__none", "__source"]
 
 
@@ -38,6 +43,18 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str, splits:
     return out.withColumn("__part", F.pmod(F.shiftright("__hash", 7), F.lit(splits)).cast("int"))
 
 
+def _spread(rows: DataFrame, every: int, splits: int) -> DataFrame:
+    """``rows`` with other parts for hashes that many rows share. A place is given once, when such rows are written."""
+    often = rows.groupBy("__hash").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > max(1, every // HOT)).select("__hash")
+    often = table(often, "mix-repeated")
+    if often.isEmpty():
+        return rows
+    often = F.broadcast(often)  # fewer than HOT numbers
+    place = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(splits)).cast("int")
+    written = table(rows.join(often, "__hash", "left_semi").withColumn("__part", place), "mix-repeated-rows")
+    return rows.join(often, "__hash", "left_anti").unionByName(written)
+
+
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = CAP) -> DataFrame:
     """``sizes``: __none, __source, source_size. Adds target: all words shared by weight (given in turn, by code point,
     null last), at most ``cap`` times a source's size; what is above is shared again among the others by weight.
@@ -68,10 +85,12 @@ def tilts(counts: DataFrame, wanted: DataFrame, cap: int = CAP, steps: int = 60,
         F.when(F.col("target") <= F.col("source_size"), F.lit(0.0)).otherwise(F.lit(math.log(cap)) * F.col("mean") / F.col("least")).alias("high"),
         (full | (F.col("target") == F.col("source_size"))).alias("done"),
     )
-    state = table(state, "tilts")
+    state, before = table(state, "tilts"), None
     for _ in range(steps):
         if state.filter("NOT done").isEmpty():
             break
+        if before is not None:
+            forget(before)
         x = F.col("__size") / F.col("mean")
         rate = F.exp(F.least(F.col("tilt") * x, F.lit(math.log(cap))))
         moments = (
@@ -87,6 +106,7 @@ def tilts(counts: DataFrame, wanted: DataFrame, cap: int = CAP, steps: int = 60,
         inside = (F.col("slope") > 0) & (F.col("low").isNull() | (step > F.col("low"))) & (step < F.col("high"))
         middle = F.when(F.col("low").isNull(), F.col("high") * 2 - 1).otherwise((F.col("low") + F.col("high")) / 2)
         near = F.abs(F.col("got") - goal) <= tolerance * goal
+        before = state
         state = table(
             both.select(
                 *SOURCE, "source_size", "target", "mean", "full",
@@ -127,13 +147,16 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with __size, __source_size, __target and __copies (0 to ``cap``), which replace columns of these names.
 
     A null text has size 0, a null source is a source of its own, the last one. Documents without words get one copy.
-    Reruns agree: ties within one size go by a hash of the id and the text, then the id; repeated rows count each by itself. If there
+    Reruns agree: ties within one size go by a hash of the id and the text, then the id; repeated rows count each by itself, and which of
+    them are taken more often goes by place. ``splits`` is the number of parts, which follows from the rows unless given. If there
     are no words at all, targets are 0. An empty table stays empty."""
     return _mixed(docs, **options).select(*[F.col("__row")[c].alias(c) for c in kept_columns(docs, MADE)], *MADE)
 
 
-def _mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), cap: int = CAP, splits: int = 256) -> DataFrame:
-    rows = _keyed(docs, id_col, text_col, source_col, splits)
+def _mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), cap: int = CAP, splits: int | None = None) -> DataFrame:
+    every = docs.count()
+    splits = splits or max(LEAST_PARTS, math.ceil(every / PART_ROWS))
+    rows = _spread(_keyed(docs, id_col, text_col, source_col, splits), every, splits)
     parts = table(rows.groupBy(*SOURCE, "__size", "__part").agg(F.count(F.lit(1)).alias("in_part")), "mix-parts")
     counts = table(parts.groupBy(*SOURCE, "__size").agg(F.sum("in_part").alias("n")), "mix-counts")
     wanted = table(targets(counts.groupBy(*SOURCE).agg(F.sum(F.col("__size") * F.col("n")).alias("source_size")), weights, cap), "mix-targets")

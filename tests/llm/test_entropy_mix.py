@@ -6,7 +6,7 @@ import pytest
 
 from quillon.llm import entropy_mix
 
-from .helpers import awkward, empty
+from .helpers import awkward, empty, largest_read
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -111,3 +111,14 @@ def test_rates_solve_the_dual(spark):
             low, high = ((low + high) / 2, high) if taken((low + high) / 2) < r["target"] else (low, (low + high) / 2)
         assert taken(r["tilt"]) == pytest.approx(r["target"], rel=1e-6)
         assert r["tilt"] == pytest.approx(low, rel=1e-4, abs=1e-6)
+
+
+def test_repeated_rows_are_many_tasks(spark):
+    """200,000 equal rows without an id: every task sorts a part of them, and the mix still meets its targets."""
+    docs = spark.range(0, 200_000, 1, 8).selectExpr("CAST(NULL AS LONG) AS doc_id", "'one two' AS text", "'s' AS source")
+    docs = docs.unionByName(spark.range(300).selectExpr("id AS doc_id", "repeat('w ', CAST(1 + id % 7 AS INT)) AS text", "concat('t', id % 4) AS source"))
+    with largest_read(spark) as read:
+        got = entropy_mix.mix(docs).groupBy("text", "source", "__size", "__source_size", "__target", "__copies").count().collect()
+    assert read() < 20_000
+    assert sum(r["count"] for r in got) == 200_300
+    check([tuple(r)[:6] for r in got for _ in range(r["count"])])
