@@ -224,12 +224,12 @@ def unpack_words(raw: bytes) -> pa.Array:
 
 
 def pack_logs(logs: np.ndarray) -> bytes:
-    """Log probabilities in half precision, which has 11 significant bits."""
-    return pack_columns(logs.astype(np.float16))
+    """Log probabilities as they are, in double precision."""
+    return pack_columns(logs)
 
 
 def unpack_logs(raw: bytes) -> np.ndarray:
-    return unpack_columns(raw, np.float16)[0].astype(np.float32)
+    return unpack_columns(raw, np.float64)[0]
 
 
 def gram_bucket(keys: np.ndarray, depth: int, buckets: int) -> np.ndarray:
@@ -572,7 +572,7 @@ def _reply(asked: pa.Table, model: pa.Table) -> pa.Table:
     if not asked.num_rows:
         return pa.table({"kind": pa.array([], pa.int32()), "block": pa.array([], pa.string()), "bucket": pa.array([], pa.int32()), "reply": pa.array([], pa.binary())})
     words = asked.column("kind")[0].as_py() == _WORDS
-    values = unpack_columns(model.column("counts")[0].as_py(), np.int64 if words else np.float16)[0]
+    values = unpack_columns(model.column("counts")[0].as_py(), np.int64 if words else np.float64)[0]
     keys = (unpack_words if words else unpack_grams)(model.column("keys")[0].as_py())
     out = []
     for raw in asked.column("keys"):
@@ -601,7 +601,7 @@ def _scorer(depth: int, buckets: int, n: int, v: int):
             grams.add(keys_of(lines.splitlines(keepends=True), depth)[0])
             words.append(words_of(lines)[2])
         keys, grams = grams.result()[0], None
-        logs = np.zeros(len(keys), dtype=np.float32)
+        logs = np.zeros(len(keys))
         for b, at in by_bucket(gram_bucket(keys, depth, buckets), buckets):
             logs[at] = reply(_GRAMS, b, unpack_logs, len(at))
         found_words = pa.concat_arrays(words).dictionary_encode()
@@ -638,7 +638,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth
     """One row per input row: id_col, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte.
 
     Rows whose crc32 of the id modulo 7 is 2 are held out; all others train the model. ``score`` is the model's log10
-    probability of the text (a byte's share rounded to 11 significant bits), ``bits_per_byte`` its code length per byte
+    probability of the text in double precision throughout, ``bits_per_byte`` its code length per byte
     (words, single spaces and the end). Null and empty texts are the end alone. Without training rows each bit has
     probability 1/2 and base_score is 0. Repeated rows are counted and scored as often as they occur; an empty table
     gives no row. Other columns are ignored. ``docs`` is read twice and must give its rows in the same order, as files do; it is

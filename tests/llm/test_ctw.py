@@ -90,7 +90,7 @@ def check(docs, **options):
     key = lambda r: (repr(r[:5]), round(r[5], 6))
     for a, b in zip(sorted(got, key=key), sorted(expected, key=key), strict=True):
         assert a[:5] == b[:5]
-        assert a[5:] == pytest.approx(b[5:], rel=5e-4, abs=1e-5)
+        assert a[5:] == pytest.approx(b[5:], rel=1e-9, abs=1e-9)
 
 
 def test_equals_brute_force(spark):
@@ -116,8 +116,8 @@ def test_no_training_rows_and_no_rows(spark):
     docs = spark.createDataFrame([(k, "ab") for k in ids], "doc_id long, text string")
     for r in ctw.score(docs).collect():
         assert (r["n_known"], r["train_tokens"]) == (0, 0)
-        assert r["score"] == pytest.approx(3 * 8 * math.log10(0.5), rel=5e-4)
-        assert r["bits_per_byte"] == pytest.approx(8, rel=5e-4)
+        assert r["score"] == pytest.approx(3 * 8 * math.log10(0.5), rel=1e-9)
+        assert r["bits_per_byte"] == pytest.approx(8, rel=1e-9)
     assert ctw.score(empty(spark)).count() == 0
 
 
