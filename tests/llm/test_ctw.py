@@ -137,6 +137,9 @@ def test_lists_come_back_whole():
     for n in (0, 1, 5000):
         keys = np.unique(rng.integers(0, 1 << 62, n, dtype=np.uint64) >> np.uint64(rng.integers(0, 40)))
         assert ctw.unpack_grams(ctw.pack_grams(keys)).tolist() == keys.tolist()
+        assert ctw.unpack_fixed(ctw.pack_fixed(keys)).tolist() == keys.tolist()
+        logs = -rng.exponential(1.0, n) ** 4
+        assert abs(ctw.from_fixed(ctw.unpack_fixed(ctw.pack_fixed(ctw.to_fixed(logs)))) - logs).max(initial=0) <= 3e-11
         words = pa.array([str(k).encode() * (k % 3) for k in keys.tolist()], pa.large_binary())
         assert ctw.unpack_words(ctw.pack_words(words)).equals(words)
     row, at, distinct = ctw.words_of(b"a bb a\n\nbb \xc3\xa9\n")
