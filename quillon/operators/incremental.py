@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from quillon.sources import shared
+
 #: Changes in one batch of a replay, batches in one run, and changes kept when a log is compacted (fixed values).
 BATCH, BATCHES, RETAIN = 500, 1000, 2048
 
@@ -49,15 +51,18 @@ def apply_delta(base: DataFrame, upserts: DataFrame, removals: DataFrame, key: s
 
 
 def with_sequence(changes: DataFrame, order: list[str], after: int = 0) -> DataFrame:
-    """``changes`` with sequence_id: 1, 2, ... after the last known one, in the order given.
-
-    Numbers are dealt without one task that reads all: rows are ranged by order, counted per range, and each range starts
-    where those before it end."""
-    rows = changes.repartitionByRange(max(1, changes.rdd.getNumPartitions()), *order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
-    inside = rows.withColumn("_k", F.row_number().over(W.partitionBy("_p").orderBy(*order)))
-    counts = rows.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
+    """``changes`` with sequence_id: 1, 2, ... after the last known one, in the order given, nulls last. Rows that the order leaves equal are numbered as they come.
+
+    Numbers are dealt without one task that reads all: rows are ranged by order and written once, with their range and their place in it, to the shared folder; each range
+    starts where those before it end. Ranges are cut by a sample, which another reading of ``changes`` would draw anew: both counts and places are those of the written rows."""
+    spark, by = changes.sparkSession, [F.col(c).asc_nulls_last() for c in order]
+    place = F.monotonically_increasing_id()
+    written = shared.folder(spark, "sequence")
+    changes.repartitionByRange(*by).sortWithinPartitions(*by).withColumns({"_p": F.shiftright(place, 33), "_k": place.bitwiseAND(F.lit((1 << 33) - 1))}).write.parquet(written)
+    rows = spark.read.parquet(written)
+    counts = rows.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))  # a row for each range
     starts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    return inside.join(F.broadcast(starts), "_p").withColumn("sequence_id", F.col("_k") + F.col("_before") + F.lit(after)).drop("_p", "_k", "_before")
+    return rows.join(F.broadcast(starts), "_p").withColumn("sequence_id", F.col("_k") + F.col("_before") + F.lit(after + 1)).drop("_p", "_k", "_before")
 
 
 def batch_after(log: DataFrame, watermark: int, size: int = BATCH) -> DataFrame:
