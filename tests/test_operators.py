@@ -543,6 +543,8 @@ def test_sequence_of_more_rows_than_a_sample(spark):
     rows = spark.range(0, 80_000, 1, 8).select((F.col("id") * 7919 % 80_000).alias("k"), F.hash("id").alias("more"))
     log = incremental.with_sequence(rows, ["k"], after=10)
     assert log.filter("sequence_id - k = 11").agg(F.count("k"), F.max("more")).first()[0] == 80_000
+    last = log.agg(F.max("sequence_id")).first()[0]
+    assert last == 80_010 and incremental.compacted(log, last, 100).count() == 100
 
 
 def test_sequence_puts_nulls_last(spark):
