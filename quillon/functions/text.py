@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Characters that Python calls white space, as the inside of a regular expression class (fixed value; Java and RE2 syntax).
 SPACE = r"\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+#: The same characters as a string.
+SPACES = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 #: A token: letters, digits and underscores, with inner apostrophes.
 TOKEN = r"[\p{L}\p{N}_]+(?:['’][\p{L}\p{N}_]+)*"
 _DRIVER_TOKEN = re.compile(r"\w+(?:['’]\w+)*")
@@ -64,17 +66,26 @@ def query_tokens(text: str) -> list[str]:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"^[{SPACE}]+|[{SPACE}]+\z", "")
+    return F.btrim(text, F.lit(SPACES))
+
+
+def lstrip(text: Column) -> Column:
+    return F.ltrim(text, F.lit(SPACES))
+
+
+def _spaced(text: Column) -> Column:
+    """With each white space as a plain one: a class of one character is matched many times faster than that of all."""
+    return F.translate(text, SPACES, " " * len(SPACES))
 
 
 def words(text: Column) -> Column:
     """Words between white space, as an array."""
-    return F.regexp_extract_all(text, F.lit(rf"[^{SPACE}]+"), F.lit(0))
+    return F.regexp_extract_all(_spaced(text), F.lit("[^ ]+"), F.lit(0))
 
 
 def word_count(text: Column) -> Column:
     """Words between white space, at least one."""
-    return F.greatest(F.lit(1), F.coalesce(F.regexp_count(text, F.lit(rf"[^{SPACE}]+")), F.lit(0)))
+    return F.greatest(F.lit(1), F.coalesce(F.regexp_count(_spaced(text), F.lit("[^ ]+")), F.lit(0)))
 
 
 def squeeze(text: Column) -> Column:

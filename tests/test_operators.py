@@ -42,6 +42,14 @@ def test_tokens(spark):
     assert column(spark, None).select(T.tokens(F.col("x"))).first()[0] is None
 
 
+def test_white_space_is_what_python_calls_so(spark):
+    """Words and trimming by sets of characters (a class of all of them is matched many times slower)."""
+    assert T.SPACES == "".join(c for c in map(chr, range(0x110000)) if c.isspace())
+    text = T.SPACES + "a" + "b".join(T.SPACES) + "\u200bé\U0001f600" + T.SPACES
+    row = column(spark, text).select(T.strip(F.col("x")), T.lstrip(F.col("x")), T.words(F.col("x")), T.word_count(F.col("x"))).first()
+    assert list(row) == [text.strip(), text.lstrip(), text.split(), len(text.split())]
+
+
 def test_words_strip_and_names(spark):
     row = column(spark, "  two  words \n").select(T.strip(F.col("x")), T.words(F.col("x")), T.word_count(F.lit(" "))).first()
     assert tuple(row) == ("two  words", ["two", "words"], 1)
