@@ -55,10 +55,27 @@ def tokenised(segments: DataFrame) -> DataFrame:
     return segments.withColumn("tokens", T.tokens(F.col("text"))).withColumn("token_count", F.size("tokens"))
 
 
-def terms(segments: DataFrame) -> DataFrame:
-    """The inverted index: document_id, segment_id, term, term_frequency, token_count."""
-    rows = tokenised(segments).select("document_id", "segment_id", "token_count", F.explode("tokens").alias("term"))
-    return rows.groupBy("document_id", "segment_id", "term").agg(F.count(F.lit(1)).alias("term_frequency"), F.first("token_count").alias("token_count"))
+def counted(rows: DataFrame) -> DataFrame:
+    """``rows`` with tokens, in place of which each distinct one stands in a row of its own: term and tf. A row's tokens are sorted and counted where it is; nothing is shuffled."""
+    kept = [c for c in rows.columns if c != "tokens"]
+    rows = rows.filter(F.size("tokens") > 0).withColumn("_s", F.sort_array("tokens"))
+    first = lambda i: (i == 1) | (F.get("_s", i - 1) != F.get("_s", i - 2))
+    rows = rows.withColumn("_at", F.filter(F.sequence(F.lit(1), F.size("_s")), first))
+    tf = lambda at, k: F.struct(F.get("_s", at - 1).alias("term"), (F.coalesce(F.get("_at", k + 1), F.size("_s") + 1) - at).alias("tf"))
+    return rows.select(*kept, F.inline(F.transform("_at", tf)))
+
+
+def terms(segments: DataFrame, only: list[str] | None = None) -> DataFrame:
+    """The inverted index: document_id, segment_id, term, term_frequency, token_count; of ``only`` these terms, if given.
+
+    Texts meet by segment (several of one id count as one), not a row for each of their tokens; terms are then counted within each. Of a few terms the tokens meet, as they
+    are fewer than texts."""
+    if only is not None:
+        own = _matched(segments.select("document_id", "segment_id", "text"), only).select("document_id", "segment_id", "token_count", F.explode("own").alias("term"))
+        return own.groupBy("document_id", "segment_id", "term").agg(F.count(F.lit(1)).alias("term_frequency"), F.first("token_count").alias("token_count"))
+    texts = segments.groupBy("document_id", "segment_id").agg(F.array_join(F.collect_list("text"), "\n").alias("text"))
+    rows = counted(tokenised(texts).select("document_id", "segment_id", "token_count", "tokens"))
+    return rows.select("document_id", "segment_id", "term", F.col("tf").cast("long").alias("term_frequency"), "token_count")
 
 
 def corpus_stats(segments: DataFrame) -> DataFrame:
