@@ -115,8 +115,8 @@ def bm25_timeline(spark, sf_dir):
 @query(_bm25_sql(ASKED.split()))
 def bm25_indexed(spark, sf_dir):
     """The same hits through an inverted index."""
-    rows = views.segments(spark, sf_dir)
-    return lexical.search_index(lexical.terms(rows), lexical.corpus_stats(rows), rows, SearchQuery(ASKED, limit=50), places=6).select("document_id", "segment_id", "start_seconds", "matched_terms", "score")
+    rows, q = views.segments(spark, sf_dir), SearchQuery(ASKED, limit=50)
+    return lexical.search_index(lexical.terms(rows, q.terms), lexical.corpus_stats(rows), rows, q, places=6).select("document_id", "segment_id", "start_seconds", "matched_terms", "score")
 
 
 _STORED: dict[tuple[str, str], TermIndex] = {}
