@@ -24,10 +24,11 @@ def text_units(rows: DataFrame, key: str = "document_id", text_col: str = "text"
     """(key, start_char, end_char, unit): trimmed units of each text in its own offsets; blank ones are left out."""
     parts = rows.select(key, F.posexplode(F.regexp_extract_all(F.col(text_col), F.lit(UNIT), F.lit(0))).alias("k", "raw"))
     before = W.partitionBy(key).orderBy("k").rowsBetween(W.unboundedPreceding, -1)
-    parts = parts.withColumn("at", F.coalesce(F.sum(F.length("raw")).over(before), F.lit(0)))
-    lead = F.length("raw") - F.length(F.regexp_replace("raw", rf"^[{T.SPACE}]+", ""))
-    unit = T.strip(F.col("raw"))
-    return parts.select(key, (F.col("at") + lead).alias("start_char"), (F.col("at") + lead + F.length(unit)).alias("end_char"), unit.alias("unit")).filter("unit <> ''")
+    # Lengths are taken before the window, so that texts pass it only where they are asked for.
+    parts = parts.withColumn("unit", T.strip(F.col("raw"))).withColumns({"n": F.length("raw"), "lead": F.length("raw") - F.length(T.lstrip(F.col("raw"))), "size": F.length("unit")}).drop("raw")
+    start = F.coalesce(F.sum("n").over(before), F.lit(0)) + F.col("lead")
+    rows = parts.withColumn("start_char", start).filter("size > 0")
+    return rows.select(key, "start_char", (F.col("start_char") + F.col("size")).alias("end_char"), "unit")
 
 
 class Attributor(Protocol):
@@ -105,7 +106,7 @@ def project_spans(segments: DataFrame, spans: DataFrame, width: int = 2000) -> D
     met = overlap_join(own, other, ["document_id"], ("doc_start", "doc_end"), ("span_start", "span_end"), width, lengths)
     start, end = F.greatest("doc_start", "span_start") - F.col("doc_start"), F.least("doc_end", "span_end") - F.col("doc_start")
     met = met.withColumn("a", start).withColumn("part", F.substring("text", (start + 1).cast("int"), (end - start).cast("int")))
-    lead = F.length("part") - F.length(F.regexp_replace("part", rf"^[{T.SPACE}]+", ""))
+    lead = F.length("part") - F.length(T.lstrip(F.col("part")))
     clean = T.strip(F.col("part"))
     return met.filter(clean != "").select("document_id", "segment_id", (F.col("a") + lead).alias("start_char"), (F.col("a") + lead + F.length(clean)).alias("end_char"), "language", "confidence")
 

@@ -80,3 +80,11 @@ def test_wrong_models_are_errors(spark, told):
 def test_ambiguous_units_and_many_rows(spark):
     assert words().attribute(["the der", "", "the der the"]) == [None, None, ("EN ", pytest.approx(2 / 3))]
     assert language.attributed(units(spark, []).limit(0), words).count() == 0
+
+
+def test_texts_do_not_pass_the_window_of_places(spark):
+    """Only lengths do, where no unit is asked for."""
+    rows = spark.createDataFrame([(1, " ab. c\n　d ")], "document_id long, text string")
+    spans = language.text_units(rows).select("document_id", "start_char", "end_char")
+    assert "raw" not in spans._jdf.queryExecution().optimizedPlan().toString().split("Window")[0]
+    assert sorted(tuple(r) for r in spans.collect()) == [(1, 1, 4), (1, 5, 6), (1, 8, 9)]
