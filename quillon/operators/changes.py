@@ -147,25 +147,39 @@ def set_labels(labels: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataF
 LAST_SUFFIX = 1000
 
 
-def free_names(wanted: DataFrame, taken: DataFrame, order: str = "file_id") -> DataFrame:
-    """``wanted`` (order, stem, extension) with file_name: stem.extension, else stem-2, stem-3, ... to stem-1000, the first that is
+def _occupied(keys: DataFrame) -> DataFrame:
+    """_s, _x, _held: how many of the names ``keys`` (_key) are numbered ones of that stem and ending. A name is read in each way it can be cut at a hyphen."""
+    parts = F.split("_key", "-")
+    cuts = keys.select(parts.alias("p")).filter("size(p) > 1").select("p", F.explode(F.sequence(F.lit(1), F.size("p") - 1)).alias("i"))
+    cut = cuts.select(F.array_join(F.slice("p", F.lit(1), F.col("i")), "-").alias("_s"), F.array_join(F.slice("p", F.col("i") + 1, F.size("p")), "-").alias("rest"))
+    number = F.regexp_extract("rest", "^[1-9][0-9]*", 0)
+    return cut.withColumn("k", number).filter("k <> ''").groupBy("_s", F.expr("substring(rest, length(k) + 1)").alias("_x")).agg(F.count(F.lit(1)).alias("_held"))
+
+
+def free_names(wanted: DataFrame, taken: DataFrame, order: str = "file_id", last: int | None = LAST_SUFFIX) -> DataFrame:
+    """``wanted`` (order, stem, extension) with file_name: stem.extension, else stem-2, stem-3, ... to stem-``last`` (none: as far as needed), the first that is
     neither in ``taken`` (file_name) nor given to a file before; null if none is left. Names are compared folded and as a whole, so that ("x", "tar.gz") and
     ("x.tar", "gz") ask for one name. Without an extension a name is its stem.
 
     Numbers are given within a stem and extension: the n-th file gets the n-th free number, so these and their taken names meet in one task,
-    at most a thousand of which matter."""
+    at most ``last`` of which matter."""
     tail = F.when(F.coalesce("extension", F.lit("")) == "", F.lit("")).otherwise(F.concat(F.lit("."), "extension"))
     rows = wanted.withColumns({"_s": T.fold(F.col("stem")), "_x": T.fold(tail), "_t": tail}).withColumn("_base", F.concat("_s", "_x"))
     rows = rows.withColumn("_first", F.row_number().over(W.partitionBy("_base").orderBy(order)) == 1)
     # The first file of a whole name may get it as it is; of the others, each stem and extension has its own numbers.
     rows = rows.withColumn("_n", F.row_number().over(W.partitionBy("_s", "_x").orderBy(F.desc("_first"), order)))
-    whole = rows.groupBy("_s", "_x", "_base").agg(F.max("_first").alias("_own"))
-    numbers = whole.select("_s", "_x", "_base", "_own", F.explode(F.sequence(F.lit(1), F.lit(LAST_SUFFIX))).alias("_k")).filter("_k > 1 OR _own")
+    whole = rows.groupBy("_s", "_x", "_base").agg(F.max("_first").alias("_own"), F.count(F.lit(1)).alias("_files"))
+    names = taken.select(T.fold(F.col("file_name")).alias("_key")).distinct()
+    highest = F.lit(last)
+    if last is None:  # each file takes one number; others lack a number only where a name has it already
+        whole = whole.join(_occupied(names.unionByName(rows.select(F.col("_base").alias("_key"))).distinct()), ["_s", "_x"], "left").fillna(0, ["_held"])
+        highest = (F.col("_files") + F.col("_held") + 1).cast("int")
+    numbers = whole.select("_s", "_x", "_base", "_own", F.explode(F.sequence(F.lit(1), highest)).alias("_k")).filter("_k > 1 OR _own")
     key = F.when(F.col("_k") == 1, F.col("_base")).otherwise(F.concat("_s", F.lit("-"), F.col("_k").cast("string"), "_x"))
     numbers = numbers.withColumn("_key", key)
     bases = rows.select(F.col("_base").alias("_key")).distinct()  # another stem may look like a numbered one
     numbers = numbers.filter("_k = 1").unionByName(numbers.filter("_k > 1").join(bases, "_key", "left_anti"))
-    free = numbers.join(taken.select(T.fold(F.col("file_name")).alias("_key")).distinct(), "_key", "left_anti")
+    free = numbers.join(names, "_key", "left_anti")
     free = free.withColumn("_n", F.row_number().over(W.partitionBy("_s", "_x").orderBy("_k"))).select("_s", "_x", "_n", "_k", "_key")
     named = F.when(F.col("_k") == 1, F.concat("stem", "_t")).otherwise(F.concat("stem", F.lit("-"), F.col("_k").cast("string"), "_t"))
     met = rows.join(free, ["_s", "_x", "_n"], "left")

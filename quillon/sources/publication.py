@@ -5,13 +5,15 @@ nobody has taken it meanwhile; if one cannot, those before it are taken back. A
 
 from __future__ import annotations
 
+import os
 import time
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.operators.changes import free_names
+from quillon.operators.changes import LAST_SUFFIX, free_names
 from quillon.sources import generations, shared
 from quillon.sources.generations import _path
 
@@ -28,25 +30,54 @@ def _names(spark: SparkSession, folder: str) -> list[str]:
     return sorted(entry.getPath().getName() for entry in files.listStatus(path))
 
 
-def _staged_file(spark: SparkSession, staged: str, file_id: int, there: bool = True) -> tuple[str, int]:
-    """The one file that Spark has written for an id, and its size; without ``there`` it may be gone."""
-    path, files = _path(spark, f"{staged}/files/_file={file_id}")
-    found = [e for e in files.listStatus(path) if e.getPath().getName().startswith("part-")] if files.exists(path) else []
-    if len(found) != 1:
-        if there:
-            raise RuntimeError(f"file {file_id} was staged {len(found)} times")
-        return f"{staged}/files/_file={file_id}/part-gone", 0
-    return str(found[0].getPath()), found[0].getLen()
+def _staged_files(spark: SparkSession, staged: str) -> DataFrame:
+    """The manifest with what tasks have written for each id: the number of files, and path and size of the first."""
+    counts = spark.read.parquet(f"{staged}/written").groupBy("file_id").agg(F.count(F.lit(1)).alias("n_staged"), F.min_by("path", "path").alias("path"), F.min_by("size", "path").alias("size"))
+    return spark.read.parquet(f"{staged}/manifest").select("file_id", "file_name", "n_bytes").join(counts, "file_id", "left").fillna(0, ["n_staged"])
 
 
-def stage(spark: SparkSession, files: DataFrame, destination: str) -> str:
-    """Write ``files`` (file_id, stem, extension, content) and their manifest into a staged folder, and return it. Names are free ones of the destination.
+def _write_batches(folder: str):
+    def run(batches):
+        os.makedirs(folder, exist_ok=True)
+        for batch in batches:
+            ids, paths, sizes = batch.column(0).to_pylist(), [], []
+            for file_id, content in zip(ids, batch.column(1), strict=True):
+                draft, path = f"{folder}/.{uuid.uuid4().hex}", f"{folder}/part-{file_id}"
+                with open(draft, "wb") as out:
+                    out.write(content.as_buffer())
+                os.replace(draft, path)  # a task that runs again leaves one whole file
+                paths.append(f"file://{path}")
+                sizes.append(os.path.getsize(path))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(paths, pa.string()), pa.array(sizes, pa.int64())], names=["file_id", "path", "size"])
+
+    return run
+
+
+def _write(spark: SparkSession, files: DataFrame, staged: str) -> None:
+    """Write each content to a file of its own, and a table (file_id, path, size) of what is written.
+
+    On local files tasks open them themselves: Spark's writer makes a folder for each and starts a process for the mode of each folder and file. Any other store is written by
+    Spark, and its folders are listed by Spark's tasks."""
+    # As many tasks as can run take part, however short the texts are.
+    rows = files.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "file_id")
+    if folder := generations.local_path(f"{staged}/files"):
+        written = rows.select("file_id", F.col("content").cast("binary").alias("content")).mapInArrow(_write_batches(folder), "file_id long, path string, size long")
+    else:
+        body = F.expr("substring(content, 1, length(content) - 1)")  # the writer ends each line
+        rows.select(F.col("file_id").alias("_file"), body.alias("value")).write.partitionBy("_file").option("lineSep", "\n").text(f"{staged}/files")
+        found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(f"{staged}/files")
+        written = found.select(F.regexp_extract("path", "/_file=(-?[0-9]+)/[^/]*$", 1).cast("long").alias("file_id"), "path", F.col("length").alias("size"))
+    written.write.parquet(f"{staged}/written")
+
+
+def stage(spark: SparkSession, files: DataFrame, destination: str, last: int | None = LAST_SUFFIX) -> str:
+    """Write ``files`` (file_id, stem, extension, content) and their manifest into a staged folder, and return it. Names are free ones of the destination, numbered up to ``last``.
 
     Every id is unique, every content ends with a line end (as all exports do), names are plain ones. ``files`` must be the same each time it is read."""
     staged = f"{destination}/{STAGED}{uuid.uuid4().hex}"
     taken = spark.createDataFrame([(n,) for n in _names(spark, destination) if not n.startswith(STAGED)], "file_name string")
     files = files.withColumn("file_id", F.col("file_id").cast("long"))
-    named = free_names(files.select("file_id", "stem", "extension"), taken, "file_id").select("file_id", "file_name")
+    named = free_names(files.select("file_id", "stem", "extension"), taken, "file_id", last).select("file_id", "file_name")
     digests = files.select("file_id", F.octet_length("content").cast("long").alias("n_bytes"), F.sha2("content", 256).alias("sha256"), F.coalesce(F.endswith("content", F.lit("\n")), F.lit(False)).alias("_ended"))
     manifest = digests.join(named, "file_id", "left")
     fine = F.col("file_id").isNotNull() & F.col("_ended") & F.coalesce(~F.col("file_name").rlike(r"[/\\]|^\.|^$"), F.lit(False))
@@ -57,8 +88,7 @@ def stage(spark: SparkSession, files: DataFrame, destination: str) -> str:
             raise ValueError(f"file {bad['file_id']} has no plain or free name, no id, or no line end")
         if twice := written.groupBy("file_id").count().filter("count > 1").first():
             raise ValueError(f"two files have the id {twice[0]}")
-        body = F.expr("substring(content, 1, length(content) - 1)")  # the writer ends each line
-        files.select(F.col("file_id").alias("_file"), body.alias("value")).repartition("_file").write.partitionBy("_file").option("lineSep", "\n").text(f"{staged}/files")
+        _write(spark, files, staged)
     except BaseException:
         undo(spark, staged)
         raise
@@ -69,11 +99,12 @@ def place(spark: SparkSession, staged: str) -> None:
     """Give every staged file its name. A :class:`~quillon.sources.generations.Conflict` if one is taken; then, as after any failure, none has it."""
     destination = staged.rsplit("/", 1)[0]
     try:
-        for row in spark.read.parquet(f"{staged}/manifest").select("file_id", "file_name", "n_bytes").toLocalIterator():
-            source, size = _staged_file(spark, staged, row["file_id"])
-            if size != row["n_bytes"]:
-                raise RuntimeError(f"file {row['file_id']} has {size} bytes, not {row['n_bytes']}")
-            generations.put_new(spark, source, f"{destination}/{row['file_name']}")
+        for row in _staged_files(spark, staged).toLocalIterator():
+            if row["n_staged"] != 1:
+                raise RuntimeError(f"file {row['file_id']} was staged {row['n_staged']} times")
+            if row["size"] != row["n_bytes"]:
+                raise RuntimeError(f"file {row['file_id']} has {row['size']} bytes, not {row['n_bytes']}")
+            generations.put_new(spark, row["path"], f"{destination}/{row['file_name']}")
         path, files = _path(spark, f"{staged}/{DONE}")
         files.create(path, False).close()
     except BaseException:
@@ -86,10 +117,9 @@ def undo(spark: SparkSession, staged: str) -> None:
     destination = staged.rsplit("/", 1)[0]
     done, files = _path(spark, f"{staged}/{DONE}")
     manifest, _ = _path(spark, f"{staged}/manifest/_SUCCESS")
-    if not files.exists(done) and files.exists(manifest) and files.exists(_path(spark, f"{staged}/files/_SUCCESS")[0]):
-        for row in spark.read.parquet(f"{staged}/manifest").select("file_id", "file_name").toLocalIterator():
-            source, _ = _staged_file(spark, staged, row["file_id"], there=False)
-            if generations.is_own(spark, source, f"{destination}/{row['file_name']}"):
+    if not files.exists(done) and files.exists(manifest) and files.exists(_path(spark, f"{staged}/written/_SUCCESS")[0]):
+        for row in _staged_files(spark, staged).toLocalIterator():
+            if row["path"] and generations.is_own(spark, row["path"], f"{destination}/{row['file_name']}"):
                 files.delete(_path(spark, f"{destination}/{row['file_name']}")[0], False)
     files.delete(_path(spark, staged)[0], True)
 
@@ -104,18 +134,18 @@ def recover(spark: SparkSession, destination: str, older: float = 3600) -> list[
     return sorted(left)
 
 
-def publish(spark: SparkSession, files: DataFrame, destination: str, current: DataFrame | None = None, attempts: int = 3) -> DataFrame:
+def publish(spark: SparkSession, files: DataFrame, destination: str, current: DataFrame | None = None, attempts: int = 3, last: int | None = LAST_SUFFIX) -> DataFrame:
     """Publish ``files`` (file_id, stem, extension, content) in a folder that exists, all or none, and return the manifest: file_id, file_name, n_bytes, sha256.
 
     With ``current`` (document_id, canonical_sha256) the files have these columns too, and are refused as :class:`Stale` if one is of another generation.
-    If a name is taken while files are placed, the set is named again, up to ``attempts`` times. The names are given one by one by the driver, which holds one at a time."""
+    If a name is taken while files are placed, the set is named again, up to ``attempts`` times. ``last`` is the highest number in a name (none: as high as needed). The names are given one by one by the driver, which holds one at a time."""
     path, there = _path(spark, destination)
     if not there.exists(path) or not there.getFileStatus(path).isDirectory():
         raise ValueError(f"{destination} is not a folder")
     if current is not None and (old := files.join(current, ["document_id", "canonical_sha256"], "left_anti").select("file_id").first()):
         raise Stale(f"file {old[0]} is of another generation of its document")
     for left in range(attempts - 1, -1, -1):
-        staged = stage(spark, files, destination)
+        staged = stage(spark, files, destination, last)
         manifest = spark.read.parquet(f"{staged}/manifest").select("file_id", "file_name", "n_bytes", "sha256")
         try:
             place(spark, staged)

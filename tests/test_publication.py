@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 from quillon.sources import generations, publication
 
@@ -103,3 +104,37 @@ def test_stale_generations_missing_folders_and_no_files(spark, folder):
         publication.publish(spark, files, f"file://{folder}/missing")
     assert publication.publish(spark, files.limit(0), f"file://{folder}").count() == 0
     assert publication.publish(spark, files.filter("file_id <> 2"), f"file://{folder}", now).count() == 3
+
+
+def test_more_files_of_a_stem_than_names_are_tried(spark, folder):
+    """Numbers go on beyond those tried by default where none is given as the last; names that are taken, also in another way of cutting them, are passed over."""
+    (folder / "talk-7.srt").write_bytes(b"mine too")
+    files = spark.range(1, 1206).select(F.col("id").alias("file_id"), F.when(F.col("id") == 1205, "Talk-9").otherwise("talk").alias("stem"), F.lit("srt").alias("extension"), F.concat(F.col("id").cast("string"), F.lit("\n")).alias("content"))
+    with pytest.raises(ValueError, match="free name"):
+        publication.publish(spark, files, f"file://{folder}")
+    publication.publish(spark, files, f"file://{folder}", last=None)
+    free = [f"talk-{k}.srt" for k in range(2, 1300) if k not in (7, 9)]
+    wanted = dict(zip(free, [f"{k}\n".encode() for k in range(1, 1205)], strict=False))
+    assert listing(folder) == wanted | {"TALK.srt": b"mine", "talk-7.srt": b"mine too", "Talk-9.srt": b"1205\n"}
+
+
+def test_calls_of_the_driver_do_not_grow_with_the_files(spark, folder, monkeypatch):
+    real, calls = generations._path, []
+    counted = lambda *args: calls.append(1) or real(*args)
+    monkeypatch.setattr(generations, "_path", counted)
+    monkeypatch.setattr(publication, "_path", counted)
+    made = []
+    for n in (3, 30):
+        files = spark.range(n).select(F.col("id").alias("file_id"), F.concat(F.lit(f"{n}-"), "id").alias("stem"), F.lit("txt").alias("extension"), F.lit("x\n").alias("content"))
+        calls.clear()
+        publication.publish(spark, files, f"file://{folder}")
+        made.append(len(calls))
+    assert made[0] == made[1] and len(listing(folder)) == 34
+
+
+def test_a_store_that_is_not_told_to_be_local(spark, folder, monkeypatch):
+    """Spark's writer and the file system's own calls do the same."""
+    monkeypatch.setattr(generations, "local_path", lambda name: None)
+    publication.publish(spark, spark.createDataFrame(FILES, SCHEMA), f"file://{folder}")
+    assert listing(folder) == {"TALK.srt": b"mine", "talk-2.srt": "één\n\n".encode(), "talk-3.srt": b"two\r\nlines\n", "Talk.txt": b"\n", "other": b"x\n"}
+    assert not staged(folder)
