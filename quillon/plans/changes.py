@@ -98,11 +98,11 @@ def note_batches(spark, sf_dir):
     asked = rows.withColumn("again", F.lit(False)).unionByName(rows.filter("note_id % 5 = 0").withColumns({"updated_at": F.col("updated_at") + 1, "again": F.lit(True)}))
     done = book.create(asked)
     now = book.snapshot().tables
-    counts = [now[t].groupBy("note_id").agg(F.count(F.lit(1)).alias(c)) for t, c in (("note_segments", "segments"), ("note_tags", "tags"), ("note_collections", "collections"))]
-    out = done.select("note_id", "again", "outcome").join(now["journal"].select("note_id", "sequence_id"), "note_id", "left")
-    for one in counts:
-        out = out.join(one, "note_id", "left")
-    return out.fillna(0, ["segments", "tags", "collections"])
+    counts, parts = {"note_segments": "segments", "note_tags": "tags", "note_collections": "collections"}, now["journal"].select("note_id", "sequence_id")
+    for table in counts:  # one grouping of what all tables hold of a note
+        parts = parts.unionByName(now[table].select("note_id", F.lit(1).alias(counts[table])), allowMissingColumns=True)
+    held = parts.groupBy("note_id").agg(F.max("sequence_id").alias("sequence_id"), *[F.sum(c).alias(c) for c in counts.values()])
+    return done.select("note_id", "again", "outcome").join(held, "note_id", "left").fillna(0, list(counts.values()))
 
 
 @query("""WITH a AS (SELECT event_id AS note_id FROM events WHERE event_id % 2 = 0 OR event_id % 3 = 0), b AS (SELECT event_id AS note_id FROM events WHERE event_id % 2 = 1)

@@ -95,3 +95,19 @@ def test_a_batch_is_judged_again_after_a_conflict(spark, tmp_path, monkeypatch):
     assert sorted((r["note_id"], r["outcome"]) for r in done.collect()) == [(1, "exists"), (2, "created")] and len(asked) == 2
     assert {r["note_id"]: r["body"] for r in book.snapshot().tables["notes"].collect()} == {1: "other", 2: "b"}
     assert book.snapshot().sequence == 2
+
+
+def test_requests_are_read_once_for_a_commit(spark, tmp_path):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    rows = spark.createDataFrame([request(k) for k in range(1, 41)] + [request(1, at=2)], REQUEST)
+    book = Notebook(spark, f"file://{tmp_path}/n")
+    done = book.create(rows.mapInArrow(seen, REQUEST))
+    assert done.filter("outcome = 'created'").count() == 40 and done.filter("outcome = 'repeated'").count() == 1
+    assert counts(book.snapshot()) == {"notes": 40, "note_segments": 40, "note_tags": 40, "note_collections": 0, "journal": 40}
+    assert read.value == 41
