@@ -20,6 +20,7 @@ import hashlib
 import re
 import uuid
 from contextlib import contextmanager
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,8 @@ BYTE_PATH, PIECE_PATH = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/pi
 MARK = "▁"
 #: Characters of text in a block.
 BLOCK = 32 << 20
+#: Characters of text that are cut at once.
+PART = 2 << 20
 #: Distinct pairs of ids up to which their counts are sent to all tasks; more are joined by a shuffle.
 PAIRS = 4_000_000
 _CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -58,9 +61,29 @@ def stretches_of(text: str | None) -> list[str]:
     """The text cut at the single spaces between two other characters, which are left out."""
     if not text:
         return []
-    if "  " in text or "\n " in text or " \n" in text or text[0] == " " or text[-1] == " " or _RARE.search(text):
-        return _CUT.split(text)
-    return text.split(" ")
+    return text.split(" ") if _is_plain(text) else _CUT.split(text)
+
+
+def _is_plain(text: str) -> bool:
+    """Whether every space of a text is a cut and there is no other white space but line ends."""
+    return not ("  " in text or "\n " in text or " \n" in text or text[0] == " " or text[-1] == " " or _RARE.search(text))
+
+
+def _numbered(texts: pa.Array, known: dict[str, int]) -> list[np.ndarray]:
+    """For each text the numbers of its stretches in ``known``, which gets those that are new. Python looks at each distinct stretch once.
+
+    Pieces give U+2581 back as a space, so a text that has it has no tokens; nothing else is rewritten (see _encode_batches)."""
+    found = texts.to_pylist()
+    kinds = np.array([0 if not t or MARK in t else 1 if _is_plain(t) else 2 for t in found], np.int8)
+    plain, other = np.flatnonzero(kinds == 1), np.flatnonzero(kinds == 2)
+    lists = pa.concat_arrays([pc.split_pattern(texts.take(pa.array(plain)), " "), pa.array([_CUT.split(found[k]) for k in other], pa.list_(pa.string()))])
+    coded = lists.flatten().dictionary_encode()
+    numbers = np.array([known.setdefault(s, len(known)) for s in coded.dictionary.to_pylist()], np.uint32)[coded.indices.to_numpy()]
+    ends = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))))
+    out = [np.zeros(0, np.uint32)] * len(found)
+    for k, start, stop in zip(np.concatenate((plain, other)).tolist(), ends, ends[1:], strict=False):
+        out[k] = numbers[start:stop]
+    return out
 
 
 def _cut_batches(batches):
@@ -86,18 +109,18 @@ def _cut_batches(batches):
             yield rows(0, no=range(start, min(start + 20_000, len(texts))), n=counts[start : start + 20_000].tolist(), text=texts[start : start + 20_000])
 
     for batch in batches:
-        for start in range(0, batch.num_rows, 200):
-            part = batch.slice(start, 200)
-            for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                # Pieces give U+2581 back as a space, so such a text has no tokens; nothing else is rewritten (see _encode_batches).
-                stretches = stretches_of(text) if text and MARK not in text else []
-                ids.append(doc_id)
-                bodies.append(np.array([known.setdefault(s, len(known)) for s in stretches], dtype=np.uint32))
-                held += len(text or "") + 100
-                if held > BLOCK:
-                    yield from flush()
-                    known, ids, bodies, held = {}, [], [], 0
-                    blocks += 1
+        sizes, start, size = pc.fill_null(pc.utf8_length(batch.column(1)), 0).to_pylist(), 0, 0
+        for k, n in enumerate(sizes, 1):
+            size, held = size + n, held + n + 100
+            if k < batch.num_rows and size < PART and held <= BLOCK:
+                continue
+            ids += batch.column(0).slice(start, k - start).to_pylist()
+            bodies += _numbered(batch.column(1).slice(start, k - start), known)
+            start, size = k, 0
+            if held > BLOCK:
+                yield from flush()
+                known, ids, bodies, held = {}, [], [], 0
+                blocks += 1
     yield from flush()
     release_memory()
 
@@ -126,7 +149,7 @@ def _tokenizers(sent):
 
 
 def _tokens(ids: list[list[int]], sizes: np.ndarray) -> pa.Array:
-    flat = np.fromiter((k for x in ids for k in x), np.int32)
+    flat = np.fromiter(chain.from_iterable(ids), np.int32)
     offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(flat, pa.int32()), pa.array(sizes[flat], pa.int32())], names=["id", "size"]))
 
@@ -141,7 +164,7 @@ def _encode_batches(sent):
             for start in range(0, batch.num_rows, 2000):
                 part = batch.slice(start, 2000)
                 texts = part.column(0).to_pylist()
-                ids_a = [x.ids for x in a.encode_batch([" " + t for t in texts], add_special_tokens=False)]
+                ids_a = [x.ids for x in a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
                 ids_b = b.encode(texts, num_threads=1)
                 both = [_tokens(ids_a, size_a), _tokens(ids_b, size_b)]
                 wanted = pc.binary_length(part.column(0)).to_numpy() + 1

@@ -113,3 +113,21 @@ def test_blocks_hold_each_stretch_once(monkeypatch):
         if r["kind"] == 0:
             counts[r["text"]] += r["n"]
     assert counts == Counter(a=3, b=2, c=1) and len({r["block"] for r in rows}) > 1
+
+
+def test_python_looks_at_each_distinct_stretch_of_a_part_once():
+    import pyarrow as pa
+
+    class Known(dict):
+        asked = 0
+
+        def setdefault(self, *args):
+            Known.asked += 1
+            return super().setdefault(*args)
+
+    known = Known()
+    texts = [*TEXTS, "a b a " * 200 + "a", "x\ty z  w x", "", None, "b a"]
+    numbers = alignment._numbered(pa.array(texts), known)
+    names = list(known)
+    assert [[names[i] for i in x] for x in numbers] == [alignment.stretches_of(t) if t and alignment.MARK not in t else [] for t in texts]
+    assert Known.asked == len(known)
