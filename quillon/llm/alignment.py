@@ -11,7 +11,7 @@ of *stretches* between such places, and a stretch has the same tokens wherever i
 Stretches stay in buckets of their text, so that steps 1 and 2, the sums over links and the way back to blocks are free of shuffles. The joined ends are dealt
 by stretch once (a full join keeps no partitioning), and the counts of pairs of ids travel.
 Documents are kept in blocks, as numbers of the block's stretches; a block is a bounded number of characters, and never a hot key: what a
-frequent stretch adds is one row of each block.
+frequent stretch adds is one row of each block. Python tasks on blocks are streams: they hold the distinct stretches of one block, no documents.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import hashlib
 import re
 import uuid
 from contextlib import contextmanager
-from itertools import chain
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import forget, release_memory, shared_dir, table
+from .common import forget, in_batches, release_memory, shared_dir, table
 
 #: Where the public vocabularies lie (parameters below).
 BYTE_PATH, PIECE_PATH = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
@@ -39,6 +39,10 @@ MARK = "▁"
 BLOCK = 32 << 20
 #: Characters of text that are cut at once.
 PART = 2 << 20
+#: Whole texts that are sent to Python at once.
+TEXTS = 500
+#: Stretches of documents that are put together at once.
+NUMBERS = 1 << 18
 #: Distinct pairs of ids up to which their counts are sent to all tasks; more are joined by a shuffle.
 PAIRS = 4_000_000
 _CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -86,11 +90,35 @@ def _numbered(texts: pa.Array, known: dict[str, int]) -> list[np.ndarray]:
     return out
 
 
+def _placed(names: pa.Array, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """``names`` with those of ``texts`` that are not among them, and the places of ``texts`` there. Held by Arrow, a name is its bytes and an offset."""
+    found = pc.index_in(texts, names)
+    new = found.is_null().to_numpy(zero_copy_only=False)
+    places = found.fill_null(0).to_numpy().astype(np.uint32)
+    places[new] = np.arange(len(names), len(names) + new.sum(), dtype=np.uint32)
+    return pa.concat_arrays([names, texts.filter(pa.array(new))]), places
+
+
+def _gathered(batches):
+    """Batches of short texts put together up to PART characters, since the block's stretches are looked up anew for each part."""
+    held, size = [], 0
+    for batch in batches:
+        n = pc.sum(pc.utf8_length(batch.column(1))).as_py() or 0
+        if held and size + n > PART:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+        held.append(batch)
+        size += n
+    if held:
+        yield pa.concat_batches(held)
+
+
 def _cut_batches(batches):
-    """Documents as numbers of stretches (kind 1), and the stretches of a block with how often they occur there (kind 0)."""
+    """Documents as numbers of stretches (kind 1), and the stretches of a block with how often they occur there (kind 0).
+
+    Documents go out as soon as they are numbered; of a block only its distinct stretches are held."""
     task, blocks = TaskContext.get().partitionId(), 0
-    known: dict[str, int] = {}
-    ids, bodies, held = [], [], 0
+    names, counts, held = pa.array([], pa.string()), np.zeros(0, np.int64), 0
 
     def rows(kind, **columns):
         n = len(next(iter(columns.values())))
@@ -98,30 +126,32 @@ def _cut_batches(batches):
         fixed = {"kind": [kind] * n, "block": [task << 32 | blocks] * n}
         return pa.RecordBatch.from_arrays([pa.array((columns | fixed).get(c, [None] * n), t) for c, t in make.items()], names=list(make))
 
-    def flush():
-        counts = np.zeros(len(known), np.int64)
-        for start in range(0, len(bodies), 500):
-            part = bodies[start : start + 500]
-            counts += np.bincount(np.concatenate(part), minlength=len(known))
-            yield rows(1, id=ids[start : start + 500], n=[len(x) for x in part], body=[_pack(x) if len(x) else b"" for x in part])
-        texts = list(known)
-        for start in range(0, len(texts), 20_000):
-            yield rows(0, no=range(start, min(start + 20_000, len(texts))), n=counts[start : start + 20_000].tolist(), text=texts[start : start + 20_000])
+    def stretches():
+        for start in range(0, len(names), 20_000):
+            texts = names.slice(start, 20_000)
+            yield rows(0, no=range(start, start + len(texts)), n=counts[start : start + len(texts)], text=texts)
 
-    for batch in batches:
+    for batch in _gathered(batches):
         sizes, start, size = pc.fill_null(pc.utf8_length(batch.column(1)), 0).to_pylist(), 0, 0
         for k, n in enumerate(sizes, 1):
             size, held = size + n, held + n + 100
             if k < batch.num_rows and size < PART and held <= BLOCK:
                 continue
-            ids += batch.column(0).slice(start, k - start).to_pylist()
-            bodies += _numbered(batch.column(1).slice(start, k - start), known)
+            known: dict[str, int] = {}
+            part = _numbered(batch.column(1).slice(start, k - start), known)
+            names, places = _placed(names, pa.array(list(known), pa.string()))
+            part = [places[x] for x in part]
+            found = np.bincount(np.concatenate(part), minlength=len(names))
+            found[: len(counts)] += counts
+            counts = found
+            yield rows(1, id=batch.column(0).slice(start, k - start), n=[len(x) for x in part], body=[_pack(x) if len(x) else b"" for x in part])
             start, size = k, 0
             if held > BLOCK:
-                yield from flush()
-                known, ids, bodies, held = {}, [], [], 0
+                yield from stretches()
+                names, counts, held = names.slice(0, 0), np.zeros(0, np.int64), 0
                 blocks += 1
-    yield from flush()
+    yield from stretches()
+    batch = part = known = names = places = found = counts = None  # else they are still there when memory is given back
     release_memory()
 
 
@@ -179,17 +209,28 @@ def _encode_batches(sent):
 
 
 @contextmanager
-def _co_located(spark: SparkSession):
-    """Rows that lie together by stretch also count as together for a join on stretch and end."""
-    name = "spark.sql.requireAllClusterKeysForCoPartition"
+def _setting(spark: SparkSession, name: str, value: str):
+    """The session's setting ``name`` is ``value`` meanwhile."""
     before = spark.conf.get(name)
-    spark.conf.set(name, "false")
+    spark.conf.set(name, value)
     try:
         yield
     finally:
         spark.conf.set(name, before)
 
 
+def _small_batches(spark: SparkSession):
+    """Python gets few whole texts at a time: a batch lies in the executor and in its worker at once."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = int(spark.conf.get(name))
+    return _setting(spark, name, str(min(before, TEXTS) if before > 0 else TEXTS))
+
+
+def _co_located(spark: SparkSession):
+    """Rows that lie together by stretch also count as together for a join on stretch and end."""
+    return _setting(spark, "spark.sql.requireAllClusterKeysForCoPartition", "false")
+
+
 def _bucketed(df: DataFrame, name: str) -> DataFrame:
     """``df``, whose rows lie together by text already, in the shared folder in buckets of the text."""
     spark = df.sparkSession
@@ -232,7 +273,8 @@ class Alignment:
         with open(byte_path, encoding="utf-8") as f, open(piece_path, "rb") as g:  # on the driver; as large as the files
             sent = spark.sparkContext.broadcast((f.read(), g.read()))
         rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_cut_batches, _CELLS)
-        cut = table(rows, "align-blocks", by="kind")
+        with _small_batches(spark):
+            cut = table(rows, "align-blocks", by="kind")
         self.documents = cut.filter("kind = 1").select("block", "id", "n", "body")
         n = int(spark.conf.get("spark.sql.shuffle.partitions"))
         found = cut.filter("kind = 0").select("block", "no", "n", "text")
@@ -262,21 +304,51 @@ class Alignment:
     def by_document(self) -> DataFrame:
         """id_col, n_a, n_b, n_groups, n_links, n_best, count_sum and groups_sha256 for every row ('' without tokens)."""
         back = self.places.select("text", "block", "no").join(self.by_stretch(), "text").select("block", "no", *_SUMS, "groups")
-        out = self.documents.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(_documents, "id long, " + ", ".join(f"{c} long" for c in _SUMS) + ", groups_sha256 string")
+        both = back.unionByName(self.documents, allowMissingColumns=True).repartition("block").sortWithinPartitions("block", F.asc_nulls_last("no"))
+        out = both.mapInArrow(_document_batches, "id long, " + ", ".join(f"{c} long" for c in _SUMS) + ", groups_sha256 string")
         return out.select(F.col("id").alias(self.id_col), *_SUMS, "groups_sha256")
 
 
 _SUMS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
+_NO_TEXT = pa.array([], pa.large_string())
+
+
+def _document_batches(batches):
+    """Documents from what is known of their block's stretches. Rows of a block come together: its stretches in the order of their
+    numbers, then its documents (``no`` is null). Documents go out as they come; of a block only its stretches are held."""
+    block, sums, spelled, whole = None, [], [], None
+    for batch in batches:
+        blocks, last = batch.column("block").to_numpy(), batch.column("no").is_null().to_numpy(zero_copy_only=False)
+        edges = np.flatnonzero((blocks[1:] != blocks[:-1]) | (last[1:] != last[:-1])) + 1
+        for start, stop in pairwise([0, *edges.tolist(), batch.num_rows]):
+            part = batch.slice(start, stop - start)
+            if not len(part):
+                continue
+            if block != blocks[start]:
+                block, sums, spelled, whole = blocks[start], [[np.zeros(0, np.int64)] for _ in _SUMS], [_NO_TEXT], None
+            if not last[start]:
+                for held, c in zip(sums, _SUMS, strict=True):
+                    held.append(part.column(c).to_numpy().copy())
+                spelled.append(pa.concat_arrays([part.column("groups").cast(pa.large_string()), _NO_TEXT]))  # a copy, so that the batch can go
+                continue
+            if whole is None:
+                for k, held in enumerate(sums):
+                    sums[k] = np.concatenate(held)
+                whole, spelled = pa.concat_arrays(spelled), []
+            yield from _documents(part, sums, whole)
+    batch = part = sums = held = spelled = whole = None  # else they are still there when memory is given back
+    release_memory()
 
 
-def _documents(docs: pa.Table, stretches: pa.Table) -> pa.Table:
-    """The documents of a block from what is known of its stretches."""
-    order = np.argsort(stretches.column("no").to_numpy())
-    sums = np.stack([stretches.column(c).to_numpy().astype(np.int64)[order] for c in _SUMS], axis=1) if len(order) else np.zeros((0, len(_SUMS)), np.int64)
-    spelled = pc.take(stretches.column("groups"), pa.array(order)).to_pylist()
-    out, digests = np.zeros((docs.num_rows, len(_SUMS)), np.int64), []
-    for k, (n, body) in enumerate(zip(docs.column("n").to_pylist(), docs.column("body").to_pylist(), strict=True)):
-        numbers = _unpack(body, n) if n else np.zeros(0, np.uint32)
-        out[k] = sums[numbers].sum(axis=0)
-        digests.append(hashlib.sha256(";".join([spelled[i] for i in numbers.tolist()]).encode()).hexdigest() if n else "")
-    return pa.table([docs.column("id"), *[pa.array(out[:, c]) for c in range(len(_SUMS))], pa.array(digests, pa.string())], names=["id", *_SUMS, "groups_sha256"])
+def _documents(docs: pa.RecordBatch, sums: list[np.ndarray], spelled: pa.LargeStringArray):
+    """Documents of a block, by some :data:`NUMBERS` stretches at a time."""
+    sizes = docs.column("n").to_pylist()
+    for rows in in_batches(range(docs.num_rows), sizes, NUMBERS):
+        part = docs.slice(rows[0], len(rows))
+        lengths = sizes[rows[0] : rows[-1] + 1]
+        numbers = np.concatenate([_unpack(body, n) if n else np.zeros(0, np.uint32) for n, body in zip(lengths, part.column("body").to_pylist(), strict=True)])
+        ends = np.concatenate(([0], np.cumsum(lengths)))
+        made = [np.diff(np.concatenate(([0], np.cumsum(c[numbers])))[ends]) for c in sums]
+        joined = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), spelled.take(pa.array(numbers))), pa.scalar(";", pa.large_string()))
+        digests = [hashlib.sha256(s.as_buffer()).hexdigest() if n else "" for n, s in zip(lengths, joined, strict=True)]
+        yield pa.RecordBatch.from_arrays([part.column("id"), *map(pa.array, made), pa.array(digests, pa.string())], names=["id", *_SUMS, "groups_sha256"])

@@ -131,3 +131,64 @@ def test_python_looks_at_each_distinct_stretch_of_a_part_once():
     names = list(known)
     assert [[names[i] for i in x] for x in numbers] == [alignment.stretches_of(t) if t and alignment.MARK not in t else [] for t in texts]
     assert Known.asked == len(known)
+
+
+def test_documents_leave_the_cutting_as_they_come(monkeypatch):
+    import pyarrow as pa
+
+    drawn = []
+
+    def batches():
+        for k, text in enumerate(["a b a", "b c", "a c d"]):
+            drawn.append(k)
+            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([text])], names=["id", "text"])
+
+    monkeypatch.setattr(alignment, "PART", 5)
+    monkeypatch.setattr(alignment.TaskContext, "get", staticmethod(lambda: type("T", (), {"partitionId": lambda self: 3})()))
+    out = alignment._cut_batches(batches())
+    first = next(out).to_pylist()
+    assert drawn == [0, 1] and [(r["kind"], r["id"]) for r in first] == [(1, 0)]
+    rows = first + [r for b in out for r in b.to_pylist()]
+    names = {r["no"]: r["text"] for r in rows if r["kind"] == 0}
+    assert sorted(names) == list(range(4)) and {r["text"]: r["n"] for r in rows if r["kind"] == 0} == dict(a=3, b=2, c=2, d=1)
+    assert [" ".join(names[k] for k in alignment._unpack(r["body"], r["n"])) for r in rows if r["kind"] == 1] == ["a b a", "b c", "a c d"]
+
+
+@pytest.mark.parametrize("size", [1, 3, 100])
+def test_documents_come_back_from_a_stream(monkeypatch, size):
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(alignment, "NUMBERS", 4)
+    blocks = {7: ([1, 2, 3], [(10, [0, 2, 0]), (11, []), (None, [1] * 6)]), 8: ([], [(12, [])]), 9: ([5], [(13, [0])])}
+    rows, expected = [], []
+    for block, (values, docs) in blocks.items():
+        rows += [dict(block=block, no=k, groups=f"{v}|{v}", id=None, n=None, body=None) | {c: v * 2**33 for c in alignment._SUMS} for k, v in enumerate(values)]
+        for doc_id, numbers in docs:
+            rows.append(dict(block=block, no=None, groups=None, id=doc_id, n=len(numbers), body=alignment._pack(np.array(numbers, np.uint32)) if numbers else b"") | {c: None for c in alignment._SUMS})
+            spelled = ";".join(f"{values[k]}|{values[k]}" for k in numbers)
+            expected.append((doc_id, sum(values[k] for k in numbers) * 2**33, hashlib.sha256(spelled.encode()).hexdigest() if numbers else ""))
+    kinds = pa.schema([("block", pa.int64()), ("no", pa.int32()), ("groups", pa.string()), ("id", pa.int64()), ("n", pa.int32()), ("body", pa.binary()), *[(c, pa.int64()) for c in alignment._SUMS]])
+    drawn = []
+
+    def batches():
+        for start in range(0, len(rows), size):
+            drawn.append(start)
+            yield pa.RecordBatch.from_pylist(rows[start : start + size], kinds)
+
+    out = alignment._document_batches(batches())
+    first = next(out)
+    assert max(drawn) <= 3  # the first document, not the block's last
+    found = [r for b in [first, *out] for r in b.to_pylist()]
+    assert [(r["id"], r["count_sum"], r["groups_sha256"]) for r in found] == expected
+    assert all(r[c] == r["count_sum"] for r in found for c in alignment._SUMS)
+
+
+def test_short_texts_are_put_together(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(alignment, "PART", 10)
+    texts = ["ab", None, "cd", "ef gh ij", "k", "", "l" * 30, "m"]
+    out = list(alignment._gathered(pa.RecordBatch.from_arrays([pa.array([k]), pa.array([t], pa.string())], names=["id", "text"]) for k, t in enumerate(texts)))
+    assert [b.column(0).to_pylist() for b in out] == [[0, 1, 2], [3, 4, 5], [6], [7]]
+    assert [t for b in out for t in b.column(1).to_pylist()] == texts
