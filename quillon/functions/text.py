@@ -108,10 +108,11 @@ def name_tier(name: Column, query: str) -> Column:
 
 def cue_text(text: Column) -> Column:
     """Lines stripped, blank ones dropped, joined by spaces. Text with a NUL, or without any line, is an error."""
-    lines = F.split(F.regexp_replace(text, r"\r\n|\r", "\n"), "\n")
+    one, plain = strip(text), ~F.contains(text, F.lit("\r"))
+    lines = F.split(F.when(plain, text).otherwise(F.regexp_replace(text, r"\r\n|\r", "\n")), "\n")
     kept = F.filter(F.transform(lines, strip), lambda x: x != "")
-    joined = F.array_join(kept, " ")
-    bad = F.contains(text, F.lit("\x00")) | (joined == "")
+    joined = F.when(plain & ~F.contains(text, F.lit("\n")), one).otherwise(F.array_join(kept, " "))
+    bad = F.contains(text, F.lit("\x00")) | (one == "")
     return F.when(bad, F.raise_error(F.lit("text cannot be exported"))).otherwise(joined)
 
 

@@ -41,8 +41,7 @@ def published_exports(spark, sf_dir):
     except publication.Stale:
         pass
     publication.publish(spark, files, folder, files.select("document_id", "canonical_sha256"), last=None)
-    read = spark.read.text(folder, wholetext=True).select(F.col("_metadata.file_name").alias("file_name"), "value")
-    return read.select(F.regexp_replace("file_name", "%20", " ").alias("file_name"), F.sha2("value", 256).alias("sha256"), F.octet_length("value").cast("long").alias("n_bytes"))
+    return publication.contents(spark, folder).select("file_name", F.sha2("content", 256).alias("sha256"), F.octet_length("content").cast("long").alias("n_bytes"))
 
 
 @query("""WITH gone AS (SELECT doc_id FROM documents WHERE source LIKE '%1'), notes AS (SELECT event_id, user_id FROM events),

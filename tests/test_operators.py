@@ -650,3 +650,13 @@ def test_catch_up(spark, tmp_path):
         run(log(1, 5), 5)
     with pytest.raises(RuntimeError, match="batches"):
         run(log(42, 60), 60, size=5, most=2)
+
+
+def test_cue_text_cuts_lines_as_python(spark):
+    texts = ["a", " a  b ", "a\nb", "a\r\n\r\n b\r", "\n\ta \x0b\x0c\n\n", "a\u0085b", " a\n　b ", "a\rb", "\r\na", "a\x1cb\n", None]
+    found = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(T.cue_text(F.col("t"))).collect()]
+    lines = lambda t: t.replace("\r\n", "\n").replace("\r", "\n").split("\n")
+    assert found == [None if t is None else " ".join(x.strip() for x in lines(t) if x.strip()) for t in texts]
+    for bad in ("", " \n\r", "a\x00b", "　"):
+        with pytest.raises(Exception, match="cannot be exported"):
+            spark.createDataFrame([(bad,)], "t string").select(T.cue_text(F.col("t"))).collect()

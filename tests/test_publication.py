@@ -138,3 +138,36 @@ def test_a_store_that_is_not_told_to_be_local(spark, folder, monkeypatch):
     publication.publish(spark, spark.createDataFrame(FILES, SCHEMA), f"file://{folder}")
     assert listing(folder) == {"TALK.srt": b"mine", "talk-2.srt": "één\n\n".encode(), "talk-3.srt": b"two\r\nlines\n", "Talk.txt": b"\n", "other": b"x\n"}
     assert not staged(folder)
+
+
+def test_contents_are_made_once(spark, folder):
+    made = spark.sparkContext.accumulator(0)
+
+    def body(key):
+        made.add(1)
+        return f"{key}\n"
+
+    files = spark.range(20).select(F.col("id").alias("file_id"), F.concat(F.lit("t"), "id").alias("stem"), F.lit("txt").alias("extension"), F.udf(body, "string")("id").alias("content"))
+    publication.publish(spark, files, f"file://{folder}")
+    assert made.value == 20 and len(listing(folder)) == 21
+
+
+def test_published_files_are_read_back(spark, folder, monkeypatch):
+    """Each file once, however many cores there are; hidden ones and folders are not its contents. The driver gets no list."""
+    (folder / ".hidden").write_bytes(b"h")
+    (folder / "_hidden").write_bytes(b"h")
+    (folder / "inner").mkdir()
+    publication.publish(spark, spark.createDataFrame([*FILES, (5, "a b%20ü", "txt", "x" * 50 + "\n", "d5", "g")], SCHEMA), f"file://{folder}")
+    wanted = sorted((k, v) for k, v in listing(folder).items() if k[0] not in "._")
+    monkeypatch.setattr(publication, "READ_BYTES", 8)
+    there = publication.contents(spark, f"file://{folder}")
+    assert sorted((r["file_name"], bytes(r["content"])) for r in there.collect()) == wanted and len(wanted) == 6
+    assert not there.inputFiles()
+    monkeypatch.setattr(publication.generations, "local_path", lambda name: None)
+    assert sorted((r["file_name"], bytes(r["content"])) for r in publication.contents(spark, f"file://{folder}").collect()) == wanted
+
+
+def test_a_path_of_the_default_store_is_a_local_one(spark, folder, monkeypatch):
+    monkeypatch.setattr(publication, "_write_store", None)
+    publication.publish(spark, spark.createDataFrame(FILES, SCHEMA), str(folder))
+    assert len(listing(folder)) == 5 and publication.contents(spark, str(folder)).count() == 5
