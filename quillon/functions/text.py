@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 
-from pyspark.sql import Column
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters that Python calls white space, as the inside of a regular expression class (fixed value; Java and RE2 syntax).
@@ -60,6 +62,35 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(fold(text), F.lit(TOKEN), F.lit(0))
 
 
+@lru_cache(maxsize=1)
+def token_letters() -> bytes:
+    """For each code point a byte, 1 if the engine takes it for a letter of a token: what :func:`tokens` cuts by, for tasks that cut many texts at once."""
+    points = np.setdiff1d(np.arange(0x110000, dtype="<u4"), np.arange(0xD800, 0xE000, dtype="<u4"))
+    found = SparkSession.active().range(1).select(F.regexp_extract_all(F.lit(points.tobytes().decode("utf-32-le")), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)).alias("runs")).first()["runs"]
+    table = np.zeros(0x110000, np.uint8)
+    for run in found:
+        table[ord(run[0]) : ord(run[-1]) + 1] = 1
+    table[0xD800:0xE000] = 0
+    return table.tobytes()
+
+
+def cut_tokens(folded: list[str], letters: np.ndarray) -> tuple[np.ndarray, pa.StringArray]:
+    """The tokens of folded texts, in order, and of each the place of its text; as :func:`tokens`, of which this is the same for a batch."""
+    points = np.frombuffer("\n".join([*folded, ""]).encode("utf-32-le", "replace"), "<u4")
+    inside = letters[points].astype(bool)
+    quote = np.flatnonzero((points == 0x27) | (points == 0x2019))
+    quote = quote[(quote > 0)]
+    quote = quote[inside[quote - 1] & inside[quote + 1]]  # a line end is the last
+    inside[quote] = True
+    edges = np.flatnonzero(np.diff(inside.view(np.int8), prepend=0))
+    starts, ends = edges[::2], edges[1::2]
+    text = np.searchsorted(np.cumsum([len(t) + 1 for t in folded]), starts, "right")
+    kept = points[inside]
+    width = np.cumsum(1 + (kept >= 0x80).view(np.int8) + (kept >= 0x800).view(np.int8) + (kept >= 0x10000).view(np.int8), dtype=np.int64)
+    offsets = np.append(0, width[np.cumsum(ends - starts) - 1]).astype(np.int32)
+    return text, pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(kept.tobytes().decode("utf-32-le").encode()))
+
+
 def query_tokens(text: str) -> list[str]:
     """Tokens of a query on the driver, each once, in order of appearance."""
     return list(dict.fromkeys(x.casefold() for x in _DRIVER_TOKEN.findall(text)))

@@ -2,9 +2,12 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from quillon.functions import text as T
 from quillon.operators import lexical
 from quillon.operators.lexical import SearchQuery
 from quillon.sources import generations, term_index, views
@@ -126,3 +129,50 @@ def test_a_query_reads_a_small_part_of_the_index(spark, tmp_path):
     assert 20 <= found <= 60
     assert 0 < read() - before < size / 100, (read() - before, size)
     same(index, rows, SearchQuery(term, limit=20))
+
+
+def test_a_text_is_cut_once(spark, index):
+    """Sizes, totals and postings, also the ranges of these, are of one pass over the segments."""
+    made = spark.sparkContext.accumulator(0)
+
+    def text(k):
+        made.add(1)
+        return f"w{k % 5} W{k % 3} it's"
+
+    rows = spark.range(50).select((F.col("id") % 7).alias("document_id"), F.format_string("segment-%06d", "id").alias("segment_id"), F.col("id").cast("double").alias("start_seconds"), F.lit("en").alias("language"), F.lit(None).cast("string").alias("speaker_ref"), F.udf(text, "string")("id").alias("text"))
+    at = index.build(rows)
+    assert made.value == 50 and index._totals(at) == (50, 150)
+    assert sorted(tuple(r) for r in at.read(spark, "sizes").select("document_id", "segments", "tokens").collect()) == [(d, 8 if d == 0 else 7, 24 if d == 0 else 21) for d in range(7)]
+    assert len(index.search(SearchQuery("it's", limit=100)).collect()) == 50
+
+
+def test_tokens_cut_in_tasks_are_those_of_the_engine(spark):
+    texts = ["", " ", "a", "'a'", "it's o’clock a''b a'’b c'd'e", "'", "ÄÖ ß ﬁ İ x²½ ٣ _a_ 中文'字", "a\nb\n", "\U0001d400'\U0001f600z", "é́ ée", "a\u0000b", "’’a’", "x'", None]
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts += ["a" + " ".join(points[k : k + 4096]) for k in range(0, len(points), 4096)]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").select("k", T.fold(F.col("t")).alias("folded"), T.tokens(F.col("t")).alias("tokens")).orderBy("k").collect()
+    text, tokens = T.cut_tokens([r["folded"] or "" for r in rows], np.frombuffer(T.token_letters(), np.uint8))
+    found = [[] for _ in rows]
+    for k, t in zip(text.tolist(), tokens.to_pylist(), strict=True):
+        found[k].append(t)
+    assert found == [r["tokens"] or [] for r in rows]
+
+
+def test_bundles_of_any_size_make_blocks_of_all_postings(spark, monkeypatch):
+    for name, value in (("HELD", 700), ("TEXT_BYTES", 500), ("BUNDLE", 9), ("BLOCK", 8)):
+        monkeypatch.setattr(term_index, name, value)
+    rows = segments(spark, range(6))
+    schema = term_index.to_arrow_schema(term_index._bundle_schema(rows))
+    batch = rows.select(*term_index._OWN, T.fold(F.col("text")).alias("folded")).toArrow().combine_chunks().to_batches()[0]
+    packed = [r for b in term_index._count_batches([batch.slice(0, 0), batch.slice(0, 100), batch.slice(100)], T.token_letters(), 6, schema) for r in b.to_pylist()]
+    own = [r for r in packed if r["shelf"] is None]
+    assert sum(r["segments"] for r in own) == rows.count() and len(own) > 12
+    again = list(term_index._pack_batches([pa.ipc.open_stream(r["body"]).read_all().combine_chunks().to_batches()[0] for r in packed if r["body"]], 6, schema))
+    wanted = sorted(tuple(r) for r in lexical.terms(rows).select("document_id", "segment_id", "term", "term_frequency").collect())
+    shelf = {r[0]: r[1] for r in spark.createDataFrame([(t,) for t in {w[2] for w in wanted}], "t string").select("t", term_index._shelf(F.col("t"), 6)).collect()}
+    for some in ([r for r in packed if r["body"]], [r for b in again for r in b.to_pylist()]):
+        assert max(r["n"] for r in some) <= 9 and len(some) > 100
+        some.sort(key=lambda r: (r["shelf"], r["sheaf"], r["bundle"]))
+        blocks = [x for b in term_index._blocks(iter([pa.RecordBatch.from_pylist(some[:50], schema), pa.RecordBatch.from_pylist(some[50:], schema)]), 3, [*term_index._OWN, "tf", "length"]) for x in b.to_pylist()]
+        assert all(b["shelf"] == shelf[b["term"]] and b["n"] == len(b["postings"]) <= 8 and b["most"] == max(p["tf"] for p in b["postings"]) and b["least"] == min(p["length"] for p in b["postings"]) for b in blocks)
+        assert sorted((p["document_id"], p["segment_id"], b["term"], p["tf"]) for b in blocks for p in b["postings"]) == wanted
